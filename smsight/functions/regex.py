@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-WORD = r"[\p{L}\p{N}_]"
-SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+WORD_CHARS = r"\p{L}\p{N}_"
+SPACE_CHARS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+ARABIC_CHARS = "؀-ۿ"
+WORD = f"[{WORD_CHARS}]"
+SPACE = f"[{SPACE_CHARS}]"
+NOT_SPACE = f"[^{SPACE_CHARS}]"
 WORD_START = rf"(?<!{WORD})"
 WORD_END = rf"(?!{WORD})"
 # a boundary in either direction, for alternatives that begin or end with punctuation
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-ARABIC = "[؀-ۿ]"
+ARABIC = f"[{ARABIC_CHARS}]"
 _SPECIAL = set(r"\.[]{}()*+-?^$|&~")
 
 
@@ -46,6 +49,11 @@ def whole_word(words: Iterable[str]) -> str:
     return WORD_START + one_of(words) + WORD_END
 
 
+def spaced_word(words: Iterable[str]) -> str:
+    """Any of ``words`` between blanks or text ends, as splitting at blanks would find it."""
+    return f"(?<!{NOT_SPACE}){one_of(words)}(?!{NOT_SPACE})"
+
+
 def phrase(text: str) -> str:
     r"""A phrase of the vocabulary: ``~`` is any run inside a line, ``\d`` any decimal digit."""
     out = []

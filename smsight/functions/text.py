@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from smsight.functions import vocab as V
 from smsight.functions.regex import (
-    ARABIC, NOT_SPACE, SPACE, WORD, WORD_END, WORD_START, literal, python_like, whole_word,
+    ARABIC, ARABIC_CHARS, NOT_SPACE, SPACE, SPACE_CHARS, WORD_CHARS, WORD_END, WORD_START, literal,
+    python_like, spaced_word, whole_word,
 )
 
 URL_PATTERN = "|".join(
@@ -46,7 +47,7 @@ def normalize_message(message: Column | str, darija: bool = True) -> Column:
             by_target.setdefault(target, []).append(word)
         for target, words in by_target.items():
             text = F.regexp_replace(text, whole_word(words), target)
-    text = F.regexp_replace(text, rf"(?!{WORD}|{ARABIC}|{SPACE})[\s\S]", " ")
+    text = F.regexp_replace(text, f"[^{WORD_CHARS}{SPACE_CHARS}{ARABIC_CHARS}]", " ")
     return collapse_spaces(text)
 
 
@@ -158,13 +159,12 @@ def template_variables(message: Column | str) -> Column:
 
 def tokenize(text: Column | str) -> Column:
     """Lower-cased tokens; punctuation separates, Arabic stays."""
-    kept = rf"(?!{WORD}|{ARABIC})[\s\S]"
-    return F.filter(F.split(F.lower(_col(text)), f"(?:{kept})+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), f"[^{WORD_CHARS}{ARABIC_CHARS}]+"), "")
 
 
 def raw_tokens(text: Column | str) -> Column:
     """Tokens with their case, as used to find names."""
-    return F.regexp_extract_all(_col(text), F.lit(f"(?:{WORD}|{ARABIC})+"), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(f"[{WORD_CHARS}{ARABIC_CHARS}]+"), F.lit(0))
 
 
 def usable_token(token: Column) -> Column:
@@ -176,11 +176,10 @@ def detect_language(text: Column | str) -> Column:
     """``ar`` by share of Arabic characters or a darija word, else a stop-word vote, else ``fr``."""
     text = _col(text)
     arabic = F.regexp_count(text, F.lit(ARABIC)) > F.length(text) * F.lit(V.ARABIC_SHARE)
-    words = F.split(F.lower(text), f"{SPACE}+")
-    literals = lambda items: F.array(*[F.lit(w) for w in items])
-    votes = lambda items: F.size(F.filter(words, lambda w: w.isin(items)))
+    lower = F.lower(text)
+    votes = lambda words: F.regexp_count(lower, F.lit(spaced_word(words)))
     return (
-        F.when(arabic | F.arrays_overlap(words, literals(V.DARIJA_WORDS)), F.lit("ar"))
+        F.when(arabic | lower.rlike(spaced_word(V.DARIJA_WORDS)), F.lit("ar"))
         .when(votes(V.ENGLISH_STOP_WORDS) > votes(V.FRENCH_STOP_WORDS), F.lit("en"))
         .otherwise(F.lit("fr"))
     )

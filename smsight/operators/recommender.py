@@ -36,7 +36,8 @@ def clean_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def lexicon(docs: DataFrame, min_freq: int = 2) -> DataFrame:
     """Words and frequencies per language, without numbers, single characters and rare words."""
-    words = docs.select("lang", F.explode("tokens").alias("word")).where(T.usable_token(F.col("word")))
+    # the outer form keeps the planner from tokenising a second time to filter empty arrays
+    words = docs.select("lang", F.explode_outer("tokens").alias("word")).where(T.usable_token(F.col("word")))
     return words.groupBy("lang", "word").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
 
 
@@ -44,7 +45,8 @@ def named_entities(
     docs: DataFrame, share: float = V.NAME_SHARE, min_count: int = V.NAME_MIN_COUNT, known: list[str] = V.FIRST_NAMES,
 ) -> DataFrame:
     """Words that are mostly capitalised away from the start, and known first names that occur."""
-    tokens = docs.select("lang", F.posexplode(T.raw_tokens("text")).alias("pos", "token"))
+    tokens = docs.select("lang", F.posexplode_outer(T.raw_tokens("text")).alias("pos", "token"))
+    tokens = tokens.where(F.col("token").isNotNull())
     capital = (F.col("pos") > 0) & F.col("token").rlike(r"^\p{Lu}")
     counts = tokens.groupBy("lang", F.lower("token").alias("word")).agg(
         F.count("*").alias("total"), F.count_if(capital).alias("capitalised"))
@@ -56,8 +58,9 @@ def named_entities(
 
 @dataclass
 class NgramModel:
-    """Count tables per language."""
+    """Count tables per language; ``positions`` holds what the others are summed from."""
 
+    positions: DataFrame     # lang, w1, w2, w3, n
     unigrams: DataFrame      # lang, word, n
     bigrams: DataFrame       # lang, w1, w2, n
     trigrams: DataFrame      # lang, w1, w2, w3, n
@@ -91,23 +94,31 @@ def drop_leaked_words(docs: DataFrame, names: DataFrame | None) -> DataFrame:
 def count_ngrams(docs: DataFrame, names: DataFrame | None = None, drop_leaked: bool = True) -> NgramModel:
     """Unigram, bigram, trigram and continuation counts.
 
-    N-grams are cut from each text's token array (no window, no shuffle of tokens), counted
-    with partial sums, and names are masked on the counts.
+    One pass over the token arrays (no window) counts every position with its two followers,
+    with partial sums; names are masked on those counts and the shorter n-grams are sums of
+    the longer ones.
     """
     if drop_leaked:
         docs = drop_leaked_words(docs, names)
-    size = F.size("tokens")
+    tokens = F.col("tokens")
+    after = lambda i: F.slice(tokens, i + 1, F.greatest(F.size(tokens) - i, F.lit(0)))
+    # every position with its two followers; they are null at the end of a text
+    rows = docs.select("lang", F.explode_outer(F.arrays_zip(
+        tokens.alias("w1"), after(1).alias("w2"), after(2).alias("w3"))).alias("g")).where(F.col("g.w1").isNotNull())
+    counts = rows.groupBy("lang", "g.w1", "g.w2", "g.w3").agg(F.count("*").alias("n"))
+    if names is not None:
+        counts = _mask(counts, names, ["w1", "w2", "w3"])
+    return ngram_model(counts)
 
-    def grams(n: int) -> DataFrame:
-        words = ["word"] if n == 1 else [f"w{i + 1}" for i in range(n)]
-        parts = [F.slice("tokens", i + 1, F.greatest(size - (n - 1), F.lit(0))) for i in range(n)]
-        rows = docs.select("lang", F.explode(F.arrays_zip(*[p.alias(w) for p, w in zip(parts, words)])).alias("g"))
-        counts = rows.groupBy("lang", *[F.col(f"g.{w}").alias(w) for w in words]).agg(F.count("*").alias("n"))
-        return counts if names is None else _mask(counts, names, words)
 
-    bigrams = grams(2)
-    continuation = bigrams.groupBy("lang", F.col("w2").alias("word")).agg(F.sum("n").alias("n"))
-    return NgramModel(grams(1), bigrams, grams(3), continuation)
+def ngram_model(positions: DataFrame) -> NgramModel:
+    """The count tables from counted positions ``(lang, w1, w2, w3, n)``."""
+    total = lambda rows, *by: rows.groupBy("lang", *by).agg(F.sum("n").alias("n"))
+    bigrams = total(positions.where(F.col("w2").isNotNull()), "w1", "w2")
+    return NgramModel(
+        positions, total(positions, F.col("w1").alias("word")), bigrams,
+        positions.where(F.col("w3").isNotNull()),
+        total(bigrams, F.col("w2").alias("word")))
 
 
 def distinct_continuation(bigrams: DataFrame) -> DataFrame:
@@ -342,7 +353,7 @@ def evaluate_recommender(texts: DataFrame, model: NgramModel, top_k: int = 5, la
         F.slice(shifted, 1, F.greatest(size - 1, F.lit(0))).alias("prev2"),
         F.slice("tokens", 1, F.greatest(size - 1, F.lit(0))).alias("prev1"),
         F.slice("tokens", 2, F.greatest(size - 1, F.lit(0))).alias("truth"))
-    cases = docs.select("lang", F.explode(steps).alias("s")).groupBy("lang", "s.prev2", "s.prev1", "s.truth").agg(
+    cases = docs.select("lang", F.explode_outer(steps).alias("s")).where(F.col("s.truth").isNotNull()).groupBy("lang", "s.prev2", "s.prev1", "s.truth").agg(
         F.count("*").alias("n"))
     asked = cases.select("lang", "prev2", "prev1").distinct()
     predicted = predict_next(asked, model, CANDIDATES).withColumn("score", F.round(F.lit(V.RANK_PROB) * F.col("prob"), 9))

@@ -48,7 +48,7 @@ def match_routes(messages: DataFrame, routes: DataFrame, max_inline: int = MAX_I
         empty = F.array().cast("array<struct<priority:int,route_id:string,destination_pattern:string>>")
         best = F.array_min(F.flatten(F.array(*[F.filter(
             F.coalesce(c, empty),
-            lambda r: r.destination_pattern.isNull() | F.col("destination").rlike(_anchored(r.destination_pattern)),
+            lambda r: r.destination_pattern.isNull() | F.regexp_like(F.col("destination"), _anchored(r.destination_pattern)),
         ) for c in found])))
         return out.withColumn("route_id", F.coalesce(best.route_id, default)).drop(*[f"_list{i}" for i in range(4)])
     keys = messages.withColumn("_g", F.explode(F.array("group_id", F.lit(ANY_GROUP)))).withColumn(
@@ -57,7 +57,7 @@ def match_routes(messages: DataFrame, routes: DataFrame, max_inline: int = MAX_I
         F.col("group_id").alias("_g"), F.col("alpha_header").alias("_h"), "_rank",
         F.col("destination_pattern").alias("_p"))
     matched = keys.join(side, ["_g", "_h"]).where(
-        F.col("_p").isNull() | F.col("destination").rlike(_anchored(F.col("_p"))))
+        F.col("_p").isNull() | F.regexp_like(F.col("destination"), _anchored(F.col("_p"))))
     best = matched.groupBy("message_id").agg(F.min("_rank").alias("_best"))
     return messages.join(best, "message_id", "left").withColumn(
         "route_id", F.coalesce(F.col("_best.route_id"), default)).drop("_best")

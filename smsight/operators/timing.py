@@ -259,49 +259,58 @@ def predict_rate(requests: DataFrame, matrix: DataFrame, nlp_type: str = "nlp_ty
 
 # --- forecast of a campaign ---------------------------------------------------------------------
 
-def window_bound(window: Column, i: int) -> Column:
-    default = V.WINDOW_HOURS["ALL_DAY"][i]
-    return scoring.lookup(window, {w: b[i] for w, b in V.WINDOW_HOURS.items()}, default)
-
-
-def active_hour_counts(window: Column, start: Column, end: Column) -> Column:
-    """How often each hour of the day (0..23) is active between ``start`` and ``end``.
+def with_window_rates(df: DataFrame, start: str = "start", end: str = "end", scores: str = "scores") -> DataFrame:
+    """Per sending window: ``_n_<window>`` active hours, ``_rate_<window>`` and ``_peak_<window>``.
 
     Counts days instead of listing hours.  The first active hour is ``start`` rounded up and
     moved into the window; the published walk visits at most 720 steps, where going to the
-    next day costs one, so an hour's last day follows from both the end and the step limit.
+    next day costs one, so the last day of each hour follows from both the end and the step
+    limit.  Without an active hour the whole window is averaged.
     """
-    first, last = window_bound(window, 0), window_bound(window, 1)
-    length = last - first + 1
-    jump = F.when(length == 24, 0).otherwise(1)
-    floor_hour = F.to_date(start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(start))
-    begin = F.when(start > floor_hour, floor_hour + F.expr("INTERVAL 1 HOUR")).otherwise(floor_hour)
-    late = F.hour(begin) > last
-    day0 = F.date_add(F.to_date(begin), F.when(late, 1).otherwise(0))
-    hour0 = F.when(late, first).otherwise(F.greatest(F.hour(begin), first))
-    spent = F.when(late, 1).otherwise(0)
-    days = F.datediff(F.to_date(end), day0)
-
-    def count(h: Column) -> Column:
-        from_day = F.when(h >= hour0, 0).otherwise(1)
-        by_end = days - F.when(h <= F.hour(end), 0).otherwise(1)
-        by_steps = F.floor((F.lit(V.ACTIVE_HOURS_STEPS - 1) - spent - (h - hour0)) / (length + jump)).cast("int")
-        n = F.least(by_end, by_steps) - from_day + 1
-        return F.when(h.between(first, last), F.greatest(n, F.lit(0))).otherwise(0)
-
-    return F.array(*[count(F.lit(h)) for h in range(24)])
-
-
-def window_rate(scores: Column, window: Column, start: Column, end: Column) -> Column:
-    """Rate of the mean score over the active hours (over the whole window if none is active)."""
-    counts = active_hour_counts(window, start, end)
-    static = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when(
-        h.between(window_bound(window, 0), window_bound(window, 1)), 1).otherwise(0))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    weighted = lambda a: F.aggregate(
-        F.zip_with(a, scores, lambda n, s: n * s), F.lit(0.0), lambda x, y: x + y)
-    mean = lambda a: weighted(a) / total(a).cast("double")
-    return scoring.score_to_rate(F.when(total(counts) > 0, mean(counts)).otherwise(mean(static)))
+    first_full = F.to_date(start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(start))
+    df = df.withColumn("_floor", first_full).withColumn("_begin", F.when(
+        F.col(start) > F.col("_floor"), F.col("_floor") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("_floor")))
+    df = df.withColumns({"_h": F.hour("_begin"), "_day": F.to_date("_begin"), "_eh": F.hour(end), "_eday": F.to_date(end)})
+    stages: list[dict[str, Column]] = [{}, {}, {}, {}]
+    for name, (lo, hi) in V.WINDOW_HOURS.items():
+        length = hi - lo + 1
+        step = length + (0 if length == 24 else 1)
+        late, days, from_hour, left = (f"_{k}_{name}" for k in ("late", "days", "from", "left"))
+        stages[0] |= {
+            late: (F.col("_h") > hi).cast("int"),
+            from_hour: F.when(F.col("_h") > hi, lo).otherwise(F.greatest(F.col("_h"), F.lit(lo))),
+        }
+        stages[1] |= {
+            days: F.datediff("_eday", "_day") - F.col(late),
+            left: F.lit(V.ACTIVE_HOURS_STEPS - 1) - F.col(late) + F.col(from_hour),
+        }
+
+        def count(h: Column) -> Column:
+            last_day = F.least(
+                F.col(days) - (h > F.col("_eh")).cast("int"), F.floor((F.col(left) - h) / F.lit(step)).cast("int"))
+            return F.greatest(last_day - (h < F.col(from_hour)).cast("int") + 1, F.lit(0))
+
+        counts, part = f"_c_{name}", F.slice(F.col(scores), lo + 1, length)
+        stages[2] |= {
+            counts: F.transform(F.sequence(F.lit(lo), F.lit(hi)), count),
+            f"_s_{name}": part,
+        }
+        whole = F.aggregate(f"_s_{name}", F.lit(0.0), lambda x, y: x + y) / F.lit(float(length))
+        weighted = F.aggregate(
+            F.zip_with(counts, f"_s_{name}", lambda n, s: n * s), F.lit(0.0), lambda x, y: x + y)
+        total = F.aggregate(counts, F.lit(0), lambda x, y: x + y)
+        stages[3] |= {
+            f"_n_{name}": total,
+            f"_mean_{name}": F.coalesce(F.try_divide(weighted, total.cast("double")), whole),
+            f"_peak_{name}": (F.array_position(f"_s_{name}", F.array_max(f"_s_{name}")) + (lo - 1)).cast("int"),
+        }
+    for stage in stages:
+        df = df.withColumns(stage)
+    # nine digits, so that the order of summation cannot decide between equal windows
+    df = df.withColumns({f"_rate_{w}": F.round(scoring.score_to_rate(F.col(f"_mean_{w}")), 9) for w in V.WINDOW_HOURS})
+    helpers = ["_floor", "_begin", "_h", "_day", "_eh", "_eday"]
+    helpers += [f"_{k}_{w}" for k in ("late", "days", "from", "left", "c", "s", "mean") for w in V.WINDOW_HOURS]
+    return df.drop(*helpers)
 
 
 def with_reference_curve(df: DataFrame, nlp_type: str, fallback_score: Column | None = None) -> DataFrame:
@@ -311,42 +320,35 @@ def with_reference_curve(df: DataFrame, nlp_type: str, fallback_score: Column |
         F.col(nlp_type), {t: _literals(curve) for t, curve in V.REFERENCE_CURVES.items()}, flat))
 
 
-def top_windows(scores: Column, start: Column, end: Column, keep: int = 2) -> Column:
-    """The best sending windows as structs ``(window, rate, peak_hour)``; ties keep their order."""
-    hours = F.sequence(F.lit(0), F.lit(23))
-
-    def entry(order: int, name: str) -> Column:
-        lo, hi = V.WINDOW_HOURS[name]
-        inside = F.slice(F.zip_with(hours, scores, lambda h, s: F.struct(s.alias("s"), (-h).alias("h"))), lo + 1, hi - lo + 1)
-        return F.struct(
-            (-window_rate(scores, F.lit(name), start, end)).alias("_neg"), F.lit(order).alias("_order"),
-            F.lit(name).alias("window"), (-F.array_max(inside).h).alias("peak_hour"))
-
-    ranked = F.array_sort(F.array(*[entry(i, w) for i, w in enumerate(["BUSINESS_HOURS", "EVENING", "ALL_DAY"])]))
-    return F.transform(F.slice(ranked, 1, keep), lambda e: F.struct(
-        e.window.alias("window"), (-e._neg).alias("rate"), e.peak_hour.alias("peak_hour")))
-
-
-def forecast_engagement(requests: DataFrame, nlp_type: str = "nlp_type", window: str = "sending_window") -> DataFrame:
-    """Expected rate of the chosen window and start hour, the two best windows, and advice.
+def forecast_engagement(requests: DataFrame, window: str = "sending_window", keep: int = 2) -> DataFrame:
+    """Expected rate of the chosen window and start hour, the best windows, and advice.
 
     Needs ``start``, ``end``, ``scores`` (24 hour scores) and optionally ``best_hour`` /
     ``best_window`` from the timing answer.  An end before the start becomes start + 24 h.
+    Everything is computed inside the row: no shuffle.
     """
     for missing, kind in (("best_hour", "int"), ("best_window", "string")):
         if missing not in requests.columns:
             requests = requests.withColumn(missing, F.lit(None).cast(kind))
-    start, chosen = F.col("start"), F.col("_window")
-    df = requests.withColumn("_window", F.when(
-        F.col(window).isNull() | (F.col(window) == ""), F.lit("ALL_DAY")).otherwise(F.col(window)))
-    df = df.withColumn("end", F.when(F.col("end") < start, start + F.expr("INTERVAL 24 HOURS")).otherwise(F.col("end")))
+    start, windows = F.col("start"), list(V.WINDOW_HOURS)
+    df = requests.withColumns({
+        "_window": F.when(F.col(window).isin(windows), F.col(window)).otherwise("ALL_DAY"),
+        "end": F.when(F.col("end") < start, start + F.expr("INTERVAL 24 HOURS")).otherwise(F.col("end")),
+    })
+    df = with_window_rates(df)
+    chosen = lambda kind: scoring.lookup(F.col("_window"), {w: F.col(f"_{kind}_{w}") for w in windows})
+    # equal rates keep the order of WINDOW_HOURS
+    entries = F.array(*[F.struct(
+        (-F.col(f"_rate_{w}")).alias("loss"), F.lit(i).alias("order"), F.lit(w).alias("window"),
+        F.col(f"_peak_{w}").alias("peak_hour")) for i, w in enumerate(windows)])
     df = df.withColumns({
-        "engagement_rate": window_rate(F.col("scores"), chosen, start, F.col("end")),
+        "engagement_rate": chosen("rate"), "active_hours": chosen("n"),
         "chosen_hour_rate": scoring.score_to_rate(F.element_at("scores", F.hour(start) + 1)),
-        "active_hours": F.aggregate(active_hour_counts(chosen, start, F.col("end")), F.lit(0), lambda x, y: x + y),
-        "top_windows": top_windows(F.col("scores"), start, F.col("end")),
+        "top_windows": F.transform(F.slice(F.array_sort(entries), 1, keep), lambda e: F.struct(
+            e["window"].alias("window"), (-e["loss"]).alias("rate"), e["peak_hour"].alias("peak_hour"))),
     })
-    return df.withColumn("recommendation", recommendation()).drop("_window")
+    helpers = [f"_{kind}_{w}" for kind in ("n", "rate", "peak") for w in windows]
+    return df.withColumn("recommendation", recommendation()).drop("_window", *helpers)
 
 
 def recommendation() -> Column:

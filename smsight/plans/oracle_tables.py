@@ -336,12 +336,17 @@ TABLES["prefixes"] = "SELECT DISTINCT lang, current_word AS prefix FROM contexts
 TABLES["exact_hits"] = """
 SELECT p.lang, p.prefix, word, freq, row_number() OVER (PARTITION BY p.lang, p.prefix ORDER BY freq DESC, word) AS rank
 FROM prefixes p JOIN lexicon l ON l.lang = p.lang AND starts_with(l.word, p.prefix) QUALIFY rank <= 10"""
-TABLES["fuzzy_hits"] = """
-SELECT p.lang, p.prefix, word, freq, dist,
-  row_number() OVER (PARTITION BY p.lang, p.prefix ORDER BY dist, freq DESC, word) AS rank
-FROM (SELECT p.lang, p.prefix, word, freq, levenshtein(p.prefix, substring(l.word, 1, length(p.prefix) + 1)) AS dist
-  FROM (SELECT * FROM prefixes ANTI JOIN exact_hits USING (lang, prefix)) p
-  JOIN lexicon l ON l.lang = p.lang AND abs(length(l.word) - length(p.prefix)) <= 3) p
+# the built-in distance counts bytes, so it only preselects; one edit is then tested by characters
+_CUT = lambda c: f"substring({c}, 1, i - 1) || substring({c}, i + 1)"
+TABLES["fuzzy_hits"] = f"""
+SELECT lang, prefix, word, freq, dist, row_number() OVER (PARTITION BY lang, prefix ORDER BY dist, freq DESC, word) AS rank
+FROM (SELECT *, CASE WHEN prefix = head THEN 0
+    WHEN len(list_filter(range(1, greatest(length(prefix), length(head)) + 1), lambda i:
+      (length(prefix) = length(head) AND {_CUT('prefix')} = {_CUT('head')}) OR {_CUT('prefix')} = head OR {_CUT('head')} = prefix)) > 0 THEN 1 ELSE 2 END AS dist
+  FROM (SELECT p.lang, p.prefix, l.word, l.freq, substring(l.word, 1, length(p.prefix) + 1) AS head
+    FROM (SELECT * FROM prefixes ANTI JOIN exact_hits USING (lang, prefix)) p
+    JOIN lexicon l ON l.lang = p.lang AND abs(length(l.word) - length(p.prefix)) <= 3)
+  WHERE levenshtein(prefix, head) <= 4)
 WHERE dist <= 1 QUALIFY rank <= 10"""
 TABLES["feedback_boosts"] = f"""
 SELECT selected_word AS word, sum(exp(-0.01::DOUBLE * (epoch_us(TIMESTAMP '{X.NOW}') - epoch_us(created_at)) / 86400000000.0)) AS boost,
@@ -381,7 +386,7 @@ SELECT p.*, greatest(lo, peak - radius) AS s, least(hi, peak + radius) AS e FROM
   SELECT p.nlp_type, lo, hi, flo, fhi, peak, norm_peak, flat_peak,
     greatest(peak - min(send_hour), max(send_hour) - peak) AS radius
   FROM peaks p JOIN curve c ON c.nlp_type = p.nlp_type AND c.send_hour BETWEEN lo AND hi AND c.hybrid >= peak_value * 0.95
-  GROUP BY ALL) p"""
+  GROUP BY p.nlp_type, lo, hi, flo, fhi, peak, norm_peak, flat_peak) p"""
 TABLES["windows"] = """
 SELECT w.nlp_type, CAST(best_hour AS INTEGER) AS best_hour, CAST(window_start AS INTEGER) AS window_start,
   CAST(window_end AS INTEGER) AS window_end, method, norm_peak, c.hybrid AS hybrid_score_peak

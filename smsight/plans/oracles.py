@@ -197,7 +197,7 @@ FROM (SELECT s.sms_id, s.send_hour, s.nlp_type, w.nlp_type IS NOT NULL AS found,
   LEFT JOIN (SELECT * FROM windows WHERE list_contains({strings(V.SCENARIO_TYPES)}, nlp_type)) w ON w.nlp_type = s.nlp_type)"""
 _BASE = case("nlp_type", V.BASE_RATES, "16.0")
 SQL["rate_engine"] = f"""
-SELECT campaign_id, nlp_type, round_even(base * (score / 100.0::DOUBLE), 1) AS predicted_engagement_rate, best_hour,
+SELECT campaign_id, nlp_type, printf('%.1f', base * (score / 100.0::DOUBLE))::DOUBLE AS predicted_engagement_rate, best_hour,
   CASE WHEN best_hour <= 11 THEN 'Matin' WHEN best_hour >= 17 THEN 'Soir' ELSE 'Après-midi' END AS best_window, score AS chosen_hour_score
 FROM (SELECT campaign_id, c.nlp_type, ({_BASE.replace('nlp_type', 'c.nlp_type')})::DOUBLE AS base,
   CAST(coalesce(p.peak_hour, CASE WHEN c.nlp_type IN ('OTP', 'Transaction', 'Alerte') THEN 10 ELSE 19 END) AS INTEGER) AS best_hour,
@@ -225,7 +225,7 @@ _ACTIVE = f"""
     WHERE hour(h) BETWEEN lo AND hi),
   act AS (SELECT campaign_id, w, hh, count(*) AS n FROM walked WHERE pos + jumps <= 720 GROUP BY ALL),
   rated AS (SELECT r.campaign_id, d.w, d.ord, d.lo, d.hi, coalesce(max(n_act), 0) AS n_act,
-      least(95.0::DOUBLE, greatest(30.0::DOUBLE, 30.0::DOUBLE + (coalesce(max(mean_act), list_avg(any_value(scores)[d.lo + 1 : d.hi + 1])) - 0.5::DOUBLE) / 0.8::DOUBLE * 65.0::DOUBLE)) AS rate
+      round(least(95.0::DOUBLE, greatest(30.0::DOUBLE, 30.0::DOUBLE + (coalesce(max(mean_act), list_avg(any_value(scores)[d.lo + 1 : d.hi + 1])) - 0.5::DOUBLE) / 0.8::DOUBLE * 65.0::DOUBLE)), 9) AS rate
     FROM requests r CROSS JOIN defs d
     LEFT JOIN (SELECT a.campaign_id, a.w, sum(n) AS n_act, sum(n * scores[hh + 1]) / sum(n) AS mean_act
       FROM act a JOIN requests q ON q.campaign_id = a.campaign_id GROUP BY ALL) m ON m.campaign_id = r.campaign_id AND m.w = d.w
@@ -245,10 +245,10 @@ def _with_active(sql: str) -> str:
 
 FULL: dict[str, str] = {}
 FULL["top_windows"] = _with_active(
-    "SELECT campaign_id, CAST(rank AS INTEGER) AS rank, w AS window, round(rate, 6) AS rate, peak_hour FROM tops WHERE rank <= 2")
+    "SELECT campaign_id, CAST(rank AS INTEGER) AS rank, w AS window, rate, peak_hour FROM tops WHERE rank <= 2")
 _WLABEL = lambda w: case(w, V.WINDOW_LABELS)
 FULL["engagement_forecast"] = _with_active(f"""
-SELECT campaign_id, nlp_type, CAST(n_act AS INTEGER) AS active_hours, round(rate, 6) AS engagement_rate, round(hrate, 6) AS chosen_hour_rate,
+SELECT campaign_id, nlp_type, CAST(n_act AS INTEGER) AS active_hours, rate AS engagement_rate, round(hrate, 9) AS chosen_hour_rate,
   CASE WHEN rate >= 75 THEN 'Excellent potentiel d''engagement ! ' WHEN rate >= 60 THEN 'Bon potentiel d''engagement. '
     WHEN rate >= 45 THEN 'Potentiel d''engagement modere. ' ELSE 'Potentiel d''engagement faible. ' END
   || 'Taux moyen sur ' || n_act || ' creneaux actifs (' || {_WLABEL('w')} || ') : ' || printf('%.1f', round(rate, 1)) || '%. '
@@ -404,11 +404,11 @@ FROM (
     FROM (SELECT lang, toks, unnest(range(1, len(toks))) AS i FROM (SELECT {language('text')} AS lang, {tokens('text')} AS toks FROM conversations))) t
   LEFT JOIN (SELECT DISTINCT lang, w1, w2 FROM trigrams) h3 ON h3.lang = t.lang AND h3.w1 = t.p2 AND h3.w2 = t.p1
   LEFT JOIN (SELECT DISTINCT lang, w1 FROM bi_ranked) h2 ON h2.lang = t.lang AND h2.w1 = t.p1
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang, w1, w2 ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS k5 FROM tri_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY k5 <= 5) r3
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang, w1, w2 ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS top3 FROM tri_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY top3 <= 5) r3
     ON h3.lang IS NOT NULL AND r3.lang = t.lang AND r3.w1 = t.p2 AND r3.w2 = t.p1 AND r3.word = t.truth
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang, w1 ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS k5 FROM bi_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY k5 <= 5) r2
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang, w1 ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS top2 FROM bi_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY top2 <= 5) r2
     ON h3.lang IS NULL AND r2.lang = t.lang AND r2.w1 = t.p1 AND r2.word = t.truth
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS k5 FROM uni_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY k5 <= 5) r1
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(0.6::DOUBLE * prob, 9) DESC, word) AS top1 FROM uni_ranked WHERE round(0.6::DOUBLE * prob, 9) >= 0.001 QUALIFY top1 <= 5) r1
     ON h3.lang IS NULL AND h2.lang IS NULL AND r1.lang = t.lang AND r1.word = t.truth)"""
 
 # --- bandit -------------------------------------------------------------------------------------------------------------------
@@ -490,6 +490,19 @@ SELECT nlp_type_reel, max(total) AS n_rows, round(coalesce(min(threshold) FILTER
 SQL["stratified_folds"] = """
 SELECT sms_id, engaged, CAST((row_number() OVER (PARTITION BY engaged ORDER BY md5(CAST(sms_id AS VARCHAR) || ':42'), sms_id) - 1) % 5 AS INTEGER) AS fold FROM sms_log"""
 
+# --- streams: the same answers as the batch versions ----------------------------------------------------------------------------
+SQL["stream_feedback"] = SQL["decision_feedback"]
+SQL["stream_clicks"] = "SELECT DISTINCT event_id - event_id % 3 AS sms_id FROM events WHERE event_type IN ('click', 'purchase')"
+SQL["stream_bandit"] = SQL["bandit_replay"]
+SQL["stream_drift"] = f"""
+SELECT context_key, n, round(coalesce(recent_rate, -1), 6) AS recent_rate, round(coalesce(older_rate, -1), 6) AS older_rate, {_HIT} AS drift FROM (
+  SELECT campaign_type || '_' || operateur AS context_key, count(*) AS n,
+    avg(CAST(engaged AS INTEGER)) FILTER (WHERE decided_at >= TIMESTAMP '{X.NOW}' - INTERVAL 7 DAYS) AS recent_rate,
+    avg(CAST(engaged AS INTEGER)) FILTER (WHERE decided_at < TIMESTAMP '{X.NOW}' - INTERVAL 7 DAYS) AS older_rate
+  FROM decisions WHERE engaged IS NOT NULL AND decided_at >= TIMESTAMP '{X.NOW}' - INTERVAL 30 DAYS AND decided_at < TIMESTAMP '{X.NOW}' GROUP BY 1)"""
+SQL["stream_volume"] = "SELECT msisdn, strftime(send_datetime, '%Y-%m-%d') AS day, count(*) AS n FROM sms_log GROUP BY 1, 2"
+SQL["stream_selections"] = SQL["apply_feedback"]
+
 
 def all_sql() -> dict[str, str]:
     return {name: with_tables(sql) for name, sql in SQL.items()} | FULL

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from smsight.functions import calendar as C, scoring, text as T, vocab as V
 from smsight.operators import (
     bandit, campaigns as K, classify, contacts as P, encoding as E, evaluation as Q, ranks, recommender as R,
-    routing, timing as M,
+    learning as L, routing, timing as M,
 )
 from smsight.plans import fixtures as X
+from smsight.session import scratch_path
+from smsight.sources import tables
+from smsight.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -296,16 +299,16 @@ def engagement_forecast(spark, d):
     # one row per message type
     asked = _forecast_requests(spark, d).withColumn("_t", scoring.canonical_label(F.col("nlp_type"))).join(F.broadcast(windows), "_t", "left")
     out = M.forecast_engagement(asked)
-    return rounded(out, "engagement_rate", "chosen_hour_rate").select(
+    return rounded(out, "engagement_rate", "chosen_hour_rate", digits=9).select(
         "campaign_id", "nlp_type", "active_hours", "engagement_rate", "chosen_hour_rate", "recommendation")
 
 
 @query
 def top_windows(spark, d):
     out = M.forecast_engagement(_forecast_requests(spark, d))
-    return out.select("campaign_id", F.posexplode("top_windows").alias("pos", "w")).select(
+    return out.select("campaign_id", F.posexplode_outer("top_windows").alias("pos", "w")).select(
         "campaign_id", (F.col("pos") + 1).alias("rank"), F.col("w.window").alias("window"),
-        F.round("w.rate", 6).alias("rate"), F.col("w.peak_hour").alias("peak_hour"))
+        F.round("w.rate", 9).alias("rate"), F.col("w.peak_hour").alias("peak_hour"))
 
 
 @query
@@ -476,8 +479,10 @@ def _docs(spark, d) -> DataFrame:
 
 
 def _model(spark, d) -> R.NgramModel:
+    """Names and counted positions are written once; every count table derives from them."""
     docs = _docs(spark, d)
-    return R.count_ngrams(docs, R.named_entities(docs))
+    names = tables.written(R.named_entities(docs), "names")
+    return R.ngram_model(tables.written(R.count_ngrams(docs, names).positions, "positions"))
 
 
 @query
@@ -706,3 +711,117 @@ def adaptive_thresholds(spark, d):
 def stratified_folds(spark, d):
     out = ranks.stratified_folds(X.sms_log(spark, d), "engaged", "sms_id", 5)
     return out.select("sms_id", "engaged", "fold")
+
+
+# --- streams over the given files (processed as they are found, then read back) -----------------------------------------------
+
+def _event_stream(spark, d) -> DataFrame:
+    schema = X.table(spark, d, "events").schema
+    events = jobs.read_stream(spark, f"{d}/events.parquet*", schema)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_feedback(spark, d):
+    e = _event_stream(spark, d)
+    feedback = e.select(
+        F.col("event_id").alias("feedback_id"),
+        F.when(F.col("event_id") % 7 == 0, -F.col("event_id") - 1)
+        .otherwise(F.col("event_id") - F.col("event_id") % 3).alias("sms_id"))
+    out = jobs.run_available(jobs.feedback_status(feedback, X.decisions(spark, d)), name="feedback")
+    return out.select("feedback_id", "sms_id", "status", F.coalesce("context_key", F.lit("")).alias("context_key"))
+
+
+@query
+def stream_clicks(spark, d):
+    e = _event_stream(spark, d).where(F.col("event_type").isin("click", "purchase"))
+    clicks = e.select((F.col("event_id") - F.col("event_id") % 3).alias("sms_id"), F.col("ts").alias("received_at"))
+    return jobs.run_available(jobs.first_clicks(clicks, "40 days"), name="clicks").select("sms_id")
+
+
+@query
+def stream_bandit(spark, d):
+    e = _event_stream(spark, d)
+    k = F.get_json_object("props", "$.k").cast("int")
+    feedback = e.where(k % 10 != 0).select(
+        scoring.context_key(X.pick(V.CAMPAIGN_TYPES, F.col("event_id")), X.pick(list(V.OPERATORS), F.col("event_id")),
+                            X.pick(V.MESSAGE_TYPES, k), F.weekday("ts")).alias("context_key"),
+        F.greatest(F.lit(7), F.hour("ts")).alias("hour"), F.col("ts").alias("at"), F.col("event_id").alias("id"),
+        F.col("event_type").isin("click", "purchase").alias("engaged"))
+    state = scratch_path(spark, "bandit")
+    jobs.start_bandit_updates(feedback, state, scratch_path(spark, "bandit-state"), every=None).awaitTermination()
+    return rounded(tables.load_bandit_state(spark, state), "alpha", "beta")
+
+
+@query
+def stream_drift(spark, d):
+    e = _event_stream(spark, d)
+    k = F.get_json_object("props", "$.k").cast("int")
+    decisions = e.select(
+        F.concat_ws("_", X.pick(V.CAMPAIGN_TYPES, F.col("event_id")), X.pick(list(V.OPERATORS), F.col("event_id"))).alias("context_key"),
+        F.col("ts").alias("decided_at"), F.when(k % 10 != 0, F.col("event_type").isin("click", "purchase")).alias("engaged"))
+    days = jobs.run_available(jobs.daily_rates(decisions, "1 day", "1 day"), mode="complete", name="drift")
+    out = jobs.drift_from_days(days, F.lit(X.NOW).cast("timestamp"))
+    return rounded(out.na.fill(-1.0, ["recent_rate", "older_rate"]), "recent_rate", "older_rate")
+
+
+@query
+def stream_volume(spark, d):
+    e = _event_stream(spark, d)
+    messages = e.select(F.concat(F.lit("+216"), (F.lit(20000000) + F.col("user_id")).cast("string")).alias("msisdn"), F.col("ts").alias("send_datetime"))
+    out = jobs.run_available(jobs.recent_volume(messages, "24 hours", "24 hours"), mode="complete", name="volume")
+    return out.select("msisdn", F.date_format("span.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query
+def stream_selections(spark, d):
+    schema = X.table(spark, d, "conversations").schema
+    c = jobs.read_stream(spark, f"{d}/conversations.parquet*", schema)
+    feedback = c.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"),
+        F.col("text").alias("partial_text"), F.try_element_at(T.tokenize("text"), F.lit(-1)).alias("selected_word"),
+        (F.lit(X.FEEDBACK_START).cast("timestamp") + F.make_dt_interval(hours=(F.col("conv_id") % 100 + F.col("turn")).cast("int"))).alias("created_at"),
+    ).where(F.col("selected_word").isNotNull())
+    out = jobs.run_available(jobs.selection_counts(feedback), mode="complete", name="selections")
+    return jobs.merge_selections(R.lexicon(_docs(spark, d)), out)
+
+
+# --- learned models (rows only: the fits are not SQL) ------------------------------------------------------------------------------
+
+def _split(spark, d) -> tuple[DataFrame, DataFrame]:
+    """80/20 by stratified fold, with the fitted encodings; written once because fits iterate."""
+    rows = ranks.stratified_folds(L.row_features(X.sms_log(spark, d)), "engaged", "sms_id", 5)
+    rows = tables.written(rows, "features")
+    train, test = L.fitted_features(rows.where(F.col("fold") != 0).drop("fold"), rows.where(F.col("fold") == 0).drop("fold"))
+    return tables.written(train, "train"), tables.written(test, "test")
+
+
+@query
+def engagement_model(spark, d):
+    train, test = _split(spark, d)
+    model = L.train_engagement_model(train, test, L.ALL_FEATURES, L.members(iterations=5))
+    scored = model.score(L.assembled(test, L.ALL_FEATURES))
+    return Q.threshold_metrics(scored, [0.3, 0.4, 0.5])
+
+
+@query
+def feature_importance(spark, d):
+    train, test = _split(spark, d)
+    trees = {k: v for k, v in L.members(iterations=5).items() if k != "logistic"}
+    return L.feature_importance(spark, L.train_engagement_model(train, test, L.ALL_FEATURES, trees, calibrated=False), top=20)
+
+
+@query
+def balanced_training_rows(spark, d):
+    s = X.sms_log(spark, d)
+    return L.smote(s, ["send_hour", "message_lenth", "nlp_text_mult", "score"]).groupBy("engaged", "synthetic").agg(F.count("*").alias("n"))
+
+
+@query
+def message_model(spark, d):
+    m = classify.classify_messages(X.messages(spark, d))
+    m = ranks.stratified_folds(tables.written(L.message_features(m), "messages"), "nlp_type", "message_id", 5)
+    m = tables.written(m, "message-folds")
+    _, quality = L.train_message_classifier(
+        m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type", buckets=1 << 11, iterations=5)
+    return spark.createDataFrame([(k, float(v)) for k, v in quality.items()], "metric string, value double")
