@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from smsight.functions import calendar as C, text as T, vocab as V
 from smsight.operators import encoding as E
 from smsight.operators.ranks import stratified_folds
+from smsight.sources.tables import written
 
 CALENDAR_FEATURES = [
     "send_hour", "send_month", "is_monday", "is_friday", "is_weekend", "is_mid_week", "is_morning", "is_afternoon",
@@ -220,7 +221,8 @@ def train_engagement_model(
     train: DataFrame, test: DataFrame, features: list[str], estimators: dict | None = None, calibrated: bool = True,
 ) -> EngagementModel:
     """Fit and calibrate the members; each weighs as much as its AUC on ``test``."""
-    prepared = stratified_folds(assembled(class_weight(train), features), LABEL, "sms_id", 3)
+    # fits iterate, so what they read is written once
+    prepared = written(stratified_folds(assembled(class_weight(train), features), LABEL, "sms_id", 3), "prepared")
     held = assembled(test, features)
     models, calibrations, weights = {}, {}, {}
     for name, estimator in (estimators or members()).items():
@@ -234,7 +236,7 @@ def train_engagement_model(
 
 def cross_validate(df: DataFrame, features: list[str], estimator, folds: int = 5) -> list[float]:
     """AUC per stratified fold."""
-    prepared = stratified_folds(assembled(class_weight(df), features), LABEL, "sms_id", folds)
+    prepared = written(stratified_folds(assembled(class_weight(df), features), LABEL, "sms_id", folds), "prepared")
     out = []
     for fold in range(folds):
         model = estimator.fit(prepared.where(F.col("fold") != fold))
@@ -307,8 +309,10 @@ def feature_importance(spark, model: EngagementModel, top: int | None = None) ->
 # --- message classifier ---------------------------------------------------------------------------------
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+    chars = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
+    last = F.greatest(F.size(chars) - (n - 1), F.lit(1))
+    # from an array of characters, since a substring would walk the text from its start each time
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws("", F.slice(chars, i, n)))
 
 
 def message_features(df: DataFrame, message: str = "message") -> DataFrame:
@@ -326,7 +330,7 @@ def message_pipeline(label: str, buckets: int = 1 << 13, char_weight: float = 1.
         HashingTF(inputCol="_chars", outputCol="_char_tf", numFeatures=buckets), IDF(inputCol="_char_tf", outputCol="_char_idf"),
         ElementwiseProduct(scalingVec=Vectors.dense([char_weight] * buckets), inputCol="_char_idf", outputCol="_char"),
         VectorAssembler(inputCols=["_word", "_char", *T.MANUAL_FEATURES], outputCol="features"),
-        OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01), labelCol="_label", featuresCol="features"),
+        OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01), labelCol="_label", featuresCol="features", parallelism=4),
     ])
 
 

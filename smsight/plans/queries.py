@@ -799,7 +799,7 @@ def _split(spark, d) -> tuple[DataFrame, DataFrame]:
 @query
 def engagement_model(spark, d):
     train, test = _split(spark, d)
-    model = L.train_engagement_model(train, test, L.ALL_FEATURES, L.members(iterations=5))
+    model = L.train_engagement_model(train, test, L.ALL_FEATURES, L.members(iterations=3))
     scored = model.score(L.assembled(test, L.ALL_FEATURES))
     return Q.threshold_metrics(scored, [0.3, 0.4, 0.5])
 
@@ -820,8 +820,8 @@ def balanced_training_rows(spark, d):
 @query
 def message_model(spark, d):
     m = classify.classify_messages(X.messages(spark, d))
-    m = ranks.stratified_folds(tables.written(L.message_features(m), "messages"), "nlp_type", "message_id", 5)
-    m = tables.written(m, "message-folds")
+    folds = ranks.stratified_folds(m, "nlp_type", "message_id", 5)
+    m = tables.written(L.message_features(folds), "messages")
     _, quality = L.train_message_classifier(
-        m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type", buckets=1 << 11, iterations=5)
+        m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type", buckets=1 << 10, iterations=3)
     return spark.createDataFrame([(k, float(v)) for k, v in quality.items()], "metric string, value double")
