@@ -6,7 +6,7 @@ out: a letter, a number or an underscore.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 WORD_CHARS = r"\p{L}\p{N}_"
 SPACE_CHARS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
@@ -27,26 +27,39 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in _SPECIAL else c for c in text)
 
 
-def one_of(words: Iterable[str]) -> str:
-    """Alternation of literal words, grouped by first letter.
+def starts_word(first: str) -> str:
+    """No word character before ``first``, which has just been matched."""
+    return f"(?<!{WORD}{first})"
+
+
+def _branches(words: Iterable[str], after_first: Callable[[str], str] | None = None) -> tuple[str, str]:
+    """First letters, and an alternation grouped by them.
 
-    A flat alternation tries every word at every word start; grouping leaves one test per
-    distinct first letter.  Within a letter the given order stays, so the word that wins is
-    the same.
+    A flat alternation tries every word at every position.  Grouping leaves one test per
+    distinct first letter, and the class of first letters rejects most positions at once.
+    ``after_first`` makes a check that runs behind the first letter.  Within a letter the given
+    order stays, so the word that wins is the same.
     """
     by_first: dict[str, list[str]] = {}
     for word in words:
-        by_first.setdefault(word[0], []).append(literal(word[1:]))
-    branches = (
-        literal(first) + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})")
-        for first, rest in by_first.items()
-    )
-    return f"(?:{'|'.join(branches)})"
+        by_first.setdefault(word[0], []).append(word[1:])
+    options = []
+    for first, rest in by_first.items():
+        tail = rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})"
+        options.append(literal(first) + (after_first(literal(first)) if after_first else "") + tail)
+    return f"[{''.join(literal(c) for c in by_first)}]", f"(?:{'|'.join(options)})"
+
+
+def one_of(words: Iterable[str]) -> str:
+    """Any of the literal words."""
+    first, options = _branches(w[0] + literal(w[1:]) for w in words)
+    return f"(?={first}){options}"
 
 
 def whole_word(words: Iterable[str]) -> str:
     """Any of ``words`` standing alone (each begins and ends with a word character)."""
-    return WORD_START + one_of(words) + WORD_END
+    first, options = _branches((w[0] + literal(w[1:]) for w in words), starts_word)
+    return f"(?={first}){options}{WORD_END}"
 
 
 def spaced_word(words: Iterable[str]) -> str:
@@ -72,8 +85,22 @@ def phrase(text: str) -> str:
 
 
 def any_phrase(phrases: Iterable[str]) -> str:
-    """Any phrase between word boundaries."""
-    return f"{BOUNDARY}(?:{'|'.join(phrase(p) for p in phrases)}){BOUNDARY}"
+    """Any phrase between word boundaries.
+
+    Where a phrase begins or ends with punctuation, the boundary needs a word character on the
+    other side.
+    """
+    begins, signs = [], []
+    for p in phrases:
+        last = p[-1]
+        pattern = phrase(p) + (WORD_END if last.isalnum() or last in "_}" else f"(?={WORD})")
+        if p[0].isalnum():
+            begins.append(pattern)
+        else:
+            signs.append(f"(?<={WORD}){pattern}")
+    first, options = _branches(begins, starts_word)
+    words = f"(?={first}){options}"
+    return words if not signs else f"(?:{words}|{'|'.join(signs)})"
 
 
 def python_like(pattern: str) -> str:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from smsight.functions import vocab as V
 from smsight.functions.regex import (
-    ARABIC, ARABIC_CHARS, NOT_SPACE, SPACE, SPACE_CHARS, WORD_CHARS, WORD_END, WORD_START, literal,
-    python_like, spaced_word, whole_word,
+    ARABIC, ARABIC_CHARS, NOT_SPACE, SPACE, WORD_CHARS, literal, python_like, spaced_word, whole_word,
 )
 
 URL_PATTERN = "|".join(
@@ -16,39 +15,44 @@ URL_PATTERN = "|".join(
     + [rf"{literal(host)}/{NOT_SPACE}+" for host in V.SHORT_LINK_HOSTS]
 )
 MONEY_PATTERN = r"\p{Nd}+[.,]?\p{Nd}*" + SPACE + "*" + V.MONEY_UNITS
-CODE_PATTERN = WORD_START + r"\p{Nd}{4,8}" + WORD_END
-PHONE_PATTERN = WORD_START + r"(?:216)?[2459]\p{Nd}{7}" + WORD_END
+CODE_RUN = r"^\p{Nd}{4,8}$"
+PHONE_RUN = r"^(?:216)?[2459]\p{Nd}{7}$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, SPACE + "+", " "), "^ | $", "")
-
-
 def normalize_message(message: Column | str, darija: bool = True) -> Column:
     """Replace URLs, amounts, codes, phones and keyword families by tokens, drop punctuation.
 
-    The order of the steps matters: an 8-digit phone number is a code, and a word of two
-    families belongs to the first.
+    The order of the rules matters: an 8-digit phone number is a code, and a word of two
+    families belongs to the first.  The text is cut into runs of word characters once, and
+    each run is looked up in hashed word sets, instead of one scan per family.
     """
     text = F.lower(F.coalesce(_col(message), F.lit("")))
     text = F.regexp_replace(text, URL_PATTERN, " URL ")
     text = F.regexp_replace(text, MONEY_PATTERN, " MONTANT ")
-    text = F.regexp_replace(text, CODE_PATTERN, " CODE ")
-    text = F.regexp_replace(text, PHONE_PATTERN, " TEL ")
+    single, spanning = {}, {}
     for token, words in V.KEYWORD_FAMILIES.items():
-        text = F.regexp_replace(text, whole_word(words), f" {token} ")
-    if darija:
-        by_target: dict[str, list[str]] = {}
-        for word, target in V.DARIJA_NORMAL.items():
-            by_target.setdefault(target, []).append(word)
-        for target, words in by_target.items():
-            text = F.regexp_replace(text, whole_word(words), target)
-    text = F.regexp_replace(text, f"[^{WORD_CHARS}{SPACE_CHARS}{ARABIC_CHARS}]", " ")
-    return collapse_spaces(text)
+        for word in words:
+            (single if word.replace("_", "a").isalnum() else spanning).setdefault(word, token)
+    for token in dict.fromkeys(spanning.values()):
+        text = F.regexp_replace(text, whole_word([w for w, t in spanning.items() if t == token]), f" {token} ")
+    normal = {w: t for w, t in V.DARIJA_NORMAL.items() if w not in single} if darija else {}
+
+    def token(run: Column) -> Column:
+        out = F.when(run.rlike(CODE_RUN), " CODE ").when(run.rlike(PHONE_RUN), " TEL ")
+        out = out.when(~run.isin([*single, *normal]), run)
+        for family in V.KEYWORD_FAMILIES:
+            out = out.when(run.isin([w for w, t in single.items() if t == family]), f" {family} ")
+        for target in dict.fromkeys(normal.values()):
+            out = out.when(run.isin([w for w, t in normal.items() if t == target]), target)
+        return out.otherwise(run)
+
+    runs = F.regexp_extract_all(text, F.lit(f"[{WORD_CHARS}]+|[^{WORD_CHARS}]+"), F.lit(0))
+    joined = F.array_join(F.transform(runs, token), "")
+    return F.trim(F.regexp_replace(joined, f"[^{WORD_CHARS}{ARABIC_CHARS}]+", " "))
 
 
 def text_signals(df: DataFrame, message: str = "message") -> DataFrame:

@@ -175,9 +175,14 @@ def predict_next(contexts: DataFrame, model: NgramModel, k: int = CANDIDATES) ->
     ``prev2`` / ``prev1`` are null where the context is shorter.
     """
     distinct = contexts.select("lang", "prev2", "prev1").distinct()
-    tri = trigram_lists(model.trigrams, k).select(
+    # only asked contexts are scored: the semi-joins run before the counts are summed and ranked
+    pairs = distinct.where(F.col("prev2").isNotNull()).select("lang", F.col("prev2").alias("w1"), F.col("prev1").alias("w2"))
+    lasts = distinct.where(F.col("prev1").isNotNull()).select("lang", F.col("prev1").alias("w1")).distinct()
+    trigrams = model.trigrams.join(pairs, ["lang", "w1", "w2"], "left_semi")
+    bigrams = model.bigrams.join(lasts, ["lang", "w1"], "left_semi")
+    tri = trigram_lists(trigrams, k).select(
         "lang", F.col("w1").alias("prev2"), F.col("w2").alias("prev1"), F.col("best").alias("_tri"))
-    bi = bigram_lists(model.bigrams, model.continuation, k).select(
+    bi = bigram_lists(bigrams, model.continuation, k).select(
         "lang", F.col("w1").alias("prev1"), F.col("best").alias("_bi"))
     # one short list per language
     uni = F.broadcast(unigram_lists(model.continuation, k).select("lang", F.col("best").alias("_uni")))

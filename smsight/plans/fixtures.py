@@ -89,6 +89,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that costs far more than its reading: at least one task per core.
+
+    Only a table with fewer splits than cores is redistributed; a large one is left alone.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(items: list, index: Column) -> Column:
     """items[index mod len] for a fixed list."""
     return F.element_at(F.array(*[F.lit(i) for i in items]), (index % len(items) + 1).cast("int"))
@@ -101,7 +111,7 @@ def template_text(number: Column, value: Column) -> Column:
 
 def sms_log(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sent message, from ``events``."""
-    e = table(spark, folder, "events")
+    e = wide(spark, folder, "events")
     eid = F.col("event_id")
     e = e.withColumns({
         "k": F.get_json_object("props", "$.k").cast("int"),
@@ -132,7 +142,7 @@ def sms_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """All texts: the messages of ``events`` and the whole texts of ``documents``."""
-    events, docs = table(spark, folder, "events"), table(spark, folder, "documents")
+    events, docs = wide(spark, folder, "events"), wide(spark, folder, "documents")
     return events.select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("message_id"),
         template_text(F.col("event_id"), F.col("value")).alias("message"),
@@ -205,7 +215,7 @@ def feedback_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def campaigns(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
+    o = wide(spark, folder, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
         key.alias("campaign_id"), F.floor(cust / F.lit(100)).cast("long").alias("user_id"),
