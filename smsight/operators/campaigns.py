@@ -39,6 +39,14 @@ def status_counts(campaigns: DataFrame) -> DataFrame:
         "label", scoring.lookup(F.col("status"), V.CAMPAIGN_STATUS_LABELS, F.col("status")))
 
 
+def with_labels(campaigns: DataFrame) -> DataFrame:
+    """Display labels of state and sending window; unknown codes show themselves."""
+    return campaigns.withColumns({
+        "status_label": scoring.lookup(F.col("status"), V.CAMPAIGN_STATUS_LABELS, F.col("status")),
+        "window_label": scoring.lookup(F.col("sending_window"), V.SENDING_WINDOW_LABELS, F.col("sending_window")),
+    })
+
+
 def log_status_counts(logs: DataFrame) -> DataFrame:
     """Log rows per campaign and state with the state's code and label."""
     return logs.groupBy("campaign_id", "status").agg(F.count("*").alias("n")).withColumns({

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from smsight.functions import scoring, text as T, vocab as V
 from smsight.functions.regex import SPACE
-from smsight.operators.ranks import top_per_group
+from smsight.operators.ranks import checked_broadcast, top_per_group
+from smsight.session import written
 
 CANDIDATES = 10  # candidates asked from each source before ranking
 
@@ -118,7 +119,7 @@ def ngram_model(positions: DataFrame) -> NgramModel:
     return NgramModel(
         positions, total(positions, F.col("w1").alias("word")), bigrams,
         positions.where(F.col("w3").isNotNull()),
-        total(bigrams, F.col("w2").alias("word")))
+        total(positions.where(F.col("w2").isNotNull()), F.col("w2").alias("word")))
 
 
 def distinct_continuation(bigrams: DataFrame) -> DataFrame:
@@ -174,7 +175,9 @@ def predict_next(contexts: DataFrame, model: NgramModel, k: int = CANDIDATES) ->
     Trigram, else reliable bigram, else the most frequent continuations; levels never mix.
     ``prev2`` / ``prev1`` are null where the context is shorter.
     """
-    distinct = contexts.select("lang", "prev2", "prev1").distinct()
+    # written first: the joins below would otherwise push their key filters, and with them the
+    # tokenising, into several scans of the requests; the planner also learns the real size
+    distinct = written(contexts.select("lang", "prev2", "prev1").distinct(), "contexts")
     # only asked contexts are scored: the semi-joins run before the counts are summed and ranked
     pairs = distinct.where(F.col("prev2").isNotNull()).select("lang", F.col("prev2").alias("w1"), F.col("prev1").alias("w2"))
     lasts = distinct.where(F.col("prev1").isNotNull()).select("lang", F.col("prev1").alias("w1")).distinct()
@@ -200,7 +203,7 @@ def prefix_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATE
     """The ``k`` most frequent words beginning with each distinct ``(lang, prefix)``."""
     spread = words.select("lang", "word", "freq", F.explode(
         F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"))
-    hits = prefixes.select("lang", "prefix").distinct().join(spread, ["lang", "prefix"])
+    hits = spread.join(checked_broadcast(prefixes.select("lang", "prefix").distinct()), ["lang", "prefix"])
     return top_per_group(hits, ["lang", "prefix"], [F.col("freq").desc(), F.col("word").asc()], k).select(
         "lang", "prefix", "word", "freq", F.lit(0).alias("dist"), "rank")
 
@@ -267,6 +270,10 @@ def feedback_scores(feedback: DataFrame, now: Column, decay: float = V.FEEDBACK_
         F.sum(F.exp(F.lit(-decay) * days)).alias("boost"), F.count("*").alias("n_events"))
 
 
+def recent_feedback(feedback: DataFrame, since: Column) -> DataFrame:
+    return feedback.where(F.col("created_at") > since)
+
+
 def top_recent_words(scores: DataFrame, k: int = 10, reference_formula: bool = False) -> DataFrame:
     """The most selected words lately; ``reference_formula`` counts the sum once per event."""
     total = F.col("boost") * F.col("n_events") if reference_formula else F.col("boost")
@@ -297,7 +304,7 @@ def rank_suggestions(
     """
     used = F.col("lang") if languages is None else F.when(
         F.col("lang").isin(languages), F.col("lang")).otherwise("fr")
-    ctx = contexts.select(*CONTEXT).distinct().withColumns({"_asked": F.col("lang"), "lang": used}).withColumn(
+    ctx = written(contexts.select(*CONTEXT).distinct(), "contexts").withColumns({"_asked": F.col("lang"), "lang": used}).withColumn(
         "_completing", (F.col("mode") == "autocomplete") & (F.col("current_word") != ""))
     typed = ctx.where("_completing").select(*CONTEXT, "_asked", F.col("current_word").alias("prefix"))
     found = completions(typed, words, CANDIDATES)
@@ -358,8 +365,8 @@ def evaluate_recommender(texts: DataFrame, model: NgramModel, top_k: int = 5, la
         F.slice(shifted, 1, F.greatest(size - 1, F.lit(0))).alias("prev2"),
         F.slice("tokens", 1, F.greatest(size - 1, F.lit(0))).alias("prev1"),
         F.slice("tokens", 2, F.greatest(size - 1, F.lit(0))).alias("truth"))
-    cases = docs.select("lang", F.explode_outer(steps).alias("s")).where(F.col("s.truth").isNotNull()).groupBy("lang", "s.prev2", "s.prev1", "s.truth").agg(
-        F.count("*").alias("n"))
+    cases = written(docs.select("lang", F.explode_outer(steps).alias("s")).where(F.col("s.truth").isNotNull()).groupBy(
+        "lang", "s.prev2", "s.prev1", "s.truth").agg(F.count("*").alias("n")), "cases")
     asked = cases.select("lang", "prev2", "prev1").distinct()
     predicted = predict_next(asked, model, CANDIDATES).withColumn("score", F.round(F.lit(V.RANK_PROB) * F.col("prob"), 9))
     kept = top_per_group(

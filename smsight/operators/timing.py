@@ -383,6 +383,14 @@ def recommendation() -> Column:
     return F.concat(band, mean, peak, advice, opening)
 
 
+def with_fallback_prediction(df: DataFrame, answered: Column) -> DataFrame:
+    """Historical averages for the rows a model did not answer; failure is a state of the row."""
+    columns = {name: F.coalesce(F.col(name), F.lit(None)) if name in df.columns else F.lit(None) for name in V.FALLBACK_PREDICTION}
+    return df.withColumns({
+        name: F.when(answered, columns[name]).otherwise(F.lit(default)) for name, default in V.FALLBACK_PREDICTION.items()
+    }).withColumn("source", F.when(answered, "model").otherwise("fallback"))
+
+
 # --- profiles and series -----------------------------------------------------------------------------
 
 def profile_grid(df: DataFrame, types=V.SCENARIO_TYPES) -> DataFrame:

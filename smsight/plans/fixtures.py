@@ -154,7 +154,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with spam and noise labels; unlabelled ones count as clean."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = wide(spark, folder, "documents"), table(spark, folder, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", "text",
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_spam"),
@@ -301,6 +301,19 @@ def roles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, folder: str) -> DataFrame:
+    """Users with one or two roles in groups."""
+    c = table(spark, folder, "customer")
+    key = F.col("c_custkey")
+    role = lambda offset: F.struct(
+        F.concat(F.lit("G"), ((key + offset) % 4).cast("string")).alias("group"),
+        pick(["Admin", "Agent", "Supervisor"], key + offset).alias("role"))
+    return c.select(
+        key.alias("user_id"), F.substring_index("c_name", "#", 1).alias("first_name"), F.substring_index("c_name", "#", -1).alias("last_name"),
+        (F.col("c_acctbal") > 0).alias("active"), (key % 10 == 0).alias("is_viewer"), (key % 50 == 0).alias("is_superadmin"),
+        F.when(key % 2 == 0, F.array(role(0))).otherwise(F.array(role(0), role(2))).alias("roles"))
+
+
 def organizations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select(F.col("n_nationkey").alias("organization_id"), F.col("n_name").alias("name"))
 

@@ -330,6 +330,25 @@ SQL["parsed_dates"] = f"""
 SELECT campaign_id, strftime(CASE campaign_id % 5 WHEN 0 THEN planned_start WHEN 1 THEN planned_start WHEN 2 THEN date_trunc('day', planned_start)::TIMESTAMP
   ELSE {_NOW} + INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS parsed FROM campaigns"""
 
+SQL["campaign_labels"] = f"""
+SELECT campaign_id, {case('status', V.CAMPAIGN_STATUS_LABELS, 'status')} AS status_label, {case('sending_window', V.SENDING_WINDOW_LABELS, 'sending_window')} AS window_label FROM campaigns"""
+SQL["user_filter"] = """
+SELECT c_custkey AS user_id, split_part(c_name, '#', 2) AS last_name FROM customer
+WHERE contains(split_part(c_name, '#', 2), '7') AND c_acctbal > 0 AND (c_custkey % 4 = 1 OR (c_custkey % 2 = 1 AND (c_custkey + 2) % 4 = 1))"""
+SQL["template_filter"] = """
+SELECT campaign_id, campaign_type AS type FROM campaigns
+WHERE (contains('modele ' || campaign_id, 'code') OR contains(lower(message), 'code')) AND test_completed AND contains(lower(campaign_type), 'classic')"""
+SQL["templates_of_type"] = """
+SELECT 'TRANSACTIONAL' AS asked, campaign_type AS type, count(*) AS n FROM campaigns WHERE test_completed AND campaign_type = 'TRANSACTIONAL' GROUP BY 2
+UNION ALL SELECT 'OTHER', campaign_type, count(*) FROM campaigns WHERE test_completed GROUP BY 2"""
+SQL["prediction_rates"] = """
+SELECT sms_id, round(CASE WHEN p IS NULL THEN 65.0 WHEN p <= 2.0 THEN least(95.0::DOUBLE, p * 75.0::DOUBLE + 20.0::DOUBLE) ELSE p END, 6) AS rate,
+  round(least(95.0::DOUBLE, greatest(30.0::DOUBLE, 30.0::DOUBLE + (score * 1.5::DOUBLE - 0.5::DOUBLE) / 0.8::DOUBLE * 65.0::DOUBLE)), 6) AS window_rate
+FROM (SELECT sms_id, score, CASE WHEN sms_id % 17 <> 0 THEN score * 2.6::DOUBLE END AS p FROM sms_log)"""
+SQL["engagement_fallback"] = """
+SELECT sms_id, CASE WHEN sms_id % 4 <> 0 THEN round(score, 6) ELSE 0.285 END AS engagement_rate,
+  CASE WHEN sms_id % 4 <> 0 THEN 'model' ELSE 'fallback' END AS source, CASE WHEN sms_id % 4 <> 0 THEN '' ELSE '09h-12h' END AS best_window FROM sms_log"""
+
 # --- contacts and routes -----------------------------------------------------------------------------------------------
 _PHONES = r"""SELECT *, CASE WHEN regexp_full_match(compact, '\+[1-9][0-9]{7,14}') THEN compact END AS e164
 FROM (SELECT *, regexp_replace(trim(phone), '[ \t\n().\-/]', '', 'g') AS compact FROM contact_rows)"""
@@ -347,6 +366,8 @@ SQL["contact_search"] = "SELECT contact_id, phone, last_name FROM contacts WHERE
 SQL["contact_tags"] = """
 SELECT contact_id, array_to_string(list_sort(CASE WHEN list_has_any(tags, ['BUILDING', 'NATION_3'])
   THEN list_filter(list_distinct(tags || ['vip', 'BUILDING']), lambda t: t <> 'NATION_3') ELSE tags END), ',') AS tags FROM contacts"""
+SQL["contact_selection"] = """
+SELECT user_id, CASE WHEN user_id = 0 AND contact_id < 40 THEN 'chosen' ELSE 'kept' END AS part, count(*) AS n FROM contacts GROUP BY 1, 2"""
 SQL["route_match"] = """
 SELECT m.message_id, coalesce(arg_min(r.route_id, r.priority), (SELECT route_id FROM routes WHERE is_default)) AS route_id
 FROM routed_messages m LEFT JOIN routes r ON r.active AND r.group_id IN ('ALL', m.group_id) AND r.alpha_header IN ('*', m.alpha_header)
@@ -391,6 +412,7 @@ SELECT t.request_id, t.mode, t.lang, rank::INTEGER AS rank, r.word, round(r.scor
 FROM typed t JOIN ({_RANKED}) r ON r.mode = t.mode AND r.lang = t.lang AND r.current_word = t.current_word
   AND r.prev2 = coalesce(t.prev2, '') AND r.prev1 = coalesce(t.prev1, '')"""
 SQL["feedback_decay"] = "SELECT word, round(boost, 6) AS boost, n_events FROM feedback_boosts"
+SQL["recent_feedback"] = "SELECT selected_word, count(*) AS n FROM word_feedback WHERE created_at > TIMESTAMP '2024-01-03' GROUP BY 1"
 SQL["top_recent_words"] = "SELECT word, round(boost, 6) AS score FROM feedback_boosts ORDER BY round(boost, 6) DESC, word LIMIT 10"
 SQL["apply_feedback"] = f"""
 SELECT lang, word, sum(freq)::BIGINT AS freq FROM (SELECT lang, word, freq FROM lexicon

@@ -13,7 +13,7 @@ from smsight.operators import (
     learning as L, routing, timing as M,
 )
 from smsight.plans import fixtures as X
-from smsight.session import scratch_path
+from smsight.session import scratch_path, written
 from smsight.sources import tables
 from smsight.streaming import jobs
 
@@ -425,6 +425,49 @@ def parsed_dates(spark, d):
     return out.select("campaign_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+@query
+def campaign_labels(spark, d):
+    return K.with_labels(X.campaigns(spark, d)).select("campaign_id", "status_label", "window_label")
+
+
+@query
+def user_filter(spark, d):
+    """Active users of group G1 (any role), name containing "7"."""
+    return K.filter_users(X.users(spark, d), last_name="7", active=True, group="g1").select("user_id", "last_name")
+
+
+@query
+def template_filter(spark, d):
+    """Campaign texts as templates: text search, state and type together."""
+    t = X.campaigns(spark, d).select(
+        "campaign_id", F.concat(F.lit("Modele "), F.col("campaign_id").cast("string")).alias("libelle"), "message",
+        "test_completed", F.col("campaign_type").alias("type")).withColumnRenamed("test_completed", "active")
+    return K.filter_labelled(t, ["libelle", "message"], text="CODE", active=True, kind="classic").select("campaign_id", "type")
+
+
+@query
+def templates_of_type(spark, d):
+    t = X.campaigns(spark, d).select("campaign_id", F.col("campaign_type").alias("type"), F.col("test_completed").alias("active"))
+    known = K.templates_of_type(t, "TRANSACTIONAL", V.CAMPAIGN_TYPES)
+    unknown = K.templates_of_type(t, "OTHER", V.CAMPAIGN_TYPES)
+    return known.withColumn("asked", F.lit("TRANSACTIONAL")).unionByName(unknown.withColumn("asked", F.lit("OTHER"))).groupBy("asked", "type").agg(
+        F.count("*").alias("n"))
+
+
+@query
+def prediction_rates(spark, d):
+    score = F.when(F.col("sms_id") % 17 != 0, F.col("score") * 2.6)
+    return X.sms_log(spark, d).select(
+        "sms_id", F.round(scoring.prediction_to_rate(score), 6).alias("rate"), F.round(scoring.score_to_rate(F.col("score") * 1.5), 6).alias("window_rate"))
+
+
+@query
+def engagement_fallback(spark, d):
+    s = X.sms_log(spark, d).select("sms_id", F.col("score").alias("engagement_rate"))
+    out = M.with_fallback_prediction(s, F.col("sms_id") % 4 != 0)
+    return rounded(out, "engagement_rate").select("sms_id", "engagement_rate", "source", F.coalesce("best_window", F.lit("")).alias("best_window"))
+
+
 # --- contacts and routes ----------------------------------------------------------------------------------------
 
 @query
@@ -458,6 +501,15 @@ def contact_tags(spark, d):
     return changed.select("contact_id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
+@query
+def contact_selection(spark, d):
+    """Bulk selection and deletion by id inside one user."""
+    c = X.contacts(spark, d)
+    kept = P.select_contacts(c, 0, list(range(40)), keep=False).groupBy("user_id").agg(F.count("*").alias("n"))
+    chosen = P.select_contacts(c, 0, list(range(40))).groupBy("user_id").agg(F.count("*").alias("n"))
+    return kept.withColumn("part", F.lit("kept")).unionByName(chosen.withColumn("part", F.lit("chosen")))
+
+
 @query
 def route_match(spark, d):
     return routing.match_routes(X.routed_messages(spark, d), X.routes(spark)).select("message_id", "route_id")
@@ -481,8 +533,8 @@ def _docs(spark, d) -> DataFrame:
 def _model(spark, d) -> R.NgramModel:
     """Names and counted positions are written once; every count table derives from them."""
     docs = _docs(spark, d)
-    names = tables.written(R.named_entities(docs), "names")
-    return R.ngram_model(tables.written(R.count_ngrams(docs, names).positions, "positions"))
+    names = written(R.named_entities(docs), "names")
+    return R.ngram_model(written(R.count_ngrams(docs, names).positions, "positions"))
 
 
 @query
@@ -583,6 +635,12 @@ def feedback_decay(spark, d):
     return rounded(_boosts(spark, d), "boost")
 
 
+@query
+def recent_feedback(spark, d):
+    recent = R.recent_feedback(X.word_feedback(spark, d), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    return recent.groupBy("selected_word").agg(F.count("*").alias("n"))
+
+
 @query
 def top_recent_words(spark, d):
     return rounded(R.top_recent_words(rounded(_boosts(spark, d), "boost")), "score")
@@ -791,9 +849,9 @@ def stream_selections(spark, d):
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
     """80/20 by stratified fold, with the fitted encodings; written once because fits iterate."""
     rows = ranks.stratified_folds(L.row_features(X.sms_log(spark, d)), "engaged", "sms_id", 5)
-    rows = tables.written(rows, "features")
+    rows = written(rows, "features")
     train, test = L.fitted_features(rows.where(F.col("fold") != 0).drop("fold"), rows.where(F.col("fold") == 0).drop("fold"))
-    return tables.written(train, "train"), tables.written(test, "test")
+    return written(train, "train"), written(test, "test")
 
 
 @query
@@ -821,7 +879,7 @@ def balanced_training_rows(spark, d):
 def message_model(spark, d):
     m = classify.classify_messages(X.messages(spark, d))
     folds = ranks.stratified_folds(m, "nlp_type", "message_id", 5)
-    m = tables.written(L.message_features(folds), "messages")
+    m = written(L.message_features(folds), "messages")
     _, quality = L.train_message_classifier(
         m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type", buckets=1 << 10, iterations=3)
     return spark.createDataFrame([(k, float(v)) for k, v in quality.items()], "metric string, value double")

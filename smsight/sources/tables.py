@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
 from smsight.operators.recommender import NgramModel
-from smsight.session import scratch_path
+
 
 SMS_FACTS = T.StructType([
     T.StructField(name, kind, True) for name, kind in [
@@ -152,17 +152,6 @@ def load_recommender(spark: SparkSession, path: str) -> tuple[DataFrame, NgramMo
     return read("lexicon"), NgramModel(*[read(name) for name in NGRAM_TABLES])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once into the shared folder and read it back.
-
-    Cuts the lineage where several branches of a plan would repeat heavy work; lost executors
-    do not lose it, and its size is known to the planner afterwards.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def save_bandit_state(state: DataFrame, path: str, version: int) -> None:
     """A snapshot per version; repeating a version replaces it."""
     state.write.mode("overwrite").parquet(f"{path}/version={version:012d}")
