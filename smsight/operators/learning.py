@@ -308,18 +308,21 @@ def feature_importance(spark, model: EngagementModel, top: int | None = None) ->
 
 # --- message classifier ---------------------------------------------------------------------------------
 
-def char_ngrams(text: Column, n: int = 3) -> Column:
-    chars = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
+def char_ngrams(chars: str, n: int = 3) -> Column:
+    """Character n-grams from a column of single characters.
+
+    It has to be a column: an expression would be evaluated again for every position.
+    """
     last = F.greatest(F.size(chars) - (n - 1), F.lit(1))
-    # from an array of characters, since a substring would walk the text from its start each time
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws("", F.slice(chars, i, n)))
 
 
 def message_features(df: DataFrame, message: str = "message") -> DataFrame:
     """Normalised text, its words, character trigrams and hand-made features."""
     clean = df.withColumn("message_clean", T.normalize_message(message, darija=False))
+    clean = clean.withColumn("_single", F.split(F.concat(F.lit(" "), "message_clean", F.lit(" ")), ""))
     return T.manual_text_features(clean, "message_clean", message).withColumns({
-        "_words": F.split("message_clean", " "), "_chars": char_ngrams(F.col("message_clean"))})
+        "_words": F.split("message_clean", " "), "_chars": char_ngrams("_single")}).drop("_single")
 
 
 def message_pipeline(label: str, buckets: int = 1 << 13, char_weight: float = 1.2, iterations: int = 20) -> Pipeline:
