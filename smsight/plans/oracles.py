@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from smsight.functions import text as T, vocab as V
+from smsight.functions import vocab as V
 from smsight.operators.contacts import CALLING_CODES
 from smsight.plans import fixtures as X
 from smsight.plans.oracle_tables import (
-    ARABIC, PAGES, WORD_RUN, _flag, case, has_phrase, language, strings, text, tokens, with_tables,
+    ARABIC, PAGES, _flag, case, has_phrase, language, strings, text, tokens, with_tables,
 )
 
 SQL: dict[str, str] = {}

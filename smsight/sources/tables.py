@@ -11,8 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
-from smsight.operators.recommender import NgramModel
-
+from smsight.operators.recommender import NgramModel, ngram_model
 
 SMS_FACTS = T.StructType([
     T.StructField(name, kind, True) for name, kind in [
@@ -140,8 +139,6 @@ def save_recommender(path: str, words: DataFrame, names: DataFrame, model: Ngram
     save(words, "lexicon")
     save(names, "names")
     save(model.positions, "positions")
-    from smsight.operators.recommender import ngram_model
-
     derived = ngram_model(spark.read.parquet(f"{path}/positions"))
     for name in NGRAM_TABLES[1:]:
         save(getattr(derived, name), name)

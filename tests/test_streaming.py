@@ -1,8 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
-
 from smsight.operators import bandit
 from smsight.sources import tables
 from smsight.streaming import jobs

@@ -190,3 +190,25 @@ def test_bulk_limit(spark):
     with pytest.raises(ValueError):
         P.select_contacts(df, 1, list(range(3001)))
     assert P.select_contacts(df, 1, [1]).count() == 1 and P.select_contacts(df, 1, [1], keep=False).count() == 0
+
+
+def test_recommender_is_saved_by_language(spark, tmp_path):
+    rows = [(1, "le chat est la", False, "x"), (2, "le chat est ici", False, "x"), (3, "the cat is in the house", False, "x")]
+    docs = R.clean_corpus(spark.createDataFrame(rows, "doc_id int, text string, is_spam boolean, noise_level string"))
+    names = R.named_entities(docs)
+    model = R.count_ngrams(docs, names)
+    tables.save_recommender(str(tmp_path / "m"), R.lexicon(docs), names, model)
+    words, loaded = tables.load_recommender(spark, str(tmp_path / "m"))
+    rows_of = lambda df, cols: sorted(tuple(r[c] for c in cols) for r in df.collect())
+    assert rows_of(loaded.bigrams, ["lang", "w1", "w2", "n"]) == rows_of(model.bigrams, ["lang", "w1", "w2", "n"])
+    assert rows_of(loaded.continuation, ["lang", "word", "n"]) == rows_of(model.continuation, ["lang", "word", "n"])
+    assert {r.lang for r in words.collect()} == {"fr", "en"}
+
+
+def test_expired_decisions_are_purged(spark):
+    df = spark.createDataFrame([(1,)], "sms_id int")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    log = bandit.log_decisions(df, now)
+    assert log.first().expires_at == dt.datetime(2024, 3, 31)
+    assert bandit.purge_expired(log, now + F.expr("INTERVAL 89 DAYS")).count() == 1
+    assert bandit.purge_expired(log, now + F.expr("INTERVAL 90 DAYS")).count() == 0
