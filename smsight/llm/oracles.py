@@ -25,4 +25,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN word_hits USING (r) LEFT JOIN items USING (r)
 """
 
-SQL: dict[str, str] = {"op5_decontamination": OP5}
+OP7 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([w[i:i + 3] FOR i IN range(1, greatest(2, len(w) - 2))]) END AS s
+  FROM doc),
+class AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY ALL),
+flat AS (SELECT c, unnest(s) AS x FROM class),
+common AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM flat a JOIN flat b ON a.x = b.x AND a.c < b.c GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN class p ON p.c = a JOIN class q ON q.c = b WHERE 100 * k >= 85 * (len(p.s) + len(q.s) - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c AS node, c AS seen FROM class UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.seen),
+component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN class ON class.s = list_sort(sets.s) LEFT JOIN component ON component.node = class.c
+"""
+
+SQL: dict[str, str] = {"op5_decontamination": OP5, "op7_jaccard_join": OP7}

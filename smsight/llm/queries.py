@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import decontaminate
+from smsight.llm import decontaminate, jaccard_join
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,9 @@ def op5_decontamination(spark, d):
     return hits.select(
         "doc_id", "n_words", F.size("hit_words").cast("bigint").alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
         decontaminate.items_digest(F.col("hit_items")).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+
+
+@query
+def op7_jaccard_join(spark, d):
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.jaccard_components(table(spark, d, "documents"), size=4, percent=85)
