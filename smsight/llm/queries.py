@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import decontaminate, jaccard_join
+from smsight.llm import decontaminate, jaccard_join, toxicity
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,17 @@ def op5_decontamination(spark, d):
 def op7_jaccard_join(spark, d):
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_join.jaccard_components(table(spark, d, "documents"), size=4, percent=85)
+
+
+def _bucket(column: str, n: int):
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
+
+
+@query
+def op9_toxicity(spark, d):
+    """A toxicity score for every document, learned from labels outside a held-out fifth."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, d, "labels"), _bucket("doc_id", 5) != 0)
+    scored = toxicity.toxicity(documents, model)
+    return scored.select("doc_id", (_bucket("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
