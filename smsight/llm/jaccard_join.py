@@ -5,7 +5,8 @@
    order only decides how much is compared, never what links.
 2. Equal sets are one class. Classes with identical prefixes and size are one group; only a group's prefix is indexed.
    A set of n shingles has a prefix of n - ceil(t n) + 1, without which no partner can reach t.
-3. Groups that share a prefix code are candidates if the lengths allow it and enough codes are left after both positions.
+3. Groups that share a prefix code are candidates if the lengths allow it and enough codes are left after both positions;
+   where a group is one class, its parity bitmap must differ in no more bits than two linked sets may differ in codes.
 4. Candidates are first compared with one leader for each code and group, which joins near copies into stars. What is left
    are codes whose groups still lie in several components: there, members outside the largest component of the code are
    compared with all others, which is exact, as links inside a component can't change it.
@@ -24,16 +25,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from smsight.llm.components import components
 from smsight.llm.frames import binary, by_slices, lists, written
-from smsight.llm.words import SPACED, Words, shingles
+from smsight.llm.words import SPACED, Words, mix, shingles
 
 FREQUENT_FROM = 16
 MOST_FREQUENT = 1 << 20  # ranks fit into 20 bits, 12 MB are broadcast
+PARITY_BITS = 512
 _TOP = np.uint64(1 << 63)
 
 
@@ -123,14 +125,20 @@ class Order:
 
 
 def signatures(texts: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """(id, tkey, n, digest, gkey, prefix) of every row of ``texts`` (id, tkey, text)."""
+    """(id, tkey, n, digest, gkey, prefix, parity) of every row of ``texts`` (id, tkey, text).
+
+    The parity is a bitmap to which every code adds one bit modulo two, so two of them differ in at most as many bits as
+    their sets differ in codes.
+    """
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, begins = _distinct(batch.column("text"), size)
         code = order.value.codes(value)
         n, digest, gkey, prefix, ends = [], [], [], [], [0]
+        parity = np.zeros((batch.num_rows, PARITY_BITS), np.uint8)
         for i in range(batch.num_rows):
             own = np.unique(code[begins[i]:begins[i + 1]])
             n.append(len(own))
+            parity[i] = np.bincount((mix(own) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
             head = own[:len(own) - (percent * len(own) + 99) // 100 + 1] if len(own) else own
             prefix.append(head)
             ends.append(ends[-1] + len(head))
@@ -139,10 +147,12 @@ def signatures(texts: DataFrame, order, size: int, percent: int) -> DataFrame:
         flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
         return pa.record_batch({
             "id": batch.column("id"), "tkey": batch.column("tkey"), "n": pa.array(n, pa.int32()), "digest": binary(digest),
-            "gkey": pa.array(gkey, pa.int64()), "prefix": lists(flat.view(np.int64), ends, pa.int64())})
+            "gkey": pa.array(gkey, pa.int64()), "prefix": lists(flat.view(np.int64), ends, pa.int64()),
+            "parity": lists(np.packbits(parity, axis=1).reshape(-1).view(np.int64),
+                            np.arange(batch.num_rows + 1) * (PARITY_BITS // 64), pa.int64())})
 
     kind = texts.schema["id"].dataType.simpleString()
-    return by_slices(texts, "text", sign, f"id {kind}, tkey bigint, n int, digest binary, gkey bigint, prefix array<bigint>")
+    return by_slices(texts, "text", sign, f"id {kind}, tkey bigint, n int, digest binary, gkey bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _enough(percent: int, a: str, b: str):
@@ -157,6 +167,12 @@ def _room(percent: int, a: str, b: str):
     return (100 + percent) * left >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _near(percent: int, a: Column, b: Column, sizes: Column) -> Column:
+    """Whether sets with these parities can be close enough; true where one is unknown."""
+    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return a.isNull() | b.isNull() | ((100 + percent) * apart <= (100 - percent) * sizes)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: digests) whose sets link. texts: (digest, text)."""
     def check(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -187,7 +203,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rows = written(signatures(texts, order, size, percent), "signatures")
     classes = written(
         rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "tkey")).alias("of"), F.min("id").alias("least"),
-                                                  F.min("n").alias("n"), F.min("gkey").alias("gkey")), "classes")
+                                                  F.min("n").alias("n"), F.min("gkey").alias("gkey"),
+                                                  F.first("parity").alias("parity")), "classes")
 
     groups = rows.where("n > 0").groupBy("gkey", "n").agg(F.first("prefix").alias("prefix"))
     entries = groups.select("gkey", "n", F.posexplode("prefix").alias("pos", "code"))
@@ -196,7 +213,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     index = written(
         entries.where("code >= 0").withColumn("k", alone).where("k > 1").drop("k").unionByName(entries.where("code < 0")), "index")
 
-    member = classes.select("gkey", "n", "digest")
+    member = classes.select("gkey", "n", "digest", "parity")
     several = member.groupBy("gkey", "n").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("first"))
     wanted = index.select("gkey", "n").distinct().unionByName(several.where("k > 1").select("gkey", "n")).distinct()
     chosen = classes.join(wanted, ["gkey", "n"], "left_semi").select("digest", F.col("of.id").alias("id"), F.col("of.tkey").alias("tkey"))
@@ -216,8 +233,10 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     # what is left: codes, and groups, whose classes lie in several components
     label = components(links)
     placed = written(member.join(label, member.digest == label.node, "left")
-                     .select("gkey", "n", "digest", F.coalesce("label", "digest").alias("label")), "placed")
-    of_group = placed.groupBy("gkey", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                     .select("gkey", "n", "digest", "parity", F.coalesce("label", "digest").alias("label")), "placed")
+    of_group = placed.groupBy("gkey", "n").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))  # of a group of one class
     spread = index.join(of_group, ["gkey", "n"])
     open_codes = spread.groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("code")
     open_rows = written(spread.join(open_codes, "code"), "open")
@@ -226,12 +245,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     minor = open_rows.join(major, "code").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("major")))
     rest = (minor.alias("x").join(open_rows.alias("y"), "code")
             .where(_enough(percent, "x", "y") & _room(percent, "x", "y")
+                   & _near(percent, F.col("x.parity"), F.col("y.parity"), F.col("x.n") + F.col("y.n"))
                    & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))))
             .select(F.col("x.gkey").alias("gkey"), F.col("x.n").alias("n"), F.col("y.gkey").alias("g2"), F.col("y.n").alias("n2"))
             .unionByName(of_group.where("low != high").select("gkey", "n", F.col("gkey").alias("g2"), F.col("n").alias("n2"))).distinct())
-    x = placed.select("gkey", "n", F.col("digest").alias("a"), F.col("label").alias("label_a"))
-    y = placed.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("digest").alias("b"), F.col("label").alias("label_b"))
-    pairs = rest.join(x, ["gkey", "n"]).join(y, ["g2", "n2"]).where("label_a != label_b").select("a", "b")
+    x = placed.select("gkey", "n", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("parity").alias("pa"))
+    y = placed.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("digest").alias("b"), F.col("label").alias("label_b"), F.col("parity").alias("pb"))
+    pairs = rest.join(x, ["gkey", "n"]).join(y, ["g2", "n2"]).where(
+        (F.col("label_a") != F.col("label_b")) & _near(percent, F.col("pa"), F.col("pb"), F.col("n") + F.col("n2"))).select("a", "b")
     links = links.unionByName(written(verified(_ordered(pairs), kept, size, percent), "links"))
 
     label = components(links)
