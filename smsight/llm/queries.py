@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import decontaminate, jaccard_join, toxicity
+from smsight.llm import decontaminate, jaccard_join, secrets, toxicity
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,18 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op3_secret_scans(spark, d):
+    """Spans of secrets in every document, by pattern and by character statistics."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    found = secrets.secret_spans(documents, secrets.train(documents))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = {k: F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in ("assign", "access", "hex")}
+    return found.select("doc_id", *(c.cast("bigint").alias(f"n_{k}") for k, c in count.items()),
+                        F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_decontamination(spark, d):
     """Words of benchmark windows inside documents, one row per document."""
