@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import decontaminate, jaccard_join, secrets, toxicity
+from smsight.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op9_toxicity(spark, d):
     scored = toxicity.toxicity(documents, model)
     return scored.select("doc_id", (_bucket("doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_mixing(spark, d):
+    """Place of every document in a mix whose sources weigh the square root of their share."""
+    mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "block", "slot", "release", "deadline", "position")
