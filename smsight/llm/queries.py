@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, jaccard_join, mixing, secrets, toxicity
+from smsight.llm import chat, chunks, decontaminate, jaccard_join, language, mixing, secrets, toxicity
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,15 @@ def _bucket(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
 
 
+@query
+def op8_language_id(spark, d):
+    """The language of every document, learned from labels outside a held-out third."""
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.train(documents, ~_bucket("doc_id", 3).isin(1))
+    return language.predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", (_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_toxicity(spark, d):
     """A toxicity score for every document, learned from labels outside a held-out fifth."""
