@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, jaccard_join, language, mixing, secrets, toxicity
+from smsight.llm import chat, chunks, decontaminate, jaccard_join, language, mixing, secrets, toxicity, urls
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,23 @@ def op3_secret_scans(spark, d):
                         secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def labelled_urls(spark, d) -> DataFrame:
+    """Urls of pages whose path names a labelled document, good if its quality is and it isn't toxic; bad by host words."""
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("doc")).agg(
+        F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    url = F.col("url")
+    pages = table(spark, d, "pages").select("url", F.regexp_extract(urls.path_of(url), r"([0-9]+)[^0-9]*$", 1).alias("doc"))
+    bad = F.arrays_overlap(F.split(urls.host_of(url), "[.-]"), F.array(*map(F.lit, urls.BAD_HOST_WORDS)))
+    return pages.join(labels, "doc", "left").select("url", F.when(bad, F.lit(False)).otherwise(F.col("good")).alias("good"))
+
+
+@query
+def op4_url_filters(spark, d):
+    """A verdict on the url of every page, by rule or by the purity of its path template."""
+    out = urls.url_verdicts(table(spark, d, "pages").select("page_id", "url"), labelled_urls(spark, d))
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
 @query
 def op5_decontamination(spark, d):
     """Words of benchmark windows inside documents, one row per document."""
