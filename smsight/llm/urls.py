@@ -79,7 +79,7 @@ def kind_of(segment: Column) -> Column:
     stem = F.substring(segment, F.lit(1), F.length(segment) - F.length(extension))
     kind = (F.when(stem.rlike(r"^[0-9]+$"), F.lit("{number}")).when(stem.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("{hex}"))
             .when(stem.rlike(r"[0-9]"), F.lit("{mixed}")).otherwise(F.lit("{word}")))
-    return F.concat(kind, extension)
+    return F.when(segment.startswith("{"), segment).otherwise(F.concat(kind, extension))
 
 
 def _first(segment: Column) -> Column:
@@ -98,7 +98,8 @@ def shape_of(path: Column, depth: int = DEPTH) -> Column:
 def templates(shapes: DataFrame, depth: int = DEPTH, most_children: int = MOST_CHILDREN, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, shape, template) for counted shapes (host, shape, n): wildcards level by level."""
     tree = shapes.select("host", "shape", "n", F.array().cast("array<string>").alias("template"))
-    for level in range(depth):
+    deepest = shapes.agg(F.max(F.size("shape")).alias("k")).first()["k"] or 0
+    for level in range(min(depth, deepest)):
         segment = F.get("shape", F.lit(level))
         node = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("k"))
         whole = node.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.sum("k").alias("all"))
@@ -108,7 +109,8 @@ def templates(shapes: DataFrame, depth: int = DEPTH, most_children: int = MOST_C
         kept = kept.withColumn("place", place).where(F.col("place") <= most_children).select("h", "t", F.col("segment").alias("s"))
         step = tree.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s")), "left")
         own = F.when(F.col("s").isNotNull(), segment).otherwise(kind_of(segment))
-        tree = step.select("host", "shape", "n", F.when(segment.isNotNull(), F.concat("template", F.array(own))).otherwise(F.col("template")).alias("template"))
+        tree = written(step.select(
+            "host", "shape", "n", F.when(segment.isNotNull(), F.concat("template", F.array(own))).otherwise(F.col("template")).alias("template")), "tree")
     rest = F.when(F.size("shape") > depth, F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.col("template"))
     return tree.select("host", "shape", rest.alias("template"))
 
