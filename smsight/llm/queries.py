@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, jaccard_join, language, mixing, secrets, toxicity, urls
+from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, secrets, toxicity, urls
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,13 @@ def op5_decontamination(spark, d):
         decontaminate.items_digest(F.col("hit_items")).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
+@query
+def op6_html_extraction(spark, d):
+    """The main text of every page."""
+    model = html_extract.train(html_extract.labelled_pages())
+    return html_extract.extract(table(spark, d, "pages").select("page_id", "url", "html"), model)
+
+
 @query
 def op7_jaccard_join(spark, d):
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
