@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from smsight.llm.components import components
-from smsight.llm.frames import binary, by_slices, lists, written
+from smsight.llm.frames import binary, by_slices, lists, release, written
 from smsight.llm.words import SPACED, Words, mix, shingles
 
 FREQUENT_FROM = 16
@@ -89,7 +89,7 @@ def frequent_codes(texts: DataFrame, size: int, from_count: int = FREQUENT_FROM,
             yield pa.record_batch({"print": pa.array(prints[many].astype(np.int64)), "n": pa.array(counts[many])})
 
     dealt = by_slices(texts, "text", fingerprints, "part int, prints binary, counts binary").repartition(parts, "part")
-    counted = written(dealt.mapInArrow(tally, "print bigint, n bigint"), "frequent")
+    counted = _kept(dealt.mapInArrow(tally, "print bigint, n bigint"), "frequent")
     scale = F.floor(F.log2("n")).cast("int").alias("scale")
     least, room = None, most
     for row in counted.groupBy(scale).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("scale")).collect():
@@ -189,6 +189,13 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return by_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), "text_a", check, "a binary, b binary")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a table and let go of the shuffles that it took."""
+    out = written(df, name)
+    release(df.sparkSession)
+    return out
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
@@ -200,8 +207,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).cast("string").alias("text"))
     order = spark.sparkContext.broadcast(Order(frequent_codes(texts.select("text"), size)))
-    rows = written(signatures(texts, order, size, percent), "signatures")
-    classes = written(
+    rows = _kept(signatures(texts, order, size, percent), "signatures")
+    classes = _kept(
         rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "tkey")).alias("of"), F.min("id").alias("least"),
                                                   F.min("n").alias("n"), F.min("gkey").alias("gkey"),
                                                   F.first("parity").alias("parity")), "classes")
@@ -210,17 +217,18 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     entries = groups.select("gkey", "n", F.posexplode("prefix").alias("pos", "code"))
     # codes that are not frequent have few rows each, so a window over them is safe; frequent ones need no count
     alone = F.count(F.lit(1)).over(Window.partitionBy("code"))
-    index = written(
+    index = _kept(
         entries.where("code >= 0").withColumn("k", alone).where("k > 1").drop("k").unionByName(entries.where("code < 0")), "index")
 
     member = classes.select("gkey", "n", "digest", "parity")
     several = member.groupBy("gkey", "n").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("first"))
     wanted = index.select("gkey", "n").distinct().unionByName(several.where("k > 1").select("gkey", "n")).distinct()
     chosen = classes.join(wanted, ["gkey", "n"], "left_semi").select("digest", F.col("of.id").alias("id"), F.col("of.tkey").alias("tkey"))
-    kept = written(texts.join(chosen, texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text"), "candidates")
+    kept = _kept(texts.join(chosen, texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text"), "candidates")
 
     # stars: every class with the first of its group, the first of every group with the leader of its code
-    lead = index.groupBy("code").agg(F.min(F.struct("gkey", "n", "pos")).alias("lead")).select("code", "lead.*")
+    # the leader has the fewest rarer codes, so of copies it is the one with the fewest changes
+    lead = index.groupBy("code").agg(F.min(F.struct("pos", "gkey", "n")).alias("lead")).select("code", "lead.*")
     star = (index.alias("x").join(lead.alias("y"), "code")
             .where((F.col("x.gkey") != F.col("y.gkey")) & _enough(percent, "x", "y") & _room(percent, "x", "y"))
             .select(F.col("x.gkey").alias("gkey"), F.col("x.n").alias("n"), F.col("y.gkey").alias("g2"), F.col("y.n").alias("n2")).distinct())
@@ -228,32 +236,36 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     second = several.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("first").alias("b"))
     pairs = (star.join(first.withColumnRenamed("first", "a"), ["gkey", "n"]).join(second, ["g2", "n2"]).select("a", "b")
              .unionByName(member.join(several.where("k > 1"), ["gkey", "n"]).select(F.col("digest").alias("a"), F.col("first").alias("b"))))
-    links = written(verified(_ordered(pairs), kept, size, percent), "links")
+    links = _kept(verified(_ordered(pairs), kept, size, percent), "links")
 
     # what is left: codes, and groups, whose classes lie in several components
     label = components(links)
-    placed = written(member.join(label, member.digest == label.node, "left")
+    placed = _kept(member.join(label, member.digest == label.node, "left")
                      .select("gkey", "n", "digest", "parity", F.coalesce("label", "digest").alias("label")), "placed")
+    heads = groups.select(F.col("gkey").alias("head_of"), F.col("n").alias("head_n"), "prefix")
     of_group = placed.groupBy("gkey", "n").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))  # of a group of one class
     spread = index.join(of_group, ["gkey", "n"])
     open_codes = spread.groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("code")
-    open_rows = written(spread.join(open_codes, "code"), "open")
+    open_rows = spread.join(open_codes, "code")
+    open_rows = _kept(open_rows.join(heads, (F.col("gkey") == F.col("head_of")) & (F.col("n") == F.col("head_n"))).select(
+        *open_rows.columns, F.slice("prefix", F.lit(1), F.col("pos")).alias("head")), "open")
     sizes = open_rows.groupBy("code", "low").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("code").agg(F.max_by("low", F.struct("k", "low")).alias("major"))
     minor = open_rows.join(major, "code").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("major")))
     rest = (minor.alias("x").join(open_rows.alias("y"), "code")
             .where(_enough(percent, "x", "y") & _room(percent, "x", "y")
                    & _near(percent, F.col("x.parity"), F.col("y.parity"), F.col("x.n") + F.col("y.n"))
-                   & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))))
+                   & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
+                   & ~F.arrays_overlap("x.head", "y.head"))  # a pair is made at its first common code
             .select(F.col("x.gkey").alias("gkey"), F.col("x.n").alias("n"), F.col("y.gkey").alias("g2"), F.col("y.n").alias("n2"))
             .unionByName(of_group.where("low != high").select("gkey", "n", F.col("gkey").alias("g2"), F.col("n").alias("n2"))).distinct())
     x = placed.select("gkey", "n", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("parity").alias("pa"))
     y = placed.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("digest").alias("b"), F.col("label").alias("label_b"), F.col("parity").alias("pb"))
     pairs = rest.join(x, ["gkey", "n"]).join(y, ["g2", "n2"]).where(
         (F.col("label_a") != F.col("label_b")) & _near(percent, F.col("pa"), F.col("pb"), F.col("n") + F.col("n2"))).select("a", "b")
-    links = links.unionByName(written(verified(_ordered(pairs), kept, size, percent), "links"))
+    links = links.unionByName(_kept(verified(_ordered(pairs), kept, size, percent), "links"))
 
     label = components(links)
     named = classes.select("digest", "least").join(label, F.col("digest") == F.col("node"), "left").select(
