@@ -68,9 +68,9 @@ def spaced_word(words: Iterable[str]) -> str:
 
 
 def phrase(text: str) -> str:
-    r"""A phrase of the vocabulary: ``~`` is any run inside a line, ``\d`` any decimal digit."""
+    r"""A phrase of the vocabulary: ``.*`` is any run inside a line, ``\d`` any decimal digit."""
     out = []
-    for part in text.split("~"):
+    for part in text.split(".*"):
         pieces = part.split(r"\d")
         escaped = [literal(pieces[0])]
         for piece in pieces[1:]:

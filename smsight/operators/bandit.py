@@ -135,12 +135,12 @@ def reset_drifted(state: DataFrame, drift: DataFrame) -> DataFrame:
 
 
 def beta_draws(seed: int):
-    """Beta draws for a whole Arrow batch at once, seeded by the batch's first row."""
+    """One Beta draw per row, seeded by the row's own key, so partitions and batches don't matter."""
 
     @F.pandas_udf("double")
     def draw(alpha: pd.Series, beta: pd.Series, key: pd.Series) -> pd.Series:
-        first = int(key.iloc[0]) & 0xFFFFFFFFFFFFFFFF if len(key) else 0
-        return pd.Series(np.random.default_rng([seed, first]).beta(alpha, beta))
+        return pd.Series([
+            np.random.default_rng([seed, int(k) & 0xFFFFFFFFFFFFFFFF]).beta(a, b) for a, b, k in zip(alpha, beta, key)], dtype=float)
 
     return draw
 

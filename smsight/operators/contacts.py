@@ -14,7 +14,6 @@ CALLING_CODES = {
     "55": "BR", "7": "RU", "81": "JP", "86": "CN", "90": "TR", "91": "IN", "961": "LB",
     "962": "JO", "965": "KW", "966": "SA", "968": "OM", "971": "AE", "973": "BH", "974": "QA",
 }
-MAX_BULK_IDS = 3000
 
 
 def normalize_phone(phone: Column) -> Column:
@@ -79,9 +78,6 @@ def change_tags(contacts: DataFrame, selection: DataFrame, add: list[str] = (),
         "tags", F.when(F.col("_chosen"), changed).otherwise(F.col("tags"))).drop("_chosen")
 
 
-def select_contacts(contacts: DataFrame, user_id, ids: list, limit: int = MAX_BULK_IDS, keep: bool = True) -> DataFrame:
-    """The user's contacts with (or, for deletion, without) the given ids."""
-    if len(ids) > limit:
-        raise ValueError(f"Cannot process more than {limit} contacts at once")
-    chosen = (F.col("user_id") == user_id) & F.col("contact_id").isin(list(ids))
-    return contacts.where(chosen if keep else ~chosen)
+def select_contacts(contacts: DataFrame, selection: DataFrame, keep: bool = True) -> DataFrame:
+    """The contacts with (or, for deletion, without) the ids of ``selection`` (user_id, contact_id); any number of them."""
+    return contacts.join(selection.select("user_id", "contact_id"), ["user_id", "contact_id"], "left_semi" if keep else "left_anti")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from smsight.functions import scoring, vocab as V
-from smsight.operators.ranks import checked_broadcast, exact_quantiles
+from smsight.operators.ranks import exact_quantiles
 
 
 def one_hot(df: DataFrame, column: str, values: list[str], prefix: str) -> DataFrame:
@@ -22,7 +25,7 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     # the rank runs over distinct values, a category list, not over rows
     codes = values.withColumn(out, F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(column)) - 1)
-    return df.join(checked_broadcast(codes), column, "left")
+    return df.join(codes, column, "left")
 
 
 def group_stats(df: DataFrame, keys: list[str], target: str) -> DataFrame:
@@ -42,13 +45,13 @@ def leave_one_out(total: Column, count: Column, own: Column, fallback: Column) -
 
 
 def loo_rate(df: DataFrame, key: str, target: str = "engaged", out: str = "loo_rate") -> DataFrame:
-    """Mean of the other rows of the same key; the overall mean for a single row.
+    """Mean of the other rows of the same key; the overall mean for a single row or a null key.
 
     Grouped first (partial sums) and joined back, so a recipient with a third of all rows is
     split by the skew-join handling instead of filling one window task.
     """
     stats = df.groupBy(key).agg(F.sum(target).alias("n_eng"), F.count("*").alias("n_obs"))
-    return df.join(stats, key).withColumn(
+    return df.join(stats, key, "left").withColumn(
         out, leave_one_out(F.col("n_eng"), F.col("n_obs"), F.col(target), global_rate(stats)))
 
 
@@ -59,7 +62,7 @@ def target_encoding(
 
     One pass groups by all keys together; the per-key sums come from that small table, so the
     rows are joined once.  ``reference_formula`` repeats the published formula, which adds the
-    group sum once per row of the group.
+    group sum once per row of the group.  A row whose key is null gets the overall mean for it.
     """
     cells = df.groupBy(*keys).agg(F.sum(target).alias("n_eng"), F.count("*").alias("n_obs"))
     fallback = global_rate(cells)
@@ -68,14 +71,15 @@ def target_encoding(
         per_key = W.partitionBy(key)
         sums[f"_s_{key}"] = F.sum("n_eng").over(per_key)
         sums[f"_n_{key}"] = F.sum("n_obs").over(per_key)
-    lookup = checked_broadcast(cells.withColumns(sums).drop("n_eng", "n_obs"))
-    out = df.join(lookup, keys)
+    lookup = cells.withColumns(sums).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *sums)
+    out = df.join(lookup, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]), "left")
     for key in keys:
         total, count = F.col(f"_s_{key}"), F.col(f"_n_{key}")
         if reference_formula:
             total = total * count
-        out = out.withColumn(f"{key}_target_loo", leave_one_out(total, count, F.col(target), fallback))
-    return out.drop(*sums)
+        rate = leave_one_out(total, count, F.col(target), fallback)
+        out = out.withColumn(f"{key}_target_loo", F.when(F.col(key).isNull(), fallback).otherwise(rate))
+    return out.drop(*sums, *[f"_k_{k}" for k in keys])
 
 
 def apply_rates(df: DataFrame, fitted: DataFrame, key: str, out: str, fallback: float) -> DataFrame:
@@ -85,11 +89,16 @@ def apply_rates(df: DataFrame, fitted: DataFrame, key: str, out: str, fallback:
 
 
 def recipient_features(df: DataFrame, key: str = "msisdn", target: str = "engaged", type_code: str | None = None) -> DataFrame:
-    """Rate, tier, volume and cold-start features of the recipient."""
+    """Rate, tier, volume and cold-start features of the recipient.
+
+    A null recipient has the overall rate, no messages and is no cold start.
+    """
     stats = df.groupBy(key).agg(F.sum(target).alias("n_eng"), F.count("*").alias("msisdn_sms_count"))
     mean = stats.agg(F.sum("n_eng") / F.sum("msisdn_sms_count").cast("double")).scalar()
     rate = F.col("msisdn_engagement_rate")
-    out = df.join(stats, key).withColumn("msisdn_engagement_rate", leave_one_out(
+    out = df.join(stats, key, "left").withColumn(
+        "msisdn_sms_count", F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.col("msisdn_sms_count")))
+    out = out.withColumn("msisdn_engagement_rate", leave_one_out(
         F.col("n_eng"), F.col("msisdn_sms_count"), F.col(target), mean)).drop("n_eng")
     out = with_tier(out, "msisdn_engagement_rate", "msisdn_tier")
     return out.withColumns({
@@ -162,18 +171,20 @@ def messages_last_day(df: DataFrame, key: str = "msisdn", ts: str = "send_dateti
 
     Whole minutes are counted in a grouped table (one row per recipient and minute); only the
     first and last minute of the day are compared row by row, in groups of one recipient and
-    one minute.  No task sees the history of a busy recipient.
+    one minute.  No task sees the history of a busy recipient.  Rows without recipient or time
+    have no earlier messages.
     """
     day_minutes = 1440
     minute = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000)).cast("long")
     offset = F.unix_micros(F.col(ts).cast("timestamp")) % F.lit(60_000_000)
     rows = df.withColumns({"_minute": minute, "_offset": offset})
-    per_minute = rows.groupBy(key, "_minute").agg(F.count("*").alias("_n"))
+    known = rows.where(F.col(key).isNotNull() & F.col("_minute").isNotNull())
+    per_minute = known.groupBy(key, "_minute").agg(F.count("*").alias("_n"))
     whole = per_minute.withColumn("_whole", F.coalesce(
         F.sum("_n").over(W.partitionBy(key).orderBy("_minute").rangeBetween(-(day_minutes - 1), -1)), F.lit(0)))
     # a copy moved one day on stands for "sent a day before" inside the same minute
-    copies = rows.select(key, "_minute", "_offset", F.lit(0).alias("_past")).unionByName(
-        rows.select(key, (F.col("_minute") + day_minutes).alias("_minute"), "_offset", F.lit(1).alias("_past")))
+    copies = known.select(key, "_minute", "_offset", F.lit(0).alias("_past")).unionByName(
+        known.select(key, (F.col("_minute") + day_minutes).alias("_minute"), "_offset", F.lit(1).alias("_past")))
     moments = copies.groupBy(key, "_minute", "_offset").agg(
         F.sum(1 - F.col("_past")).alias("_own"), F.sum("_past").alias("_old"))
     cell = W.partitionBy(key, "_minute").orderBy("_offset")
@@ -184,4 +195,5 @@ def messages_last_day(df: DataFrame, key: str = "msisdn", ts: str = "send_dateti
     ).where(F.col("_own") > 0).select(key, "_minute", "_offset", "_edge")
     counts = edges.join(whole.select(key, "_minute", "_whole"), [key, "_minute"]).select(
         key, "_minute", "_offset", (F.col("_edge") + F.col("_whole")).alias("sms_last_24h"))
-    return rows.join(counts, [key, "_minute", "_offset"]).drop("_minute", "_offset")
+    out = rows.join(counts, [key, "_minute", "_offset"], "left").drop("_minute", "_offset")
+    return out.withColumn("sms_last_24h", F.coalesce("sms_last_24h", F.lit(0)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF, ElementwiseProduct, HashingTF, StringIndexer, VectorAssembler,
 )
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 
 from smsight.functions import calendar as C, text as T, vocab as V
 from smsight.operators import encoding as E
-from smsight.operators.ranks import stratified_folds
+from smsight.operators.evaluation import curve_areas, pr_curve
+from smsight.operators.ranks import bucketed_running_sums, stratified_folds, with_buckets
 from smsight.session import written
 
 CALENDAR_FEATURES = [
@@ -99,56 +99,52 @@ def class_weight(df: DataFrame, label: str = LABEL, factor: float = 1.2) -> Data
     return df.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(F.lit(1.0)))
 
 
+SMOTE_BLOCK = 512
+
+
 def smote(
     df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, ratio: float = 1.0, seed: int = 42,
 ) -> DataFrame:
-    """Add interpolated minority rows until they reach ``ratio`` times the majority.
+    """Add interpolated minority rows until they are exactly ``ratio`` times the majority.
 
-    Minority rows are range-partitioned and sorted along a fixed random projection, so rows
-    that are close share an Arrow batch; neighbours are the ``k`` nearest of that batch
-    (exactly the nearest ones while the minority fits into one batch).  Every minority row is
-    used, none is paired with all others of its group across tasks.
+    Minority rows are ranked along a fixed random projection and cut into blocks of 512 to 1,023
+    neighbours by rank; partners are the ``k`` nearest rows of the block.  Ranks, and so blocks,
+    copies and draws, do not depend on partitions or batches.  A null feature counts as 0 here.
     """
     counts = {bool(r["positive"]): r["n"] for r in df.groupBy((F.col(label) == 1).alias("positive")).agg(F.count("*").alias("n")).collect()}
     minority = 1 if counts.get(True, 0) <= counts.get(False, 0) else 0
     small, large = sorted((counts.get(True, 0), counts.get(False, 0)))
-    base = df.select(*features, label).withColumn("synthetic", F.lit(False))
-    if small < 2 or large * ratio <= small:
+    needed = int(large * ratio) - small
+    base = df.select(*[F.col(f).cast("double").alias(f) for f in features], label).withColumn("synthetic", F.lit(False))
+    if small < 2 or needed <= 0:
         return base
-    per_row = (large * ratio - small) / small
     direction = np.random.default_rng(seed).normal(size=len(features))
-    scales = df.where(F.col(label) == minority).agg(*[F.stddev_samp(f).alias(f) for f in features]).first()
-    projection = reduce(lambda a, b: a + b, [
-        F.col(f).cast("double") * float(w / (scales[f] or 1.0)) for f, w in zip(features, direction)])
-    rows = df.where(F.col(label) == minority).select(*[F.col(f).cast("double") for f in features], projection.alias("_along"))
-    schema = ", ".join(f"{f} double" for f in features)
-
-    def interpolate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            n = len(x)
-            if n < 2:
-                continue
-            rng = np.random.default_rng([seed, n, int(abs(x[0].sum()) * 1e6) & 0xFFFFFFFF])
-            copies = np.floor(per_row + rng.random(n)).astype(int)
-            near = min(k, n - 1)
-            for start in range(0, n, 512):  # bounds the distance matrix
-                block = x[start:start + 512]
-                distance = (block ** 2).sum(1)[:, None] - 2 * block @ x.T + (x ** 2).sum(1)[None, :]
-                distance[np.arange(len(block)), np.arange(start, start + len(block))] = np.inf
-                neighbours = np.argpartition(distance, near - 1, axis=1)[:, :near]
-                source = np.repeat(np.arange(len(block)), copies[start:start + 512])
-                if not len(source):
-                    continue
-                partner = neighbours[source, rng.integers(0, near, len(source))]
-                made = block[source] + rng.random(len(source))[:, None] * (x[partner] - block[source])
-                yield pd.DataFrame(made, columns=features)
-
-    made = rows.repartitionByRange("_along").sortWithinPartitions("_along").mapInPandas(interpolate, schema)
+    value = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    rows = df.where(F.col(label) == minority).select(*[v.alias(f) for f, v in zip(features, value)], F.lit(1).alias("_one"))
+    scales = rows.agg(*[F.round(F.stddev_samp(f), 6).alias(f) for f in features]).first()
+    projection = reduce(lambda a, b: a + b, [F.col(f) * float(w / (scales[f] or 1.0)) for f, w in zip(features, direction)])
+    ranked = bucketed_running_sums(
+        with_buckets(rows.withColumn("_along", projection), "_along"), [], [F.col("_along"), *[F.col(f) for f in features]], {"_rank": "_one"})
+    last = max(1, small // SMOTE_BLOCK) - 1
+    ranked = ranked.withColumn("_block", F.least(F.floor((F.col("_rank") - 1) / SMOTE_BLOCK), F.lit(last)).cast("int"))
+
+    def interpolate(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("_rank")
+        x, rank = batch[features].to_numpy(dtype=float), batch["_rank"].to_numpy(dtype=object)
+        rng = np.random.default_rng([seed, int(key[0])])
+        copies = np.array([r * needed // small - (r - 1) * needed // small for r in rank], dtype=int)
+        near = min(k, len(x) - 1)
+        distance = (x ** 2).sum(1)[:, None] - 2 * x @ x.T + (x ** 2).sum(1)[None, :]
+        np.fill_diagonal(distance, np.inf)
+        neighbours = np.argsort(distance, axis=1, kind="stable")[:, :near]
+        source = np.repeat(np.arange(len(x)), copies)
+        partner = neighbours[source, rng.integers(0, near, len(source))]
+        return pd.DataFrame(x[source] + rng.random(len(source))[:, None] * (x[partner] - x[source]), columns=features)
+
+    made = ranked.select("_block", "_rank", *features).groupBy("_block").applyInPandas(interpolate, ", ".join(f"{f} double" for f in features))
     kinds = dict(df.dtypes)
-    made = made.select(*[F.col(f) for f in features], F.lit(minority).cast(kinds[label]).alias(label), F.lit(True).alias("synthetic"))
-    original = base.select(*[F.col(f).cast("double") for f in features], label, "synthetic")
-    return original.unionByName(made)
+    return base.unionByName(made.select(
+        *features, F.lit(minority).cast(kinds[label]).alias(label), F.lit(True).alias("synthetic")))
 
 
 # --- training --------------------------------------------------------------------------------------
@@ -176,22 +172,22 @@ def with_score(model, df: DataFrame, out: str) -> DataFrame:
     return model.transform(df).withColumn(out, p).drop("rawPrediction", "probability", "prediction")
 
 
-def auc(df: DataFrame, score: str, metric: str = "areaUnderROC") -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=LABEL, metricName=metric).evaluate(df)
+def auc(df: DataFrame, score: str, metric: str = "auc_roc") -> float:
+    """Area under the whole curve, over every distinct score; 0 where it is not defined."""
+    return float(curve_areas(pr_curve(df, score=score, label=LABEL)).first()[metric] or 0.0)
 
 
 def calibrate(estimator, train: DataFrame, folds: int = 3):
     """Isotonic calibration on out-of-fold scores.
 
-    Scores are grouped to four decimals first, so the fit sees at most 10,001 weighted points
-    however many rows there are.
+    Equal scores become one weighted point first.
     """
     parts = []
     for fold in range(folds):
         model = estimator.fit(train.where(F.col("fold") != fold))
         parts.append(with_score(model, train.where(F.col("fold") == fold), "raw").select("raw", LABEL))
     scored = reduce(DataFrame.unionByName, parts)
-    points = scored.groupBy(F.round("raw", 4).alias("raw")).agg(
+    points = scored.groupBy("raw").agg(
         F.avg(LABEL).alias("rate"), F.count("*").cast("double").alias("n"))
     return IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="n", predictionCol="score").fit(points)
 
@@ -209,7 +205,7 @@ class EngagementModel:
             df = with_score(model, df, "raw")
             column = f"score_{name}"
             if name in self.calibrations:
-                df = self.calibrations[name].transform(df.withColumn("raw", F.round("raw", 4))).withColumnRenamed("score", column)
+                df = self.calibrations[name].transform(df).withColumnRenamed("score", column)
             else:
                 df = df.withColumn(column, F.col("raw"))
             df, names = df.drop("raw"), [*names, name]
@@ -255,7 +251,7 @@ def ablation(train: DataFrame, test: DataFrame, estimator, families: dict[str, l
     for name, features in sets.items():
         model = estimator.fit(assembled(class_weight(train), features))
         scored = with_score(model, assembled(test, features), "score")
-        rows.append({"features": name, "auc_roc": auc(scored, "score"), "pr_auc": auc(scored, "score", "areaUnderPR")})
+        rows.append({"features": name, "auc_roc": auc(scored, "score"), "pr_auc": auc(scored, "score", "pr_auc")})
     return rows
 
 
@@ -278,27 +274,23 @@ def eliminated(features: list[str], selected: list[str]) -> list[str]:
     return [f for f in features if f not in set(selected)]
 
 
-def feature_source(name: str) -> str:
-    """Family tag of a feature."""
-    if name in RECIPIENT_FEATURES:
-        return "MSISDN"
-    if name in TARGET_FEATURES:
-        return "TargetEnc"
-    if name == "nlp_text_mult":
-        return "NLP_v8"
-    if name in CALENDAR_FEATURES:
-        return "Phase1"
-    if name in ONE_HOT_FEATURES:
-        return "OHE_type" if name.startswith("type_") else "OHE_domain"
-    if name in ("is_urgent_high", "is_sensitive", "is_marketing", "is_transactional", "is_livraison_kw"):
-        return "Composite"
-    return "Interaction" if name in INTERACTION_FEATURES else "NLP_base"
+COMPOSITE_FEATURES = ["is_urgent_high", "is_sensitive", "is_marketing", "is_transactional", "is_livraison_kw"]
+#: family tag of every feature that has one of its own; all others are text signals
+SOURCES = (
+    dict.fromkeys(INTERACTION_FEATURES, "Interaction")
+    | dict.fromkeys(COMPOSITE_FEATURES, "Composite")
+    | {name: f"OHE_{'type' if name.startswith('type_') else 'domain'}" for name in ONE_HOT_FEATURES}
+    | dict.fromkeys(CALENDAR_FEATURES, "Phase1")
+    | {"nlp_text_mult": "NLP_v8"}
+    | dict.fromkeys(TARGET_FEATURES, "TargetEnc")
+    | dict.fromkeys(RECIPIENT_FEATURES, "MSISDN")
+)
 
 
 def feature_importance(spark, model: EngagementModel, top: int | None = None) -> DataFrame:
     """Mean importance over the tree members, with the family tag, largest first."""
     rows = [
-        (feature, float(value), feature_source(feature))
+        (feature, float(value), SOURCES.get(feature, "NLP_base"))
         for member in model.models.values() if hasattr(member, "featureImportances")
         for feature, value in zip(model.features, member.featureImportances.toArray())]
     out = spark.createDataFrame(rows, "feature string, importance double, source string").groupBy("feature", "source").agg(

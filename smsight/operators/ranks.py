@@ -7,17 +7,15 @@ group) give every bucket its offset, and the ordered window runs inside a bucket
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting the side; a larger one keeps its shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def with_buckets(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
     """Add ``_bucket``, monotone in ``column``, with about equally many rows per value.
 
@@ -45,14 +43,15 @@ def bucketed_running_sums(
     before = W.partitionBy(*groups, F.lit(0)).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     offsets = totals.select(
-        *groups, "_bucket",
+        *[F.col(g).alias(f"_g_{g}") for g in [*groups, "_bucket"]],
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
     inside = W.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.join(offsets, [*groups, "_bucket"])
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in [*groups, "_bucket"]])  # null is a group like any other
+    out = df.join(offsets, same)
     return out.withColumns(
         {n: F.col(f"_o_{n}") + F.sum(c).over(inside) for n, c in sums.items()}
-    ).drop(*[f"_o_{n}" for n in sums])
+    ).drop(*[f"_o_{n}" for n in sums], *[f"_g_{g}" for g in [*groups, "_bucket"]])
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], buckets: int = 256) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from smsight.functions import text as T, vocab as V
 from smsight.functions.regex import SPACE
-from smsight.operators.ranks import checked_broadcast, top_per_group
+from smsight.operators.ranks import top_per_group
 from smsight.session import written
 
 CANDIDATES = 10  # candidates asked from each source before ranking
@@ -203,7 +203,7 @@ def prefix_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATE
     """The ``k`` most frequent words beginning with each distinct ``(lang, prefix)``."""
     spread = words.select("lang", "word", "freq", F.explode(
         F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"))
-    hits = spread.join(checked_broadcast(prefixes.select("lang", "prefix").distinct()), ["lang", "prefix"])
+    hits = spread.join(prefixes.select("lang", "prefix").distinct(), ["lang", "prefix"])
     return top_per_group(hits, ["lang", "prefix"], [F.col("freq").desc(), F.col("word").asc()], k).select(
         "lang", "prefix", "word", "freq", F.lit(0).alias("dist"), "rank")
 

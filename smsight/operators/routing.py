@@ -7,60 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ANY_GROUP, ANY_HEADER = "ALL", "*"
-MAX_INLINE_ROUTES = 2_000
 
 
 def _anchored(pattern):
     return F.concat(F.lit("^(?:"), pattern, F.lit(")$"))
 
 
-def match_routes(messages: DataFrame, routes: DataFrame, max_inline: int = MAX_INLINE_ROUTES) -> DataFrame:
+def match_routes(messages: DataFrame, routes: DataFrame) -> DataFrame:
     """The active route with the lowest priority per message, else the default route.
 
-    A route matches on group, header and a full regex match of the destination.  Routes are
-    counted first: a usual table is broadcast as one sorted list per (group, header), so the
-    messages are neither shuffled nor multiplied; a larger one is joined by key and reduced
-    with a partial minimum.
+    A route matches on group, header and a full regex match of the destination.  Routes become
+    one sorted list per (group, header), so messages are not multiplied; Spark broadcasts those
+    lists if they are small and splits hot keys of a shuffle join if they are not.
     """
-    active = routes.where("active").withColumn("_rank", F.struct("priority", "route_id"))
+    active = routes.where("active")
     default = routes.where("is_default").agg(F.min_by("route_id", F.struct("priority", "route_id"))).scalar()
-    if active.limit(max_inline + 1).count() <= max_inline:
-        lists = active.groupBy("group_id", "alpha_header").agg(
-            F.array_sort(F.collect_list(F.struct("priority", "route_id", "destination_pattern"))).alias("_list"))
-        out, found = messages, []
-        for i, (group, header) in enumerate([
-                ("group_id", "alpha_header"), ("group_id", None), (None, "alpha_header"), (None, None)]):
-            side = lists.select(
-                F.col("group_id").alias("_g"), F.col("alpha_header").alias("_h"), F.col("_list").alias(f"_list{i}"))
-            key = (F.col(group) if group else F.lit(ANY_GROUP)) == F.col("_g")
-            key = key & ((F.col(header) if header else F.lit(ANY_HEADER)) == F.col("_h"))
-            if group is None and header is None:
-                # one list applies to every message
-                everyone = lists.where((F.col("group_id") == ANY_GROUP) & (F.col("alpha_header") == ANY_HEADER))
-                out = out.withColumn(f"_list{i}", everyone.select(F.struct("_list")).scalar().getField("_list"))
-            else:
-                if group is None:
-                    side, key = side.where(F.col("_g") == ANY_GROUP), F.col("alpha_header") == F.col("_h")
-                if header is None:
-                    side, key = side.where(F.col("_h") == ANY_HEADER), F.col("group_id") == F.col("_g")
-                out = out.join(F.broadcast(side), key, "left").drop("_g", "_h")
-            found.append(F.col(f"_list{i}"))
-        empty = F.array().cast("array<struct<priority:int,route_id:string,destination_pattern:string>>")
-        best = F.array_min(F.flatten(F.array(*[F.filter(
-            F.coalesce(c, empty),
-            lambda r: r.destination_pattern.isNull() | F.regexp_like(F.col("destination"), _anchored(r.destination_pattern)),
-        ) for c in found])))
-        return out.withColumn("route_id", F.coalesce(best.route_id, default)).drop(*[f"_list{i}" for i in range(4)])
-    keys = messages.withColumn("_g", F.explode(F.array("group_id", F.lit(ANY_GROUP)))).withColumn(
-        "_h", F.explode(F.array("alpha_header", F.lit(ANY_HEADER))))
-    side = active.select(
-        F.col("group_id").alias("_g"), F.col("alpha_header").alias("_h"), "_rank",
-        F.col("destination_pattern").alias("_p"))
-    matched = keys.join(side, ["_g", "_h"]).where(
-        F.col("_p").isNull() | F.regexp_like(F.col("destination"), _anchored(F.col("_p"))))
-    best = matched.groupBy("message_id").agg(F.min("_rank").alias("_best"))
-    return messages.join(best, "message_id", "left").withColumn(
-        "route_id", F.coalesce(F.col("_best.route_id"), default)).drop("_best")
+    lists = active.groupBy("group_id", "alpha_header").agg(
+        F.array_sort(F.collect_list(F.struct("priority", "route_id", "destination_pattern"))).alias("_list"))
+    own = [("group_id", "alpha_header"), ("group_id", None), (None, "alpha_header")]
+    out, found = messages, []
+    for i, (group, header) in enumerate(own):
+        side = lists.select(F.col("group_id").alias("_g"), F.col("alpha_header").alias("_h"), F.col("_list").alias(f"_list{i}"))
+        if group is None:
+            side, key = side.where(F.col("_g") == ANY_GROUP), F.col("alpha_header") == F.col("_h")
+        elif header is None:
+            side, key = side.where(F.col("_h") == ANY_HEADER), F.col("group_id") == F.col("_g")
+        else:
+            key = (F.col("group_id") == F.col("_g")) & (F.col("alpha_header") == F.col("_h"))
+        out = out.join(side, key, "left").drop("_g", "_h")
+        found.append(F.col(f"_list{i}"))
+    # one list applies to every message
+    everyone = lists.where((F.col("group_id") == ANY_GROUP) & (F.col("alpha_header") == ANY_HEADER))
+    out = out.withColumn("_all", everyone.select(F.struct("_list")).scalar().getField("_list"))
+    empty = F.array().cast("array<struct<priority:int,route_id:string,destination_pattern:string>>")
+    best = F.array_min(F.flatten(F.array(*[F.filter(
+        F.coalesce(c, empty),
+        lambda r: r.destination_pattern.isNull() | F.regexp_like(F.col("destination"), _anchored(r.destination_pattern)),
+    ) for c in [*found, F.col("_all")]])))
+    return out.withColumn("route_id", F.coalesce(best.route_id, default)).drop("_all", *[f"_list{i}" for i in range(len(own))])
 
 
 def routes_by_priority(routes: DataFrame) -> DataFrame:

@@ -263,9 +263,8 @@ def with_window_rates(df: DataFrame, start: str = "start", end: str = "end", sco
     """Per sending window: ``_n_<window>`` active hours, ``_rate_<window>`` and ``_peak_<window>``.
 
     Counts days instead of listing hours.  The first active hour is ``start`` rounded up and
-    moved into the window; the published walk visits at most 720 steps, where going to the
-    next day costs one, so the last day of each hour follows from both the end and the step
-    limit.  Without an active hour the whole window is averaged.
+    moved into the window; the last day of each hour follows from the end, however long the
+    campaign is.  Without an active hour the whole window is averaged.
     """
     first_full = F.to_date(start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(start))
     df = df.withColumn("_floor", first_full).withColumn("_begin", F.when(
@@ -274,20 +273,15 @@ def with_window_rates(df: DataFrame, start: str = "start", end: str = "end", sco
     stages: list[dict[str, Column]] = [{}, {}, {}, {}]
     for name, (lo, hi) in V.WINDOW_HOURS.items():
         length = hi - lo + 1
-        step = length + (0 if length == 24 else 1)
-        late, days, from_hour, left = (f"_{k}_{name}" for k in ("late", "days", "from", "left"))
+        late, days, from_hour = (f"_{k}_{name}" for k in ("late", "days", "from"))
         stages[0] |= {
             late: (F.col("_h") > hi).cast("int"),
             from_hour: F.when(F.col("_h") > hi, lo).otherwise(F.greatest(F.col("_h"), F.lit(lo))),
         }
-        stages[1] |= {
-            days: F.datediff("_eday", "_day") - F.col(late),
-            left: F.lit(V.ACTIVE_HOURS_STEPS - 1) - F.col(late) + F.col(from_hour),
-        }
+        stages[1] |= {days: F.datediff("_eday", "_day") - F.col(late)}
 
         def count(h: Column) -> Column:
-            last_day = F.least(
-                F.col(days) - (h > F.col("_eh")).cast("int"), F.floor((F.col(left) - h) / F.lit(step)).cast("int"))
+            last_day = F.col(days) - (h > F.col("_eh")).cast("int")
             return F.greatest(last_day - (h < F.col(from_hour)).cast("int") + 1, F.lit(0))
 
         counts, part = f"_c_{name}", F.slice(F.col(scores), lo + 1, length)
@@ -309,7 +303,7 @@ def with_window_rates(df: DataFrame, start: str = "start", end: str = "end", sco
     # nine digits, so that the order of summation cannot decide between equal windows
     df = df.withColumns({f"_rate_{w}": F.round(scoring.score_to_rate(F.col(f"_mean_{w}")), 9) for w in V.WINDOW_HOURS})
     helpers = ["_floor", "_begin", "_h", "_day", "_eh", "_eday"]
-    helpers += [f"_{k}_{w}" for k in ("late", "days", "from", "left", "c", "s", "mean") for w in V.WINDOW_HOURS]
+    helpers += [f"_{k}_{w}" for k in ("late", "days", "from", "c", "s", "mean") for w in V.WINDOW_HOURS]
     return df.drop(*helpers)
 
 

@@ -172,9 +172,9 @@ def marked_literal(words: str) -> str:
 def marked_phrase(phrase: str) -> str:
     """A vocabulary phrase over marked text, the outer boundaries included."""
     special = {
-        "code~verif": f"{MARK}code.*verif{MARK}",
-        r"code~\d{4,6}": f"{MARK}code.*\\p{{Nd}}{{4,6}}{MARK}",
-        r"pin~\d": f"{MARK}pin.*\\p{{Nd}}{MARK}",
+        "code.*verif": f"{MARK}code.*verif{MARK}",
+        r"code.*\d{4,6}": f"{MARK}code.*\\p{{Nd}}{{4,6}}{MARK}",
+        r"pin.*\d": f"{MARK}pin.*\\p{{Nd}}{MARK}",
         r"-\d+%": f"{MARK}-{MARK}\\p{{Nd}}+{MARK}%{MARK}",
         r"jusqu'à \d+%": f"{MARK}jusqu{MARK}''{MARK}à{MARK} {MARK}\\p{{Nd}}+{MARK}%{MARK}",
     }

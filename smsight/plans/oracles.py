@@ -218,12 +218,10 @@ _ACTIVE = f"""
   defs AS (SELECT * FROM (VALUES ('BUSINESS_HOURS', 8, 18, 0), ('EVENING', 18, 22, 1), ('ALL_DAY', 0, 23, 2)) AS v(w, lo, hi, ord)),
   cursors AS (SELECT campaign_id, w, lo, hi, t1, CASE WHEN hour(c) < lo THEN date_trunc('day', c) + to_hours(lo) ELSE c END AS c0
     FROM (SELECT *, date_trunc('hour', t0) + CASE WHEN t0 > date_trunc('hour', t0) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS c FROM requests, defs)),
-  walked AS (SELECT campaign_id, w, hour(h) AS hh, h,
-      row_number() OVER (PARTITION BY campaign_id, w ORDER BY h) AS pos,
-      CASE WHEN w = 'ALL_DAY' THEN 0 ELSE date_diff('day', c0, h) END AS jumps
-    FROM (SELECT campaign_id, w, lo, hi, c0, unnest(generate_series(c0, least(t1, c0 + INTERVAL 121 DAYS), INTERVAL 1 HOUR)) AS h FROM cursors)
+  walked AS (SELECT campaign_id, w, hour(h) AS hh
+    FROM (SELECT campaign_id, w, lo, hi, c0, unnest(generate_series(c0, t1, INTERVAL 1 HOUR)) AS h FROM cursors)
     WHERE hour(h) BETWEEN lo AND hi),
-  act AS (SELECT campaign_id, w, hh, count(*) AS n FROM walked WHERE pos + jumps <= 720 GROUP BY ALL),
+  act AS (SELECT campaign_id, w, hh, count(*) AS n FROM walked GROUP BY ALL),
   rated AS (SELECT r.campaign_id, d.w, d.ord, d.lo, d.hi, coalesce(max(n_act), 0) AS n_act,
       round(least(95.0::DOUBLE, greatest(30.0::DOUBLE, 30.0::DOUBLE + (coalesce(max(mean_act), list_avg(any_value(scores)[d.lo + 1 : d.hi + 1])) - 0.5::DOUBLE) / 0.8::DOUBLE * 65.0::DOUBLE)), 9) AS rate
     FROM requests r CROSS JOIN defs d

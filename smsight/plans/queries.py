@@ -505,8 +505,9 @@ def contact_tags(spark, d):
 def contact_selection(spark, d):
     """Bulk selection and deletion by id inside one user."""
     c = X.contacts(spark, d)
-    kept = P.select_contacts(c, 0, list(range(40)), keep=False).groupBy("user_id").agg(F.count("*").alias("n"))
-    chosen = P.select_contacts(c, 0, list(range(40))).groupBy("user_id").agg(F.count("*").alias("n"))
+    asked = c.where("user_id = 0 AND contact_id < 40")
+    kept = P.select_contacts(c, asked, keep=False).groupBy("user_id").agg(F.count("*").alias("n"))
+    chosen = P.select_contacts(c, asked).groupBy("user_id").agg(F.count("*").alias("n"))
     return kept.withColumn("part", F.lit("kept")).unionByName(chosen.withColumn("part", F.lit("chosen")))
 
 

@@ -46,13 +46,32 @@ def test_smote_balances(rows):
     skewed = rows.where((F.col("engaged") == 0) | (F.col("sms_id") % 5 == 0))
     out = L.smote(skewed, FEATURES)
     n = {r.engaged: r["count"] for r in out.groupBy("engaged").count().collect()}
-    assert abs(n[1] - n[0]) < 0.1 * n[0]
+    assert n[1] == n[0]
     assert out.where("not synthetic").count() == skewed.count()
     span = skewed.where("engaged = 1").agg(F.min("x"), F.max("x")).first()
     made = out.where("synthetic").agg(F.min("x"), F.max("x")).first()
     assert span[0] <= made[0] and made[1] <= span[1]
 
 
+@pytest.mark.parametrize("rows_per_batch", [1, 2, 10_000])
+def test_smote_does_not_depend_on_batches_or_partitions(spark, rows_per_batch):
+    data = [(float(i), float(i * i % 17), int(i < 30)) for i in range(1300)] + [(0.5, 3.0, 1)] * 3
+    df = spark.createDataFrame(data, "x double, y double, engaged int")
+    plain = sorted(map(tuple, L.smote(df, ["x", "y"]).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        again = sorted(map(tuple, L.smote(df.repartition(rows_per_batch % 5 + 1), ["x", "y"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert again == plain and sum(r[2] for r in plain) == 1270
+
+
+def test_smote_of_three_rows_is_exact(spark):
+    df = spark.createDataFrame([(float(i), int(i < 3)) for i in range(10)], "x double, engaged int")
+    assert L.smote(df, ["x"]).where("synthetic").count() == 4
+
+
 def test_message_classifier(spark):
     kinds = {"OTP": "votre code est", "Livraison": "votre colis arrive", "Promotion": "promo soldes remise"}
     m = spark.createDataFrame([(f"{k}{i}", f"{t} {i}", k) for k, t in kinds.items() for i in range(30)], "message_id string, message string, kind string")

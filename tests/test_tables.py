@@ -92,12 +92,11 @@ def test_curve_areas(spark):
     assert out.pr_auc == pytest.approx(ap)
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_routes(spark, inline):
+def test_routes(spark):
     messages = spark.createDataFrame(
         [(1, "G1", "BANK", "+21620000000"), (2, "G3", "SHOP", "+44"), (3, "G9", "X", "+44"), (4, "G2", "BANK", "+21621000000"), (5, "G9", "X", "+331")],
         "message_id long, group_id string, alpha_header string, destination string")
-    out = routing.match_routes(messages, X.routes(spark), max_inline=inline)
+    out = routing.match_routes(messages, X.routes(spark))
     assert {r.message_id: r.route_id for r in out.collect()} == {1: "r2", 2: "r5", 3: "r8", 4: "r3", 5: "r7"}
 
 
@@ -185,11 +184,10 @@ def test_state_versions(spark, tmp_path):
     assert [r.alpha for r in tables.load_bandit_state(spark, path).collect()] == [2.0]
 
 
-def test_bulk_limit(spark):
-    df = spark.createDataFrame([(1, 1)], "user_id int, contact_id int")
-    with pytest.raises(ValueError):
-        P.select_contacts(df, 1, list(range(3001)))
-    assert P.select_contacts(df, 1, [1]).count() == 1 and P.select_contacts(df, 1, [1], keep=False).count() == 0
+def test_bulk_selection_of_any_size(spark):
+    df = spark.createDataFrame([(1, 1), (1, 4000), (2, 1), (None, 1)], "user_id int, contact_id int")
+    asked = spark.range(1, 5000).selectExpr("1 AS user_id", "CAST(id AS INT) AS contact_id")
+    assert P.select_contacts(df, asked).count() == 2 and P.select_contacts(df, asked, keep=False).count() == 2
 
 
 def test_recommender_is_saved_by_language(spark, tmp_path):

@@ -52,13 +52,12 @@ def walk(window, start, end):
     if cursor.hour < lo:
         cursor = cursor.replace(hour=lo)
     hours, steps = [], 0
-    while cursor <= end and steps < 720:
+    while cursor <= end:
         if lo <= cursor.hour <= hi:
             hours.append(cursor.hour)
             cursor += dt.timedelta(hours=1)
         else:
             cursor = (cursor + dt.timedelta(days=1)).replace(hour=lo) if cursor.hour > hi else cursor.replace(hour=lo)
-        steps += 1
     return hours
 
 
