@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from smsight.session import written  # noqa: F401  (operators take it from here)
 
@@ -34,6 +35,12 @@ def by_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def least_hash(hashes: DataFrame, rows: int) -> int | None:
+    """The hash up to which ``rows`` distinct ones of a column of hashes lie: a bounded sample without moving texts."""
+    least = hashes.toDF("h").where("h IS NOT NULL").distinct().orderBy("h").limit(rows)
+    return least.agg(F.max("h").alias("h")).first()["h"]
+
+
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 

@@ -9,7 +9,7 @@ Bytes become symbols first: A-Z as a-z, digits, spaces and other ASCII character
 one. Since statistics are frozen, the code length of a byte after its context is a number that can be worked out before:
 dense tables hold it for contexts up to order 2, and for those of order 3 that were seen ``LEAST_COUNT`` times or more.
 
-Training reads at most ``PER_LANGUAGE`` rows of each language (those with the least hash of the id), and counts their first
+Training reads ``PER_LANGUAGE`` different rows of each language (those with the least hashes), and counts their first
 ``TRAIN_BYTES`` bytes each, so that one long text does not stand for a language; scoring reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal code lengths go to the lesser name;
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smsight.llm.frames import by_slices
+from smsight.llm.frames import by_slices, least_hash
 from smsight.llm.words import text_bytes
 
 PER_LANGUAGE = 400
@@ -118,12 +118,14 @@ def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     languages = sorted(r[0] for r in rows.select(F.col(lang_col).cast("string")).distinct().collect())
     if not languages:
         return Model([], np.zeros(1, np.int32), np.zeros((1, 1), np.float32), np.zeros((1, 1), np.float32))
+    hashed = rows.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
     picked = None
     for name in languages:
-        some = rows.where(F.col(lang_col) == name).select(
-            F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.lit(name).alias("lang"), F.substring(
-                F.encode(F.col(text_col).cast("string"), "UTF-8"), 1, TRAIN_BYTES).alias("head")).orderBy("h", "head").limit(per_language)
-        picked = some if picked is None else picked.unionByName(some)
+        up_to = least_hash(hashed.where(F.col(lang_col) == name).select("h"), per_language)
+        some = (F.col(lang_col) == name) & (F.col("h") <= up_to)
+        picked = some if picked is None else picked | some
+    head = F.substring(F.encode(F.col(text_col).cast("string"), "UTF-8"), 1, TRAIN_BYTES)
+    sample = hashed.where(picked).groupBy("h", F.col(lang_col).cast("string").alias("lang")).agg(F.first(head).alias("head"))
     number = {name: i for i, name in enumerate(languages)}
 
     def tally(batches):
@@ -139,7 +141,7 @@ def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             code, n = np.unique(code, return_counts=True)
             yield pa.record_batch({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    counts = picked.select("lang", "head").mapInArrow(tally, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "head").mapInArrow(tally, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().to_numpy(np.int64)  # contexts of a bounded sample
     short, long, seen = [], [], []
     for i in range(len(languages)):

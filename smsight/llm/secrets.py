@@ -5,7 +5,7 @@ match" as two arrays of equal length; running sums of their lengths give code po
 
 Model: first-order transitions between the characters of an alphabet (anything else is one more), with a begin and an end,
 smoothed by ``SMOOTH``. Random strings are drawn by hash functions (hexadecimal, base 64, upper case and digits); ordinary
-identifiers are the words, and joined words, of at most ``SAMPLE_ROWS`` rows with the least hash of their text. A candidate
+identifiers are the words, and joined words, of the ``SAMPLE_ROWS`` texts with the least hashes. A candidate
 is a run of ``[A-Za-z0-9+/_=-]`` with 20 or more characters; it is a secret if the log-likelihood ratio is at least
 ``LEAST_RATIO`` for each of its characters in the mean and it does not overlap a span found by a pattern.
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from smsight.llm.frames import least_hash
+
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|""" \
          r"""[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -100,8 +102,9 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
 
 def ordinary_strings(documents: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Words of a bounded sample of rows, alone, as written, and joined with their successors as identifiers are."""
-    some = documents.select(F.col(text_col).cast("string").alias("text")).where("text is not null").orderBy(
-        F.xxhash64("text"), "text").limit(rows)
+    texts = documents.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    up_to = least_hash(texts.select("h"), rows)
+    some = texts.where(F.col("h") <= F.lit(up_to)).groupBy("h").agg(F.first("text").alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"([A-Za-z]+)"), F.lit(1))
     some = some.select(words.alias("w"))
     joined = F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws("_", a, b)))
