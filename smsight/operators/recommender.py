@@ -280,11 +280,22 @@ def top_recent_words(scores: DataFrame, k: int = 10, reference_formula: bool = F
     return scores.select("word", total.alias("score")).orderBy(F.col("score").desc(), "word").limit(k)
 
 
+def served_by(lang: Column, words: DataFrame, languages: list[str] | None = None) -> Column:
+    """The language whose model serves ``lang``: itself if it has one (words, or a name in ``languages``), else French."""
+    if languages is not None:
+        return F.when(lang.isin(languages), lang).otherwise("fr")
+    known = words.agg(F.collect_set("lang")).scalar()  # a set of languages, not of words
+    return F.when(F.array_contains(known, lang), lang).otherwise("fr")
+
+
 def apply_feedback(words: DataFrame, feedback: DataFrame, weight: int = V.FEEDBACK_FREQ) -> DataFrame:
-    """Lexicon with every selected word's frequency raised; each event id counts once."""
+    """Lexicon with every selected word's frequency raised; each event id counts once.
+
+    A selection in a language without words raises the French ones.
+    """
     events = feedback.groupBy("event_id").agg(F.min(F.struct("partial_text", "selected_word")).alias("_e"))
-    lang = T.detect_language(F.col("_e.partial_text"))
-    raised = events.select(lang.alias("lang"), F.col("_e.selected_word").alias("word")).groupBy("lang", "word").agg(
+    raised = events.select(T.detect_language(F.col("_e.partial_text")).alias("_l"), F.col("_e.selected_word").alias("word")).select(
+        served_by(F.col("_l"), words).alias("lang"), "word").groupBy("lang", "word").agg(
         (F.count("*") * weight).alias("freq"))
     return words.select("lang", "word", "freq").unionByName(raised).groupBy("lang", "word").agg(F.sum("freq").alias("freq"))
 
@@ -300,10 +311,9 @@ def rank_suggestions(
 
     ``0.4 * freq / max freq + 0.6 * probability``, plus ``0.3 * boost`` for selected words;
     scores below 0.001 are dropped.  Ties go to the smaller word.  ``languages`` names those
-    with a model; others are served by the French one.
+    with a model (those of ``words`` unless given); others are served by the French one.
     """
-    used = F.col("lang") if languages is None else F.when(
-        F.col("lang").isin(languages), F.col("lang")).otherwise("fr")
+    used = served_by(F.col("lang"), words, languages)
     ctx = written(contexts.select(*CONTEXT).distinct(), "contexts").withColumns({"_asked": F.col("lang"), "lang": used}).withColumn(
         "_completing", (F.col("mode") == "autocomplete") & (F.col("current_word") != ""))
     typed = ctx.where("_completing").select(*CONTEXT, "_asked", F.col("current_word").alias("prefix"))
@@ -339,14 +349,17 @@ def recommend(
     requests: DataFrame, words: DataFrame, model: NgramModel, boosts: DataFrame | None = None, top_k: int = 5,
     languages: list[str] | None = None,
 ) -> DataFrame:
-    """Ranked suggestions per request; equal contexts are ranked once."""
+    """Ranked suggestions per request; equal contexts are ranked once.
+
+    A request without suggestions stays, with rank, word and score null.
+    """
     asked = typing_context(requests)
     ranked = rank_suggestions(asked, words, model, boosts, top_k, languages)
     same = F.lit(True)
     for c in CONTEXT:
         same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
     answers = ranked.withColumnsRenamed({c: f"_r_{c}" for c in CONTEXT})
-    return asked.join(answers, same).select("request_id", "mode", "lang", "rank", "word", "score")
+    return asked.join(answers, same, "left").select("request_id", "mode", "lang", "rank", "word", "score")
 
 
 def evaluate_recommender(texts: DataFrame, model: NgramModel, top_k: int = 5, languages: list[str] | None = None) -> DataFrame:

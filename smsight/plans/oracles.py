@@ -406,15 +406,16 @@ FROM (SELECT x.mode, x.lang, x.current_word, x.prev2, x.prev1, x.word, round(coa
 WHERE score >= 0.001 QUALIFY rank <= 5"""
 SQL["rank_suggestions"] = f"SELECT * EXCLUDE (score, rank), rank::INTEGER AS rank, round(score, 4) AS score FROM ({_RANKED})"
 SQL["recommend"] = f"""
-SELECT t.request_id, t.mode, t.lang, rank::INTEGER AS rank, r.word, round(r.score, 4) AS score
-FROM typed t JOIN ({_RANKED}) r ON r.mode = t.mode AND r.lang = t.lang AND r.current_word = t.current_word
+SELECT t.request_id, t.mode, t.lang, coalesce(rank, 0)::INTEGER AS rank, coalesce(r.word, '') AS word, coalesce(round(r.score, 4), 0) AS score
+FROM typed t LEFT JOIN ({_RANKED}) r ON r.mode = t.mode AND r.lang = t.lang AND r.current_word = t.current_word
   AND r.prev2 = coalesce(t.prev2, '') AND r.prev1 = coalesce(t.prev1, '')"""
 SQL["feedback_decay"] = "SELECT word, round(boost, 6) AS boost, n_events FROM feedback_boosts"
 SQL["recent_feedback"] = "SELECT selected_word, count(*) AS n FROM word_feedback WHERE created_at > TIMESTAMP '2024-01-03' GROUP BY 1"
 SQL["top_recent_words"] = "SELECT word, round(boost, 6) AS score FROM feedback_boosts ORDER BY round(boost, 6) DESC, word LIMIT 10"
 SQL["apply_feedback"] = f"""
 SELECT lang, word, sum(freq)::BIGINT AS freq FROM (SELECT lang, word, freq FROM lexicon
-  UNION ALL SELECT {language('partial_text')}, selected_word, 2 FROM word_feedback) GROUP BY 1, 2"""
+  UNION ALL SELECT CASE WHEN l IN (SELECT lang FROM lexicon) THEN l ELSE 'fr' END, selected_word, 2
+  FROM (SELECT {language('partial_text')} AS l, selected_word FROM word_feedback)) GROUP BY 1, 2"""
 SQL["recommender_eval"] = f"""
 SELECT count(*) AS total, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(count(rank) / count(*), 6) AS precision_at_k,
   CASE WHEN avg(coalesce(1.0::DOUBLE / rank, 0)) > 0.5 THEN 'excellent' WHEN avg(coalesce(1.0::DOUBLE / rank, 0)) > 0.3 THEN 'bon' ELSE 'faible' END AS verdict

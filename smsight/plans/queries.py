@@ -531,9 +531,14 @@ def _docs(spark, d) -> DataFrame:
     return R.clean_corpus(X.corpus(spark, d))
 
 
-def _model(spark, d) -> R.NgramModel:
-    """Names and counted positions are written once; every count table derives from them."""
-    docs = _docs(spark, d)
+def _cleaned(spark, d) -> DataFrame:
+    """Cleaned texts, written for a query that reads them more than once."""
+    return written(_docs(spark, d), "docs")
+
+
+def _model(spark, d, docs: DataFrame | None = None) -> R.NgramModel:
+    """Cleaned texts, names and counted positions are written once; every count table derives from them."""
+    docs = _cleaned(spark, d) if docs is None else docs
     names = written(R.named_entities(docs), "names")
     return R.ngram_model(written(R.count_ngrams(docs, names).positions, "positions"))
 
@@ -621,14 +626,17 @@ def _boosts(spark, d) -> DataFrame:
 @query
 def rank_suggestions(spark, d):
     t = R.typing_context(X.typing_requests(spark, d))
-    out = R.rank_suggestions(t, R.lexicon(_docs(spark, d)), _model(spark, d), _boosts(spark, d))
+    docs = _cleaned(spark, d)
+    out = R.rank_suggestions(t, R.lexicon(docs), _model(spark, d, docs), _boosts(spark, d))
     none = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select("mode", "lang", "current_word", none("prev2"), none("prev1"), "rank", "word", "score")
 
 
 @query
 def recommend(spark, d):
-    return R.recommend(X.typing_requests(spark, d), R.lexicon(_docs(spark, d)), _model(spark, d), _boosts(spark, d))
+    docs = _cleaned(spark, d)
+    out = R.recommend(X.typing_requests(spark, d), R.lexicon(docs), _model(spark, d, docs), _boosts(spark, d))
+    return out.na.fill({"rank": 0, "word": "", "score": 0.0})
 
 
 @query
@@ -819,7 +827,7 @@ def stream_drift(spark, d):
     decisions = e.select(
         F.concat_ws("_", X.pick(V.CAMPAIGN_TYPES, F.col("event_id")), X.pick(list(V.OPERATORS), F.col("event_id"))).alias("context_key"),
         F.col("ts").alias("decided_at"), F.when(k % 10 != 0, F.col("event_type").isin("click", "purchase")).alias("engaged"))
-    days = jobs.run_available(jobs.daily_rates(decisions, "1 day", "1 day"), mode="complete", name="drift")
+    days = jobs.run_available(jobs.daily_rates(decisions, "1 day", "1 day"), ["span", "context_key"], "drift")
     out = jobs.drift_from_days(days, F.lit(X.NOW).cast("timestamp"))
     return rounded(out.na.fill(-1.0, ["recent_rate", "older_rate"]), "recent_rate", "older_rate")
 
@@ -828,7 +836,7 @@ def stream_drift(spark, d):
 def stream_volume(spark, d):
     e = _event_stream(spark, d)
     messages = e.select(F.concat(F.lit("+216"), (F.lit(20000000) + F.col("user_id")).cast("string")).alias("msisdn"), F.col("ts").alias("send_datetime"))
-    out = jobs.run_available(jobs.recent_volume(messages, "24 hours", "24 hours"), mode="complete", name="volume")
+    out = jobs.run_available(jobs.recent_volume(messages, "24 hours", "24 hours"), ["span", "msisdn"], "volume")
     return out.select("msisdn", F.date_format("span.start", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -841,7 +849,7 @@ def stream_selections(spark, d):
         F.col("text").alias("partial_text"), F.try_element_at(T.tokenize("text"), F.lit(-1)).alias("selected_word"),
         (F.lit(X.FEEDBACK_START).cast("timestamp") + F.make_dt_interval(hours=(F.col("conv_id") % 100 + F.col("turn")).cast("int"))).alias("created_at"),
     ).where(F.col("selected_word").isNotNull())
-    out = jobs.run_available(jobs.selection_counts(feedback), mode="complete", name="selections")
+    out = jobs.run_available(jobs.selection_counts(feedback), ["span", "lang", "word"], "selections")
     return jobs.merge_selections(R.lexicon(_docs(spark, d)), out)
 
 

@@ -150,18 +150,18 @@ def load_recommender(spark: SparkSession, path: str) -> tuple[DataFrame, NgramMo
 
 
 def save_bandit_state(state: DataFrame, path: str, version: int) -> None:
-    """A snapshot per version; repeating a version replaces it."""
+    """A snapshot per version, then a pointer to it; repeating a version replaces it."""
     state.write.mode("overwrite").parquet(f"{path}/version={version:012d}")
+    state.sparkSession.range(version, version + 1).write.mode("overwrite").parquet(f"{path}/newest")
 
 
 def load_bandit_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest snapshot, or None before the first."""
+    """The newest snapshot, or None before the first; older ones are not read."""
     try:
-        all_versions = spark.read.option("basePath", path).parquet(f"{path}/version=*")
+        newest = spark.read.parquet(f"{path}/newest").first()[0]
     except AnalysisException:
         return None
-    newest = all_versions.agg(F.max("version")).first()[0]
-    return all_versions.where(F.col("version") == newest).drop("version")
+    return spark.read.parquet(f"{path}/version={newest:012d}")
 
 
 COLLECTIONS = ["campaigns", "sms_logs", "decisions", "contacts", "feedback", "routes", "templates", "groups"]

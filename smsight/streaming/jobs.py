@@ -12,7 +12,7 @@ from pyspark.sql import types as Types
 from pyspark.sql.streaming import StreamingQuery
 
 from smsight.functions import text as T, vocab as V
-from smsight.operators import bandit
+from smsight.operators import bandit, recommender
 from smsight.session import scratch_path
 from smsight.sources import tables
 
@@ -25,10 +25,12 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str] = (), name: str = "stream") -> DataFrame:
     """Process what has arrived, into a table of the shared folder, and return that table.
 
-    Each micro-batch writes its own folder, so a repeated batch replaces itself.
+    Each micro-batch writes its own folder, so a repeated batch replaces itself.  With ``keys``
+    a batch writes only the groups that it changed (update mode, so the watermark clears the
+    state), and the newest row of each group is returned; without, rows are appended.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
@@ -36,14 +38,15 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option(
+    query = stream.writeStream.foreachBatch(write).outputMode("update" if keys else "append").option(
         "checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     written = spark.read.schema(Types.StructType([*stream.schema, Types.StructField("batch", Types.IntegerType())])).option("basePath", out).parquet(f"{out}/batch=*")
-    if mode == "complete":
-        newest = written.agg(F.max("batch")).scalar()
-        return written.where(F.col("batch") == newest).drop("batch")
-    return written.drop("batch")
+    if not keys:
+        return written.drop("batch")
+    others = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
 
 # --- feedback and clicks ------------------------------------------------------------------------
@@ -115,8 +118,9 @@ def selection_counts(feedback: DataFrame, span: str = "1 hour", delay: str = "1
 
 
 def merge_selections(words: DataFrame, closed: DataFrame) -> DataFrame:
-    """Lexicon after the counts of closed hours."""
-    return words.select("lang", "word", "freq").unionByName(closed.select("lang", "word", "freq")).groupBy(
+    """Lexicon after the counts of hours; languages without words count as French."""
+    counted = closed.select(recommender.served_by(F.col("lang"), words).alias("lang"), "word", "freq")
+    return words.select("lang", "word", "freq").unionByName(counted).groupBy(
         "lang", "word").agg(F.sum("freq").alias("freq"))
 
 

@@ -145,8 +145,11 @@ def test_recommender(spark):
     out = {}
     for r in R.recommend(asked, words, model).collect():
         out.setdefault(r.request_id, []).append((r["rank"], r.word))
-    assert out[1] == [(1, "vous")] and out[2] == [(1, "colis")] and 3 not in out and out[4] == [(1, "livraison")]
+    assert out[1] == [(1, "vous")] and out[2] == [(1, "colis")] and out[3] == [(None, None)] and out[4] == [(1, "livraison")]
     assert sorted(out[5]) == [(1, "ici"), (2, "la")]
+    german = spark.createDataFrame([(1, "ich und der die das rendez ", "vous", "e1")], "id int, partial_text string, selected_word string, event_id string")
+    raised = {(r.lang, r.word): r.freq for r in R.apply_feedback(words.where("lang = 'fr'"), german).collect()}
+    assert {lang for lang, _ in raised} == {"fr"} and raised["fr", "vous"] > 3
 
 
 def test_names_are_masked_and_leaks_dropped(spark):
