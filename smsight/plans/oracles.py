@@ -508,6 +508,10 @@ SELECT round({_F1}, 6) AS f1_best, round(coalesce(min(threshold) FILTER (WHERE p
 SQL["adaptive_thresholds"] = f"""
 SELECT nlp_type_reel, max(total) AS n_rows, round(coalesce(min(threshold) FILTER (WHERE precision >= 0.42::DOUBLE), {_F1}), 6) AS threshold,
   count(*) FILTER (WHERE precision >= 0.42::DOUBLE) > 0 AS reached FROM ({_curve('nlp_type_reel')}) WHERE total > 50 GROUP BY 1"""
+SQL["balanced_training_rows"] = """
+SELECT engaged, false AS synthetic, count(*) AS n FROM sms_log GROUP BY 1
+UNION ALL SELECT if(2 * p <= total, 1, 0), true, abs(total - 2 * p) FROM (
+  SELECT CAST(sum(engaged) AS BIGINT) AS p, count(*) AS total FROM sms_log) WHERE 2 * p <> total"""
 SQL["stratified_folds"] = """
 SELECT sms_id, engaged, CAST((row_number() OVER (PARTITION BY engaged ORDER BY md5(CAST(sms_id AS VARCHAR) || ':42'), sms_id) - 1) % 5 AS INTEGER) AS fold FROM sms_log"""
 
