@@ -35,7 +35,7 @@ from smsight.llm.words import SPACED, Words, mix, shingles
 
 FREQUENT_FROM = 16
 MOST_FREQUENT = 1 << 20  # ranks fit into 20 bits, 12 MB are broadcast
-PARITY_BITS = 512
+PARITY_BITS = 256
 _TOP = np.uint64(1 << 63)
 
 
@@ -214,7 +214,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
                                                   F.first("parity").alias("parity")), "classes")
 
     groups = rows.where("n > 0").groupBy("gkey", "n").agg(F.first("prefix").alias("prefix"))
-    entries = groups.select("gkey", "n", F.posexplode("prefix").alias("pos", "code"))
+    entries = groups.select("gkey", "n", "prefix", F.posexplode("prefix").alias("pos", "code")).withColumn(
+        "last", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1))).drop("prefix")
     # codes that are not frequent have few rows each, so a window over them is safe; frequent ones need no count
     alone = F.count(F.lit(1)).over(Window.partitionBy("code"))
     index = _kept(
@@ -242,15 +243,13 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     label = components(links)
     placed = _kept(member.join(label, member.digest == label.node, "left")
                      .select("gkey", "n", "digest", "parity", F.coalesce("label", "digest").alias("label")), "placed")
-    heads = groups.select(F.col("gkey").alias("head_of"), F.col("n").alias("head_n"), "prefix")
+    number = F.xxhash64("label")  # labels are only compared here
     of_group = placed.groupBy("gkey", "n").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.min(number).alias("low"), F.max(number).alias("high"),
         F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))  # of a group of one class
     spread = index.join(of_group, ["gkey", "n"])
     open_codes = spread.groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("code")
-    open_rows = spread.join(open_codes, "code")
-    open_rows = _kept(open_rows.join(heads, (F.col("gkey") == F.col("head_of")) & (F.col("n") == F.col("head_n"))).select(
-        *open_rows.columns, F.slice("prefix", F.lit(1), F.col("pos")).alias("head")), "open")
+    open_rows = _kept(spread.join(open_codes, "code"), "open")
     sizes = open_rows.groupBy("code", "low").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("code").agg(F.max_by("low", F.struct("k", "low")).alias("major"))
     minor = open_rows.join(major, "code").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("major")))
@@ -258,7 +257,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
             .where(_enough(percent, "x", "y") & _room(percent, "x", "y")
                    & _near(percent, F.col("x.parity"), F.col("y.parity"), F.col("x.n") + F.col("y.n"))
                    & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
-                   & ~F.arrays_overlap("x.head", "y.head"))  # a pair is made at its first common code
+                   & ~F.coalesce(F.col("x.last") == F.col("y.last"), F.lit(False)))  # else the pair has been made at the code before
             .select(F.col("x.gkey").alias("gkey"), F.col("x.n").alias("n"), F.col("y.gkey").alias("g2"), F.col("y.n").alias("n2"))
             .unionByName(of_group.where("low != high").select("gkey", "n", F.col("gkey").alias("g2"), F.col("n").alias("n2"))).distinct())
     x = placed.select("gkey", "n", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("parity").alias("pa"))
