@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smsight.llm.words import slices
+
 
 @dataclass(frozen=True)
 class Template:
@@ -68,7 +70,7 @@ def format_conversations(conversations: DataFrame, template: Template = CHATML,
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, state, number = object(), template.start, 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv != here:
@@ -102,7 +104,7 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = object(), None
-        for batch in batches:
+        for batch in slices(batches, "text"):
             done = []
             for conv, part, text, loss, error in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "text", "loss", "error"))):
                 if conv != here:
