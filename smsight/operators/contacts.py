@@ -35,21 +35,25 @@ def import_contacts(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
     Rows have ``row_number, user_id, phone, first_name, last_name, email``.  The first row of a
     number wins inside the file (found by a grouped minimum, so one number repeated in a third
-    of the file stays cheap), and a number the user already has is a duplicate.
+    of the file stays cheap), and a number the user already has is a duplicate.  Names and mail addresses are trimmed; a row
+    without any field is an error of its own.
     """
-    parsed = rows.withColumns({"raw_phone": F.trim("phone"), "phone": normalize_phone(F.col("phone"))})
+    fields = {c: F.trim(c) for c in ("first_name", "last_name", "email")}
+    blank = F.coalesce(F.concat_ws("", F.trim("phone"), *fields.values()), F.lit("")) == ""
+    parsed = rows.withColumns({"raw_phone": F.trim("phone"), "phone": normalize_phone(F.col("phone")), "_blank": blank, **fields})
     first = parsed.where(F.col("phone").isNotNull()).groupBy("user_id", "phone").agg(F.min("row_number").alias("_first"))
     known = existing.select("user_id", "phone").distinct().withColumn("_known", F.lit(True))
     status = first.join(known, ["user_id", "phone"], "left")
     bad = parsed.where(F.col("phone").isNull()).withColumns({
         "outcome": F.lit("error"),
-        "reason": F.concat(F.lit("Invalid phone number format: "), F.coalesce("raw_phone", F.lit("")))})
+        "reason": F.when(F.col("_blank"), "Empty row").otherwise(
+            F.concat(F.lit("Invalid phone number format: "), F.coalesce("raw_phone", F.lit(""))))})
     good = parsed.where(F.col("phone").isNotNull()).join(status, ["user_id", "phone"]).withColumns({
         "outcome": F.when(F.col("_known") | (F.col("row_number") > F.col("_first")), "duplicate").otherwise("accepted"),
         "reason": F.lit(None).cast("string"),
     }).drop("_first", "_known")
     good = good.withColumn("outcome", F.when(F.col("outcome").isNull(), "accepted").otherwise(F.col("outcome")))
-    return good.unionByName(bad).withColumn("country", F.when(F.col("phone").isNotNull(), country_of(F.col("phone"))))
+    return good.unionByName(bad).drop("_blank").withColumn("country", F.when(F.col("phone").isNotNull(), country_of(F.col("phone"))))
 
 
 def import_summary(outcomes: DataFrame) -> DataFrame:

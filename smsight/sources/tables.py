@@ -72,10 +72,14 @@ def with_row_numbers(df: DataFrame, column: str = "row_number", start: int = 1)
 
 
 def read_contact_rows(spark: SparkSession, path: str, user_id: int | str) -> DataFrame:
-    """Rows of a contact file: header skipped, columns by position, numbered from 2."""
-    rows = spark.read.schema(CONTACT_ROW).option("header", True).option("enforceSchema", True).option(
-        "mode", "PERMISSIVE").csv(path)
-    return with_row_numbers(rows, start=2).withColumn("user_id", F.lit(user_id))
+    """Rows of a contact file: header skipped, columns by position, numbered by line from 2.
+
+    Lines are read as text first, so blank ones keep their number and come out without fields.
+    """
+    lines = with_row_numbers(spark.read.text(path)).where(F.col("row_number") > 1)
+    fields = F.from_csv("value", CONTACT_ROW, {"mode": "PERMISSIVE"})
+    return lines.select("row_number", F.when(F.trim("value") != "", fields).alias("_r")).select(
+        "_r.*", "row_number").withColumn("user_id", F.lit(user_id))
 
 
 def write_timing_results(results: DataFrame, path: str, metrics: DataFrame | None = None) -> None:

@@ -110,11 +110,14 @@ def test_downtime_runs_across_days(spark):
 
 def test_import_file(spark, tmp_path):
     path = tmp_path / "contacts.csv"
-    path.write_text("phone,first,last,email\n+216 20-000-001,A,B,a@b\nbad,C\n+21620000001,D\n+21620000002\n")
+    path.write_text("phone,first,last,email\n+216 20-000-001, A ,B, a@b \nbad,C\n\n+21620000001,D\n+21620000002\n , ,\n")
     rows = tables.read_contact_rows(spark, str(path), 1)
     known = spark.createDataFrame([(1, "+21620000002")], "user_id int, phone string")
-    out = {r.row_number: (r.outcome, r.country) for r in P.import_contacts(rows, known).collect()}
-    assert out == {2: ("accepted", "TN"), 3: ("error", None), 4: ("duplicate", "TN"), 5: ("duplicate", "TN")}
+    found = {r.row_number: r for r in P.import_contacts(rows, known).collect()}
+    assert {n: (r.outcome, r.country) for n, r in found.items()} == {
+        2: ("accepted", "TN"), 3: ("error", None), 4: ("error", None), 5: ("duplicate", "TN"), 6: ("duplicate", "TN"), 7: ("error", None)}
+    assert (found[2].first_name, found[2].email) == ("A", "a@b")
+    assert [found[n].reason for n in (3, 4, 7)] == ["Invalid phone number format: bad", "Empty row", "Empty row"]
 
 
 def test_audience_sizes_equal_the_list(spark):
