@@ -31,9 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS)
     found = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return kept.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # of a null id: the empty string, which no id is
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
+    # one exchange of the texts serves the join and the removal of identical rows
+    kept = docs.withColumn("key", key).join(first, "key", "left_semi").withColumn("same", F.xxhash64("text"))
+    return kept.dropDuplicates(["key", "same"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
