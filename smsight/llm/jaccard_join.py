@@ -213,6 +213,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
                                                   F.min("n").alias("n"), F.min("gkey").alias("gkey"),
                                                   F.first("parity").alias("parity")), "classes")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verify pairs of classes on the texts of those classes only."""
+        pairs = _kept(_ordered(pairs), "pairs")
+        asked = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+        chosen = _kept(classes.join(asked, "digest", "left_semi").select("digest", "of.id", "of.tkey"), "chosen")
+        found = texts.join(chosen, texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text")
+        return _kept(verified(pairs, _kept(found, "candidates"), size, percent), "links")
+
     groups = rows.where("n > 0").groupBy("gkey", "n").agg(F.first("prefix").alias("prefix"))
     entries = groups.select("gkey", "n", "prefix", F.posexplode("prefix").alias("pos", "code")).withColumn(
         "last", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1))).drop("prefix")
@@ -222,10 +230,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         entries.where("code >= 0").withColumn("k", alone).where("k > 1").drop("k").unionByName(entries.where("code < 0")), "index")
 
     member = classes.select("gkey", "n", "digest", "parity")
-    several = member.groupBy("gkey", "n").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("first"))
-    wanted = index.select("gkey", "n").distinct().unionByName(several.where("k > 1").select("gkey", "n")).distinct()
-    chosen = classes.join(wanted, ["gkey", "n"], "left_semi").select("digest", F.col("of.id").alias("id"), F.col("of.tkey").alias("tkey"))
-    kept = _kept(texts.join(chosen, texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text"), "candidates")
+    several = member.groupBy("gkey", "n").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("digest", "parity")).alias("first"))
 
     # stars: every class with the first of its group, the first of every group with the leader of its code
     # the leader has the fewest rarer codes, so of copies it is the one with the fewest changes
@@ -233,11 +238,13 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     star = (index.alias("x").join(lead.alias("y"), "code")
             .where((F.col("x.gkey") != F.col("y.gkey")) & _enough(percent, "x", "y") & _room(percent, "x", "y"))
             .select(F.col("x.gkey").alias("gkey"), F.col("x.n").alias("n"), F.col("y.gkey").alias("g2"), F.col("y.n").alias("n2")).distinct())
-    first = several.select("gkey", "n", "first")
-    second = several.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("first").alias("b"))
-    pairs = (star.join(first.withColumnRenamed("first", "a"), ["gkey", "n"]).join(second, ["g2", "n2"]).select("a", "b")
-             .unionByName(member.join(several.where("k > 1"), ["gkey", "n"]).select(F.col("digest").alias("a"), F.col("first").alias("b"))))
-    links = _kept(verified(_ordered(pairs), kept, size, percent), "links")
+    one = several.select("gkey", "n", F.col("first.digest").alias("a"), F.col("first.parity").alias("pa"))
+    two = several.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("first.digest").alias("b"), F.col("first.parity").alias("pb"))
+    near = _near(percent, F.col("pa"), F.col("pb"), F.col("n") + F.col("n2"))
+    pairs = star.join(one, ["gkey", "n"]).join(two, ["g2", "n2"]).where(near).select("a", "b").unionByName(
+        member.join(several.where("k > 1"), ["gkey", "n"]).where(_near(percent, F.col("parity"), F.col("first.parity"), 2 * F.col("n")))
+        .select(F.col("digest").alias("a"), F.col("first.digest").alias("b")))
+    links = linked(pairs)
 
     # what is left: codes, and groups, whose classes lie in several components
     label = components(links)
@@ -263,8 +270,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     x = placed.select("gkey", "n", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("parity").alias("pa"))
     y = placed.select(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("digest").alias("b"), F.col("label").alias("label_b"), F.col("parity").alias("pb"))
     pairs = rest.join(x, ["gkey", "n"]).join(y, ["g2", "n2"]).where(
-        (F.col("label_a") != F.col("label_b")) & _near(percent, F.col("pa"), F.col("pb"), F.col("n") + F.col("n2"))).select("a", "b")
-    links = links.unionByName(_kept(verified(_ordered(pairs), kept, size, percent), "links"))
+        (F.col("label_a") != F.col("label_b")) & near).select("a", "b")
+    links = links.unionByName(linked(pairs))
 
     label = components(links)
     named = classes.select("digest", "least").join(label, F.col("digest") == F.col("node"), "left").select(
