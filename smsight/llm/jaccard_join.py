@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from smsight.llm.components import components
-from smsight.llm.frames import binary, by_slices, lists, release, written
+from smsight.llm.frames import Scratch, binary, by_slices, lists
 from smsight.llm.words import SPACED, Words, mix, shingles
 
 FREQUENT_FROM = 16
@@ -46,7 +46,7 @@ def _distinct(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value >> np.uint64(1), begins
 
 
-def frequent_codes(texts: DataFrame, size: int, from_count: int = FREQUENT_FROM, most: int = MOST_FREQUENT) -> np.ndarray:
+def frequent_codes(texts: DataFrame, size: int, scratch: Scratch, from_count: int = FREQUENT_FROM, most: int = MOST_FREQUENT) -> np.ndarray:
     """Fingerprints of the most frequent shingles, rarer ones first."""
     spark = texts.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,7 +89,7 @@ def frequent_codes(texts: DataFrame, size: int, from_count: int = FREQUENT_FROM,
             yield pa.record_batch({"print": pa.array(prints[many].astype(np.int64)), "n": pa.array(counts[many])})
 
     dealt = by_slices(texts, "text", fingerprints, "part int, prints binary, counts binary").repartition(parts, "part")
-    counted = _kept(dealt.mapInArrow(tally, "print bigint, n bigint"), "frequent")
+    counted = scratch.keep(dealt.mapInArrow(tally, "print bigint, n bigint"), "frequent")
     scale = F.floor(F.log2("n")).cast("int").alias("scale")
     least, room = None, most
     for row in counted.groupBy(scale).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("scale")).collect():
@@ -189,13 +189,6 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return by_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), "text_a", check, "a binary, b binary")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and let go of the shuffles that it took."""
-    out = written(df, name)
-    release(df.sparkSession)
-    return out
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
@@ -205,28 +198,33 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     if not 1 <= percent <= 100 or size < 1:
         raise ValueError("percent lies in 1..100, a shingle has at least one word")
     spark = documents.sparkSession
+    scratch, result = Scratch(spark), Scratch(spark)
+    keep = scratch.keep
     texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(Order(frequent_codes(texts.select("text"), size)))
-    rows = _kept(signatures(texts, order, size, percent), "signatures")
-    classes = _kept(
+    order = spark.sparkContext.broadcast(Order(frequent_codes(texts.select("text"), size, scratch)))
+    rows = keep(signatures(texts, order, size, percent), "signatures")
+    classes = keep(
         rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "tkey")).alias("of"), F.min("id").alias("least"),
                                                   F.min("n").alias("n"), F.min("gkey").alias("gkey"),
                                                   F.first("parity").alias("parity")), "classes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Verify pairs of classes on the texts of those classes only."""
-        pairs = _kept(_ordered(pairs), "pairs")
+        part = Scratch(spark)
+        pairs = part.keep(_ordered(pairs), "pairs")
         asked = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        chosen = _kept(classes.join(asked, "digest", "left_semi").select("digest", "of.id", "of.tkey"), "chosen")
-        found = texts.join(chosen, texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text")
-        return _kept(verified(pairs, _kept(found, "candidates"), size, percent), "links")
+        chosen = part.keep(classes.join(asked, "digest", "left_semi").select("digest", "of.id", "of.tkey"), "chosen")
+        found = texts.join(chosen.hint("merge"), texts.id.eqNullSafe(chosen.id) & (texts.tkey == chosen.tkey)).select("digest", "text")
+        links = keep(verified(pairs, part.keep(found, "candidates"), size, percent), "links")
+        part.drop()
+        return links
 
     groups = rows.where("n > 0").groupBy("gkey", "n").agg(F.first("prefix").alias("prefix"))
     entries = groups.select("gkey", "n", "prefix", F.posexplode("prefix").alias("pos", "code")).withColumn(
         "last", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1))).drop("prefix")
     # codes that are not frequent have few rows each, so a window over them is safe; frequent ones need no count
     alone = F.count(F.lit(1)).over(Window.partitionBy("code"))
-    index = _kept(
+    index = keep(
         entries.where("code >= 0").withColumn("k", alone).where("k > 1").drop("k").unionByName(entries.where("code < 0")), "index")
 
     member = classes.select("gkey", "n", "digest", "parity")
@@ -247,8 +245,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     links = linked(pairs)
 
     # what is left: codes, and groups, whose classes lie in several components
-    label = components(links)
-    placed = _kept(member.join(label, member.digest == label.node, "left")
+    label = components(links, keep)
+    placed = keep(member.join(label, member.digest == label.node, "left")
                      .select("gkey", "n", "digest", "parity", F.coalesce("label", "digest").alias("label")), "placed")
     number = F.xxhash64("label")  # labels are only compared here
     of_group = placed.groupBy("gkey", "n").agg(
@@ -256,7 +254,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))  # of a group of one class
     spread = index.join(of_group, ["gkey", "n"])
     open_codes = spread.groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("code")
-    open_rows = _kept(spread.join(open_codes, "code"), "open")
+    open_rows = keep(spread.join(open_codes, "code"), "open")
     sizes = open_rows.groupBy("code", "low").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("code").agg(F.max_by("low", F.struct("k", "low")).alias("major"))
     minor = open_rows.join(major, "code").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("major")))
@@ -273,11 +271,13 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         (F.col("label_a") != F.col("label_b")) & near).select("a", "b")
     links = links.unionByName(linked(pairs))
 
-    label = components(links)
+    label = components(links, keep)
     named = classes.select("digest", "least").join(label, F.col("digest") == F.col("node"), "left").select(
         "digest", "least", F.coalesce("label", "digest").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = named.join(least, "label").select("digest", "component_id")
-    return rows.select("id", "n", "digest").join(known, "digest", "left").select(
+    out = result.keep(rows.select("id", "n", "digest").join(known, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    scratch.drop()
+    return out
