@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -129,6 +130,32 @@ def test_every_row_is_mixed_once(spark, max_streams):
     assert slots == list(range(10 + 4 + 1))
 
 
+@pytest.mark.parametrize("weights", [{"hot": 0.9, **{f"s{k:02d}": 0.1 / 19 for k in range(19)}},
+                                     {"hot": (1 / 3) ** 0.5, **{f"s{k:02d}": (2 / 57) ** 0.5 for k in range(19)}}, {"a": 0.3, "b": 0.3, "c": 0.3, "d": 0.1}])
+def test_many_frames_deviate_by_less_than_a_block_from_the_weights(weights):
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    slots, n = {}, 20 * 64
+    for p in mixing.plan({s: int(10 * n * w) + 1 for s, w in exact.items()}, weights, block_rows=1, frame=64):
+        slots |= {p.begin + place: p.stream for place in p.places}
+    given = Counter()
+    for t in range(10 * n):
+        given[slots[t]] += 1
+        assert all(abs(given[s] - w * (t + 1)) < 1 for s, w in exact.items())
+
+
+def test_streams_end_in_the_fluid_mix_and_every_source_is_one(spark):
+    fluid = mixing.Fluid({"a": 40, "b": 9, "c": 1, "d": 17}, {"a": 0.2, "b": 0.5, "c": 0.01, "d": 0.29})
+    rows = list(mixing.schedule(fluid, [0] * 4, 0, 67))
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in rows)
+    assert sorted((k, i) for k, i, *_ in rows) == [(k, i) for k, n in enumerate((40, 9, 1, 17)) for i in range(n)]
+    assert [x for begin, ahead in mixing.frame_states(fluid, 8)[0] for x in mixing.one_frame(fluid, 8, begin, ahead)] == rows
+    frame = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source")
+    out = mixing.mix(frame, block_rows=1).collect()
+    assert sorted(r.position for r in out) == list(range(3000))
+    assert Counter((r.source, r.block) for r in out) == Counter((f"s{k}", i) for k in range(1500) for i in range(2))
+
+
 def test_mixing_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
