@@ -2,11 +2,13 @@
 
 A path's segments are the levels of a host's tree. Numbers, hexadecimal and long mixed segments are variable from the start;
 others become a wildcard of their kind where they stand for less than ``LEAST_SHARE`` of the node or are not among its
-``MOST_CHILDREN`` most frequent ones. A level is settled before the next one, so a tree is built in ``DEPTH`` rounds, each a
-join of aggregated counts; deeper segments share one wildcard. Sibling templates of a host whose labels are statistically
-alike (the difference of their smoothed shares is within ``Z`` standard errors, and they have equal length) are merged and
-judged together. A template's purity is its good share, smoothed by ``STRENGTH`` rows at the share of its host, which is
-smoothed at that of all hosts; below ``LEAST_PURITY`` the template is rejected.
+``MOST_CHILDREN`` most frequent ones. A branch whose labels differ significantly (``KEEP_Z`` standard errors) from those of
+all others of its wildcard stays, however rare it is. A level is settled before the next one, so a tree is built in as many
+rounds as the longest path has segments, each a join of aggregated counts of the paths that go on. Sibling templates, which
+differ in their last segment only, are merged and judged together while their labels are alike: in order of their shares,
+one joins the group before it if its share lies within ``Z`` standard errors of that of all the group's labels. Templates
+without labels stay apart. A group's purity is its good share, smoothed by ``STRENGTH`` rows at the share of its host, which
+is smoothed at that of all hosts; below ``LEAST_PURITY`` its templates are rejected.
 
 A rule fits its host and all subdomains if the path starts with the rule's; the longest host and path win, a fitting rule
 decides alone. Rules are few and written down by hand; the tree decides about the rest.
@@ -18,20 +20,23 @@ often as they stand. Other columns are untouched.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from smsight.llm.frames import written
 
-DEPTH = 6
 MOST_CHILDREN = 50
 LEAST_SHARE = 0.01
 STRENGTH = 5.0
 LEAST_PURITY = 0.5
 Z = 1.0
+KEEP_Z = 2.0
 
 
 @dataclass(frozen=True)
@@ -87,51 +92,95 @@ def _first(segment: Column) -> Column:
     return F.when(segment.rlike(r"[0-9]"), kind_of(segment)).otherwise(segment)
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
+def shape_of(path: Column) -> Column:
     """The segments of a path with variable ones replaced; empty ones at the end say that it ended with ``/``."""
-    parts = F.slice(F.split(F.substring(path, 2, 1 << 30), "/"), 1, depth)
-    more = F.size(F.split(path, "/")) > depth + 1
-    parts = F.transform(parts, _first)
-    return F.when(F.length(path) == 0, F.array().cast("array<string>")).when(more, F.concat(parts, F.array(F.lit("{rest}")))).otherwise(parts)
+    parts = F.transform(F.split(F.substring(path, 2, 1 << 30), "/"), _first)
+    return F.when(F.length(path) == 0, F.array().cast("array<string>")).otherwise(parts)
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, most_children: int = MOST_CHILDREN, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, shape, template) for counted shapes (host, shape, n): wildcards level by level."""
-    tree = shapes.select("host", "shape", "n", F.array().cast("array<string>").alias("template"))
-    deepest = shapes.agg(F.max(F.size("shape")).alias("k")).first()["k"] or 0
-    for level in range(min(depth, deepest)):
+def _differ(good: Column, bad: Column, pool_good: Column, pool_bad: Column, z: float) -> Column:
+    """Whether the shares of two sets of labels differ by more than ``z`` standard errors (corrected for continuity)."""
+    n, m = good + bad, pool_good + pool_bad
+    share = (good + pool_good) / (n + m)
+    gap = F.abs(good / n - pool_good / m) - (1 / n + 1 / m) / 2
+    return F.when((n > 0) & (m > 0), (gap > 0) & (gap > z * F.sqrt(share * (1 - share) * (1 / n + 1 / m)))).otherwise(False)
+
+
+def templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, least_share: float = LEAST_SHARE, keep_z: float = KEEP_Z) -> DataFrame:
+    """(host, shape, template) for counted shapes (host, shape, n, good, bad): wildcards level by level."""
+    tree = shapes.select("host", "shape", "n", "good", "bad", F.array().cast("array<string>").alias("template"))
+    lengths = sorted(r.k for r in shapes.select(F.size("shape").alias("k")).distinct().collect())
+    ended = [tree.where(F.size("shape") == 0).select("host", "shape", "template")]
+    for level in range(lengths[-1] if lengths else 0):
+        tree = tree.where(F.size("shape") > level)
         segment = F.get("shape", F.lit(level))
-        node = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("k"))
-        whole = node.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.sum("k").alias("all"))
-        # a node keeps at most 1 / least_share children by their share, so the window over them is small at any size
-        kept = node.join(whole, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).where(F.col("k") >= least_share * F.col("all"))
-        place = F.row_number().over(Window.partitionBy("h", "t").orderBy(F.desc("k"), "segment"))
-        kept = kept.withColumn("place", place).where(F.col("place") <= most_children).select("h", "t", F.col("segment").alias("s"))
+        node = tree.groupBy(F.col("host").alias("h"), F.col("template").alias("t"), segment.alias("s")).agg(
+            F.sum("n").alias("k"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        whole = node.groupBy(F.col("h").alias("wh"), F.col("t").alias("wt")).agg(F.sum("k").alias("all"))
+        node = node.join(whole, (F.col("h") == F.col("wh")) & (F.col("t") == F.col("wt"))).drop("wh", "wt")
+        # a node has at most 1 / least_share children of that share, so the window over them is small at any size
+        large = node.where(F.col("k") >= least_share * F.col("all"))
+        place = F.row_number().over(Window.partitionBy("h", "t").orderBy(F.desc("k"), "s"))
+        large = large.withColumn("place", place).where(F.col("place") <= most_children).select("h", "t", "s")
+        small = node.join(large, ["h", "t", "s"], "left_anti").where("good + bad > 0").withColumn("kind", kind_of(F.col("s")))
+        pool = small.groupBy("h", "t", "kind").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        apart = _differ(F.col("good"), F.col("bad"), F.col("g") - F.col("good"), F.col("b") - F.col("bad"), keep_z)
+        kept = large.unionByName(small.join(pool, ["h", "t", "kind"]).where(apart).select("h", "t", "s"))
         step = tree.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s")), "left")
         own = F.when(F.col("s").isNotNull(), segment).otherwise(kind_of(segment))
-        tree = written(step.select(
-            "host", "shape", "n", F.when(segment.isNotNull(), F.concat("template", F.array(own))).otherwise(F.col("template")).alias("template")), "tree")
-    rest = F.when(F.size("shape") > depth, F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.col("template"))
-    return tree.select("host", "shape", rest.alias("template"))
+        tree = written(step.select("host", "shape", "n", "good", "bad", F.concat("template", F.array(own)).alias("template")), "tree")
+        if level + 1 in lengths:
+            ended.append(tree.where(F.size("shape") == level + 1).select("host", "shape", "template"))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _groups(z: float):
+    """Number the groups of alike siblings, which come in order of their shares: each is tested against its whole group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, good, bad = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for *parent, g, b in zip(*(batch.column(c).to_pylist() for c in ("host", "parent", "length", "good", "bad"))):
+                if parent != at:
+                    at, number, good, bad = parent, 0, g, b
+                elif not g + b or not good + bad:
+                    number, good, bad = number + (g + b > 0), g, b
+                else:
+                    n, m = g + b, good + bad
+                    share = (g + good) / (n + m)
+                    gap = abs(g / n - good / m) - (1 / n + 1 / m) / 2
+                    if gap > 0 and gap > z * math.sqrt(share * (1 - share) * (1 / n + 1 / m)):
+                        number, good, bad = number + 1, g, b
+                    else:
+                        good, bad = good + g, bad + b
+                out.append(number)
+            keys = ("host", "parent", "length", "template", "good", "bad", "host_share")
+            yield pa.record_batch({c: batch.column(c) for c in keys} | {"merged": pa.array(out, pa.int64())})
+    return run
 
 
 def judge(counts: DataFrame, strength: float = STRENGTH, z: float = Z, least_purity: float = LEAST_PURITY) -> DataFrame:
-    """(host, template, merged, purity, accept) from (host, template, n, good, bad)."""
+    """(host, template, merged, purity, accept) from (host, template, n, good, bad); merged: number among the siblings."""
     total = counts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     everywhere = ((total.g or 0) + 1) / ((total.g or 0) + (total.b or 0) + 1)
     hosts = counts.groupBy("host").agg(
         ((F.sum("good") + strength * everywhere) / (F.sum(F.col("good") + F.col("bad")) + strength)).alias("host_share"))
-    own = (F.col("good") + strength * F.col("host_share")) / (F.col("good") + F.col("bad") + strength)
-    error = F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("good") + F.col("bad") + strength))
-    alike = Window.partitionBy("host", "length").orderBy("share", "template")
-    out = counts.join(hosts, "host").withColumn("share", own).withColumn("error", error).withColumn("length", F.size("template"))
-    gap = F.col("share") - F.lag("share").over(alike) > z * F.sqrt(F.pow("error", 2) + F.pow(F.lag("error").over(alike), 2))
-    out = out.withColumn("cut", F.coalesce(gap, F.lit(False)).cast("int"))
-    out = out.withColumn("merged", F.sum("cut").over(alike))
-    group = Window.partitionBy("host", "length", "merged")
-    good, bad = F.sum("good").over(group), F.sum("bad").over(group)
-    purity = (good + strength * F.col("host_share")) / (good + bad + strength)
-    return out.withColumn("purity", purity).select("host", "template", "merged", "purity", (F.col("purity") >= least_purity).alias("accept"))
+    length = F.size("template")
+    out = counts.join(hosts, "host").select(
+        "host", F.slice("template", F.lit(1), F.greatest(length - 1, F.lit(0))).alias("parent"), length.alias("length"), "template",
+        "good", "bad", "host_share")
+    known = F.col("good") + F.col("bad")  # those without labels come first and are a group of their own
+    share = F.when(known > 0, F.col("good") / known).otherwise(F.lit(-1.0))
+    out = out.withColumn("share", share).repartition("host", "parent", "length").sortWithinPartitions("host", "parent", "length", "share", "template")
+    out = written(out.drop("share").mapInArrow(
+        _groups(z), "host string, parent array<string>, length int, template array<string>, good bigint, bad bigint, host_share double, merged bigint"), "judged")
+    group = out.groupBy("host", "parent", "length", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    purity = (F.col("g") + strength * F.col("host_share")) / (F.col("g") + F.col("b") + strength)
+    return out.join(group, ["host", "parent", "length", "merged"]).withColumn("purity", purity).select(
+        "host", "template", "merged", "purity", (F.col("purity") >= least_purity).alias("accept"))
 
 
 def url_verdicts(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:

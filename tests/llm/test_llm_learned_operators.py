@@ -127,6 +127,29 @@ def test_urls_beside_a_plain_reading(spark):
     assert urls.url_verdicts(pages.limit(0), nothing).count() == 0
 
 
+def test_siblings_merge_with_whole_groups_and_under_one_parent(spark):
+    labels = [(0, 20), (0, 10), (0, 5), (0, 2), (0, 1), (0, 0), (1, 0), (2, 0), (5, 0), (10, 0), (20, 0)]
+    counts = [("h", ["p", f"t{i:02d}"], g + b, g, b) for i, (g, b) in enumerate(labels)] + [("h", ["q", "t"], 1, 0, 1)]
+    out = urls.judge(spark.createDataFrame(counts, "host string, template array<string>, n long, good long, bad long")).collect()
+    rows = {r.template[1]: r for r in out if r.template[0] == "p"}
+    bad, good = {rows[f"t{i:02d}"].merged for i in range(5)}, {rows[f"t{i:02d}"].merged for i in range(6, 11)}
+    assert len(bad) == len(good) == 1 and bad != good and rows["t05"].merged not in bad | good
+    assert [rows[f"t{i:02d}"].accept for i in (0, 4, 6, 10)] == [False, False, True, True]
+    apart = next(r for r in out if r.template[0] == "q")
+    assert apart.purity > rows["t04"].purity  # of another parent: not pooled with the bad ones
+
+
+def test_rare_late_and_deep_branches_stay_if_their_labels_differ(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rare = [(f"http://h.net/{word(i)}/x", True) for i in range(1000, 2000)] + [("http://h.net/junk/x", False)] * 8
+    deep = [(f"http://d.net/{'s/' * 8}{kind}/{i}", kind == "fine") for kind in ("fine", "foul") for i in range(30)]
+    urls_in = rare + deep
+    frame = spark.createDataFrame([(u,) for u, _ in urls_in], "url string")
+    out = {r.url: r for r in urls.url_verdicts(frame, spark.createDataFrame(urls_in, "url string, good boolean"), rules=()).collect()}
+    assert out["http://h.net/junk/x"].template == "/junk/x"
+    assert all(out[u].verdict == ("allow" if good else "block") for u, good in urls_in)
+
+
 @pytest.fixture(scope="module")
 def page_model():
     return H.train(H.labelled_pages())
