@@ -27,15 +27,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component at five words and 0.8; documents without words stay.
 
-    Rows that share an id are told apart by their texts; identical rows become one.
+    Rows that share an id, or have none, are told apart by their texts; of a component one row stays, whose id is the least
+    (a null one only where there is no other), and rows with that id and text become one.
     """
     docs = docs.select(*COLUMNS)
-    found = jaccard_join.jaccard_components(docs, size=5, percent=80)
+    found = jaccard_join.jaccard_components(docs, size=5, percent=80, keys=True)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # of a null id: the empty string, which no id is
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
+    first = found.where("first").select(key.alias("key"), "tkey").distinct()
+    wordless = found.where("n_shingles = 0").select("tkey").distinct()
+    keyed = docs.withColumn("tkey", F.xxhash64("text"))
     # one exchange of the texts serves the join and the removal of identical rows
-    kept = docs.withColumn("key", key).join(first, "key", "left_semi").withColumn("same", F.xxhash64("text"))
-    return kept.dropDuplicates(["key", "same"]).select(*COLUMNS)
+    kept = keyed.withColumn("key", key).join(first, ["key", "tkey"], "left_semi").dropDuplicates(["key", "tkey"])
+    return kept.select(*COLUMNS).unionByName(keyed.join(wordless, "tkey", "left_semi").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

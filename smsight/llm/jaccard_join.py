@@ -193,8 +193,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, ``n_shingles``, ``component_id``) for every row: the component of documents whose sets reach the threshold."""
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
+                       keys: bool = False) -> DataFrame:
+    """(id, ``n_shingles``, ``component_id``) for every row: the component of documents whose sets reach the threshold.
+
+    With ``keys`` also ``tkey``, the hash of the text, and ``first``: whether id and text are those of the one row that leads
+    the component, the least id (null after all others), then the least hash. It is null for rows without shingles.
+    """
     if not 1 <= percent <= 100 or size < 1:
         raise ValueError("percent lies in 1..100, a shingle has at least one word")
     spark = documents.sparkSession
@@ -204,7 +209,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     order = spark.sparkContext.broadcast(Order(frequent_codes(texts.select("text"), size, scratch)))
     rows = keep(signatures(texts, order, size, percent), "signatures")
     classes = keep(
-        rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "tkey")).alias("of"), F.min("id").alias("least"),
+        rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("of"), F.min("id").alias("least"),
                                                   F.min("n").alias("n"), F.min("gkey").alias("gkey"),
                                                   F.first("parity").alias("parity")), "classes")
 
@@ -272,12 +277,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     links = links.unionByName(linked(pairs))
 
     label = components(links, keep)
-    named = classes.select("digest", "least").join(label, F.col("digest") == F.col("node"), "left").select(
-        "digest", "least", F.coalesce("label", "digest").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "label").select("digest", "component_id")
-    out = result.keep(rows.select("id", "n", "digest").join(known, "digest", "left").select(
+    named = classes.select("digest", "least", "of").join(label, F.col("digest") == F.col("node"), "left").select(
+        "digest", "least", "of", F.coalesce("label", "digest").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("of").alias("lead"))
+    known = named.join(least, "label").select("digest", "component_id", "lead")
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("tkey") == F.col("lead.tkey"))
+    out = result.keep(rows.select("id", "tkey", "n", "digest").join(known, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "components")
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.col("tkey"), F.when(F.col("n") > 0, leads).alias("first")] if keys else [])), "components")
     scratch.drop()
     return out

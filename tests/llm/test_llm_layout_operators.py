@@ -173,3 +173,18 @@ def test_pipeline_stages(spark):
     assert kept[1].count() < kept[0].count() and kept[3].count() == kept[2].count() == kept[4].count()
     assert kept[1].where("doc_id < 5").groupBy("doc_id").count().where("count > 1").isEmpty()
     assert {r.doc_id for r in kept[4].collect()} >= {None, -1, -2}
+
+
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: words(name) + " changed"
+    rows = [(5, words("a")), (5, near("a")),  # near copies of one id
+            (3, words("b")), (9, words("c")), (9, near("b")),  # a copy of 3 by an id that leads its own component
+            (None, words("d")), (None, near("d")), (None, words("e")), (None, near("b")), (None, near("c")),  # null ids
+            (None, ""), (None, ""), (None, " "), (None, None), (7, ""), (7, None), (8, words("f")), (8, words("f"))]
+    documents = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, documents, "").collect()]
+    assert Counter(x for x in out if not (x[1] or "").strip()) == Counter(x for x in rows if not (x[1] or "").strip())
+    kept = Counter(x for x in out if (x[1] or "").strip())
+    assert kept.pop((3, words("b"))) == kept.pop((9, words("c"))) == kept.pop((None, words("e"))) == kept.pop((8, words("f"))) == 1
+    assert sorted((str(i), t[0]) for i, t in kept.elements()) == [("5", "a"), ("None", "d")]
