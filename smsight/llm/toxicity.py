@@ -7,7 +7,10 @@ their composition is one table of states. Where an insult or a threat is read, t
 counts its best match, a text the sum over its clauses, and a logistic curve makes that a score between 0 and 1.
 
 Insults are learned: words, and stems of four to six bytes, with a high log-odds ratio between toxic and clean labelled
-texts. Near copies count once there, else every word of a copied toxic text would pass for an insult. So are the weights of the settings and the curve. Labels are read from at most ``per_class`` toxic and three times as
+texts that is significant at the number of labels: by the binomial chance of so many toxic texts among those with the
+feature, at a false discovery rate of ``FALSE_SHARE`` over all features of the sample. Near copies count once there, else
+every word of a copied toxic text would pass for an insult; they are texts that share one of ``BANDS`` keys of ``BAND_ROWS``
+least hashes of their runs of ``RUN`` words, and what these link. So are the weights of the settings and the curve. Labels are read from at most ``per_class`` toxic and three times as
 many clean rows, those with the least hash of their id; scoring reads every whole text.
 
 Defined results: a null or empty text matches nothing and gets the score of no match; rows are scored one by one, so
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smsight.llm.frames import by_slices
-from smsight.llm.words import LETTERS, Words
+from smsight.llm.frames import by_slices, lists
+from smsight.llm.words import LETTERS, Words, mix, shingles
 
 PER_CLASS = 4000
-LEAST_SUPPORT = 12
+FALSE_SHARE = 0.01
+RUN = 5
+BANDS, BAND_ROWS = 8, 3
 LEAST_WEIGHT = 3.0
 STEMS = (4, 5, 6)
 NEGATION_REACH = 4
@@ -159,6 +164,56 @@ def _strength(found: list[tuple[int, int, int, float]], model: Model, n: int) ->
     return out
 
 
+def band_keys(texts: pa.Array) -> np.ndarray:
+    """[text, band]: keys that near copies share with a high chance; those of a text without words are all its own 0."""
+    words = Words(texts, LETTERS)
+    value, begins = shingles(words.hashes(), words.first, RUN)
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(begins))
+    if not len(some):
+        return out
+    for band in range(BANDS):
+        for row in range(BAND_ROWS):
+            seed = mix(np.array([1 + band * BAND_ROWS + row], np.uint64))
+            out[some, band] = mix(out[some, band] + np.minimum.reduceat(mix(value ^ seed), begins[some]))
+    return out
+
+
+def near_groups(keys: list[int], bands: list[list[int]]) -> dict[int, int]:
+    """The group of each text (given by its key): texts that share a key of a band are linked."""
+    above: dict = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for key, own in zip(keys, bands):
+        for band, value in enumerate(own):
+            if value:
+                above[top((band, value))] = top(key)
+    return {key: top(key) for key in keys}
+
+
+def chance(bad: int, good: int, share: float) -> float:
+    """The chance of at least ``bad`` toxic ones among bad + good texts if toxic ones had ``share`` of them."""
+    n = bad + good
+    if not 0 < share < 1:
+        return 1.0
+    whole = math.lgamma(n + 1)
+    return min(1.0, sum(math.exp(whole - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(share) + (n - x) * math.log(1 - share))
+                        for x in range(bad, n + 1)))
+
+
+def significant(counts: dict[int, tuple[int, int]], all_bad: int, all_good: int, tested: int, false_share: float = FALSE_SHARE) -> set[int]:
+    """Those of the features (bad, good texts) that Benjamini and Hochberg's rule keeps, out of ``tested`` ones."""
+    share = (all_bad + 1) / (all_bad + all_good + 2)
+    order = sorted((chance(b, g, share), f) for f, (b, g) in counts.items())
+    last = max((k for k, (p, _) in enumerate(order, 1) if p <= false_share * k / max(tested, 1)), default=0)
+    return {f for _, f in order[:last]}
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column,
                     per_class: int) -> DataFrame:
     """(text, toxic) of the bounded labelled rows that may be learned from."""
@@ -193,16 +248,28 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     counted = by_slices(sample, "text", features, "feature bigint, toxic bigint").groupBy("feature").agg(
         F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    likely = counted.where((F.col("bad") >= LEAST_SUPPORT) & (ratio >= LEAST_WEIGHT)).select("feature").collect()
-    lexicon = spark.sparkContext.broadcast(np.array(sorted(r.feature & 0xFFFFFFFFFFFFFFFF for r in likely), np.uint64))
+    likely = F.collect_list(F.when((F.col("bad") > 0) & (ratio >= LEAST_WEIGHT), F.col("feature")))
+    tested, likely = counted.agg(F.count(F.lit(1)), likely).first()
+    lexicon = spark.sparkContext.broadcast(np.array(sorted(f & 0xFFFFFFFFFFFFFFFF for f in likely), np.uint64))
+
+    def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = band_keys(batch.column("text"))
+        return pa.record_batch({"text_key": batch.column("text_key"), "bands": lists(
+            keys.view(np.int64).reshape(-1), np.arange(batch.num_rows + 1) * BANDS, pa.int64())})
+
+    # the sample is bounded, so are its keys here
+    keyed = sample.withColumn("text_key", F.xxhash64("text"))
+    bands = by_slices(keyed, "text", banded, "text_key bigint, bands array<bigint>").distinct().collect()
+    found = near_groups([r.text_key for r in bands], [r.bands for r in bands])
+    number = {g: i for i, g in enumerate(sorted(set(found.values()), key=str))}
+    texts = np.array(sorted(found), np.int64)
+    groups = spark.sparkContext.broadcast((texts, np.array([number[found[x]] for x in texts.tolist()], np.int64)))
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Likely features beside a sketch of their text, the least hash of its longer words, which near copies share."""
+        """Likely features beside the group of near copies that their text belongs to."""
         words = Words(batch.column("text"), LETTERS)
         text, hashes = words.text_of_word(), words.hashes()
-        sketch = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
-        longer = words.ends - words.starts >= 6
-        np.minimum.at(sketch, text[longer], hashes[longer])
+        group = groups.value[1][np.searchsorted(groups.value[0], batch.column("text_key").to_numpy())]
         owner, feature = [np.arange(batch.num_rows)], [np.full(batch.num_rows, -1)]  # -1: the text itself
         for values in [hashes, *(words.hashes(prefix=k) for k in STEMS)]:
             hit, number = _find(lexicon.value, values)
@@ -210,15 +277,16 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str =
             feature.append(number)
         own = np.unique(np.stack([np.concatenate(owner), np.concatenate(feature)], 1), axis=0)
         return pa.record_batch({
-            "feature": pa.array(own[:, 1], pa.int64()), "sketch": pa.array(sketch.view(np.int64)[own[:, 0]]),
+            "feature": pa.array(own[:, 1], pa.int64()), "near": pa.array(group[own[:, 0]], pa.int64()),
             "toxic": pa.array(batch.column("toxic").to_numpy(zero_copy_only=False)[own[:, 0]], pa.int64())})
 
-    apart = by_slices(sample, "text", spread, "feature bigint, sketch bigint, toxic bigint").distinct().groupBy("feature").agg(
+    apart = by_slices(keyed, "text", spread, "feature bigint, near bigint, toxic bigint").distinct().groupBy("feature").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
     apart = {r.feature: (r.bad, r.good) for r in apart}
     all_bad, all_good = apart.pop(-1, (0, 0))
     weight = {f: math.log((b + 0.5) / (all_bad + 1)) - math.log((g + 0.5) / (all_good + 1)) for f, (b, g) in apart.items()}
-    rows = sorted((int(lexicon.value[f]), w) for f, w in weight.items() if apart[f][0] >= LEAST_SUPPORT and w >= LEAST_WEIGHT)
+    sure = significant(apart, all_bad, all_good, tested)
+    rows = sorted((int(lexicon.value[f]), w) for f, w in weight.items() if f in sure and w >= LEAST_WEIGHT)
     prior = np.zeros(2 * grammar.settings)
     model = Model(np.array([f for f, _ in rows], np.uint64), np.array([w for _, w in rows]), prior)
     if not bad or not good:

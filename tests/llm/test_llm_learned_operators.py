@@ -38,6 +38,30 @@ def test_toxicity_on_held_out_rows(spark, toxic_texts):
     assert len({rows[i] for i, _ in ODD}) == 1 and 0 <= rows[-1] < 0.5
 
 
+def test_insults_of_few_toxic_texts_are_learned(spark):
+    rnd = random.Random(3)
+    plain = ["w%s" % "".join(rnd.choice("abcdefghi") for _ in range(7)) for _ in range(300)]
+    texts = [[rnd.choice(plain) for _ in range(40)] for _ in range(400)]
+    for i in range(0, 400, 40):
+        texts[i][5:20:5] = ["blorgan", "snarfle", "blorgan"]
+    documents = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)] + [(900, "what a blorgan you are, snarfle")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(documents, labels, F.lit(True))
+    rows = {r.doc_id: r.score for r in toxicity.toxicity(documents, model).collect()}
+    assert {i for i, x in rows.items() if x >= 0.5} == {900, *range(0, 400, 40)}
+
+
+def test_near_copies_are_told_from_texts_with_a_common_word():
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = [["commonest", *("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(60))] for _ in range(50)]
+    copies = [[*words[:30], "changed", *words[31:]] for words in texts]
+    keys = toxicity.band_keys(pa.array([" ".join(x) for x in texts + copies] + ["", None])).tolist()
+    found = toxicity.near_groups(list(range(102)), keys)
+    assert len(set(found.values())) == 52 and all(found[i] == found[50 + i] for i in range(50))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     documents = spark.createDataFrame([(1, "you idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
