@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,8 @@ BLOCK_TAGS = frozenset(
     "h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title "
     "tr ul noscript select optgroup button textarea label".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style template svg iframe object canvas math audio video".split())
+# what isn't shown up to the end tag; scripts, styles, frames and templates are raw, so tags inside them are none
+HIDDEN_TAGS = frozenset("svg object canvas math audio video".split())
 # a new one of these ends an open one, up to the given containers
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "option": {"option"}, "body": {"head"}}
@@ -42,7 +44,7 @@ SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article main bod
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<hidden>script|style|template|svg|iframe|object|canvas|math|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=hidden)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|template|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -61,6 +63,33 @@ class LeafBlock:
     linked: int  # characters inside links
 
 
+def _hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
+    """From the start to the end tag of every hidden element, by their numbers in ``tokens``.
+
+    One that is not ended before a block around it ends, or never, hides nothing.
+    """
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    out = {}
+    for i, token in enumerate(tokens):
+        name = (token["name"] or token["name2"] or "").lower()
+        if name in VOID_TAGS or name not in HIDDEN_TAGS and name not in BLOCK_TAGS:
+            continue
+        if not (token["end"] or token["end2"]):
+            if not (name in HIDDEN_TAGS and (token["attrs"] or token["attrs2"] or "").endswith("/")):
+                stack.append((name, i))
+                opened[name] += 1
+        elif opened[name]:
+            while True:
+                other, begin = stack.pop()
+                opened[other] -= 1
+                if other == name:
+                    break
+            if name in HIDDEN_TAGS:
+                out[begin] = i
+    return out
+
+
 def leaf_blocks(page: str) -> list[LeafBlock]:
     """The leaf blocks of a page in order, without empty ones."""
     out: list[LeafBlock] = []
@@ -94,10 +123,18 @@ def leaf_blocks(page: str) -> list[LeafBlock]:
             if any(t == "a" for t, _ in stack):
                 linked += len(text.strip())
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at, shown = 0, 0
+    tokens = list(_TOKEN.finditer(page))
+    hidden = _hidden_spans(tokens)
+    for i, token in enumerate(tokens):
+        if i < shown:
+            continue
         add(page[at:token.start()])
         at = token.end()
+        if i in hidden:
+            shown = hidden[i] + 1
+            at = tokens[hidden[i]].end()
+            continue
         name = (token["name"] or token["name2"] or "").lower()
         if not name:
             continue
@@ -127,14 +164,11 @@ def leaf_blocks(page: str) -> list[LeafBlock]:
                 close({"p"}, SCOPE)
             if name in IMPLIED_END and name != "p":
                 close(IMPLIED_END[name], frozenset({"ul", "ol", "dl", "table", "select"}))
-        if name in VOID_TAGS or attrs.endswith("/") and name in HIDDEN_TAGS:
+        if name in VOID_TAGS or name in HIDDEN_TAGS:
             continue
         names = frozenset(w for m in _NAMES.finditer(attrs) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower()))
         stack.append((name, names))
-    if "<" not in page[at:] or not re.match(r".*<[a-zA-Z/!]", page[at:], re.S):
-        add(page[at:])
-    else:
-        add(page[at:page.index("<", at)])
+    add(page[at:].removesuffix("</"))
     flush()
     return out
 

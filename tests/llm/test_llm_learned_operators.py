@@ -212,6 +212,19 @@ PAGE = ("<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>v
         "<footer>&copy; someone &middot; Text that goes on.</footer></body></html>")
 
 
+@pytest.mark.parametrize("page, expected", [
+    ('<p>a</p><svg class="i"/><p>rest of the article</p>', ["a", "rest of the article"]),
+    ("<p>a <svg viewBox='0'><title>icon</title><path d='x'/></svg> b</p><math/><p>c</p>", ["a b", "c"]),
+    ("<p>a<video src=x><p>b</p><div><audio><p>c</p></div><canvas><p>d</p><object data=y>e", ["a", "b", "c", "d", "e"]),
+    ("<p>a <video><p>old browser</p></video>b</p><object><object>x</object>y</object><p>c", ["a b", "c"]),
+    ("<div><video src=a></div><p>b</p><video>no</video><p>c</p>", ["b", "c"]),
+    ("<p>a<script>if (1 </2) '<p>'</script><template><p>no</p></template>b</p>I </3 you", ["ab", "I </3 you"]),
+    ("<p>a</p>b </", ["a", "b"]),
+])
+def test_hidden_elements_end(page, expected):
+    assert [b.text for b in H.leaf_blocks(page)] == expected
+
+
 def test_pages_in_a_frame(spark, page_model):
     rows = [(1, PAGE), (1, PAGE), (2, None), (3, ""), (None, PAGE.replace("</body></html>", "")), (4, "<p title='"), (5, PAGE[:-40]), (6, "<p>" * 30000)]
     frame = spark.createDataFrame([(i, p, "old", "u") for i, p in rows], "page_id long, html string, text string, url string")
