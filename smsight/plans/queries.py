@@ -866,7 +866,7 @@ def _split(spark, d) -> tuple[DataFrame, DataFrame]:
 @query
 def engagement_model(spark, d):
     train, test = _split(spark, d)
-    model = L.train_engagement_model(train, test, L.ALL_FEATURES, L.members(iterations=3))
+    model = L.train_engagement_model(train, test, L.ALL_FEATURES)
     scored = model.score(L.assembled(test, L.ALL_FEATURES))
     return Q.threshold_metrics(scored, [0.3, 0.4, 0.5])
 
@@ -874,7 +874,7 @@ def engagement_model(spark, d):
 @query
 def feature_importance(spark, d):
     train, test = _split(spark, d)
-    trees = {k: v for k, v in L.members(iterations=5).items() if k != "logistic"}
+    trees = {k: v for k, v in L.members().items() if k != "logistic"}
     return L.feature_importance(spark, L.train_engagement_model(train, test, L.ALL_FEATURES, trees, calibrated=False), top=20)
 
 
@@ -890,5 +890,5 @@ def message_model(spark, d):
     folds = ranks.stratified_folds(m, "nlp_type", "message_id", 5)
     m = written(L.message_features(folds), "messages")
     _, quality = L.train_message_classifier(
-        m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type", buckets=1 << 10, iterations=3)
+        m.where(F.col("fold") != 0), m.where(F.col("fold") == 0), "nlp_type")
     return spark.createDataFrame([(k, float(v)) for k, v in quality.items()], "metric string, value double")

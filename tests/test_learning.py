@@ -78,3 +78,29 @@ def test_message_classifier(spark):
     m = L.message_features(m)
     _, quality = L.train_message_classifier(m, m, "kind", buckets=256, iterations=5)
     assert quality["accuracy"] > 0.95 and abs(quality["gap"]) < 1e-9
+
+
+def test_queries_fit_whole_models(spark, monkeypatch):
+    from smsight.plans import queries as Q
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def engagement(train, test, features, estimators=None, calibrated=True):
+        asked.append((estimators or L.members())["gbt"].getMaxIter())
+        raise Stop
+
+    def messages(train, test, label, **options):
+        stages = L.message_pipeline(label, **options).getStages()
+        asked.append((stages[-1].getClassifier().getMaxIter(), stages[1].getNumFeatures()))
+        raise Stop
+
+    monkeypatch.setattr(Q, "_split", lambda spark, d: (None, None))
+    monkeypatch.setattr(L, "train_engagement_model", engagement)
+    monkeypatch.setattr(L, "train_message_classifier", messages)
+    for query in (Q.engagement_model, Q.feature_importance, Q.message_model):
+        with pytest.raises(Stop):
+            query(spark, "/root/testdata/sf0.001")
+    assert asked == [300, 300, (20, 1 << 13)]
