@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, secrets, toxicity, urls
+from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, secrets, simhash, toxicity, urls
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op10_mixing(spark, d):
     """Place of every document in a mix whose sources weigh the square root of their share."""
     mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "block", "slot", "release", "deadline", "position")
+
+
+@query
+def op11_simhash_dedup(spark, d):
+    """Components of documents whose fingerprints of three-word shingles differ in two bits or fewer."""
+    found = simhash.simhash_components(table(spark, d, "documents"), size=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_shingles")
