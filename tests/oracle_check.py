@@ -51,6 +51,8 @@ def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
     """None when equal, else a short description."""
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(set(ours.columns) ^ set(theirs.columns))}"
+    whole = [c for c in theirs.columns if str(theirs[c].dtype) == "Int64" and ours[c].dtype.kind == "f"]
+    ours = ours.astype({c: "Int64" for c in whole})  # whole numbers with nulls, which pandas gets from Spark as floats
     a, b = rows_of(ours), rows_of(theirs)
     if len(a) != len(b):
         return f"rows {len(a)} != {len(b)}"
