@@ -65,4 +65,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM judged GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op2_chat_format": OP2, "op5_decontamination": OP5, "op7_jaccard_join": OP7}
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text as SQL: one reduction over its bits, low bit first; each byte is added before its eight steps."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ord({text}[i]), 0, 0, 0, 0, 0, 0, 0]))"
+    return (f"xor(4294967295, list_reduce({steps}, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295))")
+
+
+OP12 = rf"""
+WITH source AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+loop AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM source),
+cut AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM loop),
+doc AS (
+  SELECT r, doc_id, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM cut),
+gram AS (SELECT r, i, w[i + 1:i + 5] AS part FROM doc, range(len(w) - 4) AS g(i)),
+pair AS (
+  SELECT x.r, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.r, y.i - x.i ORDER BY x.i) AS island
+  FROM gram x JOIN gram y ON x.r = y.r AND x.part = y.part AND x.i < y.i),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS len FROM pair GROUP BY r, q, island),
+run AS (SELECT r, s, len, min(q) AS q FROM stretch WHERE len >= greatest(6, 4 * q) GROUP BY r, s, len),
+total AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+    first(struct_pack(s, len, q) ORDER BY len DESC, s, q) AS best FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, k FROM run, range(s + q, s + len) AS g(k)),
+word AS (SELECT r, k, w[k + 1] AS x FROM doc, range(len(w)) AS g(k)),
+rest AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS left_over FROM word ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period,
+  1000 * best.len // best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM doc LEFT JOIN total USING (r) LEFT JOIN rest USING (r)
+"""
+
+SQL: dict[str, str] = {"op2_chat_format": OP2, "op5_decontamination": OP5, "op7_jaccard_join": OP7, "op12_periodic_runs": OP12}

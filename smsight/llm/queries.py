@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, secrets, simhash, toxicity, urls
+from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, runs, secrets, simhash, toxicity, urls
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,29 @@ def op11_simhash_dedup(spark, d):
     """Components of documents whose fingerprints of three-word shingles differ in two bits or fewer."""
     found = simhash.simhash_components(table(spark, d, "documents"), size=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_shingles")
+
+
+def looped(documents: DataFrame) -> DataFrame:
+    """(doc_id, text), where one document in ten repeats words from a place on that its id decides; a null id: none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), runs.WHITE, -1), lambda w: w != "")
+    parts = documents.select("doc_id", "text", (h % 10 == 0).alias("chosen"), g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    parts = parts.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    parts = parts.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), F.flatten(F.array_repeat(period, times))), F.lit(1), F.col("n"))
+    return parts.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, d):
+    """Runs of four periods or more in every document, and the digest of what is left without their repetitions."""
+    found = runs.periodic_runs(looped(table(spark, d, "documents").select("doc_id", "text")), min_length=6, exponent=4)
+    found = found.withColumn("best", runs.longest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
