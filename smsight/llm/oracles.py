@@ -100,4 +100,73 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS lengt
 FROM doc LEFT JOIN total USING (r) LEFT JOIN rest USING (r)
 """
 
-SQL: dict[str, str] = {"op2_chat_format": OP2, "op5_decontamination": OP5, "op7_jaccard_join": OP7, "op12_periodic_runs": OP12}
+
+def _turn_steps() -> str:
+    """(from, seen, letters, to, price): every way over one row, with up to two inserted turns; seen: the role's initial, or any."""
+    due = {"e": "u", "s": "u", "u": "a", "a": "u"}
+    rows = []
+    for start in due:
+        for inserts in range(3):
+            at = start
+            for _ in range(inserts):
+                at = due[at]
+            letters, price = "I" * inserts, 5 * inserts
+            rows.append((start, None, letters + "D", at, price + 2))
+            rows.append((start, None, letters + "R", due[at], price + 1))
+            rows.append((start, due[at], letters + "K", due[at], price))
+            if at == "e":
+                rows.append((start, "s", letters + "K", "s", price))
+    return ", ".join(f"('{a}', {'NULL' if b is None else repr(b)}, '{c}', '{d}', {e})" for a, b, c, d, e in rows)
+
+
+OP13 = rf"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS code FROM conversations),
+broken AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM source, range(CASE code WHEN 3 THEN 2 ELSE 1 END) WHERE code != 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM broken),
+placed AS (
+  SELECT *, row_number() OVER conv AS i, left(role, 1) AS seen, left(lag(role) OVER conv, 1) AS before, copy > 1 AS again,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS short
+  FROM numbered WINDOW conv AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+line AS (SELECT *, blank OR again AS gone, short AND NOT blank AND NOT again AS cut FROM placed),
+report AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (i > 1 AND before || seen NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM line GROUP BY conv_id),
+step(a, initial, letters, b, price) AS (VALUES {_turn_steps()}),
+reach AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'e' AS state, struct_pack(cost := CAST(0 AS BIGINT), audit := '') AS best FROM report
+  UNION ALL
+  SELECT line.conv_id, line.i, step.b, min(struct_pack(
+    cost := best.cost + CAST(price + CASE WHEN cut AND letters NOT LIKE '%D' THEN 5 ELSE 0 END AS BIGINT), audit := best.audit || letters))
+  FROM reach JOIN line ON line.conv_id IS NOT DISTINCT FROM reach.conv_id AND line.i = reach.i + 1
+  JOIN step ON step.a = state AND (initial IS NULL OR initial = seen) AND (NOT gone OR letters LIKE '%D')
+  GROUP BY line.conv_id, line.i, step.b),
+ended AS (
+  SELECT reach.conv_id, min(struct_pack(
+    cost := best.cost + CASE state WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END,
+    audit := best.audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END)) AS best
+  FROM reach JOIN report ON reach.conv_id IS NOT DISTINCT FROM report.conv_id AND reach.i = report.n GROUP BY reach.conv_id),
+edit AS (
+  SELECT conv_id, k, best.audit[k] AS letter, length(replace(best.audit[1:k], 'I', '')) AS row_no,
+    length(replace(replace(best.audit[1:k], 'D', ''), ' ', '')) AS given FROM ended, range(1, length(best.audit) + 1) AS g(k)),
+kept AS (
+  SELECT edit.*, line.role, line.text, max(CASE WHEN given = 1 AND letter = 'K' AND line.seen = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY edit.conv_id) AS system_first
+  FROM edit LEFT JOIN line ON edit.conv_id IS NOT DISTINCT FROM line.conv_id AND line.i = row_no AND letter != 'I' WHERE letter != 'D'),
+output AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN letter = 'K' THEN role WHEN (given - system_first) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+    chr(10) ORDER BY k) AS joined FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(joined, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN report r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN output t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+SQL: dict[str, str] = {"op2_chat_format": OP2, "op5_decontamination": OP5, "op7_jaccard_join": OP7, "op12_periodic_runs": OP12,
+                       "op13_conversation_repair": OP13}

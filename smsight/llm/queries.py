@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, runs, secrets, simhash, toxicity, urls
+from smsight.llm import chat, chunks, decontaminate, html_extract, jaccard_join, language, mixing, repair, runs, secrets, simhash, toxicity, urls
 from smsight.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,28 @@ def op12_periodic_runs(spark, d):
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) with faults that the checksum of conversation and turn decides; nulls are one space."""
+    space = F.lit(" ")
+    code = F.crc32(F.concat(*[x for c in ("conv_id", "turn") for x in (F.coalesce(F.col(c).cast("string"), space), F.lit(":"))][:3])) % 20
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), code.alias("code"))
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where("code != 0").select("conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+                                          text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark, d):
+    """Faults of every damaged conversation, its cheapest repair, and the digest of what that gives."""
+    original = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    turns, report = repair.repair(damaged(original))
+    found = report.alias("x").join(repair.read_back(turns).alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id"))).select(
+        "x.*", "y.audit", "y.repaired_sha256")
+    every = original.select("conv_id").distinct()
+    counts = [F.coalesce(f"y.{c}", F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.alias("x").join(found.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")), "left").select(
+        "x.conv_id", *counts, F.coalesce("y.audit", F.lit("")).alias("audit"),
+        F.coalesce("y.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
