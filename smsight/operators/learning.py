@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, ElementwiseProduct, HashingTF, StringIndexer, VectorAssembler,
+    IDF, ElementwiseProduct, HashingTF, StringIndexer, VectorAssembler, VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smsight.functions import calendar as C, text as T, vocab as V
 from smsight.operators import encoding as E
 from smsight.operators.evaluation import curve_areas, pr_curve
-from smsight.operators.ranks import bucketed_running_sums, stratified_folds, with_buckets
+from smsight.operators.neighbours import BLOCK_ROWS, nearest_blocks, numbered
+from smsight.operators.ranks import stratified_folds
 from smsight.session import written
 
 CALENDAR_FEATURES = [
@@ -51,6 +55,9 @@ FAMILIES = {
     "MSISDN": RECIPIENT_FEATURES, "TargetEnc": TARGET_FEATURES,
 }
 ALL_FEATURES = [f for family in FAMILIES.values() for f in family]
+#: used where the facts have both: earlier messages of the last 24 hours, and 0.92 to that power
+FATIGUE_FEATURES = ["sms_last_24h", "sms_fatigue_penalty"]
+FATIGUE_BASE = 0.92
 LABEL = "engaged"
 
 
@@ -68,11 +75,22 @@ def row_features(facts: DataFrame) -> DataFrame:
     return df
 
 
-def fitted_features(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_fatigue(facts: DataFrame) -> DataFrame:
+    """``sms_last_24h`` and ``sms_fatigue_penalty`` of every message."""
+    return E.messages_last_day(facts).withColumn("sms_fatigue_penalty", F.pow(F.lit(FATIGUE_BASE), F.col("sms_last_24h")))
+
+
+def feature_list(facts: DataFrame) -> list[str]:
+    """All features, with those on fatigue where the facts have them."""
+    known = set(FATIGUE_FEATURES) <= set(facts.columns)
+    return ALL_FEATURES + (FATIGUE_FEATURES if known else [])
+
+
+def fitted_features(train: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:
     """Recipient and target encodings fitted on the training rows only.
 
-    Training rows get leave-one-out rates; test rows get the plain rate of their group, and
-    the overall training rate where the group is new.
+    Training rows get leave-one-out rates; rows of the ``others`` get the plain rate of their
+    group, and the overall training rate where the group is new.
     """
     mean = train.agg(F.avg(LABEL)).first()[0]
     rate, type_code = F.col("msisdn_engagement_rate"), F.col("campaign_type_enc")
@@ -83,68 +101,71 @@ def fitted_features(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataF
     stats = train.groupBy("msisdn").agg(F.avg(LABEL).alias("rate"), F.count("*").alias("msisdn_sms_count"))
     left = E.loo_rate(train, "msisdn", LABEL, "msisdn_engagement_rate").withColumnRenamed("n_obs", "msisdn_sms_count").drop("n_eng")
     left = E.target_encoding(left, ENCODED_KEYS, LABEL)
-    right = test.join(stats.withColumnRenamed("rate", "msisdn_engagement_rate"), "msisdn", "left").withColumns({
-        "msisdn_engagement_rate": F.coalesce("msisdn_engagement_rate", F.lit(mean)),
-        "msisdn_sms_count": F.coalesce("msisdn_sms_count", F.lit(0))})
-    for key in ENCODED_KEYS:
-        fitted = train.groupBy(key).agg(F.avg(LABEL).alias("rate"))
-        right = E.apply_rates(right, fitted, key, f"{key}_target_loo", mean)
-    return tuple(E.interactions(side.withColumns(derived)) for side in (left, right))
+    sides = [left]
+    for other in others:
+        right = other.join(stats.withColumnRenamed("rate", "msisdn_engagement_rate"), "msisdn", "left").withColumns({
+            "msisdn_engagement_rate": F.coalesce("msisdn_engagement_rate", F.lit(mean)),
+            "msisdn_sms_count": F.coalesce("msisdn_sms_count", F.lit(0))})
+        for key in ENCODED_KEYS:
+            fitted = train.groupBy(key).agg(F.avg(LABEL).alias("rate"))
+            right = E.apply_rates(right, fitted, key, f"{key}_target_loo", mean)
+        sides.append(right)
+    return tuple(E.interactions(side.withColumns(derived)) for side in sides)
+
+
+def weight_of(df: DataFrame, label: str = LABEL, factor: float = 1.2) -> DataFrame:
+    """Rows of each class, and the weight of the positive one: ``negatives / positives * factor``."""
+    sums = df.agg(F.count_if(F.col(label) == 0).alias("negatives"), F.count_if(F.col(label) == 1).alias("positives"))
+    return sums.withColumn("weight", F.col("negatives") / F.greatest("positives", F.lit(1)) * factor)
 
 
 def class_weight(df: DataFrame, label: str = LABEL, factor: float = 1.2) -> DataFrame:
     """Weight the positive class by ``negatives / positives * factor``."""
-    sums = df.agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    weight = sums.select(F.col("n") / F.greatest("p", F.lit(1)) * factor).scalar()
+    weight = weight_of(df, label, factor).select("weight").scalar()
     return df.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(F.lit(1.0)))
 
 
-SMOTE_BLOCK = 512
-
-
 def smote(
-    df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, ratio: float = 1.0, seed: int = 42,
+    df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, ratio: float = 1.0, seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add interpolated minority rows until they are exactly ``ratio`` times the majority.
 
-    Minority rows are ranked along a fixed random projection and cut into blocks of 512 to 1,023
-    neighbours by rank; partners are the ``k`` nearest rows of the block.  Ranks, and so blocks,
-    copies and draws, do not depend on partitions or batches.  A null feature counts as 0 here.
+    Partners are drawn from the ``k`` nearest rows of the whole minority, exactly, at every size. Rows are numbered along a
+    projection, copies are dealt out evenly by number, and draws are seeded by it, so nothing depends on partitions or
+    batches. A null feature counts as 0 here. A minority of one row has no neighbour: it is repeated as it is.
     """
     counts = {bool(r["positive"]): r["n"] for r in df.groupBy((F.col(label) == 1).alias("positive")).agg(F.count("*").alias("n")).collect()}
     minority = 1 if counts.get(True, 0) <= counts.get(False, 0) else 0
     small, large = sorted((counts.get(True, 0), counts.get(False, 0)))
     needed = int(large * ratio) - small
     base = df.select(*[F.col(f).cast("double").alias(f) for f in features], label).withColumn("synthetic", F.lit(False))
-    if small < 2 or needed <= 0:
+    if small < 1 or needed <= 0:
         return base
-    direction = np.random.default_rng(seed).normal(size=len(features))
-    value = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
-    rows = df.where(F.col(label) == minority).select(*[v.alias(f) for f, v in zip(features, value)], F.lit(1).alias("_one"))
-    scales = rows.agg(*[F.round(F.stddev_samp(f), 6).alias(f) for f in features]).first()
-    projection = reduce(lambda a, b: a + b, [F.col(f) * float(w / (scales[f] or 1.0)) for f, w in zip(features, direction)])
-    ranked = bucketed_running_sums(
-        with_buckets(rows.withColumn("_along", projection), "_along"), [], [F.col("_along"), *[F.col(f) for f in features]], {"_rank": "_one"})
-    last = max(1, small // SMOTE_BLOCK) - 1
-    ranked = ranked.withColumn("_block", F.least(F.floor((F.col("_rank") - 1) / SMOTE_BLOCK), F.lit(last)).cast("int"))
-
-    def interpolate(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("_rank")
-        x, rank = batch[features].to_numpy(dtype=float), batch["_rank"].to_numpy(dtype=object)
-        rng = np.random.default_rng([seed, int(key[0])])
-        copies = np.array([r * needed // small - (r - 1) * needed // small for r in rank], dtype=int)
-        near = min(k, len(x) - 1)
-        distance = (x ** 2).sum(1)[:, None] - 2 * x @ x.T + (x ** 2).sum(1)[None, :]
-        np.fill_diagonal(distance, np.inf)
-        neighbours = np.argsort(distance, axis=1, kind="stable")[:, :near]
-        source = np.repeat(np.arange(len(x)), copies)
-        partner = neighbours[source, rng.integers(0, near, len(source))]
-        return pd.DataFrame(x[source] + rng.random(len(source))[:, None] * (x[partner] - x[source]), columns=features)
-
-    made = ranked.select("_block", "_rank", *features).groupBy("_block").applyInPandas(interpolate, ", ".join(f"{f} double" for f in features))
     kinds = dict(df.dtypes)
-    return base.unionByName(made.select(
-        *features, F.lit(minority).cast(kinds[label]).alias(label), F.lit(True).alias("synthetic")))
+    columns = [f"f{i}" for i in range(len(features))]  # features may have any name
+    rows = df.where(F.col(label) == minority).select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(c) for f, c in zip(features, columns)])
+    near = min(k, small - 1)
+    ranked = written(numbered(rows, columns), "minority")
+    if near:
+        def draw(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    who = np.frombuffer(row["who"], np.int64).reshape(-1, near)
+                    rank = row["block"] * block_rows + 1 + np.arange(len(who))
+                    copies = np.array([r * needed // small - (r - 1) * needed // small for r in rank.tolist()], np.int64)
+                    rng = np.random.default_rng([seed, row["block"]])
+                    at = np.repeat(np.arange(len(who)), copies)
+                    yield pa.record_batch({"rank": pa.array(rank[at]), "other": pa.array(who[at, rng.integers(0, near, len(at))]),
+                                           "share": pa.array(rng.random(len(at)))})
+
+        pairs = nearest_blocks(ranked, columns, near, block_rows).select("block", "who").mapInArrow(draw, "rank long, other long, share double")
+    else:
+        pairs = ranked.select(F.col("_rank").cast("bigint").alias("rank"), F.col("_rank").cast("bigint").alias("other"), F.lit(0.0).alias("share"),
+                              F.explode(F.sequence(F.lit(1), F.lit(needed)))).drop("col")
+    side = lambda name: ranked.select(F.col("_rank").cast("bigint").alias(name), F.struct(*columns).alias(f"of_{name}"))
+    made = pairs.join(side("rank"), "rank").join(side("other"), "other").select(*[
+        (F.col("of_rank")[c] + F.col("share") * (F.col("of_other")[c] - F.col("of_rank")[c])).alias(f) for f, c in zip(features, columns)])
+    return base.unionByName(made.select("*", F.lit(minority).cast(kinds[label]).alias(label), F.lit(True).alias("synthetic")))
 
 
 # --- training --------------------------------------------------------------------------------------
@@ -177,26 +198,72 @@ def auc(df: DataFrame, score: str, metric: str = "auc_roc") -> float:
     return float(curve_areas(pr_curve(df, score=score, label=LABEL)).first()[metric] or 0.0)
 
 
-def calibrate(estimator, train: DataFrame, folds: int = 3):
-    """Isotonic calibration on out-of-fold scores.
+def in_parallel(work: Callable, items: list, parallelism: int = 4) -> list:
+    """``work`` on every item, several at a time: a fit is a chain of short jobs that leaves most of a cluster idle."""
+    if not items:
+        return []
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Rounds with the least loss before ``patience`` rounds went by without a better one, and whether they did."""
+    best, least = 0, float("inf")
+    for i, loss in enumerate(losses):
+        if loss < least:
+            best, least = i + 1, loss
+        elif i + 1 - best >= patience:
+            return best, True
+    return best, False
 
-    Equal scores become one weighted point first.
+
+def early_stopped(estimator: GBTClassifier, train: DataFrame, validation: DataFrame, patience: int = 60):
+    """Boosted trees up to the round of least log-loss on ``validation``, and that number of rounds.
+
+    Boosting goes on until ``patience`` rounds have brought nothing, or ``maxIter`` is reached. The number of rounds
+    doubles from fit to fit; since every round is drawn by seed and number, a longer fit begins with the shorter one.
     """
-    parts = []
-    for fold in range(folds):
-        model = estimator.fit(train.where(F.col("fold") != fold))
-        parts.append(with_score(model, train.where(F.col("fold") == fold), "raw").select("raw", LABEL))
-    scored = reduce(DataFrame.unionByName, parts)
+    most = estimator.getMaxIter()
+    rounds = min(most, patience + 1)
+    while True:
+        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
+        best, over = best_round(model.evaluateEachIteration(validation), patience)
+        if over or rounds == most:
+            break
+        rounds = min(most, 2 * rounds)
+    best = max(1, best)
+    if best < rounds:
+        model = estimator.copy({estimator.maxIter: best}).fit(train)
+    return model, best
+
+
+def isotonic(scored: DataFrame):
+    """Isotonic calibration of ``raw``; equal scores become one weighted point first."""
     points = scored.groupBy("raw").agg(
         F.avg(LABEL).alias("rate"), F.count("*").cast("double").alias("n"))
     return IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="n", predictionCol="score").fit(points)
 
 
+def calibrations_of(estimators: dict, train: DataFrame, folds: int = 3, parallelism: int = 4) -> dict:
+    """Isotonic calibration of every estimator on its out-of-fold scores; all folds of all estimators share one table."""
+    def fit(task):
+        name, fold = task
+        return estimators[name].fit(train.where(F.col("fold") != fold))
+
+    tasks = [(name, fold) for name in estimators for fold in range(folds)]
+    fitted = dict(zip(tasks, in_parallel(fit, tasks, parallelism)))
+    scored = {name: reduce(DataFrame.unionByName, [
+        with_score(fitted[name, fold], train.where(F.col("fold") == fold), "raw").select("raw", LABEL) for fold in range(folds)])
+        for name in estimators}
+    return dict(zip(scored, in_parallel(isotonic, list(scored.values()), parallelism)))
+
+
 class EngagementModel:
     """Members with their calibration, averaged by AUC."""
 
-    def __init__(self, models: dict, calibrations: dict, weights: dict[str, float], features: list[str]):
+    def __init__(self, models: dict, calibrations: dict, weights: dict[str, float], features: list[str], rounds: dict[str, int] | None = None):
         self.models, self.calibrations, self.weights, self.features = models, calibrations, weights, features
+        self.rounds = rounds or {}
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         total = sum(self.weights.values())
@@ -215,59 +282,118 @@ class EngagementModel:
 
 def train_engagement_model(
     train: DataFrame, test: DataFrame, features: list[str], estimators: dict | None = None, calibrated: bool = True,
+    validation: DataFrame | None = None, patience: int = 60, fitted_on: DataFrame | None = None, parallelism: int = 4,
 ) -> EngagementModel:
-    """Fit and calibrate the members; each weighs as much as its AUC on ``test``."""
+    """Fit and calibrate the members; each weighs as much as its AUC on ``test``.
+
+    With ``validation`` rows boosting stops early, and calibration uses the number of rounds found. ``fitted_on`` are
+    the rows for the members (such as rebalanced ones) where they aren't ``train``; calibration always sees real rows.
+    """
     # fits iterate, so what they read is written once
     prepared = written(stratified_folds(assembled(class_weight(train), features), LABEL, "sms_id", 3), "prepared")
-    held = assembled(test, features)
-    models, calibrations, weights = {}, {}, {}
-    for name, estimator in (estimators or members()).items():
-        models[name] = estimator.fit(prepared)
-        if calibrated:
-            calibrations[name] = calibrate(estimator, prepared)
+    rows = prepared if fitted_on is None else written(assembled(class_weight(fitted_on), features), "fitted-on")
+    held = written(assembled(test, features), "held")
+    judged = None if validation is None else written(assembled(validation.withColumn("weight", F.lit(1.0)), features), "validation")
+    estimators = dict(estimators or members())
+
+    def fit(name):
+        if judged is not None and isinstance(estimators[name], GBTClassifier):
+            return early_stopped(estimators[name], rows, judged, patience)
+        return estimators[name].fit(rows), None
+
+    names = list(estimators)
+    fitted = dict(zip(names, in_parallel(fit, names, parallelism)))
+    models = {name: model for name, (model, _) in fitted.items()}
+    rounds = {name: n for name, (_, n) in fitted.items() if n is not None}
+    sized = {name: e.copy({e.maxIter: rounds[name]}) if name in rounds else e for name, e in estimators.items()}
+    calibrations = calibrations_of(sized, prepared, 3, parallelism) if calibrated else {}
+
+    def weigh(name):
         single = EngagementModel({name: models[name]}, {k: v for k, v in calibrations.items() if k == name}, {name: 1.0}, features)
-        weights[name] = auc(single.score(held), "score")
-    return EngagementModel(models, calibrations, weights, features)
+        return auc(single.score(held), "score")
+
+    return EngagementModel(models, calibrations, dict(zip(names, in_parallel(weigh, names, parallelism))), features, rounds)
 
 
-def cross_validate(df: DataFrame, features: list[str], estimator, folds: int = 5) -> list[float]:
+def sliced(df: DataFrame, indices: list[int]) -> DataFrame:
+    """Rows with some positions of their feature vector."""
+    return VectorSlicer(inputCol="features", outputCol="_sliced", indices=indices).transform(df).drop("features").withColumnRenamed("_sliced", "features")
+
+
+def cross_validate(df: DataFrame, features: list[str], estimator, folds: int = 5, parallelism: int = 4) -> list[float]:
     """AUC per stratified fold."""
     prepared = written(stratified_folds(assembled(class_weight(df), features), LABEL, "sms_id", folds), "prepared")
-    out = []
-    for fold in range(folds):
+
+    def held_out(fold: int) -> float:
         model = estimator.fit(prepared.where(F.col("fold") != fold))
-        out.append(auc(with_score(model, prepared.where(F.col("fold") == fold), "score"), "score"))
-    return out
+        return auc(with_score(model, prepared.where(F.col("fold") == fold), "score"), "score")
 
+    return in_parallel(held_out, list(range(folds)), parallelism)
 
-def ablation(train: DataFrame, test: DataFrame, estimator, families: dict[str, list[str]] | None = None) -> list[dict]:
+
+def ablation(train: DataFrame, test: DataFrame, estimator, families: dict[str, list[str]] | None = None, parallelism: int = 4) -> list[dict]:
     """AUC and PR-AUC without each feature family, with the first one alone, and with all."""
     families = families or FAMILIES
     first = next(iter(families))
     every = [f for family in families.values() for f in family]
     sets = {"all": every, f"only {first}": families[first], "without nlp_text_mult": [f for f in every if f != "nlp_text_mult"]}
     sets |= {f"without {name}": [f for f in every if f not in family] for name, family in families.items() if name != first}
-    rows = []
-    for name, features in sets.items():
-        model = estimator.fit(assembled(class_weight(train), features))
-        scored = with_score(model, assembled(test, features), "score")
-        rows.append({"features": name, "auc_roc": auc(scored, "score"), "pr_auc": auc(scored, "score", "pr_auc")})
-    return rows
+    rows, held = written(assembled(class_weight(train), every), "prepared"), written(assembled(test, every), "held")
 
+    def measured(name: str) -> dict:
+        indices = [every.index(f) for f in sets[name]]
+        scored = written(with_score(estimator.fit(sliced(rows, indices)), sliced(held, indices), "score").select("score", LABEL), "scores")
+        return {"features": name, "auc_roc": auc(scored, "score"), "pr_auc": auc(scored, "score", "pr_auc")}
 
-def select_features(df: DataFrame, features: list[str], estimator, step: int = 5, keep: int = 50, folds: int = 3) -> list[str]:
-    """Recursive elimination: drop the ``step`` least important, keep the set with the best mean AUC."""
-    best, best_auc, current = features, -1.0, list(features)
+    return in_parallel(measured, list(sets), parallelism)
+
+
+def elimination(df: DataFrame, features: list[str], estimator, step: int = 5, keep: int = 50, folds: int = 3, parallelism: int = 4) -> list[dict]:
+    """Recursive elimination under cross-validation: for every size the AUC of each fold and the features left on all rows.
+
+    Each fold eliminates by the importances of its own training rows, and one more path does so on all rows. The paths
+    share one table of assembled rows with their folds, read by position, and go on side by side.
+    """
+    prepared = written(stratified_folds(assembled(class_weight(df), features), LABEL, "sms_id", folds), "prepared")
+    paths: dict[int | None, list[int]] = {fold: list(range(len(features))) for fold in [None, *range(folds)]}
+    sizes = []
     while True:
-        score = float(np.mean(cross_validate(df, current, estimator, folds)))
-        if score > best_auc:
-            best, best_auc = list(current), score
-        if len(current) <= keep:
-            return best
-        model = estimator.fit(assembled(class_weight(df), current))
-        order = np.argsort(model.featureImportances.toArray(), kind="stable")
-        dropped = {current[i] for i in order[: min(step, len(current) - keep)]}
-        current = [f for f in current if f not in dropped]
+        def fit(fold):
+            rows = sliced(prepared, paths[fold])
+            model = estimator.fit(rows if fold is None else rows.where(F.col("fold") != fold))
+            held = None if fold is None else auc(with_score(model, rows.where(F.col("fold") == fold), "score"), "score")
+            return model.featureImportances.toArray(), held
+
+        found = dict(zip(paths, in_parallel(fit, list(paths), parallelism)))
+        areas = [found[fold][1] for fold in range(folds)]
+        sizes.append({"features": [features[i] for i in paths[None]], "fold_auc": areas, "auc": float(np.mean(areas))})
+        drop = min(step, len(paths[None]) - keep)
+        if drop <= 0:
+            return sizes
+        for fold, (importance, _) in found.items():
+            gone = set(np.argsort(importance, kind="stable")[:drop].tolist())
+            paths[fold] = [i for at, i in enumerate(paths[fold]) if at not in gone]
+
+
+def select_features(df: DataFrame, features: list[str], estimator, step: int = 5, keep: int = 50, folds: int = 3) -> list[str]:
+    """The set of :func:`elimination` with the best mean AUC, of equals the smallest."""
+    return max(reversed(elimination(df, features, estimator, step, keep, folds)), key=lambda size: size["auc"])["features"]
+
+
+def training_chain(
+    train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str], estimators: dict | None = None, selector=None,
+    step: int = 5, keep: int = 50, patience: int = 60, parallelism: int = 4,
+) -> EngagementModel:
+    """Rebalance, select features, fit with early stopping, calibrate on real rows, weigh by AUC."""
+    balanced = written(with_row_ids(smote(train, features), features), "balanced")
+    if selector is not None:
+        features = select_features(balanced, features, selector, step, keep)
+    return train_engagement_model(train, test, features, estimators, True, validation, patience, balanced, parallelism)
+
+
+def with_row_ids(df: DataFrame, features: list[str]) -> DataFrame:
+    """``sms_id`` of rows that have none, from their values."""
+    return df.withColumn("sms_id", F.xxhash64(*features, LABEL, "synthetic"))
 
 
 def eliminated(features: list[str], selected: list[str]) -> list[str]:

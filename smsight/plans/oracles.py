@@ -515,6 +515,16 @@ UNION ALL SELECT if(2 * p <= total, 1, 0), true, abs(total - 2 * p) FROM (
 SQL["stratified_folds"] = """
 SELECT sms_id, engaged, CAST((row_number() OVER (PARTITION BY engaged ORDER BY md5(CAST(sms_id AS VARCHAR) || ':42'), sms_id) - 1) % 5 AS INTEGER) AS fold FROM sms_log"""
 
+_PARTS = """(SELECT *, CASE (row_number() OVER (PARTITION BY engaged ORDER BY md5(CAST(sms_id AS VARCHAR) || ':42'), sms_id) - 1) % 5
+  WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS part,
+  count(*) OVER (PARTITION BY msisdn ORDER BY send_datetime
+    RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS earlier FROM sms_log)"""
+SQL["training_split"] = f"""
+SELECT part, engaged, count(*) AS n, CAST(sum(earlier) AS BIGINT) AS earlier FROM {_PARTS} GROUP BY 1, 2"""
+SQL["class_weights"] = f"""
+SELECT count(*) FILTER (engaged = 0) AS negatives, count(*) FILTER (engaged = 1) AS positives,
+  round(count(*) FILTER (engaged = 0) / greatest(count(*) FILTER (engaged = 1), 1) * 1.2, 6) AS weight FROM {_PARTS} WHERE part = 'train'"""
+
 # --- streams: the same answers as the batch versions ----------------------------------------------------------------------------
 SQL["stream_feedback"] = SQL["decision_feedback"]
 SQL["stream_clicks"] = "SELECT DISTINCT event_id - event_id % 3 AS sms_id FROM events WHERE event_type IN ('click', 'purchase')"

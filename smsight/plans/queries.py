@@ -855,27 +855,63 @@ def stream_selections(spark, d):
 
 # --- learned models (rows only: the fits are not SQL) ------------------------------------------------------------------------------
 
-def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """80/20 by stratified fold, with the fitted encodings; written once because fits iterate."""
-    rows = ranks.stratified_folds(L.row_features(X.sms_log(spark, d)), "engaged", "sms_id", 5)
-    rows = written(rows, "features")
-    train, test = L.fitted_features(rows.where(F.col("fold") != 0).drop("fold"), rows.where(F.col("fold") == 0).drop("fold"))
-    return written(train, "train"), written(test, "test")
+def _parts(rows: DataFrame) -> DataFrame:
+    """``part``: a fifth of each class for the test, a fifth for validation, the rest for training."""
+    folded = ranks.stratified_folds(rows, "engaged", "sms_id", 5)
+    return folded.withColumn("part", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "validation").otherwise("train")).drop("fold")
+
+
+@query
+def training_split(spark, d):
+    s = _parts(L.with_fatigue(X.sms_log(spark, d)))
+    return s.groupBy("part", "engaged").agg(F.count("*").alias("n"), F.sum("sms_last_24h").alias("earlier"))
+
+
+@query
+def class_weights(spark, d):
+    return rounded(L.weight_of(_parts(X.sms_log(spark, d)).where("part = 'train'")), "weight")
+
+
+def _split(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Training, validation and test rows with encodings fitted on the first; written once because fits iterate."""
+    rows = written(_parts(L.row_features(L.with_fatigue(X.sms_log(spark, d)))), "features")
+    own = lambda part: rows.where(F.col("part") == part).drop("part")
+    sides = L.fitted_features(own("train"), own("validation"), own("test"))
+    return *(written(side, "side") for side in sides), L.feature_list(rows)
 
 
 @query
 def engagement_model(spark, d):
-    train, test = _split(spark, d)
-    model = L.train_engagement_model(train, test, L.ALL_FEATURES)
-    scored = model.score(L.assembled(test, L.ALL_FEATURES))
-    return Q.threshold_metrics(scored, [0.3, 0.4, 0.5])
+    """Rebalanced rows, boosting with early stopping on the validation rows, calibration, weights by AUC there."""
+    train, validation, test, features = _split(spark, d)
+    model = L.training_chain(train, validation, validation, features)
+    scored = model.score(L.assembled(test, features))
+    return Q.threshold_metrics(written(scored.select("sms_id", "engaged", "score"), "scores"), [0.3, 0.4, 0.5])
 
 
 @query
 def feature_importance(spark, d):
-    train, test = _split(spark, d)
+    train, validation, _, features = _split(spark, d)
     trees = {k: v for k, v in L.members().items() if k != "logistic"}
-    return L.feature_importance(spark, L.train_engagement_model(train, test, L.ALL_FEATURES, trees, calibrated=False), top=20)
+    model = L.train_engagement_model(train, validation, features, trees, calibrated=False, validation=validation)
+    return L.feature_importance(spark, model, top=20)
+
+
+@query
+def feature_selection(spark, d):
+    """Features left at every size of the elimination, with the mean AUC of three folds; forests rank the features."""
+    train, _, _, features = _split(spark, d)
+    sizes = L.elimination(train, features, L.members()["forest"], step=5, keep=50)
+    rows = [(len(s["features"]), f, float(s["auc"])) for s in sizes for f in s["features"]]
+    return spark.createDataFrame(rows, "size int, feature string, auc double")
+
+
+@query
+def model_ablation(spark, d):
+    """AUC without each family of features."""
+    train, _, test, _ = _split(spark, d)
+    rows = L.ablation(train, test, L.members()["logistic"])
+    return spark.createDataFrame([(r["features"], float(r["auc_roc"]), float(r["pr_auc"])) for r in rows], "features string, auc_roc double, pr_auc double")
 
 
 @query

@@ -88,8 +88,8 @@ def test_queries_fit_whole_models(spark, monkeypatch):
 
     asked = []
 
-    def engagement(train, test, features, estimators=None, calibrated=True):
-        asked.append((estimators or L.members())["gbt"].getMaxIter())
+    def engagement(train, test, features, estimators=None, calibrated=True, validation=None, patience=60, *rest):
+        asked.append(((estimators or L.members())["gbt"].getMaxIter(), patience, validation))
         raise Stop
 
     def messages(train, test, label, **options):
@@ -97,10 +97,107 @@ def test_queries_fit_whole_models(spark, monkeypatch):
         asked.append((stages[-1].getClassifier().getMaxIter(), stages[1].getNumFeatures()))
         raise Stop
 
-    monkeypatch.setattr(Q, "_split", lambda spark, d: (None, None))
+    monkeypatch.setattr(Q, "_split", lambda spark, d: (None, "later", None, []))
+    monkeypatch.setattr(L, "smote", lambda train, features: spark.range(1).withColumns({"engaged": F.lit(0), "synthetic": F.lit(False)}))
     monkeypatch.setattr(L, "train_engagement_model", engagement)
     monkeypatch.setattr(L, "train_message_classifier", messages)
     for query in (Q.engagement_model, Q.feature_importance, Q.message_model):
         with pytest.raises(Stop):
             query(spark, "/root/testdata/sf0.001")
-    assert asked == [300, 300, (20, 1 << 13)]
+    assert asked == [(300, 60, "later"), (300, 60, "later"), (20, 1 << 13)]
+
+
+@pytest.mark.parametrize("n,width,block_rows", [(5000, 4, 256), (1500, 2, 1024), (1300, 9, 64), (7, 3, 4)])
+def test_nearest_rows_equal_brute_force(spark, n, width, block_rows):
+    import numpy as np
+    from smsight.operators import neighbours as N
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, width)) * rng.uniform(1, 5, width), 1)  # many ties
+    x[: n // 5] = x[n // 5: 2 * (n // 5)]
+    names = [f"f{i}" for i in range(width)]
+    ranked = written(N.numbered(spark.createDataFrame(x.tolist(), names).repartition(5), names), "ranked")
+    rows = ranked.orderBy("_rank").collect()
+    y = np.array([[r[c] for c in names] for r in rows])
+    want = {}
+    for i in range(n):
+        distance = np.zeros(n)
+        for f in range(width):
+            distance += (y[i, f] - y[:, f]) ** 2
+        distance[i] = np.inf
+        want[i + 1] = (np.lexsort((np.arange(n), distance))[:5] + 1).tolist()
+    got = {i: [0] * 5 for i in want}
+    for r in N.nearest(ranked, names, 5, block_rows).collect():
+        got[r.rank][r.place - 1] = r.other
+    assert got == want
+
+
+def test_smote_of_one_row_repeats_it(spark):
+    df = spark.createDataFrame([(1.5, 1)] + [(float(i), 0) for i in range(4)], "x double, engaged int")
+    made = L.smote(df, ["x"]).where("synthetic").collect()
+    assert [(r.x, r.engaged) for r in made] == [(1.5, 1)] * 3
+
+
+def test_best_round_waits_for_its_patience():
+    assert L.best_round([0.5, 0.4, 0.45, 0.41, 0.3], 2) == (2, True)
+    assert L.best_round([0.5, 0.4, 0.45, 0.41, 0.3], 3) == (5, False)
+    assert L.best_round([0.5, 0.5, 0.5], 2) == (1, True)
+    assert L.best_round([], 2) == (0, False)
+
+
+def test_boosting_stops_where_the_validation_loss_is_least(spark, rows):
+    noisy = rows.withColumn("engaged", F.when(F.col("sms_id") % 3 == 0, 1 - F.col("engaged")).otherwise(F.col("engaged")))
+    folds = ranks.stratified_folds(noisy, "engaged", "sms_id", 4)
+    train, validation = (written(L.assembled(part.withColumn("weight", F.lit(1.0)), FEATURES), "part") for part in (folds.where("fold > 0"), folds.where("fold = 0")))
+    whole = L.GBTClassifier(maxIter=24, maxDepth=4, stepSize=0.3, labelCol="engaged", seed=7)
+    model, rounds = L.early_stopped(whole, train, validation, patience=3)
+    losses = whole.fit(train).evaluateEachIteration(validation)
+    want, _ = L.best_round(losses, 3)  # the plain way: all rounds, then the least loss
+    assert rounds == want < 24 and model.getNumTrees == want
+    shorter = model.evaluateEachIteration(validation)
+    assert shorter == pytest.approx(losses[:want])
+
+
+def test_elimination_equals_a_plain_loop(rows):
+    tree = L.members(iterations=2)["gbt"]
+    sizes = L.elimination(rows, FEATURES, tree, step=1, keep=1, folds=2)
+    assert [len(s["features"]) for s in sizes] == [3, 2, 1]
+    table = ranks.stratified_folds(L.class_weight(rows), "engaged", "sms_id", 2).select("engaged", "weight", "fold", *FEATURES)
+
+    def path(fold):
+        left, seen = list(FEATURES), []
+        while True:
+            train = table if fold is None else table.where(F.col("fold") != fold)
+            model = tree.fit(L.assembled(train, left))
+            area = None if fold is None else L.auc(L.with_score(model, L.assembled(table.where(F.col("fold") == fold), left), "score"), "score")
+            seen.append((list(left), area))
+            if len(left) == 1:
+                return seen
+            values = model.featureImportances.toArray()
+            left.remove(left[min(range(len(left)), key=lambda i: (values[i], i))])
+
+    paths = {fold: path(fold) for fold in (None, 0, 1)}
+    for at, size in enumerate(sizes):
+        assert size["features"] == paths[None][at][0]
+        assert size["fold_auc"] == pytest.approx([paths[0][at][1], paths[1][at][1]])
+
+
+def test_chain_scores_match_areas_in_sql(spark, rows, tmp_path):
+    import duckdb
+    parts = ranks.stratified_folds(rows.where("engaged = 0 OR sms_id % 2 = 0"), "engaged", "sms_id", 4)
+    train, validation, test = (parts.where(c).drop("fold") for c in ("fold > 1", "fold = 1", "fold = 0"))
+    chosen = {k: v for k, v in L.members(iterations=12).items() if k != "forest"}
+    model = L.training_chain(train, validation, test, FEATURES, chosen, selector=L.members(iterations=2)["gbt"], step=1, keep=2, patience=4)
+    assert set(model.features) >= {"x", "send_hour"} and 1 <= model.rounds["gbt"] <= 12
+    scored = written(model.score(L.assembled(test, model.features)).select("engaged", "score"), "scored")
+    scored.write.parquet(str(tmp_path / "scored"))
+    sql = """WITH s AS (SELECT engaged, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS place FROM read_parquet(?))
+      SELECT (sum(place) FILTER (engaged = 1) - p * (p + 1) / 2.0) / (p * n) FROM s, (SELECT count(*) FILTER (engaged = 1) AS p, count(*) FILTER (engaged = 0) AS n FROM s) GROUP BY p, n"""
+    area = duckdb.execute(sql, [str(tmp_path / "scored" / "*.parquet")]).fetchone()[0]
+    assert L.auc(scored, "score") == pytest.approx(area) and area > 0.9
+
+
+def test_fatigue_features_are_used_where_known(spark):
+    facts = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-01 11:00:00")], "sms_id int, msisdn string, t string")
+    facts = L.with_fatigue(facts.withColumn("send_datetime", F.to_timestamp("t")))
+    assert {r.sms_id: (r.sms_last_24h, round(r.sms_fatigue_penalty, 6)) for r in facts.collect()} == {1: (0, 1.0), 2: (1, 0.92)}
+    assert L.feature_list(facts)[-2:] == L.FATIGUE_FEATURES and L.feature_list(facts.drop("sms_last_24h")) == L.ALL_FEATURES
