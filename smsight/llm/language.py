@@ -7,10 +7,10 @@ language is the sum over its bytes, and the language with the shortest one is pr
 
 Bytes become symbols first: A-Z as a-z, digits, spaces and other ASCII characters as one separator, runs of separators as
 one. Since statistics are frozen, the code length of a byte after its context is a number that can be worked out before:
-dense tables hold it for contexts up to order 2, and for those of order 3 that were seen ``LEAST_COUNT`` times or more.
+dense tables hold it for contexts up to order 2, and for every context of order 3 that was seen in any language.
 
-Training reads ``PER_LANGUAGE`` different rows of each language (those with the least hashes), and counts their first
-``TRAIN_BYTES`` bytes each, so that one long text does not stand for a language; scoring reads every whole text.
+Training reads ``PER_LANGUAGE`` different rows of each language (those with the least hashes) as whole texts; contexts are
+counted text by text and summed by Spark, so the counts don't depend on batches or partitions. Scoring reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal code lengths go to the lesser name;
 repeated rows repeat; without labelled rows everything is ``und``. score is the share of the predicted language when code
@@ -23,16 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smsight.llm.frames import by_slices, least_hash
+from smsight.llm.frames import by_slices, lists
 from smsight.llm.words import text_bytes
 
 PER_LANGUAGE = 400
-TRAIN_BYTES = 20_000
-LEAST_COUNT = 20
 SEPARATOR = 0
 
 #: symbol of every byte: 0 separator, 1..26 letters, then the bytes of characters beyond ASCII
@@ -114,44 +111,46 @@ def code_lengths(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
     """Count contexts of labelled rows for which ``learn`` holds and freeze them."""
-    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    languages = sorted(r[0] for r in rows.select(F.col(lang_col).cast("string")).distinct().collect())
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    rows = documents.where(learn & lang.isNotNull() & text.isNotNull()).select(
+        lang.alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"))
+    # every task keeps its own least hashes of each language before they meet
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("up_to"))
+    limits = {r.lang: r.up_to for r in least.collect()}  # a row for each language
+    languages = sorted(limits)
     if not languages:
         return Model([], np.zeros(1, np.int32), np.zeros((1, 1), np.float32), np.zeros((1, 1), np.float32))
-    hashed = rows.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
-    picked = None
-    for name in languages:
-        up_to = least_hash(hashed.where(F.col(lang_col) == name).select("h"), per_language)
-        some = (F.col(lang_col) == name) & (F.col("h") <= up_to)
-        picked = some if picked is None else picked | some
-    head = F.substring(F.encode(F.col(text_col).cast("string"), "UTF-8"), 1, TRAIN_BYTES)
-    sample = hashed.where(picked).groupBy("h", F.col(lang_col).cast("string").alias("lang")).agg(F.first(head).alias("head"))
+    up_to = F.create_map(*(F.lit(x) for item in limits.items() for x in item))
+    sample = rows.where(F.col("h") <= up_to[F.col("lang")]).groupBy("h", "lang").agg(F.first("text").alias("text"))
     number = {name: i for i, name in enumerate(languages)}
 
-    def tally(batches):
-        for batch in batches:
-            heads = pc.fill_null(batch.column("head").cast(pa.large_binary()), b"")
-            data = np.frombuffer(b"".join(heads.to_pylist()), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(heads).to_numpy())]).astype(np.int64)
-            value, begins = symbols(data, offsets)
-            at, c1, c2, c3 = contexts(value, begins)
-            text = np.searchsorted(begins, at, "right") - 1
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)[text]
-            code = (((lang * SIZE + c3) * SIZE + c2) * SIZE + c1) * SIZE + value[at]
-            code, n = np.unique(code, return_counts=True)
-            yield pa.record_batch({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    counts = sample.select("lang", "head").mapInArrow(tally, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas().to_numpy(np.int64)  # contexts of a bounded sample
+    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, begins = symbols(*text_bytes(batch.column("text")))
+        at, c1, c2, c3 = contexts(value, begins)
+        text_of = np.searchsorted(begins, at, "right") - 1
+        lang_of = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)[text_of]
+        code = (((lang_of * SIZE + c3) * SIZE + c2) * SIZE + c1) * SIZE + value[at]
+        edges = np.searchsorted(text_of, np.arange(batch.num_rows + 1))
+        codes, counts, ends = [], [], [0]
+        for a, b in zip(edges, edges[1:]):
+            own, n = np.unique(code[a:b], return_counts=True)
+            codes.append(own)
+            counts.append(n)
+            ends.append(ends[-1] + len(own))
+        return pa.record_batch({"code": lists(np.concatenate(codes), ends, pa.int64()), "n": lists(np.concatenate(counts), ends, pa.int64())})
+
+    by_text = by_slices(sample.select("lang", "text"), "text", tally, "code array<bigint>, n array<bigint>")
+    pairs = by_text.select(F.explode(F.arrays_zip("code", "n")).alias("x")).select("x.code", "x.n")
+    counts = pairs.groupBy("code").agg(F.sum("n").alias("n")).toPandas().to_numpy(np.int64)  # contexts of a bounded sample
     short, long, seen = [], [], []
     for i in range(len(languages)):
         own = counts[counts[:, 0] // SIZE ** 4 == i]
         own = np.stack([own[:, 0] % SIZE ** 4, own[:, 1]], 1)
         table, of, rows3 = code_lengths(own)
-        often = np.bincount(np.searchsorted(of, own[:, 0] // SIZE), weights=own[:, 1]) >= LEAST_COUNT
         short.append(table)
         long.append((of, rows3))
-        seen.append(of[often])
+        seen.append(of)
     nodes = np.unique(np.concatenate(seen))
     node = np.zeros(SIZE ** 3, np.int32)
     node[nodes] = np.arange(1, len(nodes) + 1)

@@ -1,5 +1,6 @@
 """Toxicity, language, urls and pages: held-out accuracy, plain counterparts, and the defined results of odd rows."""
 
+import math
 import random
 import re
 
@@ -104,6 +105,60 @@ def test_language_on_held_out_rows(spark):
     assert language.predict(documents.limit(0), model).count() == 0
 
 
+def plain_symbols(text):
+    """Symbols of the UTF-8 bytes after a separator, runs of separators as one."""
+    out = [0]
+    for b in text.encode():
+        value = int(language.SYMBOL[b])
+        if value or out[-1]:
+            out.append(value)
+    return out
+
+
+def plain_bits(text, counts):
+    """Code length by the rule itself: escapes from order 3 down to equal probabilities."""
+    value, total = plain_symbols(text), 0.0
+    for i in range(1, len(value)):
+        before, p = [0, 0, *value][i - 1:i + 2], 1.0
+        for order in (3, 2, 1, 0):
+            seen = counts.get(tuple(before[3 - order:]), {})
+            if value[i] in seen:
+                p *= seen[value[i]] / (sum(seen.values()) + len(seen))
+                break
+            if seen:
+                p *= len(seen) / (sum(seen.values()) + len(seen))
+        else:
+            p /= language.SIZE
+        total -= math.log2(p)
+    return total, len(value) - 1
+
+
+def test_language_beside_plain_counting(spark):
+    rnd = random.Random(8)
+    words = {"aa": ["the", "Thing", "é", "go 12 on"], "bb": ["ñu", "que", "the", "ooo!"], "cc": ["зима", "дом", "the"]}
+    rows = [(i, " ".join(rnd.choices(words[x], k=rnd.randint(0, 30))), x) for i, x in enumerate(list(words) * 25)] + [(900, "the é " * 5000, "aa")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if r[0] % 5 != 0 or r[0] == 900]
+    counts = {x: {} for x in words}
+    for _, text, x in learned:
+        value = plain_symbols(text)
+        for i in range(1, len(value)):
+            before = [0, 0, *value][i - 1:i + 2]
+            for order in range(4):
+                seen = counts[x].setdefault(tuple(before[3 - order:]), {})
+                seen[value[i]] = seen.get(value[i], 0) + 1
+    model = language.train(documents.repartition(7), (F.col("doc_id") % 5 != 0) | (F.col("doc_id") == 900))
+    for r in language.predict(documents, model).collect():
+        bits = {x: plain_bits(r.text, counts[x]) for x in words}
+        least = min(b for b, _ in bits.values())
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert bits[r.lang_pred][0] == pytest.approx(least, rel=1e-5)
+        n = max(1, bits["aa"][1])
+        assert r.score == pytest.approx(1 / sum(2 ** -min(60, (b - least) / n ** 0.5) for b, _ in bits.values()), rel=1e-2)
+
+
 def test_code_lengths_are_those_of_the_published_escape_rule():
     import numpy as np
 
