@@ -323,3 +323,11 @@ def budgets(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
     return c.groupBy((F.col("c_custkey") % 50).alias("group_id")).agg(
         F.greatest(F.sum(F.col("c_acctbal").cast("decimal(18,4)")), F.lit(0)).cast("decimal(18,4)").alias("budget"))
+
+
+def arriving(df: DataFrame, order: str, parts: int = 3) -> list[DataFrame]:
+    """The rows in ``parts`` stretches of a time column, as they would come in; the cuts follow the rows' quantiles."""
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]).alias("cuts")).first().cuts or []
+    edges = [None, *cuts, None]
+    return [df.where((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges, edges[1:])]

@@ -538,6 +538,22 @@ SELECT context_key, n, round(coalesce(recent_rate, -1), 6) AS recent_rate, round
 SQL["stream_volume"] = "SELECT msisdn, strftime(send_datetime, '%Y-%m-%d') AS day, count(*) AS n FROM sms_log GROUP BY 1, 2"
 SQL["stream_selections"] = SQL["apply_feedback"]
 
+SQL["stream_bandit_state"] = SQL["bandit_replay"]
+SQL["stream_expiry"] = """
+SELECT sms_id, context_key, n_feedback, CASE WHEN n_feedback > 0 THEN 'answered' ELSE 'expired' END AS status FROM (
+  SELECT d.sms_id, d.context_key, count(f.sms_id) AS n_feedback FROM decisions d LEFT JOIN feedback_events f
+    ON f.sms_id = d.sms_id AND f.received_at BETWEEN d.decided_at AND d.decided_at + INTERVAL 10 DAYS
+  WHERE d.decided_at + INTERVAL 10 DAYS < (SELECT max(received_at) - INTERVAL 6 HOURS FROM feedback_events) GROUP BY 1, 2)"""
+SQL["stream_feedback_join"] = """
+SELECT feedback_id, CASE WHEN d.sms_id IS NULL THEN 'not_found' ELSE 'updated' END AS status, coalesce(context_key, '') AS context_key
+FROM feedback_events f LEFT JOIN decisions d ON f.sms_id = d.sms_id AND f.received_at BETWEEN d.decided_at AND d.decided_at + INTERVAL 3 DAYS
+WHERE d.sms_id IS NOT NULL OR f.received_at < (SELECT max(decided_at) - INTERVAL 2 DAYS FROM decisions)"""
+SQL["stream_sliding_volume"] = """
+SELECT msisdn, strftime(until, '%Y-%m-%d %H') AS until, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT msisdn, h + to_hours(k) AS until, n FROM (
+    SELECT msisdn, date_trunc('hour', send_datetime) AS h, count(*) AS n FROM sms_log GROUP BY 1, 2), range(1, 25) AS g(k))
+WHERE until <= (SELECT max(send_datetime) - INTERVAL 1 HOUR FROM sms_log) GROUP BY 1, 2"""
+
 
 def all_sql() -> dict[str, str]:
     return {name: with_tables(sql) for name, sql in SQL.items()} | FULL

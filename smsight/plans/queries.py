@@ -15,7 +15,7 @@ from smsight.operators import (
 from smsight.plans import fixtures as X
 from smsight.session import scratch_path, written
 from smsight.sources import tables
-from smsight.streaming import jobs
+from smsight.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -853,6 +853,54 @@ def stream_selections(spark, d):
     return jobs.merge_selections(R.lexicon(_docs(spark, d)), out)
 
 
+# --- streams in which the rows arrive part by part ---------------------------------------------------------------------------------
+
+def _fed(spark, parts: list[DataFrame]) -> tuple[DataFrame, dict]:
+    folder = tables.make_folder(spark, scratch_path(spark, "arrivals"))
+    return jobs.read_stream(spark, folder, parts[0].schema), {folder: parts}
+
+
+def _stamped(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
+
+
+@query
+def stream_bandit_state(spark, d):
+    """The replay by a processor with state per context; the parts overlap in time, so each brings events of the last one."""
+    rows = _stamped(_labelled(spark, d), "at")
+    late = F.col("id") % 50 == 0
+    first, second, third = X.arriving(rows, "at")
+    stream, feeds = _fed(spark, [first.where(~late), second.unionByName(first.where(late)), third])
+    return rounded(jobs.run_arrivals(state.bandit_updates(stream, delay="40 days"), feeds, ["context_key", "hour"], "bandit"), "alpha", "beta")
+
+
+@query
+def stream_expiry(spark, d):
+    """Decisions whose ten days are over, with the feedback of that time."""
+    decisions, given = _fed(spark, X.arriving(_stamped(X.decisions(spark, d).select("sms_id", "context_key", "decided_at"), "decided_at"), "decided_at"))
+    feedback, answers = _fed(spark, X.arriving(_stamped(X.feedback_events(spark, d).select("sms_id", "received_at"), "received_at"), "received_at"))
+    out = jobs.run_arrivals(state.closed_decisions(decisions, feedback, ttl_days=10, delay="6 hours"), given | answers, name="expiry")
+    return out.select("sms_id", "context_key", "n_feedback", "status")
+
+
+@query
+def stream_feedback_join(spark, d):
+    """Feedback and decisions, both as streams: answered, or not found once the watermark is past."""
+    decisions, given = _fed(spark, X.arriving(_stamped(X.decisions(spark, d).select("sms_id", "context_key", "recommended_hour", "decided_at"), "decided_at"), "decided_at"))
+    feedback, answers = _fed(spark, X.arriving(_stamped(X.feedback_events(spark, d).select("feedback_id", "sms_id", "received_at"), "received_at"), "received_at"))
+    out = jobs.run_arrivals(jobs.feedback_status_streams(feedback, decisions, "2 days", "3 days"), given | answers, name="feedback-join")
+    return out.select("feedback_id", "status", F.coalesce("context_key", F.lit("")).alias("context_key"))
+
+
+@query
+def stream_sliding_volume(spark, d):
+    """Messages of each recipient in the 24 hours before every full hour that the watermark has passed."""
+    messages = _stamped(X.sms_log(spark, d).select("msisdn", "send_datetime"), "send_datetime")
+    stream, feeds = _fed(spark, X.arriving(messages, "send_datetime"))
+    out = jobs.run_arrivals(jobs.sliding_volume(stream), feeds, name="sliding")
+    return out.select("msisdn", F.date_format("span.end", "yyyy-MM-dd HH").alias("until"), "n")
+
+
 # --- learned models (rows only: the fits are not SQL) ------------------------------------------------------------------------------
 
 def _parts(rows: DataFrame) -> DataFrame:

@@ -168,6 +168,24 @@ def load_bandit_state(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={newest:012d}")
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it doesn't exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()) if files.exists(folder) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 COLLECTIONS = ["campaigns", "sms_logs", "decisions", "contacts", "feedback", "routes", "templates", "groups"]
 
 

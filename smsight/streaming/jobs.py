@@ -15,6 +15,7 @@ from smsight.functions import text as T, vocab as V
 from smsight.operators import bandit, recommender
 from smsight.session import scratch_path
 from smsight.sources import tables
+from smsight.streaming import state
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -33,20 +34,46 @@ def run_available(stream: DataFrame, keys: list[str] = (), name: str = "stream")
     state), and the newest row of each group is returned; without, rows are appended.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, saved = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    _process(stream, out, saved, bool(keys))
+    return _newest(stream, out, list(keys))
 
+
+def run_arrivals(stream: DataFrame, feeds: dict[str, list[DataFrame]], keys: list[str] = (), name: str = "stream") -> DataFrame:
+    """Like :func:`run_available`, for input that arrives part by part.
+
+    ``feeds`` maps the folders that ``stream`` reads to the parts that come into them. After each part the query is
+    started again from its checkpoint, so state, watermarks and recovery go through several batches.
+    """
+    spark = stream.sparkSession
+    out, saved = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    for number in range(max(map(len, feeds.values()))):
+        for folder, parts in feeds.items():
+            if number < len(parts):
+                parts[number].write.mode("append").parquet(folder)
+        _process(stream, out, saved, bool(keys))
+    return _newest(stream, out, list(keys))
+
+
+def _process(stream: DataFrame, out: str, checkpoint: str, update: bool) -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode("update" if keys else "append").option(
-        "checkpointLocation", state).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode("update" if update else "append").option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    written = spark.read.schema(Types.StructType([*stream.schema, Types.StructField("batch", Types.IntegerType())])).option("basePath", out).parquet(f"{out}/batch=*")
-    if not keys:
-        return written.drop("batch")
-    others = [c for c in stream.columns if c not in keys]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_row"))
-    return newest.select(*keys, "_row.*")
+
+
+def _newest(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    schema = Types.StructType([*stream.schema, Types.StructField("batch", Types.IntegerType())])
+    written = stream.sparkSession.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
+    return newest_of(written, keys, "batch") if keys else written.drop("batch")
+
+
+def newest_of(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of the newest version of every key."""
+    others = [c for c in changes.columns if c not in (*keys, version)]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("_row")).select(*keys, "_row.*")
 
 
 # --- feedback and clicks ------------------------------------------------------------------------
@@ -107,6 +134,57 @@ def start_bandit_updates(
     return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
 
 
+def start_bandit_state(
+    feedback: DataFrame, path: str, checkpoint: str, every: str | None = "5 minutes", decay: float = V.BANDIT_DECAY,
+    delay: str = "1 day", compact_every: int = 12,
+) -> StreamingQuery:
+    """Keep the bandit parameters by a stateful processor: a batch writes the contexts that it changed, nothing else.
+
+    Every ``compact_every`` batches the changes become a new base and the older ones are deleted, so neither a batch nor
+    the folder grows with the number of batches. A batch that is repeated writes the same folder again; one that has
+    been compacted already is ignored by :func:`read_bandit_state`.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % compact_every == 0:
+            compact_bandit_state(batch.sparkSession, path, number)
+
+    writer = state.bandit_updates(feedback, decay, delay).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+
+
+BANDIT_STATE = "context_key string, hour int, alpha double, beta double, n_updates long, batch int"
+
+
+def _bandit_changes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """All changes behind the newest base, with that base as its last batch, and the number of that batch."""
+    folders = tables.folder_names(spark, path)
+    upto = max((int(f.split("=")[1]) for f in folders if f.startswith("base=")), default=-1)
+    changes = [f"{path}/changes/{f}" for f in tables.folder_names(spark, f"{path}/changes") if int(f.split("=")[1]) > upto]
+    parts = [spark.read.schema(BANDIT_STATE).option("basePath", f"{path}/changes").parquet(*changes)] if changes else []
+    if upto >= 0:
+        parts.append(spark.read.schema(BANDIT_STATE).parquet(f"{path}/base={upto}").withColumn("batch", F.lit(upto)))
+    rows = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else spark.createDataFrame([], BANDIT_STATE)
+    return rows, upto
+
+
+def read_bandit_state(spark: SparkSession, path: str) -> DataFrame:
+    """Newest parameters of every context and hour."""
+    return newest_of(_bandit_changes(spark, path)[0], bandit.KEYS, "batch")
+
+
+def compact_bandit_state(spark: SparkSession, path: str, number: int) -> None:
+    """Make the state after batch ``number`` the base and delete older bases and changes."""
+    rows, upto = _bandit_changes(spark, path)
+    if number <= upto:
+        return
+    newest_of(rows.where(F.col("batch") <= number), bandit.KEYS, "batch").write.mode("overwrite").parquet(f"{path}/base={number}")
+    old = [f"{path}/{f}" for f in tables.folder_names(spark, path) if f.startswith("base=") and int(f.split("=")[1]) < number]
+    old += [f"{path}/changes/{f}" for f in tables.folder_names(spark, f"{path}/changes") if int(f.split("=")[1]) <= number]
+    for folder in old:
+        tables.delete_folder(spark, folder)
+
+
 # --- word selections, drift, volume -------------------------------------------------------------------------
 
 def selection_counts(feedback: DataFrame, span: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -148,3 +226,13 @@ def recent_volume(messages: DataFrame, span: str = "24 hours", slide: str = "1 h
     """Messages per recipient in sliding days."""
     return messages.withWatermark("send_datetime", delay).groupBy(
         F.window("send_datetime", span, slide).alias("span"), "msisdn").agg(F.count("*").alias("n"))
+
+
+def sliding_volume(messages: DataFrame, span: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Messages per recipient in every span that ends on a ``slide``, once the watermark has closed it.
+
+    Messages are first counted per recipient and slide, so a row enters overlapping spans once for each slide and
+    recipient, not once for each message; Spark clears both states behind the watermark. Append mode.
+    """
+    sums = messages.withWatermark("send_datetime", delay).groupBy(F.window("send_datetime", slide).alias("part"), "msisdn").agg(F.count("*").alias("part_n"))
+    return sums.groupBy(F.window(F.window_time("part"), span, slide).alias("span"), "msisdn").agg(F.sum("part_n").alias("n"))

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from smsight.operators import bandit
 from smsight.sources import tables
-from smsight.streaming import jobs
+from smsight.streaming import jobs, state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -46,3 +46,77 @@ def test_requests_once_per_bucket(spark, tmp_path):
     spark.createDataFrame(rows, "request_key string, requested_at timestamp").coalesce(1).write.parquet(p)
     out = jobs.run_available(jobs.distinct_requests(jobs.read_stream(spark, p, spark.read.parquet(p).schema)))
     assert sorted((r.request_key, r.bucket.hour) for r in out.collect()) == [("j", 0), ("k", 0), ("k", 1)]
+
+
+FEEDBACK = "context_key string, hour int, at timestamp, id long, engaged boolean"
+
+
+def arrivals(spark, tmp_path, name, parts, schema):
+    folder = tables.make_folder(spark, str(tmp_path / name))
+    frames = [spark.createDataFrame(rows, schema) for rows in parts]
+    return jobs.read_stream(spark, folder, frames[0].schema), {folder: frames}
+
+
+def test_bandit_state_follows_event_time(spark, tmp_path):
+    rows = [(f"c{i % 3}", 9 + i % 2, T0 + dt.timedelta(minutes=i), i, i % 4 == 0) for i in range(90)] + [("c0", 9, None, 500, True)]
+    late = [r for r in rows if r[3] % 7 == 0]  # come in one part later than their time
+    parts = [[r for r in rows[:40] if r not in late], [r for r in rows[40:] if r not in late] + late[:8], late[8:]]
+    stream, feeds = arrivals(spark, tmp_path, "in", parts, FEEDBACK)
+    got = jobs.run_arrivals(state.bandit_updates(stream, delay="1 hour"), feeds, ["context_key", "hour"])
+    want = bandit.replay_bandit(spark.createDataFrame([r for r in rows if r[2]], FEEDBACK))
+    as_map = lambda df: {(r.context_key, r.hour): pytest.approx((r.alpha, r.beta, r.n_updates)) for r in df.collect()}
+    assert {k: tuple(v.expected) for k, v in as_map(got).items()} == as_map(want)
+
+
+def test_bandit_state_is_compacted_and_runs_on_a_timer(spark, tmp_path):
+    source, path, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    rows = [(f"c{i % 3}", 9, T0 + dt.timedelta(minutes=i), i, i % 4 == 0) for i in range(60)]
+    parts = [rows[i:i + 15] for i in range(0, 60, 15)]
+    spark.createDataFrame(parts[0], FEEDBACK).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema)
+    query = jobs.start_bandit_state(stream, path, check, every="1 second", compact_every=2)
+    try:
+        for part in [*parts[1:], None]:
+            query.processAllAvailable()
+            if part:
+                spark.createDataFrame(part, FEEDBACK).coalesce(1).write.mode("append").parquet(source)
+        assert query.lastProgress is not None
+    finally:
+        query.stop()
+    want = {(r.context_key, r.hour): (round(r.alpha, 9), r.n_updates) for r in bandit.replay_bandit(spark.createDataFrame(rows, FEEDBACK)).collect()}
+    assert {(r.context_key, r.hour): (round(r.alpha, 9), r.n_updates) for r in jobs.read_bandit_state(spark, path).collect()} == want
+    names = tables.folder_names(spark, path)
+    bases = [n for n in names if n.startswith("base=")]
+    assert len(bases) == 1
+    upto = int(bases[0].split("=")[1])
+    assert all(int(n.split("=")[1]) > upto for n in tables.folder_names(spark, f"{path}/changes"))
+    last = max([upto, *(int(n.split("=")[1]) for n in tables.folder_names(spark, f"{path}/changes"))])
+    jobs.compact_bandit_state(spark, path, last)
+    jobs.compact_bandit_state(spark, path, last)  # a repeated batch changes nothing
+    assert tables.folder_names(spark, f"{path}/changes") == []
+    assert {(r.context_key, r.hour): (round(r.alpha, 9), r.n_updates) for r in jobs.read_bandit_state(spark, path).collect()} == want
+
+
+def test_no_state_yet(spark, tmp_path):
+    assert jobs.read_bandit_state(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_decisions_expire_once(spark, tmp_path):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    decisions, given = arrivals(spark, tmp_path, "d", [
+        [(1, "a", day(0)), (2, None, day(0)), (1, "again", day(0.5)), (None, "x", day(0)), (3, "c", day(1))], [(4, "d", day(30)), (5, "e", day(59))]],
+        "sms_id long, context_key string, decided_at timestamp")
+    feedback, answers = arrivals(spark, tmp_path, "f", [[(1, day(1)), (1, day(2)), (9, day(2)), (3, None)], [(3, day(12)), (4, day(31))], [(5, day(60))]],
+                                 "sms_id long, received_at timestamp")
+    out = jobs.run_arrivals(state.closed_decisions(decisions, feedback, ttl_days=10, delay="1 day"), given | answers)
+    assert sorted((r.sms_id, r.context_key, r.n_feedback, r.status) for r in out.collect()) == [
+        (1, "a", 2, "answered"), (2, "", 0, "expired"), (3, "c", 0, "expired"), (4, "d", 1, "answered")]
+
+
+def test_sliding_counts_close_behind_the_watermark(spark, tmp_path):
+    hour = lambda n: T0 + dt.timedelta(hours=n)
+    stream, feeds = arrivals(spark, tmp_path, "m", [[("a", hour(0.5)), ("a", hour(0.6)), ("b", hour(1.5))], [("a", hour(2.5)), ("a", hour(9))]],
+                             "msisdn string, send_datetime timestamp")
+    out = jobs.run_arrivals(jobs.sliding_volume(stream, "3 hours", "1 hour", "1 hour"), feeds)
+    got = {(r.msisdn, r.span.end.hour): r.n for r in out.collect()}
+    assert got == {("a", 1): 2, ("a", 2): 2, ("a", 3): 3, ("a", 4): 1, ("a", 5): 1, ("b", 2): 1, ("b", 3): 1, ("b", 4): 1}
