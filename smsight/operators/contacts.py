@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: calling code -> country, longest prefix first inside the expression
-CALLING_CODES = {
-    "1": "US", "20": "EG", "212": "MA", "213": "DZ", "216": "TN", "218": "LY", "221": "SN",
-    "222": "MR", "223": "ML", "225": "CI", "30": "GR", "31": "NL", "32": "BE", "33": "FR",
-    "34": "ES", "351": "PT", "352": "LU", "353": "IE", "39": "IT", "40": "RO", "41": "CH",
-    "43": "AT", "44": "GB", "45": "DK", "46": "SE", "47": "NO", "48": "PL", "49": "DE",
-    "55": "BR", "7": "RU", "81": "JP", "86": "CN", "90": "TR", "91": "IN", "961": "LB",
-    "962": "JO", "965": "KW", "966": "SA", "968": "OM", "971": "AE", "973": "BH", "974": "QA",
-}
-
+from smsight.operators.prefixes import CALLING_CODES
 
 def normalize_phone(phone: Column) -> Column:
     """E.164 form, or null when the text is not an international number."""
@@ -23,11 +14,11 @@ def normalize_phone(phone: Column) -> Column:
 
 
 def country_of(phone: Column) -> Column:
-    """Country by the longest calling code that begins the number, else ``UNKNOWN``."""
-    out = F.lit("UNKNOWN")
-    for code in sorted(CALLING_CODES, key=len):
-        out = F.when(phone.startswith("+" + code), CALLING_CODES[code]).otherwise(out)
-    return out
+    """Country by the longest calling code that begins the number, else ``UNKNOWN``: one look-up for each length of a code."""
+    codes = F.create_map(*(F.lit(x) for item in CALLING_CODES.items() for x in item))
+    lengths = sorted({len(code) for code in CALLING_CODES}, reverse=True)
+    found = [F.try_element_at(codes, F.substring(phone, 2, n)) for n in lengths]
+    return F.when(phone.startswith("+"), F.coalesce(*found, F.lit("UNKNOWN"))).otherwise("UNKNOWN")
 
 
 def import_contacts(rows: DataFrame, existing: DataFrame) -> DataFrame:

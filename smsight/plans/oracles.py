@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from smsight.functions import vocab as V
-from smsight.operators.contacts import CALLING_CODES
+from smsight.operators.prefixes import CALLING_CODES
 from smsight.plans import fixtures as X
 from smsight.plans.oracle_tables import (
     ARABIC, PAGES, _flag, case, has_phrase, language, strings, text, tokens, with_tables,
@@ -360,6 +360,16 @@ SQL["contact_import"] = f"SELECT * FROM ({_IMPORT})"
 SQL["import_summary"] = f"""
 SELECT user_id, count(*) AS total_rows, count(*) FILTER (WHERE outcome = 'accepted') AS success_count,
   count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count, count(*) FILTER (WHERE outcome = 'error') AS error_count FROM ({_IMPORT}) GROUP BY 1"""
+_CODES = ", ".join(f"('{c}', '{n}')" for c, n in CALLING_CODES.items())
+SQL["phone_countries"] = f"""
+SELECT country, count(*) AS n FROM (
+  SELECT c_custkey, max_by(name, length(code)) AS country FROM customer
+  LEFT JOIN (VALUES {_CODES}) AS t(code, name) ON starts_with(CAST(1 + (c_custkey * 7919) % 9999 AS VARCHAR) || '5550' || c_custkey, code) GROUP BY 1)
+GROUP BY 1"""
+SQL["contact_file"] = """
+SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS row_number, CAST(o_custkey AS VARCHAR) AS phone,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'a "quoted" name' ELSE 'plain' END AS first_name,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'two' || chr(10) || chr(10) || 'lines, ' || o_orderkey ELSE 'one' END AS last_name FROM orders"""
 SQL["contact_search"] = "SELECT contact_id, phone, last_name FROM contacts WHERE user_id = 3 AND (contains(phone, '03') OR contains(first_name, '03') OR contains(last_name, '03'))"
 SQL["contact_tags"] = """
 SELECT contact_id, array_to_string(list_sort(CASE WHEN list_has_any(tags, ['BUILDING', 'NATION_3'])

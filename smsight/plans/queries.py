@@ -15,6 +15,7 @@ from smsight.operators import (
 from smsight.plans import fixtures as X
 from smsight.session import scratch_path, written
 from smsight.sources import tables
+from smsight.operators.prefixes import CALLING_CODES, longest_prefix
 from smsight.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,6 +478,28 @@ def phone_e164(spark, d):
         "row_number", F.coalesce(phone, F.lit("")).alias("e164"), P.country_of(F.coalesce(phone, F.lit(""))).alias("country"))
 
 
+@query
+def phone_countries(spark, d):
+    """Countries of numbers with every kind of calling code, by a join with the table of codes."""
+    codes = spark.createDataFrame(list(CALLING_CODES.items()), "code string, name string")
+    key = F.col("c_custkey")
+    numbers = X.table(spark, d, "customer").select(
+        F.concat((1 + (key * 7919) % 9999).cast("string"), F.lit("5550"), key.cast("string")).alias("number"))
+    return longest_prefix(numbers, "number", codes, "code", "name", "country").groupBy("country").agg(F.count("*").alias("n"))
+
+
+@query
+def contact_file(spark, d):
+    """A contact file in several parts, with quoted line breaks, written and read back with its row numbers."""
+    o = X.table(spark, d, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    key = F.col("o_orderkey")
+    rows = o.select(F.col("o_custkey").cast("string").alias("phone"), F.when(key % 3 == 0, 'a "quoted" name').otherwise("plain").alias("first_name"),
+                    F.when(key % 5 == 0, F.concat(F.lit("two\n\nlines, "), key.cast("string"))).otherwise("one").alias("last_name"), F.lit("").alias("email"))
+    path = scratch_path(spark, "contacts")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_contact_rows(spark, path, 1).select("row_number", "phone", "first_name", "last_name")
+
+
 @query
 def contact_import(spark, d):
     out = P.import_contacts(X.contact_rows(spark, d), X.contacts(spark, d))

@@ -55,30 +55,51 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def with_row_numbers(df: DataFrame, column: str = "row_number", start: int = 1) -> DataFrame:
-    """Number the rows of a file in file order.
+def file_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records (file, ``number`` from 0 in the order of files and lines, ``in_file`` from 0, value) of text files in CSV quoting.
 
-    ``monotonically_increasing_id`` holds the partition and the position in it; the partitions'
-    sizes (one row each) give the offsets.
+    Files are split as Spark likes. A split is known by its file and first byte, its lines by their order in the task; it
+    reports how many quotes it has, and how many records begin in it if it starts outside of quotes or inside. Those few
+    numbers, chained over splits, say where each split really starts. Only lines of records with line breaks are joined.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    tagged = tagged.withColumns({
-        "_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = tagged.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return tagged.join(F.broadcast(offsets), "_part").withColumn(
-        column, F.col("_offset") + F.col("_at") + start).drop("_id", "_part", "_at", "_offset")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value")
+    quotes = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    split = W.partitionBy("file", "start").orderBy("line")  # not more than the bytes of a split
+    before = F.coalesce(F.sum("quotes").over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2
+    placed = quotes.withColumn("inside", before)
+    for state in (0, 1):  # records that begin up to this line, by the state at the begin of the split
+        placed = placed.withColumn(f"begun{state}", F.sum((F.col("inside") == state).cast("bigint")).over(split))
+    splits = placed.groupBy("file", "start").agg(
+        F.sum("quotes").alias("quotes"), F.sum((F.col("inside") == 0).cast("bigint")).alias("n0"), F.sum((F.col("inside") == 1).cast("bigint")).alias("n1"))
+    of_file = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    chained = splits.withColumn("odd", F.coalesce(F.sum("quotes").over(of_file), F.lit(0)) % 2)
+    chained = chained.withColumn("n", F.when(F.col("odd") == 0, F.col("n0")).otherwise(F.col("n1")))
+    earlier = W.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)  # a row for each split
+    chained = chained.select("file", "start", "odd", F.coalesce(F.sum("n").over(of_file), F.lit(0)).alias("file_base"),
+                             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    whole = placed.join(chained, ["file", "start"])
+    begun = F.when(F.col("odd") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    opened = (F.col("inside") + F.col("odd")) % 2
+    records = whole.select("file", "start", "line", "value", (F.col("base") + begun - 1).alias("number"), (F.col("file_base") + begun - 1).alias("in_file"),
+                           ((opened == 0) & (F.col("quotes") % 2 == 0)).alias("alone"))
+    single = records.where("alone").select("file", "number", "in_file", "value")
+    joined = records.where("NOT alone").groupBy("file", "number", "in_file").agg(
+        F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("parts"))
+    return single.unionByName(joined.select("file", "number", "in_file", F.array_join("parts.value", "\n").alias("value")))
 
 
 def read_contact_rows(spark: SparkSession, path: str, user_id: int | str) -> DataFrame:
-    """Rows of a contact file: header skipped, columns by position, numbered by line from 2.
+    """Rows of contact files: the header of each skipped, columns by position, numbered from 2 through all files.
 
-    Lines are read as text first, so blank ones keep their number and come out without fields.
+    Blank lines keep their number and come out without fields; a quoted field may hold line breaks and doubled quotes.
     """
-    lines = with_row_numbers(spark.read.text(path)).where(F.col("row_number") > 1)
-    fields = F.from_csv("value", CONTACT_ROW, {"mode": "PERMISSIVE"})
-    return lines.select("row_number", F.when(F.trim("value") != "", fields).alias("_r")).select(
+    records = file_records(spark, path)
+    files = records.groupBy("file").agg(F.count("*").alias("records")).withColumn(
+        "headers", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file")))  # a row for each file
+    rows = records.where(F.col("in_file") > 0).join(files.select("file", "headers"), "file")
+    fields = F.from_csv("value", CONTACT_ROW, {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true"})
+    return rows.select((F.col("number") - F.col("headers") + 2).alias("row_number"), F.when(F.trim("value") != "", fields).alias("_r")).select(
         "_r.*", "row_number").withColumn("user_id", F.lit(user_id))
 
 

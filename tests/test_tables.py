@@ -216,3 +216,34 @@ def test_expired_decisions_are_purged(spark):
     assert log.first().expires_at == dt.datetime(2024, 3, 31)
     assert bandit.purge_expired(log, now + F.expr("INTERVAL 89 DAYS")).count() == 1
     assert bandit.purge_expired(log, now + F.expr("INTERVAL 90 DAYS")).count() == 0
+
+
+@pytest.mark.parametrize("split", ["128m", "37b"])
+def test_contact_files_are_numbered_across_files_splits_and_quotes(spark, tmp_path, split):
+    import csv
+    import io
+    rows = [[f"+2162000{i:04d}", f'say "{i}"' if i % 3 == 0 else "plain", "a\n\nb,\nc" if i % 4 == 0 else "x", ""] for i in range(40)]
+    for name, part in (("a.csv", rows[:13]), ("b.csv", []), ("c.csv", rows[13:])):
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows([["phone", "first", "last", "email"], *part])
+        (tmp_path / name).write_text(text.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = tables.read_contact_rows(spark, str(tmp_path), 5).orderBy("row_number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.row_number, r.phone, r.first_name, r.last_name) for r in got] == [(i + 2, *row[:3]) for i, row in enumerate(rows)]
+
+
+def test_longest_prefix(spark):
+    from smsight.operators.prefixes import CALLING_CODES, longest_prefix
+    table = spark.createDataFrame([("2", "short"), ("216", "TN"), ("21698", "Tunis"), ("21698", "Ariana"), ("", "all"), (None, "none"), ("9" * 30, "long")], "p string, v string")
+    rows = spark.createDataFrame([("21698000000", 1, "k"), ("21620", 2, "k"), ("2", 3, "k"), ("30", 4, "k"), (None, 5, "k"), ("", 6, "k"), ("21620", 7, "k"), ("9" * 31, 8, "k")],
+                                 "number string, i int, _value string")
+    out = {r.i: (r.country, r["_value"]) for r in longest_prefix(rows, "number", table, "p", "v", "country").collect()}
+    assert out == {1: ("Ariana", "k"), 2: ("TN", "k"), 3: ("short", "k"), 4: (None, "k"), 5: (None, "k"), 6: (None, "k"), 7: ("TN", "k"), 8: ("long", "k")}
+    assert longest_prefix(rows, "number", table.limit(0), "p", "v", "country").where("country IS NOT NULL").count() == 0
+    names = spark.createDataFrame([("+12425551234",), ("+14155551234",), ("+77011234567",), ("+79161234567",), ("+999123456",), ("216",)], "n string")
+    assert [r[0] for r in names.select(P.country_of(F.col("n"))).collect()] == ["BS", "US", "KZ", "RU", "UNKNOWN", "UNKNOWN"]
+    assert len(CALLING_CODES) > 220 and len(set(CALLING_CODES)) == len(CALLING_CODES)
