@@ -199,11 +199,25 @@ def predict_next(contexts: DataFrame, model: NgramModel, k: int = CANDIDATES) ->
 
 # --- completion -------------------------------------------------------------------------------------
 
+def _asked(prefixes: DataFrame) -> DataFrame:
+    """Distinct (lang, prefix), written: the planner learns how few there are, and their lengths are read from there."""
+    return written(prefixes.select("lang", "prefix").distinct(), "prefixes")
+
+
+def _lengths(asked: DataFrame) -> Column:
+    """The lengths of the asked prefixes, as an array of a few numbers."""
+    return asked.agg(F.sort_array(F.collect_set(F.length("prefix")))).scalar()
+
+
 def prefix_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The ``k`` most frequent words beginning with each distinct ``(lang, prefix)``."""
-    spread = words.select("lang", "word", "freq", F.explode(
-        F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"))
-    hits = spread.join(prefixes.select("lang", "prefix").distinct(), ["lang", "prefix"])
+    return _exact(_asked(prefixes), words, k)
+
+
+def _exact(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    spread = words.withColumn("_n", _lengths(asked)).select("lang", "word", "freq", F.explode(
+        F.transform(F.filter("_n", lambda n: (n > 0) & (n <= F.length("word"))), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+    hits = spread.join(asked, ["lang", "prefix"])
     return top_per_group(hits, ["lang", "prefix"], [F.col("freq").desc(), F.col("word").asc()], k).select(
         "lang", "prefix", "word", "freq", F.lit(0).alias("dist"), "rank")
 
@@ -220,27 +234,32 @@ def fuzzy_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATES
 
     Two strings within one edit share a string of their deletion neighbourhoods, so candidates
     come from an equi-join; a word is compared by its first ``len(prefix) + 1`` characters and
-    only if its length differs by at most 3.
+    only if its length differs by at most 3. Neighbourhoods are made for asked lengths only, and
+    once for each beginning, however many words have it.
     """
-    wanted = prefixes.select("lang", "prefix").distinct().withColumn("_len", F.length("prefix"))
-    wanted = wanted.withColumn("_key", F.explode(_deletions(F.col("prefix"))))
+    return _fuzzy(_asked(prefixes), words, k)
+
+
+def _fuzzy(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
     length = F.length("word")
-    heads = words.withColumn("_len", F.explode(F.sequence(F.greatest(length - 3, F.lit(1)), length + 3)))
-    heads = heads.withColumn("_head", F.substring("word", F.lit(1), F.col("_len") + 1))
-    heads = heads.withColumn("_key", F.explode(_deletions(F.col("_head"))))
-    pairs = wanted.join(heads, ["lang", "_len", "_key"]).select("lang", "prefix", "word", "freq", "_head").distinct()
-    near = pairs.withColumn("dist", F.levenshtein("prefix", "_head", 1)).where(F.col("dist") >= 0)
+    fitting = F.filter("_n", lambda n: (n >= F.greatest(length - 3, F.lit(1))) & (n <= length + 3))
+    by_head = words.withColumn("_n", _lengths(asked)).select("lang", "word", "freq", F.explode(fitting).alias("_len")).withColumn(
+        "_head", F.substring("word", F.lit(1), F.col("_len") + 1))
+    heads = by_head.select("lang", "_len", "_head").distinct().withColumn("_key", F.explode(_deletions(F.col("_head"))))
+    wanted = asked.withColumn("_len", F.length("prefix")).withColumn("_key", F.explode(_deletions(F.col("prefix"))))
+    near = wanted.join(heads, ["lang", "_len", "_key"]).select("lang", "_len", "prefix", "_head").distinct().withColumn(
+        "dist", F.levenshtein("prefix", "_head", 1)).where(F.col("dist") >= 0)
     return top_per_group(
-        near, ["lang", "prefix"], [F.col("dist").asc(), F.col("freq").desc(), F.col("word").asc()], k,
+        near.join(by_head, ["lang", "_len", "_head"]), ["lang", "prefix"], [F.col("dist").asc(), F.col("freq").desc(), F.col("word").asc()], k,
     ).select("lang", "prefix", "word", "freq", "dist", "rank")
 
 
 def completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Exact completions, and fuzzy ones only where there are none."""
-    exact = prefix_completions(prefixes, words, k)
-    missing = prefixes.select("lang", "prefix").distinct().join(
-        exact.select("lang", "prefix").distinct(), ["lang", "prefix"], "left_anti")
-    return exact.unionByName(fuzzy_completions(missing, words, k))
+    asked = _asked(prefixes)
+    exact = written(_exact(asked, words, k), "exact")
+    missing = written(asked.join(exact.select("lang", "prefix").distinct(), ["lang", "prefix"], "left_anti"), "missing")
+    return exact.unionByName(_fuzzy(missing, words, k))
 
 
 # --- requests, ranking, feedback ------------------------------------------------------------------------

@@ -395,6 +395,9 @@ SQL["bigrams"] = "SELECT lang, w1, w2, n FROM bigrams"
 SQL["trigrams"] = "SELECT lang, w1, w2, w3, n FROM trigrams"
 SQL["continuation"] = "SELECT lang, word, n FROM continuation"
 SQL["continuation_distinct"] = "SELECT lang, w2 AS word, count(DISTINCT w1) AS n FROM bigrams GROUP BY 1, 2"
+SQL["recommender_model"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, lang, count(*) AS rows, CAST(sum({n}) AS BIGINT) AS total FROM {name} GROUP BY lang"
+    for name, n in (("lexicon", "freq"), ("unigrams", "n"), ("bigrams", "n"), ("trigrams", "n"), ("continuation", "n")))
 SQL["typing_context"] = "SELECT request_id, mode, lang, current_word, coalesce(prev1, '') AS prev1, coalesce(prev2, '') AS prev2 FROM typed"
 SQL["prefix_completion"] = "SELECT lang, prefix, word, freq, rank::INTEGER AS rank FROM exact_hits"
 SQL["fuzzy_completion"] = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -554,16 +555,35 @@ def _docs(spark, d) -> DataFrame:
     return R.clean_corpus(X.corpus(spark, d))
 
 
-def _cleaned(spark, d) -> DataFrame:
-    """Cleaned texts, written for a query that reads them more than once."""
-    return written(_docs(spark, d), "docs")
+_TRAINED: dict[tuple, str] = {}  # application and files -> folder of the model trained on them
 
 
-def _model(spark, d, docs: DataFrame | None = None) -> R.NgramModel:
-    """Cleaned texts, names and counted positions are written once; every count table derives from them."""
-    docs = _cleaned(spark, d) if docs is None else docs
-    names = written(R.named_entities(docs), "names")
-    return R.ngram_model(written(R.count_ngrams(docs, names).positions, "positions"))
+def _trained(spark, d) -> tuple[DataFrame, R.NgramModel]:
+    """Lexicon and counts of the recommender trained on the documents: trained and saved once, then read by every query.
+
+    The model belongs to the application and to the very files it was made from; if one changes, it is trained again.
+    """
+    made_from = (spark.sparkContext.applicationId, tables.file_state(spark, f"{d}/documents.parquet"))
+    if made_from not in _TRAINED:
+        docs = written(_docs(spark, d), "docs")
+        names = written(R.named_entities(docs), "names")
+        path = scratch_path(spark, "recommender")
+        tables.save_recommender(path, R.lexicon(docs), names, R.count_ngrams(docs, names))
+        _TRAINED[made_from] = path
+    return tables.load_recommender(spark, _TRAINED[made_from])
+
+
+def _model(spark, d) -> R.NgramModel:
+    return _trained(spark, d)[1]
+
+
+@query
+def recommender_model(spark, d):
+    """Rows and counts of every table of the saved model, read back."""
+    words, model = _trained(spark, d)
+    sums = [words.select(F.lit("lexicon").alias("name"), "lang", F.col("freq").alias("n"))]
+    sums += [getattr(model, name).select(F.lit(name).alias("name"), "lang", "n") for name in ("unigrams", "bigrams", "trigrams", "continuation")]
+    return reduce(DataFrame.unionByName, sums).groupBy("name", "lang").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
 
 
 @query
@@ -626,12 +646,12 @@ def _prefixes(spark, d) -> DataFrame:
 
 @query
 def prefix_completion(spark, d):
-    return R.prefix_completions(_prefixes(spark, d), R.lexicon(_docs(spark, d))).drop("dist")
+    return R.prefix_completions(_prefixes(spark, d), _trained(spark, d)[0]).drop("dist")
 
 
 @query
 def fuzzy_completion(spark, d):
-    return R.completions(_prefixes(spark, d), R.lexicon(_docs(spark, d)))
+    return R.completions(_prefixes(spark, d), _trained(spark, d)[0])
 
 
 @query
@@ -649,16 +669,14 @@ def _boosts(spark, d) -> DataFrame:
 @query
 def rank_suggestions(spark, d):
     t = R.typing_context(X.typing_requests(spark, d))
-    docs = _cleaned(spark, d)
-    out = R.rank_suggestions(t, R.lexicon(docs), _model(spark, d, docs), _boosts(spark, d))
+    out = R.rank_suggestions(t, *_trained(spark, d), _boosts(spark, d))
     none = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select("mode", "lang", "current_word", none("prev2"), none("prev1"), "rank", "word", "score")
 
 
 @query
 def recommend(spark, d):
-    docs = _cleaned(spark, d)
-    out = R.recommend(X.typing_requests(spark, d), R.lexicon(docs), _model(spark, d, docs), _boosts(spark, d))
+    out = R.recommend(X.typing_requests(spark, d), *_trained(spark, d), _boosts(spark, d))
     return out.na.fill({"rank": 0, "word": "", "score": 0.0})
 
 
@@ -680,7 +698,7 @@ def top_recent_words(spark, d):
 
 @query
 def apply_feedback(spark, d):
-    return R.apply_feedback(R.lexicon(_docs(spark, d)), X.word_feedback(spark, d))
+    return R.apply_feedback(_trained(spark, d)[0], X.word_feedback(spark, d))
 
 
 @query
@@ -873,7 +891,7 @@ def stream_selections(spark, d):
         (F.lit(X.FEEDBACK_START).cast("timestamp") + F.make_dt_interval(hours=(F.col("conv_id") % 100 + F.col("turn")).cast("int"))).alias("created_at"),
     ).where(F.col("selected_word").isNotNull())
     out = jobs.run_available(jobs.selection_counts(feedback), ["span", "lang", "word"], "selections")
-    return jobs.merge_selections(R.lexicon(_docs(spark, d)), out)
+    return jobs.merge_selections(_trained(spark, d)[0], out)
 
 
 # --- streams in which the rows arrive part by part ---------------------------------------------------------------------------------

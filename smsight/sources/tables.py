@@ -196,6 +196,20 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()) if files.exists(folder) else []
 
 
+def file_state(spark: SparkSession, pattern: str) -> tuple:
+    """Name, size and time of all files that match a pattern, or lie in matching folders: what a saved result was made from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], list(files.globStatus(path) or [])
+    while todo:
+        at = todo.pop()
+        if at.isDirectory():
+            todo += list(files.listStatus(at.getPath()))
+        else:
+            found.append((at.getPath().toString(), at.getLen(), at.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def make_folder(spark: SparkSession, path: str) -> str:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)

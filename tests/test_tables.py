@@ -247,3 +247,19 @@ def test_longest_prefix(spark):
     names = spark.createDataFrame([("+12425551234",), ("+14155551234",), ("+77011234567",), ("+79161234567",), ("+999123456",), ("216",)], "n string")
     assert [r[0] for r in names.select(P.country_of(F.col("n"))).collect()] == ["BS", "US", "KZ", "RU", "UNKNOWN", "UNKNOWN"]
     assert len(CALLING_CODES) > 220 and len(set(CALLING_CODES)) == len(CALLING_CODES)
+
+
+def test_recommender_is_trained_once_for_the_same_files(spark, tmp_path):
+    from smsight.plans import queries as Q
+    texts = ["le train de paris part le matin", "le train de lyon part le soir"] * 3
+    rows = [(i, f"{t} {i}", "fr", "s", len(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(Q._TRAINED)
+    words, model = Q._trained(spark, str(tmp_path))
+    assert {r.word for r in words.collect()} >= {"le", "train", "part"} and model.bigrams.count() > 0
+    Q._trained(spark, str(tmp_path))
+    assert len(Q._TRAINED) == before + 1
+    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    Q._trained(spark, str(tmp_path))
+    assert len(Q._TRAINED) == before + 2
