@@ -567,6 +567,15 @@ SELECT msisdn, strftime(until, '%Y-%m-%d %H') AS until, CAST(sum(n) AS BIGINT) A
     SELECT msisdn, date_trunc('hour', send_datetime) AS h, count(*) AS n FROM sms_log GROUP BY 1, 2), range(1, 25) AS g(k))
 WHERE until <= (SELECT max(send_datetime) - INTERVAL 1 HOUR FROM sms_log) GROUP BY 1, 2"""
 
+SQL["training_facts_file"] = """
+SELECT campaign_type, encoding, count(*) AS n, CAST(sum(engaged) AS BIGINT) AS engaged, CAST(sum(send_hour) AS BIGINT) AS hours, count(groupe_id) AS grouped,
+  CAST(sum(length(message)) AS BIGINT) AS chars, strftime(max(send_datetime), '%Y-%m-%d %H:%M') AS newest FROM sms_log GROUP BY 1, 2"""
+SQL["corpus_file"] = r"""
+SELECT is_spam, noise_level, count(*) AS n, CAST(sum(length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g'))) AS BIGINT) AS chars FROM corpus GROUP BY 1, 2"""
+SQL["collection_files"] = """
+SELECT 'sms_logs' AS name, status AS part, count(*) AS n FROM sms_logs GROUP BY 2
+UNION ALL SELECT 'decisions', operateur, count(*) FROM decisions GROUP BY 2"""
+
 
 def all_sql() -> dict[str, str]:
     return {name: with_tables(sql) for name, sql in SQL.items()} | FULL

@@ -942,6 +942,42 @@ def stream_sliding_volume(spark, d):
     return out.select("msisdn", F.date_format("span.end", "yyyy-MM-dd HH").alias("until"), "n")
 
 
+# --- files written and read back ---------------------------------------------------------------------------------------------------
+
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+@query
+def training_facts_file(spark, d):
+    """Training facts through a CSV file, typed by name when read."""
+    path = scratch_path(spark, "facts") + ".csv"
+    X.sms_log(spark, d).drop("sms_id", "score", "k").write.options(**CSV).csv(path)
+    facts = tables.read_sms_facts(spark, path)
+    return facts.groupBy("campaign_type", "encoding").agg(
+        F.count("*").alias("n"), F.sum("engaged").alias("engaged"), F.sum("send_hour").alias("hours"), F.count("groupe_id").alias("grouped"),
+        F.sum(F.length("message")).alias("chars"), F.date_format(F.max("send_datetime"), "yyyy-MM-dd HH:mm").alias("newest"))
+
+
+@query
+def corpus_file(spark, d):
+    """The labelled corpus through a CSV file; texts keep their line breaks and quotes."""
+    path = scratch_path(spark, "corpus")
+    X.corpus(spark, d).select("text", "is_spam", "noise_level").write.options(**CSV).csv(path)
+    return tables.read_corpus(spark, path).groupBy("is_spam", "noise_level").agg(
+        F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("chars"))
+
+
+@query
+def collection_files(spark, d):
+    """Message logs and decisions as collections, by status and operator, read back."""
+    root = scratch_path(spark, "collections")
+    tables.write_collection(X.sms_logs(spark, d), root, "sms_logs", by=["status"])
+    tables.write_collection(X.decisions(spark, d), root, "decisions", by=["operateur"])
+    logs = tables.read_collection(spark, root, "sms_logs").groupBy(F.col("status").alias("part")).agg(F.count("*").alias("n"))
+    made = tables.read_collection(spark, root, "decisions").groupBy(F.col("operateur").alias("part")).agg(F.count("*").alias("n"))
+    return logs.select(F.lit("sms_logs").alias("name"), "part", "n").unionByName(made.select(F.lit("decisions").alias("name"), "part", "n"))
+
+
 # --- learned models (rows only: the fits are not SQL) ------------------------------------------------------------------------------
 
 def _parts(rows: DataFrame) -> DataFrame:
