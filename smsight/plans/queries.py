@@ -561,10 +561,11 @@ _TRAINED: dict[tuple, str] = {}  # application and files -> folder of the model
 def _trained(spark, d) -> tuple[DataFrame, R.NgramModel]:
     """Lexicon and counts of the recommender trained on the documents: trained and saved once, then read by every query.
 
-    The model belongs to the application and to the very files it was made from; if one changes, it is trained again.
+    The model belongs to the application and to the very files it was made from; if one changes, or the saved tables are
+    gone, it is trained again.
     """
     made_from = (spark.sparkContext.applicationId, tables.file_state(spark, f"{d}/documents.parquet"))
-    if made_from not in _TRAINED:
+    if made_from not in _TRAINED or len(tables.folder_names(spark, _TRAINED[made_from])) < len(tables.NGRAM_TABLES):
         docs = written(_docs(spark, d), "docs")
         names = written(R.named_entities(docs), "names")
         path = scratch_path(spark, "recommender")

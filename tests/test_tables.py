@@ -263,3 +263,6 @@ def test_recommender_is_trained_once_for_the_same_files(spark, tmp_path):
     frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     Q._trained(spark, str(tmp_path))
     assert len(Q._TRAINED) == before + 2
+    last = list(Q._TRAINED.values())[-1]
+    tables.delete_folder(spark, last)
+    assert Q._trained(spark, str(tmp_path))[0].count() > 0 and last not in Q._TRAINED.values()
