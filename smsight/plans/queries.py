@@ -564,7 +564,7 @@ def _trained(spark, d) -> tuple[DataFrame, R.NgramModel]:
     The model belongs to the application and to the very files it was made from; if one changes, or the saved tables are
     gone, it is trained again.
     """
-    made_from = (spark.sparkContext.applicationId, tables.file_state(spark, f"{d}/documents.parquet"))
+    made_from = (spark.sparkContext.applicationId, *(tables.file_state(spark, f"{d}/{name}.parquet") for name in ("documents", "labels")))
     if made_from not in _TRAINED or len(tables.folder_names(spark, _TRAINED[made_from])) < len(tables.NGRAM_TABLES):
         docs = written(_docs(spark, d), "docs")
         names = written(R.named_entities(docs), "names")

@@ -255,6 +255,7 @@ def test_recommender_is_trained_once_for_the_same_files(spark, tmp_path):
     rows = [(i, f"{t} {i}", "fr", "s", len(t)) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     before = len(Q._TRAINED)
     words, model = Q._trained(spark, str(tmp_path))
     assert {r.word for r in words.collect()} >= {"le", "train", "part"} and model.bigrams.count() > 0
