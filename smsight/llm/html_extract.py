@@ -6,13 +6,15 @@ features of its ancestors and its text, a pair of neighbours' from their labels.
 gradient steps on the log-likelihood (forward and backward sums); the best labels of a page come from Viterbi's recursion.
 
 Labelled pages are composed by rule from page parts whose label is known (``labelled_pages``), since the tables have none;
-``train`` takes any others. Scripts, styles, comments in the source and other content that isn't shown make no blocks.
+``train`` takes any others. Scripts, styles, comments in the source, form fields, elements with the attribute ``hidden`` or the
+style ``display:none`` and other content that isn't shown make no blocks. A page's time grows with its length, however deep
+its elements lie: a block names only the ancestor features that changed since the block before.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones left
 out, main ones joined by a line feed. ``<br>`` is white space inside its block.
 
 Defined results: a null or empty page, or one without main blocks, has the empty text; a page that breaks off inside a tag
-ends there; repeated rows repeat. Other columns are untouched.
+ends there; repeated rows repeat. Columns with the names of the results are replaced, others are untouched.
 """
 
 from __future__ import annotations
@@ -21,34 +23,42 @@ import html
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from smsight.llm.frames import by_slices
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title "
-    "tr ul noscript select optgroup button textarea label".split())
+    "tr ul noscript select optgroup button label".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# what isn't shown up to the end tag; scripts, styles, frames and templates are raw, so tags inside them are none
+# what isn't shown up to the end tag; scripts, styles, frames, templates and text fields are raw, so tags inside them are none
 HIDDEN_TAGS = frozenset("svg object canvas math audio video".split())
 # a new one of these ends an open one, up to the given containers
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "option": {"option"}, "body": {"head"}}
-ENDS_P = BLOCK_TAGS - {"label", "button", "option", "select", "textarea"}
+ENDS_P = BLOCK_TAGS - {"label", "button", "option", "select"}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article main body html aside nav header footer form blockquote td th".split())
+LISTS = frozenset("ul ol dl table select".split())
+ENDED = frozenset().union(*IMPLIED_END.values())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|template|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|template|iframe|textarea)(?=[\s/>]|\Z)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s/=]|$)", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*?\bdisplay\s*:\s*none\b|'[^']*?\bdisplay\s*:\s*none\b|display:none\b)", re.I)
 
 PARTS = frozenset("article aside blockquote body footer form head header main menu nav section table figure".split())
 
@@ -57,12 +67,35 @@ MAIN_MARK, OTHER_MARK = "\ue000", "\ue001"
 
 @dataclass
 class LeafBlock:
-    tags: list[str]
-    names: set[str]
+    begun: list[str]  # ancestor features that hold from this block on
+    ended: list[str]  # those that held up to the block before
+    tag: str  # the innermost block element
+    part: str  # the innermost of PARTS
+    named: bool
     text: str
     linked: int  # characters inside links
 
 
+@dataclass
+class _Element:
+    name: str
+    held: list[str]  # its ancestor features
+    hidden: bool
+
+
+@dataclass
+class _Level:
+    """An open block element with the inline elements open in it."""
+    element: _Element
+    part: str
+    near: dict[str, int]  # where the innermost element lies that a new one would end
+    inline: list[_Element]
+
+
+def _is_hidden(attrs: str) -> bool:
+    return bool(_HIDDEN.search(_QUOTED.sub("", attrs)) or _NOT_SHOWN.search(attrs))
+
+
 def _hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
     """From the start to the end tag of every hidden element, by their numbers in ``tokens``.
 
@@ -93,34 +126,64 @@ def _hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
 def leaf_blocks(page: str) -> list[LeafBlock]:
     """The leaf blocks of a page in order, without empty ones."""
     out: list[LeafBlock] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    levels = [_Level(_Element("none", [], False), "none", {}, [])]
+    count: Counter[str] = Counter()  # ancestor features by the open elements that have them
+    told: set[str] = set()  # those that hold for the last block
+    changed: dict[str, None] = {}
     pieces: list[str] = []
-    linked = 0
+    linked = named = dark = 0
+
+    def enter(element: _Element) -> None:
+        nonlocal named, dark
+        for f in element.held:
+            count[f] += 1
+            changed[f] = None
+        named += len(element.held) - 1
+        dark += element.hidden
+
+    def leave(element: _Element) -> None:
+        nonlocal named, dark
+        for f in element.held:
+            count[f] -= 1
+            changed[f] = None
+        named -= len(element.held) - 1
+        dark -= element.hidden
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(LeafBlock([t for t, _ in stack], set().union(*(n for _, n in stack)), text, linked))
+            begun = [f for f in changed if count[f] and f not in told]
+            ended = [f for f in changed if not count[f] and f in told]
+            told.update(begun)
+            told.difference_update(ended)
+            changed.clear()
+            out.append(LeafBlock(begun, ended, levels[-1].element.name, levels[-1].part, named > 0, text, linked))
         pieces.clear()
         linked = 0
 
-    def close(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        """End the innermost open one of ``names`` with all inside it, unless a container of ``scope`` is in between."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+    def cut(depth: int) -> None:
+        """End all block elements from a depth on."""
+        flush()
+        while len(levels) > depth:
+            level = levels.pop()
+            for element in level.inline:
+                leave(element)
+            leave(level.element)
+
+    def open_block(element: _Element) -> None:
+        above, name = levels[-1], element.name
+        near = {t: k for t, k in above.near.items() if name not in (SCOPE if t == "p" else LISTS)}
+        if name in ENDED:
+            near[name] = len(levels)
+        levels.append(_Level(element, name if name in PARTS else above.part, near, []))
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not dark:
             text = html.unescape(text)
             pieces.append(text)
-            if any(t == "a" for t, _ in stack):
+            if count["in:a"]:
                 linked += len(text.strip())
 
     at, shown = 0, 0
@@ -139,58 +202,63 @@ def leaf_blocks(page: str) -> list[LeafBlock]:
         if not name:
             continue
         attrs = token["attrs"] or token["attrs2"] or ""
-        if token["end"] or token["end2"]:
-            if name == "br":
-                pieces.append(" ")
-            elif any(t == name for t, _ in stack):
-                if name in BLOCK_TAGS:
-                    flush()
-                    while stack.pop()[0] != name:
-                        pass
-                else:  # an inline end must not end blocks
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k]
-                            break
-                        if stack[k][0] in BLOCK_TAGS:
-                            break
-            continue
         if name == "br":
             pieces.append(" ")
-            continue
-        if name in BLOCK_TAGS:
-            flush()
-            if name in ENDS_P:
-                close({"p"}, SCOPE)
-            if name in IMPLIED_END and name != "p":
-                close(IMPLIED_END[name], frozenset({"ul", "ol", "dl", "table", "select"}))
-        if name in VOID_TAGS or name in HIDDEN_TAGS:
-            continue
-        names = frozenset(w for m in _NAMES.finditer(attrs) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower()))
-        stack.append((name, names))
+        elif token["end"] or token["end2"]:
+            if name in BLOCK_TAGS:
+                if count[f"in:{name}"]:
+                    cut(next(k for k in range(len(levels) - 1, 0, -1) if levels[k].element.name == name))
+            elif count[f"in:{name}"]:  # an inline end must not end blocks
+                inline = levels[-1].inline
+                k = next((k for k in range(len(inline) - 1, -1, -1) if inline[k].name == name), None)
+                if k is not None:
+                    leave(inline.pop(k))
+        else:
+            if name in BLOCK_TAGS:
+                flush()
+                for ends in (IMPLIED_END["p"] if name in ENDS_P else (), IMPLIED_END.get(name, ())):
+                    begin = max((levels[-1].near.get(t, 0) for t in ends), default=0)
+                    if begin:
+                        cut(begin)
+            if name in VOID_TAGS or name in HIDDEN_TAGS:
+                continue
+            words = dict.fromkeys(w for m in _NAMES.finditer(attrs) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower()))
+            element = _Element(name, [f"in:{name}", *(f"name:{w}" for w in words)], bool(attrs) and _is_hidden(attrs))
+            enter(element)
+            if name in BLOCK_TAGS:
+                open_block(element)
+            else:
+                levels[-1].inline.append(element)
     add(page[at:].removesuffix("</"))
     flush()
     return out
 
 
-def features(blocks: list[LeafBlock]) -> list[list[str]]:
-    """Names of what holds for each block."""
-    out, n = [], len(blocks)
+def own_features(blocks: list[LeafBlock]) -> Iterator[list[str]]:
+    """Names of what holds for each block by itself."""
     for i, b in enumerate(blocks):
         size = len(b.text)
-        nearest = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
-        part = next((t for t in reversed(b.tags) if t in PARTS), "none")
         links = 4 * b.linked // max(size, 1)
-        out.append([
-            "any", *{f"in:{t}" for t in b.tags}, *{f"name:{w}" for w in b.names}, f"tag:{nearest}", f"part:{part}", f"links:{min(links, 4)}",
-            f"size:{min(size.bit_length(), 12)}", f"ends:{b.text[-1] in '.!?…»”\"'}", f"commas:{min(b.text.count(','), 3)}",
-            f"named:{bool(b.names)}", *(["copyright"] if "©" in b.text else []), *(["first"] if i == 0 else []), *(["last"] if i == n - 1 else [])])
+        yield [
+            "any", f"tag:{b.tag}", f"part:{b.part}", f"links:{min(links, 4)}", f"size:{min(size.bit_length(), 12)}",
+            f"ends:{b.text[-1] in '.!?…»”\"\''}", f"commas:{min(b.text.count(','), 3)}", f"named:{b.named}",
+            *(["copyright"] if "©" in b.text else []), *(["first"] if i == 0 else []), *(["last"] if i == len(blocks) - 1 else [])]
+
+
+def features(blocks: list[LeafBlock]) -> list[list[str]]:
+    """Names of what holds for each block, by its ancestors and by itself."""
+    out, held = [], {}
+    for b, own in zip(blocks, own_features(blocks)):
+        held |= dict.fromkeys(b.begun)
+        for f in b.ended:
+            del held[f]
+        out.append([*own, *held])
     return out
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]  # score of main over other
+    weights: dict[str, float]  # score of main over other, in whole multiples of 2 ** -30, so that sums are exact
     move: np.ndarray  # [before, after], other = 0, main = 1
     begin: np.ndarray
 
@@ -200,7 +268,10 @@ def decode(model: Model, blocks: list[LeafBlock]) -> list[int]:
     if not blocks:
         return []
     weight, move = model.weights, model.move.tolist()
-    score = [sum(weight.get(f, 0.0) for f in fs) for fs in features(blocks)]
+    score, held = [], 0.0
+    for b, own in zip(blocks, own_features(blocks)):
+        held += sum(weight.get(f, 0.0) for f in b.begun) - sum(weight.get(f, 0.0) for f in b.ended)
+        score.append(held + sum(weight.get(f, 0.0) for f in own))
     other, main = float(model.begin[0]), float(model.begin[1]) + score[0]
     back = []
     for s in score[1:]:
@@ -261,7 +332,7 @@ def train(pages: list[str], steps: int = 400, rate: float = 0.5, penalty: float
             g = g / len(pages) - penalty * x
             total += g * g
             x += rate * g / np.sqrt(total)
-    return Model({f: float(weight[i]) for f, i in names.items()}, move, begin)
+    return Model({f: round(float(weight[i]) * 2 ** 30) / 2 ** 30 for f, i in names.items()}, move, begin)
 
 
 def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
@@ -329,8 +400,8 @@ def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
     def share() -> str:
         return wrap(named("div", "share", "social", "tags", "toolbar"), links())
 
-    def paragraph() -> str:
-        text = main()
+    def paragraph(low: int = 4, high: int = 40) -> str:
+        text = main(low, high)
         text = pick([text, text, text, f"<b>{text}", f"<em>{text}</em>", text + "<br>" + words(2, 20), text + f' <a href="/x">{words(1, 4)}</a> ' + words(1, 9)])
         return pick([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p>{text}<br>", f"<div>{text}</div>"])
 
@@ -352,17 +423,35 @@ def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
             return f"<pre>{main(1, 20)}</pre>"
         return pick([advert, share, form, sidebar, notice])()
 
+    def frame() -> tuple[str, str]:
+        return pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
+                     named("div", "content", "post", "entry", "article-body", "story", "post-content"), named("section", "content", "article"),
+                     ("<div>", "</div>")])
+
     def article() -> str:
         inner = pick([f"<h1>{main(1, 10)}</h1>", f"<h1>{main(1, 10)}</h1>", f"<h2>{main(1, 10)}</h2>", ""]) + "".join(body_part() for _ in some(1, 10))
         if MAIN_MARK not in inner:
             inner += paragraph()
         inner += pick(["", "", "", comments()])
-        return wrap(pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
-                          named("div", "content", "post", "entry", "article-body", "story", "post-content"), named("section", "content", "article"),
-                          ("<div>", "</div>")]), inner)
+        return wrap(frame(), inner)
+
+    def short() -> str:
+        """A page of little but a short text, of that alone, or of none."""
+        least, most = pick([(1, 6), (2, 12), (4, 30)])
+        text = "".join(pick([paragraph, paragraph, body_part])() if rnd.random() < 0.2 else paragraph(least, most) for _ in some(1, 3))
+        if rnd.random() < 0.15:
+            text = main(least, most)
+        around = [f() if rnd.random() < 0.3 else "" for f in (header, menu, footer)]
+        if rnd.random() < 0.1:
+            return f"<html><body>{menu()}{pick([header, advert, notice])()}{footer()}</body></html>"
+        begin = pick(["", "<html><body>", "<!DOCTYPE html><html><body>", f"<html><head><title>{other(2, 9, 1)}</title></head><body>"])
+        return begin + "".join(around[:2]) + wrap(pick([frame(), ("", "")]), text) + around[2]
 
     pages = []
     for _ in range(n):
+        if rnd.random() < 0.25:
+            pages.append(short())
+            continue
         top = [f for f in (header, menu, notice, advert, sidebar, form) if rnd.random() < 0.45]
         low = [f for f in (comments, sidebar, advert, form, menu, notice) if rnd.random() < 0.4]
         rnd.shuffle(top)
@@ -380,13 +469,14 @@ def main_text(model: Model, page: str | None) -> str:
 
 def extract(pages: DataFrame, model: Model, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """The pages with their main text in ``out_col`` and its code points in ``n_chars``; the html column goes."""
-    own = [c for c in pages.columns if c not in (html_col, out_col, "n_chars")]
-    rows = pages.select(*[f"`{c}`" for c in own], pages[html_col].cast("string").alias("html__"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html__"] + [f"`{out_col}` string", "n_chars bigint"])
+    own = [c for c in pages.columns if c.lower() not in (html_col.lower(), out_col.lower(), "n_chars")]
+    source = next(c for c in map("page_{}".format, range(len(own) + 1)) if c not in {o.lower() for o in own})
+    rows = pages.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{html_col}`").cast("string").alias(source))
+    schema = StructType([f for f in rows.schema if f.name != source]).add(out_col, "string").add("n_chars", "long")
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(sent.value, page) for page in batch.column("html__").to_pylist()]
+        texts = [main_text(sent.value, page) for page in batch.column(source).to_pylist()]
         return pa.record_batch({c: batch.column(c) for c in own} | {out_col: pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return by_slices(rows, "html__", work, schema)
+    return by_slices(rows, source, work, schema)

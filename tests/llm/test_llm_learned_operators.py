@@ -275,11 +275,46 @@ PAGE = ("<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>v
     ("<div><video src=a></div><p>b</p><video>no</video><p>c</p>", ["b", "c"]),
     ("<p>a<script>if (1 </2) '<p>'</script><template><p>no</p></template>b</p>I </3 you", ["ab", "I </3 you"]),
     ("<p>a</p>b </", ["a", "b"]),
+    ("<p>a <span hidden>no</span>b</p><p hidden>no<p>c</p><div style='color:red; display : none'><p>no</p></div>d", ["a b", "c", "d"]),
+    ("<p class='hidden' data-x='a hidden b'>a</p><p title='style=\"x\"'>b</p><i hidden>no</p>", ["a", "b"]),
+    ("<form>a<textarea name=t><p>no</p></textarea>b</form><template-x>c</template-x>", ["ab", "c"]),
+    ("<ul><li>a<ul><li>b</ul>c<li>d</ul><table><tr><td>e<td>f<tr><td><p>g</table><dl><dt>h<dd>i<dt>j</dl>", list("abcdefghij")),
+    ("<p>a<b>b<div>c</b>d</div><b><i>e</b>f</i>", ["ab", "cd", "ef"]),
 ])
 def test_hidden_elements_end(page, expected):
     assert [b.text for b in H.leaf_blocks(page)] == expected
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<article><p>A short single paragraph of an article.</p></article>", "A short single paragraph of an article."),
+    ("<p>Only one paragraph here.</p>", "Only one paragraph here."), ("<html><body><p>One.</p><p>Two, and more.</p></body></html>", "One.\nTwo, and more."),
+    ("No markup at all.", "No markup at all."), ("<main><p>Short.</p></main>", "Short."), ("<div>Some text of a page.</div>", "Some text of a page."),
+    ("<nav><a href=/x>Home</a></nav><article><p>A short one.</p></article><footer>&copy; us</footer>", "A short one."),
+    ("<html><body><nav><a href=/x>Home</a></nav><footer>&copy; 2020 us</footer></body></html>", ""),
+])
+def test_short_pages_keep_their_text(page_model, page, expected):
+    assert H.main_text(page_model, page) == expected
+
+
+def test_features_of_deep_pages_are_those_of_the_open_elements():
+    blocks = H.leaf_blocks("<div class=x>a<section id='x y'><p>b <b>c</p></section>d<nav>e</div>f")
+    held = [{f for f in fs if f.startswith(("in:", "name:"))} for fs in H.features(blocks)]
+    assert [b.text for b in blocks] == ["a", "b c", "d", "e", "f"]
+    assert held == [{"in:div", "name:x"}, {"in:div", "in:section", "in:p", "in:b", "name:x", "name:y"}, {"in:div", "name:x"}, {"in:div", "in:nav", "name:x"}, set()]
+    assert [b.part for b in blocks] == ["none", "section", "none", "nav", "none"] and [b.named for b in blocks] == [True] * 4 + [False]
+
+
+def test_features_of_nested_blocks_grow_with_the_page():
+    blocks = H.leaf_blocks("".join(f"<div class='c{'abcdefghij'[i % 10]}'><p>text {i}</p>" for i in range(8000)))
+    assert len(blocks) == 8000 and sum(len(b.begun) + len(b.ended) for b in blocks) < 100
+
+
+def test_columns_like_working_names_stay(spark, page_model):
+    frame = spark.createDataFrame([(1, PAGE, "a", "b", None, "c")], "page_id long, html string, page_0 string, `page.1` string, TEXT string, html__ string")
+    row = H.extract(frame, page_model).first()
+    assert (row["page_0"], row["page.1"], row["html__"], row["text"][:5]) == ("a", "b", "c", "A tit") and "TEXT" not in row.asDict()
+
+
 def test_pages_in_a_frame(spark, page_model):
     rows = [(1, PAGE), (1, PAGE), (2, None), (3, ""), (None, PAGE.replace("</body></html>", "")), (4, "<p title='"), (5, PAGE[:-40]), (6, "<p>" * 30000)]
     frame = spark.createDataFrame([(i, p, "old", "u") for i, p in rows], "page_id long, html string, text string, url string")
