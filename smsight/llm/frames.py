@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from smsight.session import scratch_path, written  # noqa: F401  (operators take them from here)
 
@@ -43,17 +44,20 @@ class Scratch:
         self.paths = []
 
 
-def by_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def by_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow over slices of bounded text size; ``work`` returns one batch for each, or None."""
     from smsight.llm.words import slices
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices((b.rename_columns(names) for b in batches), column):
             out = work(part)
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    # mapInArrow takes no column whose name holds a dot
+    return (df.toDF(*(f"c{i}" for i in range(len(names)))) if any("." in c for c in names) else df).mapInArrow(run, schema)
 
 
 def least_hash(hashes: DataFrame, rows: int) -> int | None:
