@@ -3,8 +3,10 @@
 A path's segments are the levels of a host's tree. Numbers, hexadecimal and long mixed segments are variable from the start;
 others become a wildcard of their kind where they stand for less than ``LEAST_SHARE`` of the node or are not among its
 ``MOST_CHILDREN`` most frequent ones. A branch whose labels differ significantly (``KEEP_Z`` standard errors) from those of
-all others of its wildcard stays, however rare it is. A level is settled before the next one, so a tree is built in as many
-rounds as the longest path has segments, each a join of aggregated counts of the paths that go on. Sibling templates, which
+all others of its wildcard stays, however rare it is. A node is settled before those below it. A round settles one node on
+every path: segments that all paths of a branch have in common are taken as they are, up to the first at which they part. So a
+tree is built in as many rounds as a path has nodes with several children, however many segments it has; each round joins
+aggregated counts of the paths that go on. Sibling templates, which
 differ in their last segment only, are merged and judged together while their labels are alike: in order of their shares,
 one joins the group before it if its share lies within ``Z`` standard errors of that of all the group's labels. Templates
 without labels stay apart. A group's purity is its good share, smoothed by ``STRENGTH`` rows at the share of its host, which
@@ -15,13 +17,13 @@ decides alone. Rules are few and written down by hand; the tree decides about th
 
 Defined results: a null url, or one without ``://``, has empty host and path and is judged like any other; urls without
 labels are judged by their host's and the overall share; without any label everything is allowed. Repeated rows count as
-often as they stand. Other columns are untouched.
+often as they stand. Columns with the names of the results are replaced, others are untouched.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from smsight.llm.frames import written
+from smsight.llm.frames import Scratch, written
 
 MOST_CHILDREN = 50
 LEAST_SHARE = 0.01
@@ -106,14 +108,36 @@ def _differ(good: Column, bad: Column, pool_good: Column, pool_bad: Column, z: f
     return F.when((n > 0) & (m > 0), (gap > 0) & (gap > z * F.sqrt(share * (1 - share) * (1 / n + 1 / m)))).otherwise(False)
 
 
-def templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, least_share: float = LEAST_SHARE, keep_z: float = KEEP_Z) -> DataFrame:
-    """(host, shape, template) for counted shapes (host, shape, n, good, bad): wildcards level by level."""
+def _chains(tree: DataFrame) -> DataFrame:
+    """Lengthen the template of every path by what all paths of its branch that go on have in common.
+
+    Each path is compared with the longest one of its branch. Nothing is in common from where the first one differs from that,
+    and a path that ends before only goes as far as it has segments.
+    """
+    rest = F.slice("shape", F.size("template") + 1, F.size("shape"))
+    longest = tree.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.max(F.struct(F.size(rest), rest.alias("rest")))["rest"].alias("longest"))
+    same_branch = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
+    beside = tree.withColumn("rest", rest).join(longest, same_branch).drop("h", "t")
+    other = F.array_position(F.zip_with("rest", "longest", lambda a, b: a.eqNullSafe(b)), False)  # the first other segment, from 1; 0: none
+    parted = beside.where((other > 0) & (other <= F.size("rest"))).groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(
+        F.min(other - 1).cast("int").alias("common"))
+    out = tree.withColumn("rest", rest).join(parted, same_branch, "left")
+    common = F.coalesce("common", F.size("rest"))
+    return out.select("host", "shape", "n", "good", "bad", F.concat("template", F.slice("rest", F.lit(1), common)).alias("template"))
+
+
+def templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, least_share: float = LEAST_SHARE, keep_z: float = KEEP_Z,
+              keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """(host, shape, template) for counted shapes (host, shape, n, good, bad): wildcards node by node; ``keep`` writes each round."""
     tree = shapes.select("host", "shape", "n", "good", "bad", F.array().cast("array<string>").alias("template"))
-    lengths = sorted(r.k for r in shapes.select(F.size("shape").alias("k")).distinct().collect())
-    ended = [tree.where(F.size("shape") == 0).select("host", "shape", "template")]
-    for level in range(lengths[-1] if lengths else 0):
-        tree = tree.where(F.size("shape") > level)
-        segment = F.get("shape", F.lit(level))
+    ended = F.size("template") == F.size("shape")
+    out = tree.where(ended).select("host", "shape", "template")
+    tree = tree.where(~ended)
+    while not tree.isEmpty():
+        tree = keep(_chains(tree), "chains")
+        out = out.unionByName(tree.where(ended).select("host", "shape", "template"))
+        tree = tree.where(~ended)
+        segment = F.get("shape", F.size("template"))
         node = tree.groupBy(F.col("host").alias("h"), F.col("template").alias("t"), segment.alias("s")).agg(
             F.sum("n").alias("k"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         whole = node.groupBy(F.col("h").alias("wh"), F.col("t").alias("wt")).agg(F.sum("k").alias("all"))
@@ -128,12 +152,9 @@ def templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, least_share
         kept = large.unionByName(small.join(pool, ["h", "t", "kind"]).where(apart).select("h", "t", "s"))
         step = tree.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s")), "left")
         own = F.when(F.col("s").isNotNull(), segment).otherwise(kind_of(segment))
-        tree = written(step.select("host", "shape", "n", "good", "bad", F.concat("template", F.array(own)).alias("template")), "tree")
-        if level + 1 in lengths:
-            ended.append(tree.where(F.size("shape") == level + 1).select("host", "shape", "template"))
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.unionByName(part)
+        tree = keep(step.select("host", "shape", "n", "good", "bad", F.concat("template", F.array(own)).alias("template")), "tree")
+        out = out.unionByName(tree.where(ended).select("host", "shape", "template"))
+        tree = tree.where(~ended)
     return out
 
 
@@ -186,20 +207,22 @@ def judge(counts: DataFrame, strength: float = STRENGTH, z: float = Z, least_pur
 def url_verdicts(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity``. labelled: (url, good boolean)."""
     added = ("host", "path", "rule", "verdict", "template", "purity")
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in added]
-    url = F.col(url_col).cast("string")
+    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
+    url = F.col(f"`{url_col}`").cast("string")
     seen = pages.select(host_of(url).alias("host"), shape_of(path_of(url)).alias("shape")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
     marked = labelled.where("good IS NOT NULL").select(host_of(F.col("url")).alias("host"), shape_of(path_of(F.col("url"))).alias("shape"), "good")
     marked = marked.groupBy("host", "shape").agg(F.sum(F.col("good").cast("int")).alias("good"), F.sum((~F.col("good")).cast("int")).alias("bad"))
     shapes = written(seen.join(marked, ["host", "shape"], "full").select(
         "host", "shape", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n", "good", "bad"))), "shapes")
-    tree = written(templates(shapes).join(shapes, ["host", "shape"]), "templates")
+    scratch = Scratch(pages.sparkSession)
+    tree = written(templates(shapes, keep=scratch.keep).join(shapes, ["host", "shape"]), "templates")
+    scratch.drop()
     counted = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
     fate = tree.join(judge(counted), ["host", "template"]).select("host", "shape", "template", "purity", "accept")
     host, path = host_of(url), path_of(url)
-    rows = pages.select(*own, host.alias("host"), path.alias("path"), shape_of(path).alias("shape"))
+    rows = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path"), shape_of(path).alias("shape"))
     out = rows.join(fate, ["host", "shape"], "left")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_tree = F.when(F.col("accept"), F.lit("allow")).otherwise(F.lit("block"))
-    return out.select(*own, "host", "path", name.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"),
+    return out.select("row.*", "host", "path", name.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"),
                       F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from smsight.llm import html_extract as H
 from smsight.llm import language, toxicity, urls
+from smsight.llm.frames import written
 
 ODD = [(None, None), (-1, ""), (-2, "..."), (-3, None), (-4, "12 34"), (-5, "!" * 50000)]
 
@@ -206,6 +207,85 @@ def test_urls_beside_a_plain_reading(spark):
     assert urls.url_verdicts(pages.limit(0), nothing).count() == 0
 
 
+def plain_kind(segment):
+    if segment.startswith("{"):
+        return segment
+    extension = (re.search(r"(\.[A-Za-z]{1,5})$", segment) or [""])[0]
+    stem = segment[:len(segment) - len(extension)]
+    kind = "number" if re.fullmatch("[0-9]+", stem) else "hex" if re.fullmatch("[0-9a-fA-F-]{8,}", stem) else "mixed" if re.search("[0-9]", stem) else "word"
+    return f"{{{kind}}}{extension}"
+
+
+def plain_templates(shapes, most, share, z):
+    """The tree level by level: {(host, shape): template}."""
+    out = {(h, s): () for h, s, *_ in shapes}
+    for level in range(max(len(s) for _, s, *_ in shapes)):
+        nodes = {}
+        for h, s, *counts in shapes:
+            if len(s) > level:
+                child = nodes.setdefault((h, out[h, s]), {}).setdefault(s[level], [0, 0, 0])
+                child[:] = [a + b for a, b in zip(child, counts)]
+        names = {}
+        for node, children in nodes.items():
+            whole = sum(c[0] for c in children.values())
+            large = sorted((s for s, c in children.items() if c[0] >= share * whole), key=lambda s: (-children[s][0], s))[:most]
+            small = {s: c for s, c in children.items() if s not in large}
+            for s, (_, good, bad) in small.items():
+                alike = [c for x, c in small.items() if plain_kind(x) == plain_kind(s)]
+                n, m = good + bad, sum(c[1] + c[2] for c in alike) - good - bad
+                apart = False
+                if n and m:
+                    others = sum(c[1] for c in alike) - good
+                    p, gap = (good + others) / (n + m), abs(good / n - others / m) - (1 / n + 1 / m) / 2
+                    apart = gap > 0 and gap > z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+                names[node, s] = s if apart else plain_kind(s)
+            names |= {(node, s): s for s in large}
+        out |= {(h, s): (*out[h, s], names[(h, out[h, s]), s[level]]) for h, s, *_ in shapes if len(s) > level}
+    return out
+
+
+def test_tree_beside_a_plain_one(spark):
+    rnd = random.Random(11)
+    shapes = {}
+    for _ in range(600):
+        h = rnd.choice("gh")
+        s = tuple(rnd.choice(["a", "b", "c.html", "{number}", "", rnd.choice("defghijklmnop") * 2]) for _ in range(rnd.randint(0, 6)))
+        shapes[h, s] = (rnd.randint(1, 9), *rnd.choice([(0, 0), (0, 0), (3, 0), (0, 3), (1, 1), (0, 9)]))
+    shapes |= {("k", ("a",) * i): (1, 0, 0) for i in range(0, 60)} | {("k", (*("a",) * 20, "b", *"cdef" * 10)): (5, 1, 0), ("é", ("x",) * 200): (1, 0, 1)}
+    rows = [(h, list(s), *c) for (h, s), c in shapes.items()]
+    frame, rounds = spark.createDataFrame(rows, "host string, shape array<string>, n long, good long, bad long"), []
+
+    def keep(df, name):
+        rounds.append(name)
+        return written(df, name)
+
+    out = {(r.host, tuple(r.shape)): tuple(r.template) for r in urls.templates(frame, most_children=4, least_share=0.1, keep=keep).collect()}
+    assert out == plain_templates([(h, s, *c) for (h, s), c in shapes.items()], 4, 0.1, urls.KEEP_Z)
+    assert rounds.count("tree") <= 6
+
+
+def test_a_long_url_adds_no_rounds(spark):
+    def rounds(paths):
+        names = []
+        frame = spark.createDataFrame([("h", p.split("/"), 1, 1, 0) for p in paths], "host string, shape array<string>, n long, good long, bad long")
+        found = urls.templates(frame, keep=lambda df, name: names.append(name) or written(df, name))
+        assert found.count() == len(paths)
+        return len(names)
+
+    short = ["a/b", "a/c", "d/e", "d/f/g"]
+    assert rounds([*short, "/".join(f"s{i}" for i in range(200)), "d/" + "f/" * 200]) <= rounds(short) + 2
+
+
+def test_url_columns_like_working_names_stay(spark):
+    columns = ["shape", "row", "h", "t", "s", "n", "good", "bad", "rest", "accept", "merged", "page.x"]
+    frame = spark.createDataFrame([("http://h.net/a/1", "old", *columns), (None, "old", *columns)],
+                                  ", ".join(["url string", "VERDICT string", *(f"`{c}` string" for c in columns)]))
+    out = urls.url_verdicts(frame, spark.createDataFrame([("http://h.net/a/2", False)], "url string, good boolean"), rules=())
+    assert out.columns == ["url", *columns, "host", "path", "rule", "verdict", "template", "purity"]
+    assert [tuple(r)[1:13] for r in out.collect()] == [tuple(columns)] * 2
+    assert urls.url_verdicts(frame.limit(0), spark.createDataFrame([], "url string, good boolean")).columns == out.columns
+
+
 def test_siblings_merge_with_whole_groups_and_under_one_parent(spark):
     labels = [(0, 20), (0, 10), (0, 5), (0, 2), (0, 1), (0, 0), (1, 0), (2, 0), (5, 0), (10, 0), (20, 0)]
     counts = [("h", ["p", f"t{i:02d}"], g + b, g, b) for i, (g, b) in enumerate(labels)] + [("h", ["q", "t"], 1, 0, 1)]
