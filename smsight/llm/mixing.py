@@ -12,7 +12,8 @@ sources are ahead of the whole blocks of the fluid mix; executors schedule the f
 their places. Every source is a stream of its own, unless ``max_streams`` asks that all smaller ones share one.
 
 Defined results: a null source counts as the empty string; identical rows take neighbouring places in any order; an empty
-table gives an empty mix; a weight of zero or less is an error. Null ids and texts are mixed like any other.
+table gives an empty mix; a weight of zero or less is an error. Null ids and texts are mixed like any other. Columns with the
+names of the results are replaced, others are untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def mix(documents: DataFrame, source_col: str = "source", weights: dict[str, flo
     0 to the number of rows - 1, the rows are the mix.
     """
     added = ("block", "slot", "release", "deadline", "position")
-    own = [c for c in documents.columns if c not in added]
+    own = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in added]
     spark = documents.sparkSession
     name = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     counted = documents.groupBy(name.alias("stream_")).agg(F.count(F.lit(1)).alias("n"))
@@ -214,7 +215,9 @@ def mix(documents: DataFrame, source_col: str = "source", weights: dict[str, flo
         [(s, max(0, math.ceil(math.log2(n / BUCKET_ROWS)))) for s, n in rows.items()], "stream_ string, bits_ int")
 
     stream = F.col("stream_") if REST not in rows else F.when(F.col("stream_").isin(list(top)), F.col("stream_")).otherwise(F.lit(REST))
-    placed = documents.select(*[F.col(f"`{c}`") for c in own], name.alias("stream_"), F.xxhash64(*[F.col(f"`{c}`") for c in key_cols]).alias("hash_"))
+    # a document's columns travel as one, so that no working column has the name of one of them
+    keys = [F.col(f"`{c}`") for c in key_cols]
+    placed = documents.select(F.struct(*own).alias("row_"), F.struct(*keys).alias("key_"), name.alias("stream_"), F.xxhash64(*keys).alias("hash_"))
     # one row for each source is broadcast
     placed = placed.withColumn("stream_", stream).join(F.broadcast(bits), "stream_").withColumn("bucket_", _bucket(F.col("bits_"))).drop("bits_")
     sizes = placed.groupBy("stream_", "bucket_").agg(F.count(F.lit(1)).alias("n"))
@@ -226,9 +229,9 @@ def mix(documents: DataFrame, source_col: str = "source", weights: dict[str, flo
     # the blocks of a bucket travel with its rows, so texts are exchanged once and no row carries a list
     both = placed.unionByName(parts, allowMissingColumns=True)
     inside = Window.partitionBy("stream_", "bucket_")
-    ranked = both.withColumn("rank_", F.row_number().over(inside.orderBy(F.col("place_").isNotNull(), "hash_", *[F.col(f"`{c}`") for c in key_cols])) - 1)
+    ranked = both.withColumn("rank_", F.row_number().over(inside.orderBy(F.col("place_").isNotNull(), "hash_", "key_")) - 1)
     begins = F.greatest(F.col("place_.block") * block_rows - F.col("place_.before_"), F.lit(0))
     ranked = ranked.withColumn("is_row_", F.col("place_").isNull()).withColumn("rank_", F.when(F.col("is_row_"), F.col("rank_")).otherwise(begins))
     timed = ranked.withColumn("place_", F.last("place_", ignorenulls=True).over(inside.orderBy("rank_", "is_row_"))).where("is_row_")
     position = F.col("place_.slot") * block_rows + F.col("place_.before_") + F.col("rank_") - F.col("place_.block") * block_rows - F.col("place_.missing")
-    return timed.select(*[F.col(f"`{c}`") for c in own], *(F.col(f"place_.{c}").alias(c) for c in added[:-1]), position.cast("bigint").alias("position"))
+    return timed.select("row_.*", *(F.col(f"place_.{c}").alias(c) for c in added[:-1]), position.cast("bigint").alias("position"))

@@ -156,6 +156,19 @@ def test_streams_end_in_the_fluid_mix_and_every_source_is_one(spark):
     assert Counter((r.source, r.block) for r in out) == Counter((f"s{k}", i) for k in range(1500) for i in range(2))
 
 
+def test_columns_of_a_mix_like_working_names_stay(spark):
+    names = ["hash_", "stream_", "bits_", "bucket_", "place_", "rank_", "is_row_", "row_", "key_", "before_", "n", "missing", "a.b"]
+    plain = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")
+    odd = plain.select("*", *(F.lit(c).alias(c) for c in names), F.lit("old").alias("SLOT"))
+    out = mixing.mix(odd, block_rows=8)
+    results = ["block", "slot", "release", "deadline", "position"]
+    assert out.columns == ["doc_id", "source", *names, *results]
+    assert {tuple(r)[2:-5] for r in out.collect()} == {tuple(names)}
+    key = ["doc_id", "source", *results]
+    assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, mixing.mix(plain, block_rows=8).select(*key).collect()))
+    assert mixing.mix(odd.limit(0)).columns == out.columns and mixing.mix(odd.limit(0)).count() == 0
+
+
 def test_mixing_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
