@@ -188,6 +188,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in kept[4].collect()} >= {None, -1, -2}
 
 
+def test_pipeline_stages_of_an_empty_table_with_extra_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    names = ["hash_", "stream_", "place_", "markov", "spans", "base", "score", "hit_words", "n_hit", "component_id", "tkey", "key"]
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("*", *(F.lit(c).alias(c) for c in names)).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents, folder)
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns) and out.count() == 0
+
+
 def test_one_row_of_a_component_stays_whatever_its_id(spark):
     words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
     near = lambda name: words(name) + " changed"
