@@ -4,10 +4,13 @@ A window is ``window`` consecutive words of a benchmark item (an item of fewer w
 sequence of tokens, runs of up to three words. Containment asks for all of them, so one necessary token is enough to
 find every occurrence: the one that the corpus has least often. Documents are looked up by those tokens only; the offset
 of the token inside its window gives where the window would begin, which must fit into the document, and the words there
-are compared one by one.
+are compared one by one, as 64-bit hashes.
 
-The item side is taken in blocks of at most ``block_words`` words; a block is broadcast, so what is sent is bounded, and
-the documents are read once for the token counts and once for the join of each block. No document is moved.
+Windows, their tokens and the choice of the rarest are tables: the benchmark is cut by tasks, a bitmap of its tokens (at
+most 2^30 bits) tells which tokens of documents are counted, and the counts are joined to the tokens of the windows. A
+window with a token that no document has is left out. What remains is dealt by hash into blocks of about ``block_words``
+words, however long an item is and however many items share a window; only those blocks pass through the driver, to be
+broadcast. The documents are read once for the counts and once for the lookups of up to four blocks; no document is moved.
 
 Defined results: a null or empty text has no words and no hits; an item without words matches nothing; repeated documents
 are judged row by row; repeated items count once; a null item id stands as the empty string. Other columns are untouched.
@@ -15,6 +18,7 @@ are judged row by row; repeated items count once; a null item id stands as the e
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smsight.llm.frames import by_slices, lists
-from smsight.llm.words import ALPHANUMERIC, Words, shingles
+from smsight.llm.frames import Scratch, by_slices, lists, written
+from smsight.llm.words import ALPHANUMERIC, Words, shingles, slices
 
 WINDOW = 10
 TOKEN = 3
-BLOCK_WORDS = 1 << 20
-_FILTER_BITS = 22
+BLOCK_WORDS = 1 << 23
+STAGE_BLOCKS = 4  # blocks that one stage holds at a time; beyond them the documents found so far are written
+CUT_ROWS = 1 << 14  # windows in one Arrow batch
+FILTER_BITS = 22, 30  # least and greatest size of the bitmap of tokens, as powers of 2
+_LOOKUP_BITS = 22
+_MAP_BITS = 15  # Spark's bitmap functions keep 2^15 bits in a row
 
 
 class Lookup:
@@ -37,12 +45,12 @@ class Lookup:
 
     def __init__(self, tokens: np.ndarray):
         self.tokens = np.sort(tokens)
-        self.bitmap = np.zeros(1 << _FILTER_BITS, bool)
-        self.bitmap[self.tokens >> np.uint64(64 - _FILTER_BITS)] = True
+        self.bitmap = np.zeros(1 << _LOOKUP_BITS, bool)
+        self.bitmap[self.tokens >> np.uint64(64 - _LOOKUP_BITS)] = True
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where values hold a token, and the number of that token."""
-        at = np.flatnonzero(self.bitmap[values >> np.uint64(64 - _FILTER_BITS)])
+        at = np.flatnonzero(self.bitmap[values >> np.uint64(64 - _LOOKUP_BITS)])
         number = np.searchsorted(self.tokens, values[at])
         number[number == len(self.tokens)] = 0
         same = self.tokens[number] == values[at] if len(self.tokens) else np.zeros(len(at), bool)
@@ -61,67 +69,39 @@ def _runs(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 class Block:
-    """Windows of some items: their words, the items that have them, and their tokens."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        known: dict[bytes, int] = {}
-        owners: list[set[str]] = []
-        self.windows: list[np.ndarray] = []
-        for name, words in items:
-            for i in range(max(1, len(words) - window + 1)):
-                part = words[i:i + window]
-                number = known.setdefault(part.tobytes(), len(self.windows))
-                if number == len(self.windows):
-                    self.windows.append(part)
-                    owners.append(set())
-                owners[number].add(name)
-        self.owners = [sorted(x) for x in owners]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.sizes = sorted({min(TOKEN, n) for n in self.lengths.tolist()})
-        self.tokens_of = []
-        for part in self.windows:
-            value, start = _runs(part, np.array([0, len(part)]), min(TOKEN, len(part)))
-            self.tokens_of.append((value, start))
-        self.lookup = Lookup(np.unique(np.concatenate([v for v, _ in self.tokens_of])))
-
-    def choose(self, count: dict[int, int]) -> None:
-        """Keep for each window its rarest token; windows with a token that no document has can't occur."""
-        by_token = defaultdict(list)
-        for number, (value, start) in enumerate(self.tokens_of):
-            seen, offset, token = min((count.get(int(v), 0), int(s), int(v)) for v, s in zip(value, start))
-            if seen:
-                by_token[token].append((number, offset))
-        tokens = np.array(sorted(by_token), np.uint64)
-        self.lookup = Lookup(tokens)
-        self.tokens_of = []
-        pairs = [by_token[int(t)] for t in tokens]
-        self.token_first = np.cumsum([0, *map(len, pairs)])
-        flat = [p for x in pairs for p in x]
-        self.token_window = np.array([p[0] for p in flat], np.int64)
-        self.token_offset = np.array([p[1] for p in flat], np.int64)
-        self.word_first = np.cumsum([0, *self.lengths.tolist()])
-        self.words = np.concatenate(self.windows) if self.windows else np.zeros(0, np.uint64)
-        self.windows = []
-
-    def tokens(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes = words.hashes()
-        for size in self.sizes:
-            value, start = _runs(hashes, words.first, size)
-            at, number = self.lookup.find(value)
-            yield start[at], number
+    """Some windows: their words, the items that have them, and the token that each is looked up by."""
+
+    def __init__(self, rows: pa.Table):
+        words = rows.column("words").combine_chunks()
+        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        tokens = rows.column("token").to_numpy().view(np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        counts = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum(counts)[:-1]])[order]
+        self.lengths = counts[order]
+        self.word_first = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.words = flat[np.repeat(begins - self.word_first[:-1], self.lengths) + np.arange(len(flat))]
+        self.offset = rows.column("offset").to_numpy().astype(np.int64)[order]
+        self.owners = rows.column("item").combine_chunks().dictionary_encode().take(pa.array(order))
+        self.sizes = sorted({min(TOKEN, n) for n in np.unique(counts).tolist()})
+        self.lookup = Lookup(np.unique(tokens))
+        self.token_first = np.searchsorted(tokens[order], np.append(self.lookup.tokens, 0))
+        self.token_first[-1] = len(tokens)
+
+    def owner(self, window: int) -> str:
+        return self.owners[window].as_py()
 
     def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Verified occurrences: number of the first word, number of the window."""
         hashes, text = words.hashes(), None
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for start, number in self.tokens(words):
+        for start, number in _known(words, self.sizes, self.lookup):
             if not len(start):
                 continue
             text = words.text_of_word() if text is None else text
             n = self.token_first[number + 1] - self.token_first[number]
-            entry = np.repeat(self.token_first[number] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            window, begin = self.token_window[entry], np.repeat(start, n) - self.token_offset[entry]
-            owner = np.repeat(text[start], n)
+            window = np.repeat(self.token_first[number] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            begin, owner = np.repeat(start, n) - self.offset[window], np.repeat(text[start], n)
             fits = (begin >= words.first[owner]) & (begin + self.lengths[window] <= words.first[owner + 1])
             begin, window = begin[fits], window[fits]
             for step in range(int(self.lengths[window].max()) if len(window) else 0):
@@ -133,37 +113,100 @@ class Block:
         return np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Block]:
-    def words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(1), ALPHANUMERIC)
-        return pa.record_batch({"item": batch.column(0).fill_null(""), "words": lists(
-            words.hashes().view(np.int64), words.first, pa.int64())})
+def _known(words: Words, sizes: list[int], lookup: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where documents have a token of the lookup, for each size of tokens: number of its first word, number of the token."""
+    hashes = words.hashes()
+    for size in sizes:
+        value, start = _runs(hashes, words.first, size)
+        at, number = lookup.find(value)
+        yield start[at], number
 
+
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words, tokens): every window of every item, as hashes of its words and of its tokens in order."""
     part = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    held, size = [], 0
-    for row in by_slices(part, "text", words_of, "item string, words array<bigint>").toLocalIterator():
-        if not row.words:
-            continue
-        if held and size + len(row.words) > block_words:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row.item, np.array(row.words, np.int64).view(np.uint64)))
-        size += len(row.words)
-    if held:
-        yield Block(held, window)
-
-
-def _count(documents: DataFrame, text_col: str, block) -> dict[int, int]:
-    """How often documents have each token of a block."""
-    def tally(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        numbers = np.concatenate([n for _, n in block.value.tokens(Words(batch.column(0), ALPHANUMERIC))])
-        if not len(numbers):
-            return None
-        number, count = np.unique(numbers, return_counts=True)
-        return pa.record_batch({"token": pa.array(block.value.lookup.tokens[number].view(np.int64)), "n": pa.array(count)})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = Words(batch.column("text"), ALPHANUMERIC)
+            hashes, names = words.hashes().view(np.int64), batch.column("item").fill_null("")
+            for i, (begin, end) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+                if begin == end:
+                    continue
+                size = min(window, end - begin)
+                token, _ = _runs(hashes[begin:end].view(np.uint64), np.array([0, end - begin]), min(TOKEN, size))
+                for first in range(0, end - begin - size + 1, CUT_ROWS):
+                    rows = min(CUT_ROWS, end - begin - size + 1 - first)
+                    columns = [np.lib.stride_tricks.sliding_window_view(x[first:first + rows + k - 1], k) for x, k in
+                               ((hashes[begin:end], size), (token.view(np.int64), size - min(TOKEN, size) + 1))]
+                    yield pa.record_batch({"item": pa.repeat(names[i], rows)} | {
+                        c: lists(x.ravel(), np.arange(rows + 1) * x.shape[1], pa.int64()) for c, x in zip(("words", "tokens"), columns)})
+
+    return part.mapInArrow(cut, "item string, words array<bigint>, tokens array<bigint>")
+
+
+def token_bitmap(tokens: DataFrame) -> np.ndarray:
+    """Which values the highest bits of the tokens have, 8 bits for each token within bounds: at most 128 MB."""
+    n = tokens.agg(F.approx_count_distinct("token").alias("n")).first()["n"]
+    bits = min(max(math.ceil(math.log2(8 * n + 1)), FILTER_BITS[0]), FILTER_BITS[1])
+    high = F.shiftrightunsigned("token", 64 - bits)
+    maps = tokens.select(F.shiftright(high, _MAP_BITS).alias("part"), high.bitwiseAND(F.lit((1 << _MAP_BITS) - 1)).alias("bit"))
+    out = np.zeros(1 << bits, bool)
+    for row in maps.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+        begin = row.part << _MAP_BITS
+        out[begin:begin + (1 << _MAP_BITS)] = np.unpackbits(np.frombuffer(row.map, np.uint8), bitorder="little")
+    return np.packbits(out)
+
+
+def token_counts(documents: DataFrame, text_col: str, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(token, n): how often documents have the tokens that the bitmap knows, some others among them."""
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+    shift = np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
+
+    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, held = Words(batch.column(0), ALPHANUMERIC), sent.value
+        found = [np.zeros(0, np.uint64)]
+        for size in sizes:
+            value, _ = _runs(words.hashes(), words.first, size)
+            high = value >> shift
+            found.append(value[(held[high >> np.uint64(3)] << (high & np.uint64(7)).astype(np.uint8)) & np.uint8(128) != 0])
+        token, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.record_batch({"token": pa.array(token.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     rows = by_slices(documents.select(F.col(text_col).cast("string").alias("text")), "text", tally, "token bigint, n bigint")
-    return {r.token & 0xFFFFFFFFFFFFFFFF: r.n for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    return rows.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def rarest_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, words, offset, token): every window by the token that documents have least often (ties: the first one).
+
+    Windows with a token that no document has can't occur and are left out.
+    """
+    tokens = windows.select("item", "words", F.posexplode("tokens").alias("offset", "token"))
+    counted = tokens.join(counts, "token", "left")
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least")
+    return counted.groupBy("item", "words").agg(least).where("least.n > 0").select("item", "words", "least.offset", "least.token")
+
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int,
+            block_words: int) -> Iterator[Block]:
+    scratch = Scratch(documents.sparkSession)
+    try:
+        windows = scratch.keep(item_windows(benchmark, item_col, item_text_col, window).dropDuplicates(["item", "words"]), "windows")
+        lengths = windows.select(F.least(F.size("words"), F.lit(TOKEN)).alias("n")).distinct()
+        sizes = sorted(r["n"] for r in lengths.collect())  # at most three
+        if not sizes:
+            return
+        bitmap = token_bitmap(windows.select(F.explode("tokens").alias("token")))
+        chosen = scratch.keep(rarest_tokens(windows, token_counts(documents, text_col, bitmap, sizes)), "chosen")
+        total = chosen.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+        blocks = -(-total // block_words)
+        for number in range(blocks):
+            rows = chosen.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == number).toArrow()
+            if rows.num_rows:
+                yield Block(rows)
+    finally:
+        scratch.drop()
 
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -186,7 +229,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "
                 text = words.text_of_word()
                 for b, w in zip(begin.tolist(), number.tolist()):
                     at = int(text[b])
-                    items[at].update(block.value.owners[w])
+                    items[at].add(block.value.owner(w))
                     b -= int(words.first[at])
                     hit[at].update(range(b, b + int(block.value.lengths[w])))
             if begun:
@@ -200,16 +243,13 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "
             return pa.record_batch(columns)
         return work
 
-    begun = False
-    for block in _blocks(benchmark, item_col, item_text_col, window, block_words):
-        sent = spark.sparkContext.broadcast(block)
-        block.choose(_count(documents, text_col, sent))
-        sent.unpersist()
-        if not len(block.token_window):
-            continue
-        out = by_slices(out, text_col, scan(spark.sparkContext.broadcast(block), begun), schema)
-        begun = True
-    return out if begun else by_slices(out, text_col, scan(None, False), schema)
+    passes = 0
+    for block in _blocks(documents, benchmark, text_col, item_col, item_text_col, window, block_words):
+        if passes and passes % STAGE_BLOCKS == 0:
+            out = written(out, "hits")
+        out = by_slices(out, text_col, scan(spark.sparkContext.broadcast(block), passes > 0), schema)
+        passes += 1
+    return out if passes else by_slices(out, text_col, scan(None, False), schema)
 
 
 def items_digest(items: Column) -> Column:

@@ -77,6 +77,28 @@ def test_decontamination_beside_brute_force(spark, block_words):
     assert sorted(((str(r.doc_id), r.n_words, r.hit_words, r.hit_items) for r in rows), key=str) == brute_hits(documents, items, 6)
 
 
+def test_benchmark_blocks_split_long_items_and_shared_windows(spark):
+    long_item = " ".join(f"w{i % 89} x{i % 97}" for i in range(1500))
+    items = [(1, long_item)] + [(i, "one window that many items share") for i in range(2, 800)]
+    documents = spark.createDataFrame([(1, long_item), (2, "say: one window that many items share!"), (3, "w1 x1 w2")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._blocks(documents, benchmark, "text", "item_id", "text", 10, 8000))
+    assert len(blocks) == 5 and all(4000 < len(b.words) < 12000 for b in blocks)
+    assert sum(len(b.lengths) for b in blocks) == 2991 + 798
+    assert sorted(n for b in blocks for n in b.owners.to_pylist() if n != "1") == sorted(str(i) for i in range(2, 800))
+    rows = {r.doc_id: r for r in decontaminate.benchmark_hits(documents, benchmark, block_words=8000).collect()}
+    assert rows[1].hit_words == list(range(3000)) and rows[1].hit_items == ["1"]
+    assert rows[2].hit_words == list(range(1, 7)) and len(rows[2].hit_items) == 798 and rows[3].hit_words == []
+
+
+def test_token_bitmap_holds_the_highest_bits_of_tokens(spark):
+    tokens = [0, 1, -1, 1 << 62, -(1 << 63), (1 << 63) - 1, 12345678901234567]
+    found = decontaminate.token_bitmap(spark.createDataFrame([(t,) for t in tokens], "token long"))
+    bits = decontaminate.FILTER_BITS[0]
+    assert len(found) == 1 << bits - 3
+    assert set(np.flatnonzero(np.unpackbits(found)).tolist()) == {(t % (1 << 64)) >> 64 - bits for t in tokens}
+
+
 def test_decontamination_of_empty_tables(spark):
     documents = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     nothing = spark.createDataFrame([], "item_id long, text string")
