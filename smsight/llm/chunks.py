@@ -7,8 +7,9 @@ bytes. Since the hash sees the last 32 bytes only, equal passages get equal chun
 Each row keeps its ordered chunk list, the recipe. Chunks are joined by digest: the store holds every digest once, with its
 samples compressed losslessly. Reading joins recipes with the store, puts the chunks in order and verifies the payload digest.
 
-Stored form of a payload: the recipe, that is 4 bytes ``CDC1``, the payload's length and the number of chunks (64 bits
-each, little endian), then for each chunk its length (32 bits) and digest (32 bytes); after it the samples in order.
+Stored form of a payload: the columns of its recipe as 4 bytes ``CDC1``, the payload's length and the number of chunks (64 bits
+each, little endian), then for each chunk its length (32 bits) and digest (32 bytes); after it the compressed samples of its
+chunks in order, byte for byte as the store holds them. ``media_bytes`` and ``media_sha256`` are those of this form.
 
 Defined results: a null text is the empty one, whose payload is 64 bytes 0; equal texts have equal payloads, recipes and
 features, and share one rebuilt payload; repeated rows repeat; an empty table gives an empty one.
@@ -154,8 +155,9 @@ def read_media(recipes: DataFrame, store: DataFrame, hot_places: int = HOT_PLACE
                 values = np.frombuffer(data, np.uint8).astype(np.int64)
                 step = int(np.abs(np.diff(values)).sum() * 1000 // (len(values) - 1))
                 media = hashlib.sha256(recipe)
-                media.update(data)
-                for column, value in zip(out, (sha, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(recipe) + len(data),
+                for part in samples:
+                    media.update(part)
+                for column, value in zip(out, (sha, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(recipe) + sum(map(len, samples)),
                                                media.hexdigest(), f"{int(values.sum())}:{int((values == 0).sum())}:{step}", len(parts))):
                     column.append(value)
             types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())

@@ -1,7 +1,9 @@
 """Media chunks, chat formatting, mixing, and the pipeline."""
 
+import bz2
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -41,6 +43,7 @@ def test_media_is_rebuilt_from_shared_chunks(spark):
     recipes, store = chunks.store_media(frame)
     assert recipes.select(F.explode("digests")).count() > store.count()
     assert store.count() == store.select("digest").distinct().count()
+    listed, stored = recipes.collect(), {bytes(r.digest): bytes(r.samples) for r in store.collect()}
     rows = chunks.media_features(frame).collect()
     assert len(rows) == len(texts) + 2
     plain = {i: (t or "").encode() for i, t in enumerate(texts)} | {None: b"a"}
@@ -49,6 +52,14 @@ def test_media_is_rebuilt_from_shared_chunks(spark):
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
             len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        # the stored form and the features, from the store's rows and plain numbers
+        mine = next(x for x in listed if x.payload_sha256 == hashlib.sha256(payload).digest())
+        form = b"CDC1" + struct.pack("<QQ", len(payload), len(mine.digests))
+        form += b"".join(struct.pack("<I", n) + bytes(d) for n, d in zip(mine.lengths, mine.digests)) + b"".join(stored[bytes(d)] for d in mine.digests)
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        assert b"".join(bz2.decompress(stored[bytes(d)]) for d in mine.digests) == payload
+        steps = sum(abs(a - b) for a, b in zip(payload, payload[1:])) * 1000 // (len(payload) - 1)
+        assert r.feature == f"{sum(payload)}:{payload.count(0)}:{steps}"
     by_text = {}
     for r in rows:
         by_text.setdefault(plain[r.doc_id], set()).add((r.media_bytes, r.media_sha256, r.feature))
