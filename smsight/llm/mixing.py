@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 64
 FRAME = 1024
 BUCKET_ROWS = 1024
+BROADCAST_STREAMS = 1 << 17  # some MB; beyond, rows and streams are joined by an exchange
 REST = "\x00rest"
 
 
@@ -218,8 +219,9 @@ def mix(documents: DataFrame, source_col: str = "source", weights: dict[str, flo
     # a document's columns travel as one, so that no working column has the name of one of them
     keys = [F.col(f"`{c}`") for c in key_cols]
     placed = documents.select(F.struct(*own).alias("row_"), F.struct(*keys).alias("key_"), name.alias("stream_"), F.xxhash64(*keys).alias("hash_"))
-    # one row for each source is broadcast
-    placed = placed.withColumn("stream_", stream).join(F.broadcast(bits), "stream_").withColumn("bucket_", _bucket(F.col("bits_"))).drop("bits_")
+    # one row for each source, broadcast where they are few enough
+    bits = F.broadcast(bits) if len(rows) <= BROADCAST_STREAMS else bits
+    placed = placed.withColumn("stream_", stream).join(bits, "stream_").withColumn("bucket_", _bucket(F.col("bits_"))).drop("bits_")
     sizes = placed.groupBy("stream_", "bucket_").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("stream_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("stream_", "bucket_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_"), "n")
