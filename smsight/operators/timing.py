@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from smsight.functions import scoring, vocab as V
 from smsight.functions.calendar import period_of_day
-from smsight.operators.encoding import global_rate
 
 
 def _literals(values) -> Column:
@@ -19,18 +18,22 @@ def time_score_matrix(df: DataFrame, label: str = "nlp_type_reel", target: str =
     """Smoothed engagement per hour and type, all 24 hours of every type.
 
     ``(engaged + m * g) / (sent + m)`` with the overall rate ``g``; an hour without messages
-    scores ``g``.  One pass over the rows; everything after the grouping has 24 rows per type.
+    scores ``g``.  One pass over the rows: the grouped cells of a type become one row, the overall
+    rate is a window over those rows (one for each type), and each is spread over the 24 hours.
+    Rows without a type are a type of their own; other hours and none count for ``g`` only.
     """
-    cells = df.groupBy(F.col(hour).alias("send_hour"), F.col(label).alias("nlp_type")).agg(
+    cells = df.groupBy(F.col(hour).cast("int").alias("send_hour"), F.col(label).alias("nlp_type")).agg(
         F.sum(target).alias("n_eng"), F.count("*").alias("n_obs"))
-    g = global_rate(cells)
-    grid = cells.select("nlp_type").distinct().select(
-        "nlp_type", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("send_hour"))
+    cell = F.when(F.col("send_hour").between(0, 23), F.struct("send_hour", F.struct("n_eng", "n_obs")))
+    types = cells.groupBy("nlp_type").agg(  # collect_list leaves out nulls
+        F.map_from_entries(F.collect_list(cell)).alias("_hours"), F.sum("n_eng").alias("_eng"), F.sum("n_obs").alias("_obs"))
+    every = W.partitionBy(F.lit(0))
+    rate = F.sum("_eng").over(every) / F.sum("_obs").over(every).cast("double")
     weight = F.when(F.col("nlp_type").isin(V.RARE_TYPES), V.PRIOR_WEIGHT_RARE).otherwise(V.PRIOR_WEIGHT)
-    scored = grid.join(cells, ["nlp_type", "send_hour"], "left").withColumns({
-        "n_eng": F.coalesce("n_eng", F.lit(0)), "n_obs": F.coalesce("n_obs", F.lit(0)),
-        "global_rate": g,
-    })
+    grid = types.withColumn("global_rate", rate).withColumn("send_hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    found = F.try_element_at("_hours", F.col("send_hour"))
+    scored = grid.select(
+        "nlp_type", "send_hour", F.coalesce(found["n_eng"], F.lit(0)).alias("n_eng"), F.coalesce(found["n_obs"], F.lit(0)).alias("n_obs"), "global_rate")
     smoothed = (F.col("n_eng") + weight * F.col("global_rate")) / (F.col("n_obs") + weight)
     return scored.withColumn(
         "time_score", F.when(F.col("n_obs") > 0, smoothed).otherwise(F.col("global_rate")))

@@ -29,6 +29,18 @@ def test_matrix_smoothing(spark):
     assert m["OTP", 0] == pytest.approx(g)
 
 
+def test_matrix_reads_rows_once_and_keeps_rows_without_hour_or_type(spark, tmp_path):
+    rows = [(9, "OTP", 1), (9, "OTP", 1), (None, "OTP", 0), (30, "OTP", 0), (8, None, 1)]
+    spark.createDataFrame(rows, "send_hour int, nlp_type_reel string, engaged int").write.parquet(f"{tmp_path}/rows")
+    matrix = M.time_score_matrix(spark.read.parquet(f"{tmp_path}/rows"))
+    assert matrix._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    m = {(r.nlp_type, r.send_hour): r for r in matrix.collect()}
+    assert len(m) == 48 and all(r.global_rate == 3 / 5 for r in m.values())
+    assert (m["OTP", 9].n_eng, m["OTP", 9].n_obs, m[None, 8].n_obs) == (2, 2, 1)
+    assert sum(r.n_obs for r in m.values()) == 3 and m[None, 9].time_score == 3 / 5
+    assert M.time_score_matrix(spark.read.parquet(f"{tmp_path}/rows").limit(0)).count() == 0
+
+
 def test_windows(spark):
     flat = [1.0] * 24
     assert window(spark, flat) == (9, 9, 13, "fallback_posthoc")
