@@ -31,6 +31,17 @@ def test_quantiles_and_tiers(spark):
     assert sorted(r.t for r in E.with_tier(same, "r", "t").collect()) == [0] * 10 + [1]
 
 
+def test_buckets_follow_the_number_of_rows(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_000 - 500).alias("v"))
+    found = ranks.with_buckets(df, "v", buckets=4, bucket_rows=500).groupBy("_bucket").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).orderBy("_bucket").collect()
+    assert len(found) == 80 and max(r.n for r in found) < 600
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),), (1.0,), (1.0,)], "v double")
+    for part, n in ((odd, 6), (odd.where("v IS NULL"), 1), (odd.limit(0), 0)):
+        assert ranks.with_buckets(part, "v").count() == n
+
+
 def test_messages_last_day_with_a_busy_recipient(spark):
     rng = random.Random(5)
     base = dt.datetime(2024, 1, 1)
