@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable
 
 WORD_CHARS = r"\p{L}\p{N}_"
 SPACE_CHARS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+# the same characters one by one, for trimming
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ARABIC_CHARS = "؀-ۿ"
 WORD = f"[{WORD_CHARS}]"
 SPACE = f"[{SPACE_CHARS}]"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from smsight.functions import vocab as V
 from smsight.functions.regex import (
-    ARABIC, ARABIC_CHARS, NOT_SPACE, SPACE, WORD_CHARS, literal, python_like, spaced_word, whole_word,
+    ARABIC, ARABIC_CHARS, NOT_SPACE, SPACE, WORD_CHARS, literal, python_like, whole_word,
 )
 
 URL_PATTERN = "|".join(
@@ -201,13 +201,16 @@ def usable_token(token: Column) -> Column:
 
 
 def detect_language(text: Column | str) -> Column:
-    """``ar`` by share of Arabic characters or a darija word, else a stop-word vote, else ``fr``."""
+    """``ar`` by share of Arabic characters or a darija word, else a stop-word vote, else ``fr``.
+
+    The text is cut at blanks once and its words are looked up, instead of one scan for each word list.
+    """
     text = _col(text)
     arabic = F.regexp_count(text, F.lit(ARABIC)) > F.length(text) * F.lit(V.ARABIC_SHARE)
-    lower = F.lower(text)
-    votes = lambda words: F.regexp_count(lower, F.lit(spaced_word(words)))
-    return (
-        F.when(arabic | lower.rlike(spaced_word(V.DARIJA_WORDS)), F.lit("ar"))
-        .when(votes(V.ENGLISH_STOP_WORDS) > votes(V.FRENCH_STOP_WORDS), F.lit("en"))
-        .otherwise(F.lit("fr"))
-    )
+    listed = [*V.DARIJA_WORDS, *V.ENGLISH_STOP_WORDS, *V.FRENCH_STOP_WORDS]
+    found = F.filter(F.split(F.lower(text), SPACE), lambda w: w.isin(listed))
+    votes = lambda f, words: F.size(F.filter(f, lambda w: w.isin(words)))
+    return _let(found, lambda f: (
+        F.when(arabic | (votes(f, V.DARIJA_WORDS) > 0), F.lit("ar"))
+        .when(votes(f, V.ENGLISH_STOP_WORDS) > votes(f, V.FRENCH_STOP_WORDS), F.lit("en"))
+        .otherwise(F.lit("fr"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from smsight.functions import text as T, vocab as V
-from smsight.functions.regex import SPACE
+from smsight.functions.regex import SPACE, SPACES
 from smsight.operators.ranks import top_per_group
 from smsight.session import written
 
@@ -20,6 +20,19 @@ def _in(column: Column, words: list[str]) -> Column:
     return column.isin(words)
 
 
+CODES = 1 << 22  # numbers that keys are hashed to
+
+
+def _maybe(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be ``asked`` for; an exact join has to follow.
+
+    Keys are compared by one of ``CODES`` numbers, so what goes to every task is bounded however much is asked, and of a
+    model that is far larger than the questions little is shuffled. Key columns need the same types on both sides.
+    """
+    code = F.pmod(F.xxhash64(*on), F.lit(CODES)).alias("_code")
+    return rows.select("*", code).join(F.broadcast(asked.select(code).distinct()), "_code", "left_semi").drop("_code")
+
+
 # --- corpus -----------------------------------------------------------------------------------
 
 def clean_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,7 +42,7 @@ def clean_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     trimmed = df.where(~F.col("is_spam") & (F.col("noise_level") != "heavy")).select(
         F.col(doc_id).alias("doc_id"),
-        F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "").alias("text"),
+        F.btrim(text, F.lit(SPACES)).alias("text"),
     ).where(F.length("text") >= 3)
     return trimmed.groupBy("text").agg(F.min("doc_id").alias("doc_id")).withColumn(
         "lang", T.detect_language("text")).withColumn("tokens", T.tokenize("text"))
@@ -162,10 +175,13 @@ def _best_lists(ranked: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def trigram_lists(trigrams: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    totals = trigrams.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("total"))
-    scored = trigrams.join(totals, ["lang", "w1", "w2"]).select(
-        "lang", "w1", "w2", F.col("w3").alias("word"), (F.col("n") / F.col("total")).alias("prob"))
-    return _best_lists(scored, ["lang", "w1", "w2"], k)
+    """Best followers of two words. Within a context the share has the order of the count, so only the ``k`` most frequent
+    followers, which Spark picks before the shuffle, meet the context's total."""
+    keys = ["lang", "w1", "w2"]
+    totals = trigrams.groupBy(*keys).agg(F.sum("n").alias("total"))
+    top = top_per_group(trigrams, keys, [F.col("n").desc(), F.col("w3").asc()], k)
+    entry = F.struct("rank", F.col("w3").alias("word"), (F.col("n") / F.col("total")).alias("prob"))
+    return top.join(totals, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("best"))
 
 
 def bigram_lists(bigrams: DataFrame, continuation: DataFrame, k: int = CANDIDATES, discount: float = V.DISCOUNT) -> DataFrame:
@@ -208,8 +224,8 @@ def predict_next(contexts: DataFrame, model: NgramModel, k: int = CANDIDATES) ->
     # only asked contexts are scored: the semi-joins run before the counts are summed and ranked
     pairs = distinct.where(F.col("prev2").isNotNull()).select("lang", F.col("prev2").alias("w1"), F.col("prev1").alias("w2"))
     lasts = distinct.where(F.col("prev1").isNotNull()).select("lang", F.col("prev1").alias("w1")).distinct()
-    trigrams = model.trigrams.join(pairs, ["lang", "w1", "w2"], "left_semi")
-    bigrams = model.bigrams.join(lasts, ["lang", "w1"], "left_semi")
+    asked = lambda counts, keys: _maybe(counts, keys, keys.columns).join(keys, keys.columns, "left_semi")
+    trigrams, bigrams = asked(model.trigrams, pairs), asked(model.bigrams, lasts)
     tri = trigram_lists(trigrams, k).select(
         "lang", F.col("w1").alias("prev2"), F.col("w2").alias("prev1"), F.col("best").alias("_tri"))
     bi = bigram_lists(bigrams, model.continuation, k).select(
@@ -244,7 +260,7 @@ def prefix_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATE
 def _exact(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
     spread = words.withColumn("_n", _lengths(asked)).select("lang", "word", "freq", F.explode(
         F.transform(F.filter("_n", lambda n: (n > 0) & (n <= F.length("word"))), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
-    hits = spread.join(asked, ["lang", "prefix"])
+    hits = _maybe(spread, asked, ["lang", "prefix"]).join(asked, ["lang", "prefix"])
     return top_per_group(hits, ["lang", "prefix"], [F.col("freq").desc(), F.col("word").asc()], k).select(
         "lang", "prefix", "word", "freq", F.lit(0).alias("dist"), "rank")
 
@@ -262,7 +278,7 @@ def fuzzy_completions(prefixes: DataFrame, words: DataFrame, k: int = CANDIDATES
     Two strings within one edit share a string of their deletion neighbourhoods, so candidates
     come from an equi-join; a word is compared by its first ``len(prefix) + 1`` characters and
     only if its length differs by at most 3. Neighbourhoods are made for asked lengths only, and
-    once for each beginning, however many words have it.
+    only their strings that some prefix may share are shuffled.
     """
     return _fuzzy(_asked(prefixes), words, k)
 
@@ -272,12 +288,13 @@ def _fuzzy(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
     fitting = F.filter("_n", lambda n: (n >= F.greatest(length - 3, F.lit(1))) & (n <= length + 3))
     by_head = words.withColumn("_n", _lengths(asked)).select("lang", "word", "freq", F.explode(fitting).alias("_len")).withColumn(
         "_head", F.substring("word", F.lit(1), F.col("_len") + 1))
-    heads = by_head.select("lang", "_len", "_head").distinct().withColumn("_key", F.explode(_deletions(F.col("_head"))))
+    on = ["lang", "_len", "_key"]
     wanted = asked.withColumn("_len", F.length("prefix")).withColumn("_key", F.explode(_deletions(F.col("prefix"))))
-    near = wanted.join(heads, ["lang", "_len", "_key"]).select("lang", "_len", "prefix", "_head").distinct().withColumn(
-        "dist", F.levenshtein("prefix", "_head", 1)).where(F.col("dist") >= 0)
+    heads = _maybe(by_head.select("lang", "_len", "_head", F.explode(_deletions(F.col("_head"))).alias("_key")), wanted, on).distinct()
+    near = written(wanted.join(heads, on).select("lang", "_len", "prefix", "_head").distinct().withColumn(
+        "dist", F.levenshtein("prefix", "_head", 1)).where(F.col("dist") >= 0), "near")
     return top_per_group(
-        near.join(by_head, ["lang", "_len", "_head"]), ["lang", "prefix"], [F.col("dist").asc(), F.col("freq").desc(), F.col("word").asc()], k,
+        near.join(_maybe(by_head, near, ["lang", "_len", "_head"]), ["lang", "_len", "_head"]), ["lang", "prefix"], [F.col("dist").asc(), F.col("freq").desc(), F.col("word").asc()], k,
     ).select("lang", "prefix", "word", "freq", "dist", "rank")
 
 
