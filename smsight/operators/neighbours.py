@@ -2,8 +2,8 @@
 
 The rows are ordered by their projection onto the direction of greatest variance and cut into blocks. Two rows are at least
 as far apart as their projections, so a row whose ``k`` nearest so far lie within ``r`` needs no block further than ``r`` along
-that direction. Every block first looks at its own rows; then the windows double, and a block meets only those blocks that its
-widest row still reaches. The result doesn't depend on block size, partitions or batches: distances are summed column by
+that direction. Every block first looks at its own rows; then the windows double, and a block meets only those blocks whose
+smallest box, in all columns, its widest row still reaches. The result doesn't depend on block size, partitions or batches: distances are summed column by
 column, and equal ones are told apart by row number.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smsight.operators.ranks import bucketed_running_sums, with_buckets
@@ -81,7 +81,8 @@ def _nearer(x: np.ndarray, y: np.ndarray, base_x: int, base_y: int, best: np.nda
     return distance[keep].reshape(-1, k), number[keep].reshape(-1, k)
 
 
-STATE = "block long, along binary, x binary, best binary, who binary, low double, high double, right double, left double"
+STATE = ("block long, along binary, x binary, best binary, who binary, low double, high double, right double, left double, "
+         "least array<double>, most array<double>, reach double")
 
 
 def _row(block: int, along: np.ndarray, x: np.ndarray, best: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
@@ -90,7 +91,15 @@ def _row(block: int, along: np.ndarray, x: np.ndarray, best: np.ndarray, who: np
         "block": pa.array([block], pa.int64()), "along": pa.array([along.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()),
         "best": pa.array([best.tobytes()], pa.binary()), "who": pa.array([who.tobytes()], pa.binary()),
         "low": pa.array([along.min()]), "high": pa.array([along.max()]),
-        "right": pa.array([(along + reach).max()]), "left": pa.array([(along - reach).min()])})
+        "right": pa.array([(along + reach).max()]), "left": pa.array([(along - reach).min()]),
+        "least": pa.array([x.min(0).tolist()], pa.list_(pa.float64())), "most": pa.array([x.max(0).tolist()], pa.list_(pa.float64())),
+        "reach": pa.array([reach.max()])})
+
+
+def _apart(least: Column, most: Column, least_other: Column, most_other: Column) -> Column:
+    """Squared distance of two boxes; rows of them are at least as far apart."""
+    gaps = F.zip_with(F.zip_with(least_other, most, lambda a, b: a - b), F.zip_with(least, most_other, lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + F.greatest(gap, F.lit(0.0)) * F.greatest(gap, F.lit(0.0)))
 
 
 def _unpacked(row: dict, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +154,8 @@ def nearest_blocks(ranked: DataFrame, features: list[str], k: int, block_rows: i
                     continue
                 y = np.frombuffer(row["x"]).reshape(-1, width)
                 far = np.sqrt(here[3][:, -1]) * (1 + SLACK) + SLACK
-                needs = (here[1] + far >= row["low"]) & (here[1] - far <= row["high"])
+                outside = np.maximum(np.maximum(y.min(0) - here[2], here[2] - y.max(0)), 0.0)
+                needs = (here[1] + far >= row["low"]) & (here[1] - far <= row["high"]) & ((outside ** 2).sum(1) <= far ** 2)
                 if needs.any():
                     best, who = here[3].copy(), here[4].copy()
                     best[needs], who[needs] = _nearer(here[2][needs], y, -1, row["other"] * block_rows + 1, best[needs], who[needs])
@@ -154,23 +164,28 @@ def nearest_blocks(ranked: DataFrame, features: list[str], k: int, block_rows: i
             yield _row(*here)
 
     state = written(dealt.mapInArrow(pack, STATE), "blocks")
-    fixed = state.select(F.col("block").alias("other"), F.col("x").alias("x_other"), F.col("low").alias("low_other"), F.col("high").alias("high_other"))
+    fixed = state.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_other") for c in ("x", "low", "high", "least", "most")])
     reached, window = 0, 1
     while True:
         offsets = F.array(*(F.lit(s * o) for o in range(reached + 1, reached + window + 1) for s in (-1, 1)))
-        asked = state.select("block", "right", "left", F.explode(offsets).alias("step")).withColumn("other", F.col("block") + F.col("step"))
-        pairs = written(asked.join(fixed.select("other", "low_other", "high_other"), "other").where(
-            F.when(F.col("step") > 0, F.col("low_other") <= F.col("right")).otherwise(F.col("high_other") >= F.col("left"))).select("block", "other"), "meetings")
-        if pairs.isEmpty():
+        asked = state.select("block", "right", "left", "least", "most", "reach", F.explode(offsets).alias("step")).withColumn("other", F.col("block") + F.col("step"))
+        near = _apart(F.col("least"), F.col("most"), F.col("least_other"), F.col("most_other")) <= F.col("reach") * F.col("reach")
+        along = written(asked.join(fixed.drop("x_other"), "other").where(
+            F.when(F.col("step") > 0, F.col("low_other") <= F.col("right")).otherwise(F.col("high_other") >= F.col("left"))).select("block", "other", near.alias("near")), "meetings")
+        if along.isEmpty():
             return state
+        reached, window = reached + window, min(2 * window, 64)
+        pairs = along.where("near").drop("near")
+        if pairs.isEmpty():  # others lie further along the direction
+            continue
         met = pairs.join(fixed, "other").select(
             "block", F.lit(None).cast("binary").alias("along"), F.col("x_other").alias("x"), F.lit(None).cast("binary").alias("best"),
             F.lit(None).cast("binary").alias("who"), F.col("low_other").alias("low"), F.col("high_other").alias("high"),
-            F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("left"), "other", F.abs(F.col("other") - F.col("block")).alias("gap"))
+            F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("left"), F.lit(None).cast("array<double>").alias("least"),
+            F.lit(None).cast("array<double>").alias("most"), F.lit(None).cast("double").alias("reach"), "other", F.abs(F.col("other") - F.col("block")).alias("gap"))
         own = state.withColumns({"other": F.lit(None).cast("bigint"), "gap": F.lit(0).cast("bigint")})
         both = own.unionByName(met).repartition("block").sortWithinPartitions("block", "gap", "other")
         state = written(both.mapInArrow(widen, STATE), "blocks")
-        reached, window = reached + window, min(2 * window, 64)
 
 
 def nearest(ranked: DataFrame, features: list[str], k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -201,3 +201,23 @@ def test_fatigue_features_are_used_where_known(spark):
     facts = L.with_fatigue(facts.withColumn("send_datetime", F.to_timestamp("t")))
     assert {r.sms_id: (r.sms_last_24h, round(r.sms_fatigue_penalty, 6)) for r in facts.collect()} == {1: (0, 1.0), 2: (1, 0.92)}
     assert L.feature_list(facts)[-2:] == L.FATIGUE_FEATURES and L.feature_list(facts.drop("sms_last_24h")) == L.ALL_FEATURES
+
+
+def test_blocks_meet_only_those_whose_box_they_reach(spark, monkeypatch):
+    import numpy as np
+    from smsight.operators import neighbours as N
+    # the direction of greatest variance is the first column; rows of one value there fall into far clusters of the second
+    rows = [(1000.0 * a, 10.0 * b, c / 100.0) for a in range(2) for b in range(12) for c in range(64)]
+    names, written_tables = ["x", "y", "z"], {}
+    ranked = written(N.numbered(spark.createDataFrame(rows, names), names), "ranked")
+    keep = N.written
+    monkeypatch.setattr(N, "written", lambda df, name: written_tables.setdefault((name, len(written_tables)), keep(df, name)))
+    found = N.nearest(ranked, names, 3, 16).toPandas()
+    met = [df.groupBy("near").count().collect() for (name, _), df in written_tables.items() if name == "meetings"]
+    near = sum(r["count"] for rows in met for r in rows if r["near"])
+    assert near <= 96 * 6 and sum(r["count"] for rows in met for r in rows) >= near
+    x = np.array([[r[c] for c in names] for r in ranked.orderBy("_rank").collect()])
+    for r in (1, 700, 1536):
+        distance = np.sqrt(((x - x[r - 1]) ** 2).sum(1))
+        distance[r - 1] = np.inf
+        assert np.allclose(sorted(found[found["rank"] == r].distance), np.sort(distance)[:3])
