@@ -6,6 +6,7 @@ counted in the query's progress.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Types
@@ -231,8 +232,14 @@ def recent_volume(messages: DataFrame, span: str = "24 hours", slide: str = "1 h
 def sliding_volume(messages: DataFrame, span: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Messages per recipient in every span that ends on a ``slide``, once the watermark has closed it.
 
-    Messages are first counted per recipient and slide, so a row enters overlapping spans once for each slide and
-    recipient, not once for each message; Spark clears both states behind the watermark. Append mode.
+    Messages are first counted per recipient and slide; Spark clears those counts behind the watermark. A processor keeps the
+    counts of the last ``span`` and gives out runs of ends with the same number of messages, so neither a shuffle nor the
+    state holds a row for each span and recipient: the spans are made from the runs last. Append mode.
     """
     sums = messages.withWatermark("send_datetime", delay).groupBy(F.window("send_datetime", slide).alias("part"), "msisdn").agg(F.count("*").alias("part_n"))
-    return sums.groupBy(F.window(F.window_time("part"), span, slide).alias("span"), "msisdn").agg(F.sum("part_n").alias("n"))
+    counts = sums.select("msisdn", F.window_time("part").alias("event_at"), F.unix_micros("part.start").alias("start"), F.col("part_n").alias("n"))
+    span_us, slide_us = (pd.Timedelta(x) // pd.Timedelta(microseconds=1) for x in (span, slide))
+    runs = state.sliding_runs(counts, span_us, slide_us)
+    ends = runs.select("msisdn", "n", F.explode(F.sequence("first_end", "last_end", F.lit(slide_us))).alias("end"))
+    return ends.select(
+        F.struct(F.timestamp_micros(F.col("end") - span_us).alias("start"), F.timestamp_micros("end").alias("end")).alias("span"), "msisdn", "n")

@@ -1,4 +1,4 @@
-"""Streams that keep state of their own per key: bandit parameters in event order, decisions that expire.
+"""Streams that keep state of their own per key: bandit parameters in event order, decisions that expire, counts of sliding spans.
 
 State lives in Spark's state store (RocksDB), per key; a batch reads and writes only the keys that it has rows or timers for.
 """
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Types
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from smsight.functions import vocab as V
@@ -137,3 +138,76 @@ def closed_decisions(decisions: DataFrame, feedback: DataFrame, ttl_days: int =
     rows = both.where("event_at IS NOT NULL AND sms_id IS NOT NULL").withWatermark("event_at", delay).withColumn("at", F.unix_micros("event_at"))
     return rows.groupBy("sms_id").transformWithStateInPandas(
         ExpiringDecision(ttl_days * 86_400_000), "sms_id long, context_key string, decided_at timestamp, n_feedback long, status string", "Append", "EventTime")
+
+
+class SlidingRuns(StatefulProcessor):
+    """Sums of the counts of one bucket of recipients over sliding spans, as runs of span ends with the same sum.
+
+    A count enters the spans that end from ``first`` to ``last``, a ``slide`` apart. So the sum of a recipient changes only where
+    a count comes in or has gone out, and rows grow with the counts, not with the spans. Runs are given up to the watermark;
+    counts that later spans need are kept.
+    """
+
+    def __init__(self, key_type: Types.DataType, span_us: int, slide_us: int):
+        self.key_type, self.span, self.slide = key_type, span_us, slide_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kinds = {"upto": Types.LongType(), "msisdn": Types.ArrayType(self.key_type), "start": Types.ArrayType(Types.LongType()), "n": Types.ArrayType(Types.LongType())}
+        self.open = handle.getValueState("open", Types.StructType([Types.StructField(c, kind) for c, kind in kinds.items()]))
+
+    def _advance(self, new: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        """Runs behind the last ones and up to the watermark (microseconds)."""
+        upto, parts = None, new
+        if self.open.exists():
+            upto, keys, starts, ns = self.open.get()
+            if not new and upto >= watermark:
+                return  # a timer of a bucket that had rows in this batch
+            parts = [pd.DataFrame({"msisdn": pd.Series(list(keys), dtype=object), "start": np.array(starts, np.int64), "n": np.array(ns, np.int64)}), *new]
+        if not parts:
+            return
+        counts = pd.concat(parts, ignore_index=True)
+        last = counts["start"].to_numpy(np.int64) + self.span
+        first = last - (self.span // self.slide - 1) * self.slide
+        code, keys = pd.factorize(counts["msisdn"].astype(object), use_na_sentinel=False)
+        whose, at = np.concatenate([code, code]), np.concatenate([first, last + self.slide])
+        n = counts["n"].to_numpy(np.int64)
+        order = np.lexsort((at, whose))
+        whose, at, total = whose[order], at[order], np.cumsum(np.concatenate([n, -n])[order])  # zero behind each recipient
+        on_grid = lambda us: (us - self.span) // self.slide * self.slide + self.span
+        begin = at[:-1] if upto is None else np.maximum(at[:-1], on_grid(upto) + self.slide)
+        end = np.minimum(at[1:] - self.slide, on_grid(watermark))
+        run = np.flatnonzero((total[:-1] > 0) & (begin <= end))
+        left = last > watermark
+        if left.any():
+            rest = counts[left]
+            self.open.update((watermark, rest["msisdn"].tolist(), rest["start"].tolist(), rest["n"].tolist()))
+            due = max(int(first[left].min()), on_grid(watermark) + self.slide)
+            self.handle.registerTimer(due // 1000)
+        elif self.open.exists():
+            self.open.clear()
+        if len(run):
+            yield pd.DataFrame({"msisdn": keys[whose[run]], "first_end": begin[run], "last_end": end[run], "n": total[run]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [part[["msisdn", "start", "n"]] for part in rows]
+        yield from self._advance(new, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_runs(counts: DataFrame, span_us: int, slide_us: int, buckets: int = 1024) -> DataFrame:
+    """Stream of (msisdn, first_end, last_end, n): ``n`` messages in each span that ends from ``first_end`` to ``last_end``.
+
+    ``counts(msisdn, event_at, start, n)`` are closed counts per recipient and slide (microseconds) in a stream that has a
+    watermark on ``event_at``. Recipients are dealt by hash over ``buckets``, so a call serves many of them.
+    """
+    use_state_store(counts.sparkSession)
+    kind = counts.schema["msisdn"].dataType
+    out = Types.StructType([Types.StructField("msisdn", kind), *[Types.StructField(c, Types.LongType()) for c in ("first_end", "last_end", "n")]])
+    dealt = counts.withColumn("bucket", F.pmod(F.hash("msisdn"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(SlidingRuns(kind, span_us, slide_us), out, "Append", "EventTime")

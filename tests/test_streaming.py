@@ -120,3 +120,53 @@ def test_sliding_counts_close_behind_the_watermark(spark, tmp_path):
     out = jobs.run_arrivals(jobs.sliding_volume(stream, "3 hours", "1 hour", "1 hour"), feeds)
     got = {(r.msisdn, r.span.end.hour): r.n for r in out.collect()}
     assert got == {("a", 1): 2, ("a", 2): 2, ("a", 3): 3, ("a", 4): 1, ("a", 5): 1, ("b", 2): 1, ("b", 3): 1, ("b", 4): 1}
+
+
+MESSAGES = "msisdn string, send_datetime timestamp"
+
+
+def sliding_by_hand(parts, span, delay):
+    """Messages of the ``span`` hours before each full hour that the watermark has passed; rows of closed hours are late."""
+    hours, watermark = {}, dt.datetime.min
+    for rows in parts:
+        for who, at in rows:
+            hour = at.replace(minute=0, second=0, microsecond=0)
+            if hour + dt.timedelta(hours=1) > watermark:
+                hours[who, hour] = hours.get((who, hour), 0) + 1
+        watermark = max([watermark, *(at - dt.timedelta(hours=delay) for _, at in rows)])
+    out = {}
+    for (who, hour), n in hours.items():
+        for k in range(1, span + 1):
+            if (end := hour + dt.timedelta(hours=k)) <= watermark:
+                out[who, end] = out.get((who, end), 0) + n
+    return out
+
+
+def test_sliding_counts_over_several_arrivals(spark, tmp_path):
+    at = lambda hours: T0 + dt.timedelta(hours=hours)
+    names = [None, "", *(f"p{i}" for i in range(30))]
+    rows = [(names[i * i % 32], at(i * 0.37 % 20)) for i in range(150)]
+    parts = [
+        [r for r in rows if r[1] < at(8)] + [("clock", at(8))],
+        [r for r in rows if at(8) <= r[1] < at(14)] + [("p1", at(7.2)), ("p2", at(1)), ("clock", at(15))],  # 7.2: its hour is open still; 1: late
+        [("clock", at(16))],  # the watermark falls on a full hour, other recipients have no rows
+        [r for r in rows if r[1] >= at(16)] + [("clock", at(60))],
+        [("p3", at(70)), ("p3", at(70.5)), ("clock", at(74))],
+    ]
+    stream, feeds = arrivals(spark, tmp_path, "m", parts, MESSAGES)
+    out = jobs.run_arrivals(jobs.sliding_volume(stream, "5 hours", "1 hour", "1 hour"), feeds)
+    got = [((r.msisdn, r.span.end), r.n) for r in out.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == sliding_by_hand(parts, 5, 1)
+    assert out.where("span.end - span.start <> INTERVAL '5' HOUR").count() == 0
+
+
+def test_sliding_counts_keep_no_row_per_span(spark, tmp_path):
+    people = 60
+    folder, check, result = (str(tmp_path / n) for n in ("in", "state", "out"))
+    rows = [(f"p{i}", T0 + dt.timedelta(minutes=i)) for i in range(people)] + [("clock", T0 + dt.timedelta(hours=40))]
+    spark.createDataFrame(rows, MESSAGES).coalesce(1).write.parquet(folder)
+    stream = jobs.sliding_volume(jobs.read_stream(spark, folder, spark.read.parquet(folder).schema))
+    query = stream.writeStream.format("parquet").option("path", result).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(result).count() == people * 24
+    assert sum(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) < people * 12
