@@ -90,54 +90,84 @@ def bandit_updates(feedback: DataFrame, decay: float = V.BANDIT_DECAY, delay: st
         OrderedBandit(decay), "context_key string, hour int, alpha double, beta double, n_updates long", "Update", "EventTime")
 
 
-class ExpiringDecision(StatefulProcessor):
-    """One decision: kept for its time to live, counting feedback, then given out as answered or expired and forgotten."""
+class ExpiringDecisions(StatefulProcessor):
+    """The decisions of one bucket: kept for their time to live, counting feedback, then given out as answered or expired and forgotten.
+
+    A call serves all decisions of the bucket that have rows or have run out. The open ones are one value: numbers as packed
+    arrays, contexts as numbers of the distinct ones.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.decision = handle.getValueState("decision", "context_key string, decided_at long, feedback long")
+        self.open = handle.getValueState("open", "ids binary, at binary, feedback binary, code binary, contexts array<string>")
+
+    def _held(self) -> pd.DataFrame:
+        if not self.open.exists():
+            return pd.DataFrame({"sms_id": np.array([], np.int64), "at": np.array([], np.int64), "feedback": np.array([], np.int64), "context": np.array([], object)})
+        ids, at, feedback, code, contexts = self.open.get()
+        longs = lambda packed: np.frombuffer(bytes(packed), np.int64)
+        return pd.DataFrame({"sms_id": longs(ids), "at": longs(at), "feedback": longs(feedback), "context": np.array(contexts, object)[longs(code)]})
+
+    def _keep(self, held: pd.DataFrame) -> None:
+        if not len(held):
+            if self.open.exists():
+                self.open.clear()
+            return
+        code, contexts = pd.factorize(held["context"])
+        packed = [held[c].to_numpy(np.int64).tobytes() for c in ("sms_id", "at", "feedback")]
+        self.open.update((*packed, code.astype(np.int64).tobytes(), list(contexts)))
+
+    def _expire(self, held: pd.DataFrame, watermark_ms: int, changed: bool) -> Iterator[pd.DataFrame]:
+        """Give out and forget what the watermark has passed; the next timer is that of the oldest decision left."""
+        over = (held["at"] // 1000 + self.ttl_ms).to_numpy() <= watermark_ms  # as timers run out
+        left = held[~over]
+        if changed or over.any():
+            self._keep(left)
+        if len(left):
+            self.handle.registerTimer(int(left["at"].min()) // 1000 + self.ttl_ms)
+        if over.any():
+            gone = held[over]
+            yield pd.DataFrame({"sms_id": gone["sms_id"].to_numpy(), "context_key": gone["context"].to_numpy(), "decided_at": pd.to_datetime(gone["at"].to_numpy(), unit="us"),
+                                "n_feedback": gone["feedback"].to_numpy(), "status": np.where(gone["feedback"].to_numpy() > 0, "answered", "expired")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = sorted(e for part in rows for e in zip(part["at"].tolist(), part["answers"].tolist(), part["context_key"].fillna("").tolist()))
-        known = self.decision.get() if self.decision.exists() else None
-        for at, answers, context in events:
-            if answers:
-                if known and known[1] <= at <= known[1] + self.ttl_ms * 1000:
-                    known = (known[0], known[1], known[2] + 1)
-            elif known is None:  # a repeated decision is the first one
-                known = (context, at, 0)
-                self.handle.registerTimer(at // 1000 + self.ttl_ms)
-        if known:
-            self.decision.update(known)
-        return iter(())
+        new = pd.concat([part[["sms_id", "at", "answers", "context_key"]] for part in rows], ignore_index=True)
+        held = self._held()
+        made = new[~new["answers"].to_numpy(bool)].assign(context=lambda d: d["context_key"].fillna(""))
+        made = made[~made["sms_id"].isin(held["sms_id"])].sort_values(["at", "context"]).drop_duplicates("sms_id")  # a repeated decision is the first one
+        held = pd.concat([held, made.assign(feedback=np.int64(0))[["sms_id", "at", "feedback", "context"]]], ignore_index=True)
+        answers = new.loc[new["answers"].to_numpy(bool), ["sms_id", "at"]].rename(columns={"at": "answered"})
+        met = answers.merge(held[["sms_id", "at"]].assign(row=np.arange(len(held))), on="sms_id")
+        met = met[(met["at"] <= met["answered"]) & (met["answered"] <= met["at"] + self.ttl_ms * 1000)]
+        held["feedback"] = held["feedback"].to_numpy(np.int64) + np.bincount(met["row"].to_numpy(np.int64), minlength=len(held))
+        yield from self._expire(held, timerValues.getCurrentWatermarkInMs(), True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.decision.exists():
-            return
-        context, at, feedback = self.decision.get()
-        self.decision.clear()
-        yield pd.DataFrame({"sms_id": [key[0]], "context_key": [context], "decided_at": [pd.Timestamp(at, unit="us")],
-                            "n_feedback": [feedback], "status": ["answered" if feedback else "expired"]})
+        yield from self._expire(self._held(), timerValues.getCurrentWatermarkInMs(), False)
 
     def close(self) -> None:
         pass
 
 
-def closed_decisions(decisions: DataFrame, feedback: DataFrame, ttl_days: int = V.DECISION_TTL_DAYS, delay: str = "1 day") -> DataFrame:
+def closed_decisions(
+    decisions: DataFrame, feedback: DataFrame, ttl_days: int = V.DECISION_TTL_DAYS, delay: str = "1 day", buckets: int = 1024,
+) -> DataFrame:
     """Stream of decisions whose time to live has run out, with the number of feedbacks that came in that time.
 
     ``decisions(sms_id, context_key, decided_at)``, ``feedback(sms_id, received_at)``. A decision comes out once, when the
-    watermark has passed its expiry; feedback without a decision is dropped.
+    watermark has passed its expiry; feedback without a decision is dropped. Decisions are dealt by hash over ``buckets``, so a
+    call serves many of them.
     """
     use_state_store(decisions.sparkSession)
     both = decisions.select("sms_id", "context_key", F.col("decided_at").alias("event_at"), F.lit(False).alias("answers")).unionByName(
         feedback.select("sms_id", F.lit(None).cast("string").alias("context_key"), F.col("received_at").alias("event_at"), F.lit(True).alias("answers")))
-    rows = both.where("event_at IS NOT NULL AND sms_id IS NOT NULL").withWatermark("event_at", delay).withColumn("at", F.unix_micros("event_at"))
-    return rows.groupBy("sms_id").transformWithStateInPandas(
-        ExpiringDecision(ttl_days * 86_400_000), "sms_id long, context_key string, decided_at timestamp, n_feedback long, status string", "Append", "EventTime")
+    rows = both.where("event_at IS NOT NULL AND sms_id IS NOT NULL").withWatermark("event_at", delay).withColumns(
+        {"at": F.unix_micros("event_at"), "sms_id": F.col("sms_id").cast("bigint"), "bucket": F.pmod(F.hash(F.col("sms_id").cast("bigint")), F.lit(buckets))})
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        ExpiringDecisions(ttl_days * 86_400_000), "sms_id long, context_key string, decided_at timestamp, n_feedback long, status string", "Append", "EventTime")
 
 
 class SlidingRuns(StatefulProcessor):

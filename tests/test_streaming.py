@@ -170,3 +170,37 @@ def test_sliding_counts_keep_no_row_per_span(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(result).count() == people * 24
     assert sum(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) < people * 12
+
+
+def expiry_by_hand(parts, ttl, delay):
+    """Decisions that ran out, with their feedback, and the number left open; ``parts`` are (decisions, feedback) with times in hours."""
+    held, out, watermark = {}, [], -1e9
+    for decisions, feedback in parts:
+        for at, answers, context, key in sorted([(at, False, c or "", k) for k, c, at in decisions] + [(at, True, "", k) for k, at in feedback]):
+            if at <= watermark:
+                continue  # late
+            if answers and key in held and held[key][1] <= at <= held[key][1] + ttl:
+                held[key][2] += 1
+            elif not answers:
+                held.setdefault(key, [context, at, 0])
+        watermark = max([watermark, *(d[2] - delay for d in decisions), *(f[1] - delay for f in feedback)])
+        for key in [k for k, (_, at, _) in held.items() if at + ttl <= watermark]:
+            context, _, n = held.pop(key)
+            out.append((key, context, n, "answered" if n else "expired"))
+    return sorted(out), len(held)
+
+
+def test_decisions_of_many_keys_share_a_state(spark, tmp_path):
+    hour = lambda n: T0 + dt.timedelta(hours=n)
+    parts = [
+        ([(i, ["a", None, "b"][i % 3], i * 0.25 % 10) for i in range(80)] + [(5, "later", 9), (7, "z", 1.75), (7, "y", 1.75)], [(i, i * 0.25 % 10 + i % 4) for i in range(0, 90, 2)]),
+        ([(i, "again", 11 + i % 3) for i in range(0, 120, 3)], [(i, 10.5 + i % 5) for i in range(120)] + [(3, 2.0)]),
+        ([(200, None, 30)], []),  # most run out without rows of their own
+        ([(i, "new", 30 + i % 2) for i in range(0, 40, 4)], [(i, 31) for i in range(0, 40, 8)]),
+        ([], [(999, 80)]),
+    ]
+    decisions, given = arrivals(spark, tmp_path, "d", [[(k, c, hour(at)) for k, c, at in d] for d, _ in parts], "sms_id long, context_key string, decided_at timestamp")
+    feedback, answers = arrivals(spark, tmp_path, "f", [[(k, hour(at)) for k, at in f] for _, f in parts], "sms_id long, received_at timestamp")
+    out = jobs.run_arrivals(state.closed_decisions(decisions, feedback, ttl_days=1, delay="1 hour", buckets=4), given | answers)
+    want, left = expiry_by_hand(parts, 24, 1)
+    assert sorted((r.sms_id, r.context_key, r.n_feedback, r.status) for r in out.collect()) == want and left == 0 and len(want) > 100
